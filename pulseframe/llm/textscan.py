@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = (1 << 20) - 1
 _MULT = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
 
