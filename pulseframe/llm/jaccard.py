@@ -8,9 +8,11 @@ documents link when 100 * intersection >= percent * union.
 3. The matrix has a row for each shingle that stands in a document's prefix (its first n - ceil(percent n / 100) + 1
    shingles; two linked documents always share one) with the groups that have it. A document queries every other group
    that shares a row and has members of a fitting size; of two groups, the one with the smaller name asks.
-4. A group's members travel to one place (to several, beyond `group_rows`), where the union of their shingles is
-   stored. A query opens a group only if the union holds as many of its shingles as a link needs; only then is it
-   compared with the members, and not with members that are known to be of its component already.
+4. A group's members travel to one place (to several, beyond `group_rows`), first as sketches (how many shingles fall
+   into each of some cells), which bound from above what a query can have in common with any member. What is left
+   travels as texts, and the union of the members' shingles is stored. A query opens a group only if the union holds as
+   many of its shingles as a link needs; only then is it compared with the members, and not with members that are known
+   to be of its component already.
 
 No link between different sets is lost: prefixes and bounds are exact, and nothing is capped. Equal sets are found by a
 128-bit digest and counted once per batch. Components come from the links.
@@ -40,23 +42,46 @@ _TOP = np.uint64(1 << 63)
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (63 bits) of a chunk's rows, sorted by row then hash, and each row's first position."""
-    words = Words(LOWER[data], offsets, NOT_SPACE)
-    rolling = Rolling(byte_hashes(LOWER[data]).of(words.start, words.end))
+    data = LOWER[data]
+    words = Words(data, offsets, NOT_SPACE)
+    rolling = Rolling(byte_hashes(data).of(words.start, words.end))
     at = words.windows(size)
     row = np.searchsorted(words.first, at, side="right") - 1
     short = np.flatnonzero((words.count > 0) & (words.count < size))
-    start = np.concatenate([at, words.first[short]])
-    end = np.concatenate([at + size, words.first[short + 1]])
-    row = np.concatenate([row, short])
-    h = rolling.of(start, end) >> np.uint64(1)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h = rolling.of(np.concatenate([at, words.first[short]]), np.concatenate([at + size, words.first[short + 1]])) >> np.uint64(1)
+    if len(short):
+        row = np.concatenate([row, short])
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    sort_rows(h, np.searchsorted(row, np.arange(len(offsets))))
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[fresh], row[fresh]
     return h, np.searchsorted(row, np.arange(len(offsets)))
 
 
+def sort_rows(h: np.ndarray, first: np.ndarray) -> None:
+    """Sorts each row's stretch in place."""
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        h[a:b].sort()
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall into each of a power of two of cells, about one cell for two shingles."""
+    cells = int(min(4096, max(64, 1 << max(0, (len(h) - 1).bit_length() - 1))))
+    counts = np.bincount((h >> np.uint64(63 - cells.bit_length() + 1)).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 65535).astype(np.uint16)
+
+
+def most_common(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """No set of sketch x can have more shingles in common with those of the sketches in `others`' rows."""
+    x, others = x.astype(np.int64), others.astype(np.int64)
+    x[x == 65535] = 1 << 40
+    others[others == 65535] = 1 << 40
+    cells = min(len(x), others.shape[1])
+    return np.minimum(x.reshape(cells, -1).sum(1), others.reshape(len(others), cells, -1).sum(2)).sum(1)
+
+
 def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
@@ -71,16 +96,17 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, d1, d2): size and digest of each row's set."""
+    """(id, n, d1, d2, sketch): size, digest and sketch of each row's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in chunks(batch.column(1)):
                 h, first = shingles(data, offsets, size)
                 d1, d2 = _digests(h, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(np.diff(first), pa.int64()), pa.array(d1), pa.array(d2)], names=["id", "n", "d1", "d2"])
+                cells = pa.array([sketch(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(np.diff(first), pa.int64()), pa.array(d1), pa.array(d2), cells], names=["id", "n", "d1", "d2", "sketch"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, n long, d1 long, d2 long")
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, n long, d1 long, d2 long, sketch binary")
 
 
 def frequent_shingles(documents: DataFrame, text_col: str, size: int) -> np.ndarray:
@@ -126,7 +152,7 @@ def _matrix(documents: DataFrame, id_col: str, text_col: str, size: int, percent
                 at = ids_of(h, table, -1)
                 h = np.where(at >= 0, _TOP | rank[at] if len(rank) else h, h)
                 doc = np.repeat(np.arange(len(n)), n)
-                h = h[np.lexsort((h, doc))]
+                sort_rows(h, first)
                 take = np.zeros(len(n), dtype=np.int64)
                 for k, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
                     if n[k] and key not in seen and batch.column(0)[row + k].is_valid:
@@ -184,6 +210,51 @@ def _candidates(percent: int):
     return scan
 
 
+def _bounded(percent: int):
+    """Over rows (grp, part, role, id, n, sketch) sorted by the first four: (grp, part, role, id) of the members and of the
+    queries that the sketches leave, if there is anything left to compare."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, ids, out = None, [], [], []
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["grp", "part", "role", "id"])
+
+        sent, matrix, least = False, None, None
+        for batch in batches:
+            for grp, part, role, k, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, part) != key:
+                    if len(members) > 1 and not sent:
+                        out += [(*key, 0, x) for x in ids]
+                    key, members, ids, sent, matrix = (grp, part), [], [], False, None
+                x = np.frombuffer(cells, dtype=np.uint16)
+                if role == 0:
+                    members.append((n, x))
+                    ids.append(k)
+                    continue
+                if not members:
+                    continue
+                if matrix is None:
+                    width = min(len(m) for _, m in members)
+                    matrix = np.stack([np.minimum(m.reshape(width, -1).sum(1, dtype=np.int64), 65535) for _, m in members])
+                    least = np.array([m for m, _ in members])
+                if (most_common(x, matrix) >= _least(np.maximum(least, n), percent)).any():
+                    if not sent:
+                        out += [(*key, 0, m) for m in ids]
+                        sent = True
+                    out.append((*key, 1, k))
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        if len(members) > 1 and not sent:
+            out += [(*key, 0, x) for x in ids]
+        if out:
+            yield batch_of(out)
+
+    return scan
+
+
 class _Find:
     def __init__(self):
         self.parent: dict[int, int] = {}
@@ -257,8 +328,8 @@ def _verify(size: int, percent: int):
     return scan
 
 
-def links(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links enough to connect every two documents of different sets that linking connects."""
+def links(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): links enough to connect every two documents of different sets that linking connects. each: their sets()."""
     docs = documents.filter(F.col(id_col).isNotNull())
     frequent = frequent_shingles(docs, text_col, size)
     matrix = _matrix(docs, id_col, text_col, size, percent, frequent)
@@ -274,8 +345,11 @@ def links(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     of_members = members.join(wanted, "grp").select("id", "grp", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("role"), own.alias("part"))), F.transform(later, lambda p: F.struct(F.lit(1).alias("role"), p.alias("part"))))).alias("x"))
     of_queries = queries.join(wanted, "grp").select("id", "grp", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("role"), p.alias("part")))).alias("x"))
     sent = of_members.unionByName(of_queries).select("id", "grp", "x.role", "x.part")
+    sized = each.select("id", "n", "sketch").dropDuplicates(["id"])
+    left = sent.join(sized, "id").select("grp", "part", "role", "id", "n", "sketch").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
+    left = cut(left.mapInArrow(_bounded(percent), "grp long, part int, role int, id long"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = sent.join(texts, "id").select("grp", "part", "role", "id", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
+    placed = left.join(texts, "id").select("grp", "part", "role", "id", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
     return placed.mapInArrow(_verify(size, percent), "a long, b long")
 
 
@@ -286,7 +360,7 @@ def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     same = solid.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")
     same = cut(same.drop("rows"))
     copies = solid.join(same, ["d1", "d2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(links(documents, id_col=id_col, text_col=text_col, size=size, percent=percent).unionByName(copies))
+    found = components(links(documents, each, id_col=id_col, text_col=text_col, size=size, percent=percent).unionByName(copies))
     out = each.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
