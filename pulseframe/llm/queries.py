@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .jaccard import op9_jaccard_join
+from .line_dedup import op1_line_dedup
+from .repeats import op6_suffix_array_dedup
 from .secrets import op2_secret_scan
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op5_decontaminate, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op5_decontaminate, op6_suffix_array_dedup, op9_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
