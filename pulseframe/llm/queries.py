@@ -9,11 +9,12 @@ from .repeats import op6_suffix_array_dedup
 from .secrets import op2_secret_scan
 from .toxicity import op10_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
+from .vectors import op4_embedding_dedup
 from .warc import op7_warc_normalise
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op5_decontaminate, op6_suffix_array_dedup, op7_warc_normalise, op8_url_filter, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_embedding_dedup, op5_decontaminate, op6_suffix_array_dedup, op7_warc_normalise, op8_url_filter, op9_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
