@@ -6,20 +6,24 @@ documents link when 100 * intersection >= percent * union.
 1. Shingles get a global order: those that are frequent somewhere come last, by their count; the others by their hash.
 2. Similar documents share a group: the group is named by the document's first shingle in that order (a min-hash).
 3. The matrix has a row for each shingle that stands in a document's prefix (its first n - ceil(percent n / 100) + 1
-   shingles; two linked documents always share one) with the groups that have it. A document queries every other group
-   that shares a row and has members of a fitting size; of two groups, the one with the smaller name asks.
-4. A group's members travel to one place (to several, beyond `group_rows`), first as sketches (how many shingles fall
-   into each of some cells), which bound from above what a query can have in common with any member. What is left
-   travels as texts, and the union of the members' shingles is stored. A query opens a group only if the union holds as
-   many of its shingles as a link needs; only then is it compared with the members, and not with members that are known
-   to be of its component already.
+   shingles; two linked documents always share one) with the groups that have it. Groups beyond `group_rows` members are
+   dealt into parts.
+4. First the members of each group are compared, and documents that come together so form a component. Then documents
+   query the other groups with which they share a row of the matrix (of two groups, the one with the smaller name asks)
+   unless all its members there are of their component: first one document of each component for each group, then, with
+   the components that this gave, every document that still has something to ask. Copies of one text thus cost a few
+   queries, not all pairs.
+5. A query and the members of its group first meet as sketches (how many shingles fall into each of some cells), which
+   bound from above what they can have in common. What is left meets as texts, where the union of the members' shingles
+   is stored: a query opens a group only if the union holds as many of its shingles as a link needs, and is compared
+   with members that are not of its component already.
 
 No link between different sets is lost: prefixes and bounds are exact, and nothing is capped. Equal sets are found by a
 128-bit digest and counted once per batch. Components come from the links.
 
 Defined cases: null and empty texts have no set (n_shingles 0) and are their own component; rows with a null id get a
-null component; rows with one id share a component; repeated rows stay. The id must be an integer column; extra columns
-are not read.
+null component; an id must name one text (repeated rows with equal id and text stay, with equal results). The id must be an
+integer column; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import components, cut
+from .spark import components, cut, small
 from .textscan import LOWER, NOT_SPACE, Rolling, Words, byte_hashes, chunks, ids_of, mix
 
 GROUP_ROWS = 256
@@ -67,17 +71,17 @@ def sort_rows(h: np.ndarray, first: np.ndarray) -> None:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles fall into each of a power of two of cells, about one cell for two shingles."""
+    """How many of a set's shingles fall into each of a power of two of cells, about one cell for two shingles; 255: or more."""
     cells = int(min(4096, max(64, 1 << max(0, (len(h) - 1).bit_length() - 1))))
     counts = np.bincount((h >> np.uint64(63 - cells.bit_length() + 1)).astype(np.int64), minlength=cells)
-    return np.minimum(counts, 65535).astype(np.uint16)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def most_common(x: np.ndarray, others: np.ndarray) -> np.ndarray:
     """No set of sketch x can have more shingles in common with those of the sketches in `others`' rows."""
     x, others = x.astype(np.int64), others.astype(np.int64)
-    x[x == 65535] = 1 << 40
-    others[others == 65535] = 1 << 40
+    x[x == 255] = 1 << 40
+    others[others == 255] = 1 << 40
     cells = min(len(x), others.shape[1])
     return np.minimum(x.reshape(cells, -1).sum(1), others.reshape(len(others), cells, -1).sum(2)).sum(1)
 
@@ -167,88 +171,113 @@ def _matrix(documents: DataFrame, id_col: str, text_col: str, size: int, percent
     return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "token long, id long, grp long, n int")
 
 
-def _candidates(percent: int):
-    """Over rows sorted by token, group: members (role 0) and queries (role 1) as (id, grp, role)."""
-
-    def open_bucket(ids: np.ndarray, groups: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        named, start = np.unique(groups, return_index=True)
-        if len(named) > 1:
-            low, high = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
-            for s in range(0, len(ids), 1024):
-                mine, size = groups[s : s + 1024, None], n[s : s + 1024, None].astype(np.int64)
-                fits = (mine < named[None]) & (percent * size <= 100 * high[None].astype(np.int64)) & (percent * low[None].astype(np.int64) <= 100 * size)
-                q, g = np.nonzero(fits)
-                if len(q):
-                    yield ids[s + q], named[g], 1
+def _buckets(work, names: list[str], types: list):
+    """work over the rows of each stretch of whole tokens, of batches sorted by their first column, the token."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list) -> Iterator[pa.RecordBatch]:
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([np.full(len(p[0]), p[2], np.int32) for p in parts]))], names=["id", "grp", "role"])
+        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(cols[0]) and (parts := list(work(cols))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
 
-        carry = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+        carry = None
         for batch in batches:
-            cols = [np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(carry)]
-            token = cols[0]
-            last = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+            if not len(cols[0]):
+                continue
+            if carry is not None:
+                cols = [np.concatenate([c, x]) for c, x in zip(carry, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from out([c[:last] for c in cols])
             carry = [c[last:] for c in cols]
-            yield from out(list(buckets([c[:last] for c in cols])))
-        yield from out(list(buckets(carry)))
-
-    def buckets(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        token, ids, groups, n = cols
-        if not len(token):
-            return
-        member = token == groups
-        yield ids[member], groups[member], 0
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        for k in np.flatnonzero(np.diff(edge) > 1).tolist():
-            a, b = edge[k], edge[k + 1]
-            if groups[a] != groups[b - 1]:
-                yield from open_bucket(ids[a:b], groups[a:b], n[a:b])
+        if carry is not None:
+            yield from out(carry)
 
     return scan
 
 
+def _edges_of(token: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+
+
+def _contested(group_rows: int):
+    """Of the matrix: each document once as a member (role 0), and the rows of shingles that several groups have, or one
+    group that is to be dealt into parts (role 1)."""
+
+    def work(cols: list[np.ndarray]) -> Iterator[tuple]:
+        token, group, ids, n = cols
+        edge = _edges_of(token)
+        size = np.diff(edge)
+        open_ = np.repeat((group[edge[:-1]] != group[edge[1:] - 1]) | (size > group_rows), size)
+        for role, rows in ((0, token == group), (1, open_)):
+            yield np.full(int(rows.sum()), role), token[rows], group[rows], ids[rows], n[rows]
+
+    return _buckets(work, ["role", "token", "grp", "id", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+
+
+def _asking(percent: int, one_each: bool):
+    """Of contested rows (token, grp, part, comp, id, n): who asks which group (id, grp, part)."""
+
+    def work(cols: list[np.ndarray]) -> Iterator[tuple]:
+        token, group, part, comp, ids, n = cols
+        edge = _edges_of(token)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            g, p, c, k, size = group[a:b], part[a:b], comp[a:b], ids[a:b], n[a:b].astype(np.int64)
+            fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
+            start = np.flatnonzero(fresh)
+            if len(start) < 2:
+                continue
+            mine = np.cumsum(fresh) - 1
+            low, high = np.minimum.reduceat(size, start), np.maximum.reduceat(size, start)
+            single = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)
+            of = c[start]
+            others = np.arange(len(start))
+            for s in range(0, len(k), 1024):
+                rows = slice(s, s + 1024)
+                fits = (mine[rows, None] < others) & (percent * size[rows, None] <= 100 * high) & (percent * low <= 100 * size[rows, None]) & ~(single & (c[rows, None] == of))
+                q, t = np.nonzero(fits)
+                if one_each and len(q):
+                    _, first = np.unique(np.stack([c[rows][q], t]), axis=1, return_index=True)
+                    q, t = q[first], t[first]
+                if len(q):
+                    yield k[rows][q], g[start][t], p[start][t]
+
+    return _buckets(work, ["id", "grp", "part"], [pa.int64(), pa.int64(), pa.int32()])
+
+
 def _bounded(percent: int):
-    """Over rows (grp, part, role, id, n, sketch) sorted by the first four: (grp, part, role, id) of the members and of the
-    queries that the sketches leave, if there is anything left to compare."""
+    """Over rows (grp, part, role, id, comp, n, sketch) sorted by the first four: (grp, part, role, id, comp) of the queries
+    that the sketches leave, and of the members of their groups."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, ids, out = None, [], [], []
+        key, members, out = None, [], []
+        sent, matrix, least = False, None, None
 
         def batch_of(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["grp", "part", "role", "id"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["grp", "part", "role", "id", "comp"])
 
-        sent, matrix, least = False, None, None
         for batch in batches:
-            for grp, part, role, k, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, part, role, k, comp, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, part) != key:
-                    if len(members) > 1 and not sent:
-                        out += [(*key, 0, x) for x in ids]
-                    key, members, ids, sent, matrix = (grp, part), [], [], False, None
-                x = np.frombuffer(cells, dtype=np.uint16)
+                    key, members, sent, matrix = (grp, part), [], False, None
+                x = np.frombuffer(cells, dtype=np.uint8)
                 if role == 0:
-                    members.append((n, x))
-                    ids.append(k)
+                    members.append((n, x, k, comp))
                     continue
                 if not members:
                     continue
                 if matrix is None:
-                    width = min(len(m) for _, m in members)
-                    matrix = np.stack([np.minimum(m.reshape(width, -1).sum(1, dtype=np.int64), 65535) for _, m in members])
-                    least = np.array([m for m, _ in members])
+                    width = min(len(m[1]) for m in members)
+                    matrix = np.stack([np.where((w := m[1].reshape(width, -1)).max(1) == 255, 255, np.minimum(w.sum(1, dtype=np.int64), 255)) for m in members])
+                    least = np.array([m[0] for m in members])
                 if (most_common(x, matrix) >= _least(np.maximum(least, n), percent)).any():
                     if not sent:
-                        out += [(*key, 0, m) for m in ids]
+                        out += [(*key, 0, m[2], m[3]) for m in members]
                         sent = True
-                    out.append((*key, 1, k))
+                    out.append((*key, 1, k, comp))
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
-        if len(members) > 1 and not sent:
-            out += [(*key, 0, x) for x in ids]
         if out:
             yield batch_of(out)
 
@@ -266,8 +295,11 @@ class _Find:
         return p
 
 
-def compare(members: list[tuple[int, np.ndarray]], queries: Iterator[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what is connected: among the members, and from queries to members."""
+Member = tuple[int, int, np.ndarray]
+
+
+def compare(members: list[Member], queries: Iterator[Member], percent: int, within: bool) -> Iterator[tuple[int, int]]:
+    """Links that connect what is connected, over (id, component, set): among the members, and from queries to members."""
     find = _Find()
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -277,48 +309,49 @@ def compare(members: list[tuple[int, np.ndarray]], queries: Iterator[tuple[int,
         common = int((ids_of(small_set, large, -1) >= 0).sum())
         return 100 * common >= percent * (len(x) + len(y) - common)
 
-    def join(k: int, x: np.ndarray, others: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        for other, y in others:
-            if find.root(k) != find.root(other) and linked(x, y):
-                find.parent[find.root(k)] = find.root(other)
-                yield k, other
+    def join(asks: Member, others: list[Member]) -> Iterator[tuple[int, int]]:
+        for other in others:
+            if find.root(asks[1]) != find.root(other[1]) and linked(asks[2], other[2]):
+                find.parent[find.root(asks[1])] = find.root(other[1])
+                yield asks[0], other[0]
 
-    for i, (k, x) in enumerate(members):
-        yield from join(k, x, members[:i])
-    union = np.unique(np.concatenate([x for _, x in members])) if members else np.zeros(0, np.uint64)
-    for k, x in queries:
-        if int((ids_of(x, union, -1) >= 0).sum()) >= int(_least(len(x), percent)):
-            yield from join(k, x, members)
+    if within:
+        for i, x in enumerate(members):
+            yield from join(x, members[:i])
+    union = np.unique(np.concatenate([x for _, _, x in members])) if members else np.zeros(0, np.uint64)
+    for x in queries:
+        if int((ids_of(x[2], union, -1) >= 0).sum()) >= int(_least(len(x[2]), percent)):
+            yield from join(x, members)
 
 
-def _verify(size: int, percent: int):
-    """Over rows (grp, part, role, id, text) sorted by the first four: links (a, b)."""
+def _verify(size: int, percent: int, within: bool):
+    """Over rows (grp, part, role, id, comp, text) sorted by the first four: links (a, b)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, int, np.ndarray]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, Member]]:
         for batch in batches:
-            groups, parts, roles, ids = (batch.column(k).to_pylist() for k in range(4))
-            for row, _, data, offsets in chunks(batch.column(4)):
+            groups, parts, roles, ids, comps = (batch.column(k).to_pylist() for k in range(5))
+            for row, _, data, offsets in chunks(batch.column(5)):
                 h, first = shingles(data, offsets, size)
                 for k in range(len(offsets) - 1):
-                    yield (groups[row + k], parts[row + k]), roles[row + k], ids[row + k], h[first[k] : first[k + 1]].copy()
+                    yield (groups[row + k], parts[row + k]), roles[row + k], (ids[row + k], comps[row + k], h[first[k] : first[k + 1]].copy())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = rows(batches)
         item, found = next(stream, None), []
 
-        def queries(key: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+        def queries(key: tuple[int, int]) -> Iterator[Member]:
             nonlocal item
             while item is not None and item[0] == key:
-                yield item[2], item[3]
+                yield item[2]
                 item = next(stream, None)
 
         while item is not None:
             key, members = item[0], []
             while item is not None and item[0] == key and item[1] == 0:
-                members.append((item[2], item[3]))
+                members.append(item[2])
                 item = next(stream, None)
             rest = queries(key)
-            found += compare(members, rest, percent)
+            found += compare(members, rest, percent, within)
             for _ in rest:
                 pass
             if len(found) > 50_000 or item is None:
@@ -328,29 +361,69 @@ def _verify(size: int, percent: int):
     return scan
 
 
+BITS = 1 << 25
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (id, text) without most of the rows whose id is not wanted: those that a bitmap of BITS bits rules out."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, dtype=np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            kept = (held.value[s >> 6] >> (s & 63)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    return docs.select("id", "text", slot.alias("s")).mapInArrow(scan, "id long, text string")
+
+
+def _meet(rows: DataFrame, docs: DataFrame, size: int, percent: int, within: bool) -> DataFrame:
+    """Links between the texts of rows (grp, part, role, id, comp)."""
+    texts = _texts_of(docs, rows)
+    by = ["grp", "part"]
+    placed = rows.join(texts, "id").select(*by, "role", "id", "comp", "text").repartition(*by).sortWithinPartitions(*by, "role", "id")
+    return cut(placed.mapInArrow(_verify(size, percent, within), "a long, b long"))
+
+
 def links(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): links enough to connect every two documents of different sets that linking connects. each: their sets()."""
-    docs = documents.filter(F.col(id_col).isNotNull())
-    frequent = frequent_shingles(docs, text_col, size)
-    matrix = _matrix(docs, id_col, text_col, size, percent, frequent)
-    roles = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_candidates(percent), "id long, grp long, role int").distinct()
-    roles = cut(roles)
-    members, queries = roles.filter("role = 0"), roles.filter("role = 1")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("rows"))
-    asked = queries.select("grp").distinct().withColumn("asked", F.lit(True))
-    wanted = sizes.join(asked, "grp", "left").filter("asked or rows > 1").select("grp", F.ceil(F.col("rows") / group_rows).cast("int").alias("parts"))
-    wanted = cut(wanted)
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    later = F.when(F.col("parts") - 1 > own, F.sequence(own + 1, F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
-    of_members = members.join(wanted, "grp").select("id", "grp", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("role"), own.alias("part"))), F.transform(later, lambda p: F.struct(F.lit(1).alias("role"), p.alias("part"))))).alias("x"))
-    of_queries = queries.join(wanted, "grp").select("id", "grp", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("role"), p.alias("part")))).alias("x"))
-    sent = of_members.unionByName(of_queries).select("id", "grp", "x.role", "x.part")
-    sized = each.select("id", "n", "sketch").dropDuplicates(["id"])
-    left = sent.join(sized, "id").select("grp", "part", "role", "id", "n", "sketch").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
-    left = cut(left.mapInArrow(_bounded(percent), "grp long, part int, role int, id long"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = left.join(texts, "id").select("grp", "part", "role", "id", "text").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
-    return placed.mapInArrow(_verify(size, percent), "a long, b long")
+    docs = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    frequent = frequent_shingles(docs, "text", size)
+    matrix = _matrix(docs, "id", "text", size, percent, frequent).select("token", "grp", "id", "n")
+    rows = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_contested(group_rows), "role int, token long, grp long, id long, n int")
+    firsts = each.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id")
+    rows = cut(rows.join(firsts, "id", "left_semi"))
+    members, contested = rows.filter("role = 0").select("grp", "id"), rows.filter("role = 1").select("token", "grp", "id", "n")
+    sizes = cut(members.groupBy("grp").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    large = small(sizes.filter(F.col("rows") > group_rows).select("grp", F.ceil(F.col("rows") / group_rows).cast("int").alias("parts")), 100_000)
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    members = members.join(large, "grp", "left").select("grp", "id", part)
+    contested = contested.join(large, "grp", "left").select("token", "grp", "id", "n", part)
+    sized = each.select("id", F.col("n").cast("int").alias("n"), "sketch").filter("n > 0 and id is not null").dropDuplicates(["id"])
+
+    inside = members.join(sizes.select("grp"), "grp", "left_semi").select("grp", "part", F.lit(0).alias("role"), "id", F.col("id").alias("comp"))
+    found = _meet(inside, docs, size, percent, True)
+    done = None
+    for one_each in (True, False):
+        comps = cut(components(found)).withColumnRenamed("node", "id")
+        known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")  # noqa: B023, E731
+        rows = known(contested).select("token", "grp", "part", "comp", "id", "n").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
+        asks = rows.mapInArrow(_asking(percent, one_each), "id long, grp long, part int").distinct()
+        asks = cut(asks if done is None else asks.join(done, ["id", "grp", "part"], "left_anti"))
+        done = asks
+        if not asks.limit(1).count():
+            break
+        asked = members.join(asks.select("grp", "part").distinct(), ["grp", "part"], "left_semi")
+        both = asked.select("grp", "part", F.lit(0).alias("role"), "id").unionByName(asks.select("grp", "part", F.lit(1).alias("role"), "id"))
+        both = known(both).join(sized, "id").select("grp", "part", "role", "id", "comp", "n", "sketch").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
+        left = cut(both.mapInArrow(_bounded(percent), "grp long, part int, role int, id long, comp long"))
+        if left.limit(1).count():
+            found = cut(found.unionByName(_meet(left, docs, size, percent, False)))
+    return found
 
 
 def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from .decontaminate import op5_decontaminate
 from .jaccard import op9_jaccard_join
 from .line_dedup import op1_line_dedup
+from .mixing import op3_source_mixing
 from .repeats import op6_suffix_array_dedup
 from .secrets import op2_secret_scan
 from .toxicity import op10_toxicity
@@ -14,8 +17,8 @@ from .warc import op7_warc_normalise
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_embedding_dedup, op5_decontaminate, op6_suffix_array_dedup, op7_warc_normalise, op8_url_filter, op9_jaccard_join, op10_toxicity)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_source_mixing, op4_embedding_dedup, op5_decontaminate, op6_suffix_array_dedup, op7_warc_normalise, op8_url_filter, op9_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op8_url_filter": OP8_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
