@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import cut
+from .spark import bitmap, cut, small_batches, texts_in
 from .textscan import LOWER, NOT_SPACE, Rolling, Words, buffers, byte_hashes, chunks, mix
 
 MIN_WORDS = 5
@@ -192,7 +192,8 @@ def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     halves = rows.filter("kind = 0 and a1 <> 0").select(F.explode(F.array_distinct(F.array(*_HALVES))).alias("half"), "id", "line")
     partners = halves.repartition("half").sortWithinPartitions("half").mapInArrow(_partners, _PLACES)
     listed = partners.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    variants = docs.join(listed, "id").select("id", "text", "lines").mapInArrow(_neighbourhood, "variant long, place int, id long, line int")
+    listed = cut(listed)
+    variants = texts_in(docs, bitmap(listed)).join(listed, "id").select("id", "text", "lines").mapInArrow(_neighbourhood, "variant long, place int, id long, line int")
     near = variants.repartition("variant").sortWithinPartitions("variant", "place", "id", "line").mapInArrow(_verify, _PLACES)
     gone = rows.filter("kind = 1").select("id", "line").unionByName(near)
     return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -239,9 +240,11 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: n_lines, n_removed, and the SHA-256 of the text that is left."""
+    small_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    lines = repeated_lines(documents)
-    known = docs.filter("id is not null").join(lines, "id", "left").select("id", "text", "lines")
-    lost = docs.filter("id is null").withColumn("lines", F.lit(None).cast("array<int>"))
-    return known.unionByName(lost).mapInArrow(_report, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    lines = cut(repeated_lines(documents))
+    bits = bitmap(lines)
+    hit = texts_in(docs, bits).join(lines, "id", "left").select("id", "text", "lines")
+    rest = texts_in(docs, bits, inside=False).withColumn("lines", F.lit(None).cast("array<int>"))
+    return hit.unionByName(rest).mapInArrow(_report, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on at most so many bytes travel to a Python worker at once, however long the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+BITS = 1 << 25
+
+
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """BITS bits, those set that the wanted ids hash to: a filter of fixed size that loses no id and lets few others pass."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")
+    words = wanted.select(slot).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, dtype=np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def texts_in(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows of docs (id, text) whose id's bit is set, or not set."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            hit = (held.value[s >> 6] >> (s & 63)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(hit == inside))
+
+    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")).mapInArrow(scan, "id long, text string")
