@@ -3,13 +3,15 @@
 Every byte covered by a `least`-byte string that also starts earlier (in a smaller id, or earlier in the same text) goes.
 Strings are judged on the texts as they came in, never across texts.
 
-1. Anchors. Of every `least` consecutive bytes, the GRAM-byte grams with the least hash are anchors. What a string of
-   `least` bytes selects depends on that string alone, so all its occurrences share an anchor with the same gram. An
-   anchor's context is everything that a string through it can reach: `least` - GRAM bytes before it, `least` from it on.
+1. Anchors. Every string of `least` bytes selects the first of its GRAM-byte grams of least hash as its anchor. That
+   depends on the string alone, so all its occurrences select the same gram. An anchor's context is what the strings that
+   select it cover together.
 2. Equal contexts (two 64-bit hashes: of the gram and of the context) are settled at once: all but the earliest are
    covered. Each batch settles its own before anything is shuffled, so a group of copies of any size sends one row per
    batch and anchor.
-3. Grams left with several different contexts are gathered by gram. The contexts' suffixes go into an enhanced suffix
+3. Grams left with several different contexts are gathered by gram. A shared string of `least` bytes holds one of SPLITS
+   shorter stretches around the gram whole; contexts that share none of these (16 bits of each are compared) are let go
+   without loss. The others' suffixes go into an enhanced suffix
    array (prefix doubling, longest common prefixes); a stack scan walks the tree of its common-prefix intervals, and the
    intervals whose occurrences differ in the byte before them are the maximal repeats. Of each, all occurrences but the
    earliest are covered. A gram with more than `max_group` different contexts never meets in one task: its strings are
@@ -30,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import cut
+from .spark import bitmap, cut, small_batches, texts_in
 from .textscan import buffers, byte_hashes, chunks, mix
 
 LEAST = 100
 GRAM = 32
+SPLITS = 4
 MAX_GROUP = 20_000
+HELD = 200_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_ROWS = "kind int, fp long, ctx long, id long, pos int, ext int"
+_ROWS = "kind int, fp long, ctx long, id long, pos int, ext int, near long"
 _SALT = np.uint64(0x452821E638D01377)
 
 
@@ -51,12 +55,32 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
+def _smaller(place: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the place of the nearest one before with a hash no larger, and after with a smaller one, as far as
+    they stand within `width`; otherwise a place out of reach."""
+    n, out = len(place), []
+    for step in (-1, 1):
+        found = np.full(n, -(1 << 40) if step < 0 else 1 << 40, dtype=np.int64)
+        open_, other = np.arange(n), np.arange(n) + step
+        while len(open_):
+            inside = (other >= 0) & (other < n)
+            open_, other = open_[inside], other[inside]
+            near = np.abs(place[other] - place[open_]) < width
+            open_, other = open_[near], other[near]
+            hit = h[other] <= h[open_] if step < 0 else h[other] < h[open_]
+            found[open_[hit]] = place[other[hit]]
+            open_, other = open_[~hit], other[~hit] + step
+        out.append(found)
+    return out[0], out[1]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, place, hash, hash of the context, bytes of context before, bytes from the place on) of a chunk's anchors."""
+    """(row, place, hash, hash of the context, bytes of context before, bytes from the place on, hashes of the stretches)
+    of a chunk's anchors. The last are SPLITS times 16 bits, 0 for a stretch that the text's edge cuts."""
     n, width = len(data), least - gram + 1
     empty = np.zeros(0, np.int64)
     if n < least:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
     rolling = byte_hashes(data)
     end = np.repeat(offsets[1:], np.diff(offsets))
     at = np.arange(n - gram + 1)
@@ -67,10 +91,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tup
     high = sliding(np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     place = np.flatnonzero((high == h) & (h != _NONE))
     row = np.searchsorted(offsets, place, side="right") - 1
-    first = np.maximum(offsets[row], place + gram - least)
-    last = np.minimum(offsets[row + 1], place + least)
+    # Each string belongs to the first of its grams of least hash: an anchor's strings stop short of smaller neighbours.
+    before, after = _smaller(place, h[place], width)
+    first = np.maximum(np.maximum(offsets[row], place - width + 1), before + 1)
+    last = np.minimum(np.minimum(offsets[row + 1] - least, place), after - width)
+    own = last >= first
+    place, row, first, last = place[own], row[own], first[own], last[own] + least
     ctx = mix(rolling.of(first, last) + (place - first).astype(np.uint64) * _SALT)
-    return row, place - offsets[row], h[place], ctx, place - first, last - place
+    near, free = np.zeros(len(place), np.uint64), least - gram
+    for k in range(SPLITS):
+        a, b = place - free * k // SPLITS, place + gram + free - free * (k + 1) // SPLITS
+        whole = (a >= first) & (b <= last)
+        a, b = np.where(whole, a, place), np.where(whole, b, place)
+        near |= np.where(whole, (rolling.of(a, b) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * k)
+    return row, place - offsets[row], h[place], ctx, place - first, last - place, near
 
 
 def merged(ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +121,15 @@ def merged(ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return ids[begin], low[begin], reach[stop] - shift[stop]
 
 
-def _rows(kind: int, fp: np.ndarray, ctx: np.ndarray, ids: np.ndarray, pos: np.ndarray, ext: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int, fp: np.ndarray, ctx: np.ndarray, ids: np.ndarray, pos: np.ndarray, ext: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
     kinds = np.full(len(ids), kind, dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(ext.astype(np.int32))], names=["kind", "fp", "ctx", "id", "pos", "ext"])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(ext.astype(np.int32)), pa.array(near.view(np.int64))], names=["kind", "fp", "ctx", "id", "pos", "ext", "near"])
 
 
 def _covered(ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     """Stretches as rows of kind 1, spread by id."""
     ids, low, high = merged(ids, low, high)
-    return _rows(1, mix(ids.view(np.uint64)), np.zeros(len(ids), np.uint64), ids, low, high)
+    return _rows(1, mix(ids.view(np.uint64)), np.zeros(len(ids), np.uint64), ids, low, high, np.zeros(len(ids), np.uint64))
 
 
 def _mark(least: int, gram: int):
@@ -108,50 +142,73 @@ def _mark(least: int, gram: int):
                 parts.append((ids[row + own], *rest))
             if not parts:
                 continue
-            doc, pos, fp, ctx, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, pos, fp, ctx, left, right, near = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((pos, doc, ctx, fp))
-            doc, pos, fp, ctx, left, right = (x[order] for x in (doc, pos, fp, ctx, left, right))
+            doc, pos, fp, ctx, left, right, near = (x[order] for x in (doc, pos, fp, ctx, left, right, near))
             first = np.ones(len(fp), dtype=bool)
             first[1:] = (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])
-            yield _rows(0, fp[first], ctx[first], doc[first], pos[first], (left * 1024 + right)[first])
+            yield _rows(0, fp[first], ctx[first], doc[first], pos[first], (left * 1024 + right)[first], near[first])
             if not first.all():
                 yield _covered(doc[~first], (pos - left)[~first], (pos + right)[~first])
 
     return scan
 
 
+def _partnered(fp: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of some rows share a stretch with another row of their gram."""
+    group = np.cumsum(np.concatenate([[0], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
+    some = np.zeros(len(fp), dtype=bool)
+    near = near.view(np.uint64)
+    for k in range(SPLITS):
+        part = ((near >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+        _, at, count = np.unique(group << 16 | part, return_inverse=True, return_counts=True)
+        some |= (count[at] > 1) & (part > 0)
+    return some
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by kind, gram, context, id, place: stretches pass, later equal contexts become stretches, and the
-    first of each context stays if its gram has another context. Holds one row between batches."""
-    held: list[np.ndarray] | None = None  # the latest first row
-    told = False  # whether its gram is known to have several contexts, so that it went out
+    first of each context stays if another context of its gram may share a string with it. Holds the contexts of one gram;
+    beyond HELD of them they go out unfiltered and one row is held."""
+    held: list[np.ndarray] | None = None  # the first rows of the latest gram
+    loose = False  # whether they went out already, but for the order of what follows
+
+    def out(cols: list[np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if keep.any():
+            yield _rows(0, *(x[keep] for x in cols))
+
     for batch in batches:
-        kind, fp, ctx, ids, pos, ext = (batch.column(k).to_numpy() for k in range(6))
+        kind, *cols = (batch.column(k).to_numpy() for k in range(7))
         stretch = kind == 1
         if stretch.any():
-            yield _covered(ids[stretch], pos[stretch], ext[stretch])
-        cols = [x[~stretch] for x in (fp, ctx, ids, pos, ext)]
+            yield _covered(cols[2][stretch], cols[3][stretch], cols[4][stretch])
+        cols = [x[~stretch] for x in cols]
         if not len(cols[0]):
             continue
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        fp, ctx, ids, pos, ext = cols
-        new_fp = np.concatenate([[True], fp[1:] != fp[:-1]])
-        first = new_fp | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        fp, ctx, ids, pos, ext, _ = cols
+        first = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])
         later = ~first
         if later.any():
             yield _covered(ids[later], (pos - ext // 1024)[later], (pos + ext % 1024)[later])
-        group = np.cumsum(new_fp) - 1
-        several = np.bincount(group[first]) > 1
-        if told:
-            several[0] = True
-        out = first & several[group]
-        if told:
-            out[0] = False
-        if out.any():
-            yield _rows(0, fp[out], ctx[out], ids[out], pos[out], ext[out])
-        k = int(np.flatnonzero(first)[-1])
-        held, told = [x[k : k + 1] for x in cols], bool(several[group[k]])
+        cols = [x[first] for x in cols]
+        begin = int(np.searchsorted(cols[0], cols[0][-1]))
+        if loose:
+            told = int(np.searchsorted(cols[0], cols[0][0], side="right"))
+            yield from out([x[1:told] for x in cols], np.ones(told - 1, dtype=bool))
+            if begin == 0:
+                held = [x[-1:] for x in cols]
+                continue
+            cols, begin, loose = [x[told:] for x in cols], begin - told, False
+        done = [x[:begin] for x in cols]
+        yield from out(done, _partnered(done[0], done[5]))
+        held = [x[begin:] for x in cols]
+        if len(held[0]) > HELD:
+            yield from out(held, np.ones(len(held[0]), dtype=bool))
+            held, loose = [x[-1:] for x in held], True
+    if held is not None and not loose:
+        yield from out(held, _partnered(held[0], held[5]))
 
 
 class SuffixArray:
@@ -269,7 +326,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fp[part]), pa.array(ids[doc[part]]), pa.array(low[part].astype(np.int32)), pa.array(texts, pa.binary())], names=["fp", "id", "low", "bytes"])
 
 
-def _trees(least: int, together: int = 8_000):
+def _trees(least: int, together: int = 3_000):
     """Over contexts sorted by gram: stretches that repeat earlier."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +370,7 @@ def stretches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if some:
         crowded = cut(crowded)
     listed = open_.groupBy("id").agg(F.collect_list(F.struct("fp", "pos", "ext")).alias("anchors"))
-    contexts = docs.join(listed, "id").select("id", "text", "anchors").mapInArrow(_slices, "fp long, id long, low int, bytes binary")
+    contexts = texts_in(docs, bitmap(open_)).join(listed, "id").select("id", "text", "anchors").mapInArrow(_slices, "fp long, id long, low int, bytes binary")
     usual = contexts.join(crowded, "fp", "left_anti") if some else contexts
     found = usual.repartition("fp").sortWithinPartitions("fp", "id", "low").mapInArrow(_trees(least), "id long, pos int, ext int")
     if some:
@@ -349,10 +406,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    cuts = stretches(documents)
-    known = docs.filter("id is not null").join(cuts, "id", "left")
-    lost = docs.filter("id is null").withColumn("spans", F.lit(None).cast(cuts.schema["spans"].dataType))
-    out = known.select("id", "text", "spans").unionByName(lost).mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cuts = cut(stretches(documents))
+    bits, kind = bitmap(cuts), cuts.schema["spans"].dataType
+    hit = texts_in(docs, bits).join(cuts, "id", "left").select("id", "text", "spans")
+    rest = texts_in(docs, bits, inside=False).withColumn("spans", F.lit(None).cast(kind))
+    out = hit.unionByName(rest).mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
