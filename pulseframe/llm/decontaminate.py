@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark import small_batches
 from .textscan import ALNUM, LOWER, Rolling, Words, byte_hashes, chunks
 
 WINDOW = 10
@@ -192,6 +193,7 @@ def session_broadcast(df: DataFrame, value: object):
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = find(documents, benchmark)

@@ -30,7 +30,7 @@ from .spark import cut, small
 MAX_LABELLED = 20_000
 MAX_WORDS = 8_192
 EVIDENCE = 20.0
-ROUNDS = 120
+ROUNDS = 200
 TOLERANCE = 1e-6
 #: Domains by label: quality 0, quality 1, toxic; the shares that each shall have, and of all tokens how many are kept.
 DOMAINS = ("low", "high", "toxic")
