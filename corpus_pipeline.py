@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
-from pulseframe.llm.spark import shared_dir, small
+from pulseframe.llm.spark import shared_dir, small, small_batches
 
 #: SQL can express neither the classifiers nor the fitted rates; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -20,17 +20,20 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
+    small_batches(spark)
     model = toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.kept(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing else is left."""
+    small_batches(spark)
     return line_dedup.remove(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplication connects (five-word shingles, Jaccard 0.8), that with the smallest id stays."""
+    small_batches(spark)
     found = jaccard.join_components(docs, size=5, percent=80)
     others = found.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(small(others, 500_000), "doc_id", "left_anti").select(*docs.columns)
@@ -38,6 +41,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
