@@ -8,10 +8,11 @@ from .decontaminate import op5_decontaminate
 from .jaccard import op9_jaccard_join
 from .line_dedup import op1_line_dedup
 from .mixing import op3_source_mixing
+from .oracles import SQL
 from .repeats import op6_suffix_array_dedup
 from .secrets import op2_secret_scan
 from .toxicity import op10_toxicity
-from .url_filter import OP8_SQL, op8_url_filter
+from .url_filter import op8_url_filter
 from .vectors import op4_embedding_dedup
 from .warc import op7_warc_normalise
 
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return SQL | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
