@@ -4,13 +4,13 @@ A document's set is that of its distinct `size`-word shingles (one shingle of al
 documents link when 100 * intersection >= percent * union.
 
 1. Shingles get a global order: those that are frequent somewhere come last, by their count; the others by their hash.
-2. Similar documents share a group: the group is named by the document's first shingle in that order (a min-hash).
+2. Similar documents share a group: it is named by the document's shingle of least hash, whatever its count (a min-hash).
 3. The matrix has a row for each shingle that stands in a document's prefix (its first n - ceil(percent n / 100) + 1
    shingles; two linked documents always share one) with the groups that have it. Groups beyond `group_rows` members are
    dealt into parts.
 4. First the members of each group are compared, and documents that come together so form a component. Then documents
-   query the other groups with which they share a row of the matrix (of two groups, the one with the smaller name asks)
-   unless all its members there are of their component: first one document of each component for each group, then, with
+   query the other groups with which they share a row of the matrix (of two groups, the one with the smaller name asks;
+   both must have enough shingles left from there on) unless all its members there are of their component: first one document of each component for each group, then, with
    the components that this gave, every document that still has something to ask. Copies of one text thus cost a few
    queries, not all pairs.
 5. A query and the members of its group first meet as sketches (how many shingles fall into each of some cells), which
@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import components, cut, small
+from .spark import bitmap, components, cut, small, small_batches, texts_in
 from .textscan import LOWER, NOT_SPACE, Rolling, Words, byte_hashes, chunks, ids_of, mix
 
 GROUP_ROWS = 256
 MAX_FREQUENT = 1 << 16
 LOCAL_FREQUENT = 4
+MEMBER = -1
 _TOP = np.uint64(1 << 63)
 
 
@@ -141,34 +142,42 @@ def frequent_shingles(documents: DataFrame, text_col: str, size: int) -> np.ndar
 
 
 def _matrix(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(token, id, grp, n) for each shingle of each row's prefix; equal sets of one batch enter once."""
+    """(token, id, grp, n, rest) for each shingle of each row's prefix, with the number of shingles from it on, and one row
+    with rest MEMBER for each document; equal sets of one batch enter once."""
     order = np.argsort(frequent)
     held = documents.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, rank = held.value
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            for row, _, data, offsets in chunks(batch.column(1)):
+            ids = batch.column(0).fill_null(0).to_numpy()
+            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            parts, least = [], {}
+            for row, stop, data, offsets in chunks(batch.column(1)):
                 h, first = shingles(data, offsets, size)
-                d1, d2 = _digests(h, first)
+                digests = list(zip(*(d.tolist() for d in _digests(h, first)), strict=True))
+                parts.append((row, stop, h, first, digests))
+                for k, key in enumerate(digests, row):
+                    if valid[k]:  # the smallest id of equal sets, so that the smallest of all batches is among them
+                        least[key] = min(least.get(key, (ids[k], k)), (ids[k], k))
+            for row, stop, h, first, digests in parts:
                 n = np.diff(first)
+                group = h[np.minimum(first[:-1], max(len(h) - 1, 0))] if len(h) else np.zeros(len(n), np.uint64)
                 at = ids_of(h, table, -1)
                 h = np.where(at >= 0, _TOP | rank[at] if len(rank) else h, h)
                 doc = np.repeat(np.arange(len(n)), n)
                 sort_rows(h, first)
-                take = np.zeros(len(n), dtype=np.int64)
-                for k, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
-                    if n[k] and key not in seen and batch.column(0)[row + k].is_valid:
-                        seen.add(key)
-                        take[k] = n[k] - _least(n[k], percent) + 1
-                inside = np.arange(len(h)) - first[doc] < take[doc]
-                ids = batch.column(0).slice(row, len(n)).fill_null(0).to_numpy()
-                group = h[np.minimum(first[:-1], max(len(h) - 1, 0))] if len(h) else np.zeros(len(n), np.uint64)
+                once = np.array([valid[k] and least[key][1] == k for k, key in enumerate(digests, row)], dtype=bool)
+                take = np.where(once & (n > 0), n - _least(n, percent) + 1, 0)
+                place = np.arange(len(h)) - first[doc]
+                inside = place < take[doc]
                 own = doc[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(h[inside].view(np.int64)), pa.array(ids[own]), pa.array(group[own].view(np.int64)), pa.array(n[own].astype(np.int32))], names=["token", "id", "grp", "n"])
+                members = np.flatnonzero(take > 0)
+                own, token = np.concatenate([own, members]), np.concatenate([h[inside], group[members]])
+                rest = np.concatenate([n[own[: len(own) - len(members)]] - place[inside], np.full(len(members), MEMBER)])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[row:stop][own]), pa.array(group[own].view(np.int64)), pa.array(n[own].astype(np.int32)), pa.array(rest.astype(np.int32))], names=["token", "id", "grp", "n", "rest"])
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "token long, id long, grp long, n int")
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "token long, id long, grp long, n int, rest int")
 
 
 def _buckets(work, names: list[str], types: list):
@@ -199,41 +208,42 @@ def _edges_of(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
 
 
-def _contested(group_rows: int):
-    """Of the matrix: each document once as a member (role 0), and the rows of shingles that several groups have, or one
-    group that is to be dealt into parts (role 1)."""
-
-    def work(cols: list[np.ndarray]) -> Iterator[tuple]:
-        token, group, ids, n = cols
-        edge = _edges_of(token)
-        size = np.diff(edge)
-        open_ = np.repeat((group[edge[:-1]] != group[edge[1:] - 1]) | (size > group_rows), size)
-        for role, rows in ((0, token == group), (1, open_)):
-            yield np.full(int(rows.sum()), role), token[rows], group[rows], ids[rows], n[rows]
-
-    return _buckets(work, ["role", "token", "grp", "id", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+def _contested(cols: list[np.ndarray]) -> Iterator[tuple]:
+    """Of the matrix: each document once as a member (role 0), and the rows of shingles that several documents have (1)."""
+    member = cols[4] == MEMBER
+    rows = [c[~member] for c in cols]
+    size = np.diff(_edges_of(rows[0])) if len(rows[0]) else np.zeros(0, np.int64)
+    several = np.repeat(size > 1, size)
+    for role, of in ((0, [c[member] for c in cols]), (1, [c[several] for c in rows])):
+        yield np.full(len(of[0]), role), *of
 
 
 def _asking(percent: int, one_each: bool):
-    """Of contested rows (token, grp, part, comp, id, n): who asks which group (id, grp, part)."""
+    """Of contested rows (token, grp, part, comp, id, n, rest): who asks which group (id, grp, part).
+
+    A linked pair is found at the first shingle of the order that both have; from there on, either set must still hold as
+    many shingles as the link needs.
+    """
 
     def work(cols: list[np.ndarray]) -> Iterator[tuple]:
-        token, group, part, comp, ids, n = cols
+        token, group, part, comp, ids, n, rest = cols
         edge = _edges_of(token)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            g, p, c, k, size = group[a:b], part[a:b], comp[a:b], ids[a:b], n[a:b].astype(np.int64)
+            g, p, c, k, size, left = group[a:b], part[a:b], comp[a:b], ids[a:b], n[a:b].astype(np.int64), rest[a:b].astype(np.int64)
             fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
             start = np.flatnonzero(fresh)
             if len(start) < 2:
                 continue
             mine = np.cumsum(fresh) - 1
             low, high = np.minimum.reduceat(size, start), np.maximum.reduceat(size, start)
+            most = np.maximum.reduceat(left, start)
             single = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)
             of = c[start]
             others = np.arange(len(start))
             for s in range(0, len(k), 1024):
                 rows = slice(s, s + 1024)
                 fits = (mine[rows, None] < others) & (percent * size[rows, None] <= 100 * high) & (percent * low <= 100 * size[rows, None]) & ~(single & (c[rows, None] == of))
+                fits &= (100 + percent) * np.minimum(left[rows, None], most) >= percent * (size[rows, None] + low)
                 q, t = np.nonzero(fits)
                 if one_each and len(q):
                     _, first = np.unique(np.stack([c[rows][q], t]), axis=1, return_index=True)
@@ -299,7 +309,8 @@ Member = tuple[int, int, np.ndarray]
 
 
 def compare(members: list[Member], queries: Iterator[Member], percent: int, within: bool) -> Iterator[tuple[int, int]]:
-    """Links that connect what is connected, over (id, component, set): among the members, and from queries to members."""
+    """Over (id, component, set): `within`, each member that links connect with a smaller one, with the smallest; and links
+    from queries to members, enough to connect what is connected."""
     find = _Find()
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -317,7 +328,12 @@ def compare(members: list[Member], queries: Iterator[Member], percent: int, with
 
     if within:
         for i, x in enumerate(members):
-            yield from join(x, members[:i])
+            for _ in join(x, members[:i]):
+                pass
+        least: dict[int, int] = {}
+        for k, comp, _ in members:
+            least[find.root(comp)] = min(k, least.get(find.root(comp), k))
+        yield from ((k, least[find.root(comp)]) for k, comp, _ in members if k != least[find.root(comp)])
     union = np.unique(np.concatenate([x for _, _, x in members])) if members else np.zeros(0, np.uint64)
     for x in queries:
         if int((ids_of(x[2], union, -1) >= 0).sum()) >= int(_least(len(x[2]), percent)):
@@ -361,57 +377,48 @@ def _verify(size: int, percent: int, within: bool):
     return scan
 
 
-BITS = 1 << 25
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (id, text) without most of the rows whose id is not wanted: those that a bitmap of BITS bits rules out."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    words = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 64, dtype=np.int64)
-    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(2).to_numpy()
-            kept = (held.value[s >> 6] >> (s & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(kept))
-
-    return docs.select("id", "text", slot.alias("s")).mapInArrow(scan, "id long, text string")
-
-
 def _meet(rows: DataFrame, docs: DataFrame, size: int, percent: int, within: bool) -> DataFrame:
     """Links between the texts of rows (grp, part, role, id, comp)."""
-    texts = _texts_of(docs, rows)
+    texts = texts_in(docs, bitmap(rows))
     by = ["grp", "part"]
     placed = rows.join(texts, "id").select(*by, "role", "id", "comp", "text").repartition(*by).sortWithinPartitions(*by, "role", "id")
-    return cut(placed.mapInArrow(_verify(size, percent, within), "a long, b long"))
+    out = placed.mapInArrow(_verify(size, percent, within), "a long, b long")
+    return cut(out.distinct() if within else out)  # an id may come twice
+
+
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """comps (id, component) after links (a, b) between documents: only the links between components take rounds."""
+    of = comps.withColumnRenamed("component", "c")
+    ends = more.join(of.withColumnRenamed("id", "a"), "a", "left").select("b", F.coalesce("c", "a").alias("u")).join(of.withColumnRenamed("id", "b"), "b", "left").select("u", F.coalesce("c", "b").alias("v"))
+    moved = cut(components(ends, "u", "v"))
+    told = comps.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    fresh = moved.select(F.col("node").alias("id"), "component").join(comps.select("id"), "id", "left_anti")
+    return cut(told.unionByName(fresh))
 
 
-def links(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links enough to connect every two documents of different sets that linking connects. each: their sets()."""
+def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(id, component) of the documents that links connect, each set standing for itself once, as its smallest id. each:
+    the documents' sets()."""
     docs = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(docs, "text", size)
-    matrix = _matrix(docs, "id", "text", size, percent, frequent).select("token", "grp", "id", "n")
-    rows = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_contested(group_rows), "role int, token long, grp long, id long, n int")
+    matrix = _matrix(docs, "id", "text", size, percent, frequent).select("token", "grp", "id", "n", "rest")
+    rows = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_buckets(_contested, ["role", "token", "grp", "id", "n", "rest"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]), "role int, token long, grp long, id long, n int, rest int")
     firsts = each.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id")
     rows = cut(rows.join(firsts, "id", "left_semi"))
-    members, contested = rows.filter("role = 0").select("grp", "id"), rows.filter("role = 1").select("token", "grp", "id", "n")
+    members, contested = rows.filter("role = 0").select("grp", "id"), rows.filter("role = 1").select("token", "grp", "id", "n", "rest")
     sizes = cut(members.groupBy("grp").agg(F.count("*").alias("rows")).filter("rows > 1"))
     large = small(sizes.filter(F.col("rows") > group_rows).select("grp", F.ceil(F.col("rows") / group_rows).cast("int").alias("parts")), 100_000)
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part")
     members = members.join(large, "grp", "left").select("grp", "id", part)
-    contested = contested.join(large, "grp", "left").select("token", "grp", "id", "n", part)
+    contested = contested.join(large, "grp", "left").select("token", "grp", "id", "n", "rest", part)
     sized = each.select("id", F.col("n").cast("int").alias("n"), "sketch").filter("n > 0 and id is not null").dropDuplicates(["id"])
 
     inside = members.join(sizes.select("grp"), "grp", "left_semi").select("grp", "part", F.lit(0).alias("role"), "id", F.col("id").alias("comp"))
     found = _meet(inside, docs, size, percent, True)
-    done = None
+    done, comps = None, found.select(F.col("a").alias("id"), F.col("b").alias("component"))  # a document has one group, and so one component there
     for one_each in (True, False):
-        comps = cut(components(found)).withColumnRenamed("node", "id")
         known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")  # noqa: B023, E731
-        rows = known(contested).select("token", "grp", "part", "comp", "id", "n").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
+        rows = known(contested).select("token", "grp", "part", "comp", "id", "n", "rest").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
         asks = rows.mapInArrow(_asking(percent, one_each), "id long, grp long, part int").distinct()
         asks = cut(asks if done is None else asks.join(done, ["id", "grp", "part"], "left_anti"))
         done = asks
@@ -422,22 +429,25 @@ def links(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id", text
         both = known(both).join(sized, "id").select("grp", "part", "role", "id", "comp", "n", "sketch").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
         left = cut(both.mapInArrow(_bounded(percent), "grp long, part int, role int, id long, comp long"))
         if left.limit(1).count():
-            found = cut(found.unionByName(_meet(left, docs, size, percent, False)))
-    return found
+            more = _meet(left, docs, size, percent, False)
+            if more.limit(1).count():
+                comps = _joined(comps, more)
+    return comps
 
 
 def join_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     each = cut(sets(documents, id_col, text_col, size))
-    solid = each.filter("n > 0 and id is not null")
-    same = solid.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")
-    same = cut(same.drop("rows"))
-    copies = solid.join(same, ["d1", "d2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(links(documents, each, id_col=id_col, text_col=text_col, size=size, percent=percent).unionByName(copies))
-    out = each.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    solid = F.col("id").isNotNull() & (F.col("n") > 0)
+    key = ["d1", "d2", "n"]
+    same = cut(each.filter(solid).groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
+    comps = connected(documents, each, id_col=id_col, text_col=text_col, size=size, percent=percent)
+    known = each.select("id", *key).join(same, key, "left").withColumn("rep", F.coalesce(F.when(solid, F.col("rep")), F.col("id")))
+    out = known.select("id", "n", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    return out.select(F.col("id").cast(documents.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_components(documents, size=4, percent=85)
