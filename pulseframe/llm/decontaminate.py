@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import small_batches
+from .spark import small, small_batches
 from .textscan import ALNUM, LOWER, Rolling, Words, byte_hashes, chunks
 
 WINDOW = 10
@@ -155,13 +155,17 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def remove(documents: DataFrame, benchmark: DataFrame, *, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """documents without contaminated rows (mode "documents"), or with every hit span cut out of the text ("spans").
 
-    Rows keep all their columns. In "spans" a hit run of words goes together with what stands between its words.
+    Rows keep all their columns. In "spans" a hit run of words goes together with what stands between its words. A
+    benchmark beyond max_windows is dealt with by ids in "documents" (rows with a null id stay then), and refused in "spans".
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode: {mode}")
     table = benchmark_windows(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("size", WINDOW))
     if table.count() > options.get("max_windows", MAX_WINDOWS):
-        raise ValueError("remove() holds one part of the benchmark; deal larger ones into calls of at most max_windows windows")
+        if mode == "spans":
+            raise ValueError("spans are cut from one part of the benchmark; deal larger ones into calls of at most max_windows windows")
+        hit = find(documents.filter(F.col(id_col).isNotNull()), benchmark, id_col=id_col, text_col=text_col, **options).filter("size(hits) > 0").select(id_col).distinct()
+        return documents.join(small(hit, 500_000), id_col, "left_anti").select(*documents.columns)
     held = session_broadcast(documents, WindowSet(table.collect()))
     names, at = documents.columns, documents.columns.index(text_col)
 

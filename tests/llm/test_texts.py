@@ -85,6 +85,14 @@ def test_decontamination(spark, corpus, docs, max_windows):
         assert not any(v[1] for v in brute_hits(list(texts.items()), items[:1], 10).values())
 
 
+def test_large_benchmarks_are_dealt_into_parts(spark, corpus, docs):
+    items = spark.createDataFrame([(1, corpus[8][1]), (2, corpus[14][1])], "item_id long, text string")
+    whole = {r.doc_id for r in decontaminate.remove(docs, items).collect()}
+    assert {r.doc_id for r in decontaminate.remove(docs, items, max_windows=20).collect()} == whole
+    with pytest.raises(ValueError):
+        decontaminate.remove(docs, items, mode="spans", max_windows=20)
+
+
 def test_decontamination_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(docs, none).filter("size(items) > 0").count() == 0
