@@ -19,12 +19,13 @@ CHAINS = (2, 3, 5, 10, 20)
 def combine_minutes(steps: DataFrame, heart: DataFrame) -> DataFrame:
     """(userid, time, value_steps, value_hr) per minute from samples (userid, time, value): steps as they are, heart rate
     as the minute's mean. A minute that one side lacks has a null there; if a whole side is empty it is 0 instead."""
-    minute = F.date_trunc("minute", "time")
-    s = steps.distinct().select("userid", minute.alias("time"), F.col("value").cast("double").alias("value_steps"))
-    h = heart.distinct().groupBy("userid", minute.alias("time")).agg(F.avg("value").alias("value_hr"))
-    out = s.join(h, ["userid", "time"], "full")
-    whole = out.agg(F.count("value_steps").alias("__s"), F.count("value_hr").alias("__h"))
-    out = out.join(F.broadcast(whole))  # one row
+    # One exchange for each side, by user and minute: it serves the distinct, the mean and the join.
+    keyed = lambda df: df.select("userid", F.date_trunc("minute", "time").alias("minute"), "time", "value").repartition("userid", "minute").distinct()
+    s = keyed(steps).select("userid", "minute", F.col("value").cast("double").alias("value_steps"))
+    h = keyed(heart).groupBy("userid", "minute").agg(F.avg("value").alias("value_hr"))
+    out = s.join(h, ["userid", "minute"], "full").withColumnRenamed("minute", "time")
+    some = lambda df, name: df.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias(name))
+    out = out.join(F.broadcast(some(steps, "__s"))).join(F.broadcast(some(heart, "__h")))  # one row each
     fill = lambda c, n: F.when(F.col(n) == 0, F.lit(0.0)).otherwise(F.col(c)).alias(c)
     return out.select("userid", "time", fill("value_steps", "__s"), fill("value_hr", "__h"))
 
@@ -62,10 +63,10 @@ def with_hours(minutes: DataFrame) -> DataFrame:
 def daily_features(minutes: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The wide daily row of minutes (userid, time, value_steps, value_hr); thresholds: (userid, date, thresh14,
     thresh14_low, thresh14_high), of which the row of the nearest date counts."""
-    days = minutes.select("userid", F.to_date("time").alias("date")).distinct()
-    near = nearest_date(days, thresholds, "userid", "date", "date", ["thresh14", "thresh14_low", "thresh14_high"])
+    m = minutes.withColumn("date", F.to_date("time")).withColumn("hour", F.hour("time")).repartition(*KEYS)
+    near = nearest_date(m.select(*KEYS).distinct(), thresholds, "userid", "date", "date", ["thresh14", "thresh14_low", "thresh14_high"])
     near = near.select(*KEYS, F.col("thresh14").alias("thresh"), F.col("thresh14_low").alias("thresh_low"), F.col("thresh14_high").alias("thresh_high"))
-    m = minutes.withColumn("date", F.to_date("time")).withColumn("hour", F.hour("time")).join(near, list(KEYS), "left").repartition(*KEYS)
+    m = m.join(near, list(KEYS), "left")
     order = ["time"]
     steps, hr = F.col("value_steps"), F.col("value_hr")
     m = with_hours(m)
