@@ -49,7 +49,9 @@ def domain_of(toxic: str = "toxic", quality: str = "quality") -> Column:
 
 def learn(labelled: DataFrame, domains: int, *, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, smoothing: float = 0.5) -> tuple[DataFrame, list[float]]:
     """(word, w0, w1, ...) with log-probabilities, and the log-priors, from labelled (id, text, domain)."""
-    sample = labelled.filter("domain is not null").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_labelled)
+    known = labelled.filter("domain is not null").withColumn("draw", F.xxhash64(F.col("id").cast("string")))
+    last = known.select("draw").orderBy("draw").limit(max_labelled).agg(F.max("draw")).first()[0]  # of draws alone: no texts are gathered
+    sample = known.filter(F.col("draw") <= F.lit(last))
     marks = [F.coalesce(F.sum((F.col("domain") == k).cast("long")), F.lit(0)).alias(f"c{k}") for k in range(domains)]
     sample = cut(sample.select("text", "domain"))
     rows = sample.agg(*marks).first()
