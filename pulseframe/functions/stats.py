@@ -26,4 +26,5 @@ def variation(value: Column, keep: Column | None = None) -> Column:
 
 
 def proportional_difference(big: Column, small: Column) -> Column:
-    return F.abs(big - small) / small * 100
+    """Null where `small` is 0."""
+    return F.abs(big - small) / F.nullif(small, F.lit(0)) * 100

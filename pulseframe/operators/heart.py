@@ -50,11 +50,13 @@ def drop_repeats(df: DataFrame, keys: Sequence[str] = DAY, longest: int = 10) ->
 
 def drop_jump_islands(df: DataFrame, keys: Sequence[str] = DAY, percent: float = 15.0, rows_at_most: int = 5, below: float = 100.0, seconds: float = 30.0) -> DataFrame:
     """Islands of few rows between two jumps of at least `percent`, if the island's first value is below `below` and came
-    less than `seconds` after the row before the island. A jump k stands between rows k and k + 1."""
+    less than `seconds` after the row before the island. A jump k stands between rows k and k + 1; any
+    change from 0 is one."""
     w = Window.partitionBy(*keys).orderBy("__i")
     rows = _numbered(df, keys)
     rows = rows.withColumn("__next", F.lead("value").over(w)).withColumn("__step", F.unix_micros(F.lead("time").over(w)) - F.unix_micros("time"))
-    jump = F.abs(F.col("__next") - F.col("value")) * 100 / F.col("value") >= percent
+    change = F.abs(F.col("__next") - F.col("value"))
+    jump = (change * 100 / F.nullif(F.col("value"), F.lit(0.0)) >= percent) | (F.col("value") == 0) & (change > 0)
     rows = rows.withColumn("__jump", F.when(jump, F.struct(F.col("__i").alias("k"), F.col("__next").alias("v"), F.col("__step").alias("t"))))
     a = F.last("__jump", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     b = F.first(F.col("__jump.k"), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))

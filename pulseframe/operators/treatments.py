@@ -117,11 +117,12 @@ def prescriptions(devices: DataFrame) -> DataFrame:
 
 
 def adherence(features: DataFrame, devices: DataFrame, extra: bool = False) -> DataFrame:
-    """Per treatment, what was done against what was prescribed. A patient with several devices gets a row for each."""
+    """Per treatment, what was done against what was prescribed (null where that is 0). A patient with several devices gets
+    a row for each."""
     key = ["patient_id", "treatment_id", "act_date", "pressures_completeness_score"]
     presc = prescriptions(devices).select("patient_id", *DEFAULTS)
     out = day_and_week(features).join(presc, "patient_id")
-    sets, breaths, day = F.col("prescr_n_sets"), F.col("prescr_n_breaths"), F.col("prescr_treatments_day")
+    sets, breaths, day = (F.nullif(F.col(c), F.lit(0.0)) for c in ("prescr_n_sets", "prescr_n_breaths", "prescr_treatments_day"))
     scores = {
         "treatment_day_adherence_score": F.col("treatment_count_day") / day,
         "breaths_day_adherence_score": F.col("breaths_count_day") / day / sets / breaths,

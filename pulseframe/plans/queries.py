@@ -229,7 +229,7 @@ def rep_runs(spark, sf):
 
 
 @query("jump_islands", f"""SELECT event_id FROM (SELECT *, last_value(jump IGNORE NULLS) OVER (PARTITION BY userid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(jump.k IGNORE NULLS) OVER (PARTITION BY userid ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM (
-SELECT *, CASE WHEN abs(nx - value) * 100 / value >= 15 THEN {{'k': i, 'v': nx, 't': st}} END AS jump FROM (SELECT *, lead(value) OVER (PARTITION BY userid ORDER BY i) AS nx, epoch_us(lead(time) OVER (PARTITION BY userid ORDER BY i)) - epoch_us(time) AS st FROM {_numbered("value")})))
+SELECT *, CASE WHEN (value > 0 AND abs(nx - value) * 100 / value >= 15) OR (value = 0 AND nx <> 0) THEN {{'k': i, 'v': nx, 't': st}} END AS jump FROM (SELECT *, lead(value) OVER (PARTITION BY userid ORDER BY i) AS nx, epoch_us(lead(time) OVER (PARTITION BY userid ORDER BY i)) - epoch_us(time) AS st FROM {_numbered("value")})))
 WHERE NOT coalesce(b - a.k <= 5 AND a.v < 100 AND a.t < 40000000000, false)""")
 def jump_islands(spark, sf):
     return heart.drop_jump_islands(_rule("value")(spark, sf), ["userid"], seconds=40000.0).select("event_id")

@@ -138,6 +138,12 @@ def test_cleaning_rules_match_loops(spark, seed):
     assert set(kept(heart.drop_gap_islands(df, rows_at_most=6))) == everything - loop_gaps(t, most=6)
 
 
+def test_zero_values_do_not_divide(spark):
+    df = frame(spark, [0, 0, 90, 0, 90, 0], [0, 5, 10, 15, 20, 25])
+    assert kept(heart.drop_jump_islands(df)) == [0, 1, 5]
+    assert spark.range(1).select(proportional_difference(F.lit(6), F.lit(0)).alias("p")).first().p is None
+
+
 def test_cleaning_short_and_empty_days(spark):
     for values in ([], [70], [70, 70], [50, 60, 50]):
         assert set(kept(heart.clean(frame(spark, values)))) <= set(range(len(values)))
