@@ -25,7 +25,7 @@ def distinct_ids(df: DataFrame, column: str) -> DataFrame:
 
 def with_games(features: DataFrame, games: DataFrame, link: DataFrame) -> DataFrame:
     """Adds games (1 on days on which the patient played, else 0) and games_played (their names in order, or "0")."""
-    ids = link.select(F.col("fizzyo_hub_id").alias("userid"), F.col("patient_record_id").alias("patient_id"))
+    ids = link.select(F.col("hub_id").alias("userid"), F.col("patient_record_id").alias("patient_id"))
     played = games.join(ids, "userid").groupBy("patient_id", F.col("date").alias("act_date")).agg(F.array_join(F.sort_array(F.collect_set("display_name")), ",").alias("games_played"))
     out = features.join(played, ["patient_id", "act_date"], "left")
     return out.withColumn("games", F.col("games_played").isNotNull().cast("double")).withColumn("games_played", F.coalesce("games_played", F.lit("0")))

@@ -51,7 +51,7 @@ def raw_pressure_report(raw: DataFrame, link: DataFrame) -> DataFrame:
     return values.join(F.broadcast(known(raw, "patient_record_id", link, "patient_record_id")))  # one row each
 
 
-def dates_report(samples: DataFrame, link: DataFrame, as_of: str, key: str = "userid", link_key: str = "fizzyo_hub_id", shift_hours: int = 1) -> DataFrame:
+def dates_report(samples: DataFrame, link: DataFrame, as_of: str, key: str = "userid", link_key: str = "hub_id", shift_hours: int = 1) -> DataFrame:
     """One row: no time after `as_of` and none before the person's recruitment; times are shifted for summer time."""
     people = link.select(F.col(link_key).alias(key), "date_recruited")
     day = F.to_date(F.col("time") + F.expr(f"interval {shift_hours} hours"))
@@ -67,7 +67,7 @@ def samples_report(samples: DataFrame, link: DataFrame, as_of: str, kind: str) -
     wrong = [types.get("userid") != "string", types.get("time") != "timestamp", types.get("value") not in ("double", "int", "bigint", "float")]
     values = samples.agg(complete(samples).alias("complete"), finite("value").alias("finite"), in_range("value", low, high).alias("in_range"))
     values = values.withColumns({"column_names": F.lit({"userid", "time", "value"} <= set(samples.columns)), "column_types": F.lit(not all(wrong)), "column_number": F.lit(len(samples.columns) == 3)})
-    return values.join(F.broadcast(dates_report(samples, link, as_of))).join(F.broadcast(known(samples, "userid", link, "fizzyo_hub_id")))  # one row each
+    return values.join(F.broadcast(dates_report(samples, link, as_of))).join(F.broadcast(known(samples, "userid", link, "hub_id")))  # one row each
 
 
 def demand(report: DataFrame) -> None:

@@ -272,6 +272,23 @@ def daily_features(spark, sf):
     return daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf))
 
 
+_MINUTES = f"""(SELECT userid, time, CAST(time AS DATE) AS date, s, h FROM (SELECT DISTINCT userid, date_trunc('minute', time) AS time, value AS s, time AS t FROM {S} WHERE {STEP})
+FULL JOIN (SELECT userid, date_trunc('minute', time) AS time, avg(value) AS h FROM (SELECT DISTINCT userid, time, value FROM {S} WHERE NOT {STEP}) GROUP BY ALL) USING (userid, time))"""
+_NEAREST = f"""(SELECT * FROM (SELECT d.userid, d.date, t.thresh, t.low, row_number() OVER (PARTITION BY d.userid, d.date ORDER BY abs(date_diff('day', t.date, d.date)), t.date) AS r FROM (SELECT DISTINCT userid, date FROM {S}) d
+LEFT JOIN (SELECT userid, CAST(date_trunc('week', time) AS DATE) AS date, avg(value) AS thresh, min(value) AS low FROM {S} GROUP BY ALL) t ON d.userid = t.userid) WHERE r = 1)"""
+
+
+@query("daily_mvpa", f"""SELECT userid, date, count(CASE WHEN mvpa THEN 1 END) AS mvpa_15_prev_method, count(CASE WHEN mvpa AND hour(time) BETWEEN 8 AND 21 THEN 1 END) AS mvpa_15_prev_method_ap_8_21, count(CASE WHEN up THEN 1 END) AS switch_thresh, count(CASE WHEN up_low THEN 1 END) AS switch_thresh_low,
+count(CASE WHEN mvpa AND s > 70 THEN 1 END) AS active_mins_hr_steps_thresh, count(CASE WHEN coalesce(s, 0) >= 70 THEN 1 END) AS active_mins_steps_0, round(any_value(thresh), 6) AS thresh, round(avg(CASE WHEN mvpa THEN s END), 6) AS step_norm_thresh_mvpa, round(avg(CASE WHEN h <= thresh THEN s END), 6) AS step_sedentary_thresh_mvpa,
+count(h) AS mins_wear_total, round(coalesce(CASE WHEN count(h) <> 0 THEN coalesce(sum(s), 0) / count(h) END, 0), 6) AS step_count_norm FROM (
+SELECT *, coalesce(h > thresh, false) AND coalesce(max(s) OVER (PARTITION BY userid, date ORDER BY epoch_us(time) // 1000000 RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) > 0, false) AS mvpa,
+lag(coalesce(h, 0)) OVER w < thresh AND thresh < coalesce(h, 0) AS up, lag(coalesce(h, 0)) OVER w < low AND low < coalesce(h, 0) AS up_low FROM {_MINUTES} JOIN {_NEAREST} USING (userid, date) WINDOW w AS (PARTITION BY userid, date ORDER BY time)) GROUP BY userid, date""", dates=("date",))
+def daily_mvpa(spark, sf):
+    out = daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf))
+    whole = ["mvpa_15_prev_method", "mvpa_15_prev_method_ap_8_21", "switch_thresh", "switch_thresh_low", "active_mins_hr_steps_thresh", "active_mins_steps_0", "mins_wear_total"]
+    return out.select("userid", "date", *(F.col(c).cast("long").alias(c) for c in whole), *(r6(c).alias(c) for c in ("thresh", "step_norm_thresh_mvpa", "step_sedentary_thresh_mvpa", "step_count_norm")))
+
+
 @query("worth_featurising", f"SELECT userid, date FROM (SELECT userid, date FROM {S} WHERE {STEP} GROUP BY ALL HAVING count(*) > 1) JOIN (SELECT userid, date FROM {S} WHERE NOT {STEP} GROUP BY ALL HAVING count(*) > 1 AND min(value) > 0) USING (userid, date)", dates=("date",))
 def worth_featurising(spark, sf):
     return daily.worth_featurising(_steps(spark, sf), _heart(spark, sf))
@@ -386,7 +403,7 @@ def link(spark, sf):
     k, base = F.col("c_custkey"), F.to_date(F.lit("2023-11-01"))
     day = lambda every, offset: F.when(k % every > 0, F.date_add(base, (k % 97 + offset).cast("int")))
     return c.select(
-        k.cast("double").alias("study_email"), k.cast("string").alias("patient_record_id"), k.cast("string").alias("fizzyo_hub_id"), F.date_add(base, (k % 60).cast("int")).alias("date_recruited"), (k % 11 + 6).cast("int").alias("age_recruited"),
+        k.cast("double").alias("study_email"), k.cast("string").alias("patient_record_id"), k.cast("string").alias("hub_id"), F.date_add(base, (k % 60).cast("int")).alias("date_recruited"), (k % 11 + 6).cast("int").alias("age_recruited"),
         day(3, 40).alias("date_feedback_start"), day(4, 60).alias("date_gaming_start"), day(5, 90).alias("date_gaming_ended"), day(6, 120).alias("date_feedback_end"), F.when(k % 8 == 0, F.date_add(base, (k % 70 + 50).cast("int"))).alias("date_withdrawn"),
     )
 
@@ -419,7 +436,7 @@ def games_join(spark, sf):
 @query("demographics", f"SELECT userid, date, round(age + date_diff('day', rec, date) / 7 / 52.25::DOUBLE, 2) AS decimal_age, date_diff('day', rec, date)::DOUBLE AS day_in_study, dayname(date) AS day_of_week, month(date)::DOUBLE AS month, (month(date) % 12 // 3 + 1)::DOUBLE AS season, c_mktsegment AS gender FROM (SELECT DISTINCT userid, date FROM {S}) JOIN {_LINK} ON id = userid JOIN customer ON c_custkey = study_email", dates=("date",))
 def demographics(spark, sf):
     sex = table(spark, sf, "customer").select(F.col("c_custkey").alias("study_email"), F.col("c_mktsegment").alias("gender"))
-    out = enrich.with_demographics(user_days(spark, sf).select("userid", "date"), link(spark, sf), sex, "userid", "fizzyo_hub_id", "date")
+    out = enrich.with_demographics(user_days(spark, sf).select("userid", "date"), link(spark, sf), sex, "userid", "hub_id", "date")
     return out.select("userid", "date", "decimal_age", "day_in_study", "day_of_week", "month", "season", "gender")
 
 

@@ -88,7 +88,7 @@ def clean_days(samples: DataFrame) -> DataFrame:
 
 def featurise_days(steps: DataFrame, clean: DataFrame, thresholds: DataFrame, link: DataFrame) -> DataFrame:
     """Daily features of the days after recruitment that are worth it."""
-    people = link.select(F.col("fizzyo_hub_id").alias("userid"), "date_recruited")
+    people = link.select(F.col("hub_id").alias("userid"), "date_recruited")
     days = daily.worth_featurising(steps, clean).join(people, "userid").filter("date >= date_recruited").select("userid", "date")
     keep = lambda df: df.withColumn("date", F.to_date("time")).join(days, ["userid", "date"], "left_semi").drop("date")
     return daily.daily_features(daily.combine_minutes(keep(steps), keep(clean)), thresholds)
@@ -101,7 +101,7 @@ def enrich_treatments(features: DataFrame, games: DataFrame, link: DataFrame, se
 
 
 def enrich_days(features: DataFrame, link: DataFrame, sex: DataFrame) -> DataFrame:
-    out = enrich.with_demographics(features, link, sex, "userid", "fizzyo_hub_id", "date")
+    out = enrich.with_demographics(features, link, sex, "userid", "hub_id", "date")
     return enrich.flag_outliers(enrich.with_week_score(out), ["mvpa_15_prev_method"])
 
 

@@ -28,7 +28,7 @@ TREATMENTS = table(_FEATURES)
 _PERSON = "study_email age_recruited date_recruited:y gender:s decimal_age day_in_study day_of_week:s"
 ENRICHED_TREATMENTS = table(f"{_FEATURES} games games_played:s phase:s {_PERSON} month day_treatment tr_start_time:t season breath_count_is_out:b")
 DEVICES = table("study_email acapella:i aerobika:i pep_mask:i pari_pep:i other:i if_other_please_state:s number_of_sets:i breaths_per_set:i if_other_please_state__1:s treatments_per_day:i if_other_please_state__2:s tags:s id:i id1:i patientId:s")
-LINK = table("gos_id:s study_email study_uid date_recruited:y age_recruited:i fizzyo_hub_id:s patient_record_id:s date_feedback_start:y date_gaming_start:y date_feedback_end:y date_gaming_ended:y date_withdrawn:y date_midpoint_test:y")
+LINK = table("gos_id:s study_email study_uid date_recruited:y age_recruited:i hub_id:s patient_record_id:s date_feedback_start:y date_gaming_start:y date_feedback_end:y date_gaming_ended:y date_withdrawn:y date_midpoint_test:y")
 HEART = table("userid:s time:t value")
 _DAILY = " ".join(f"{c}:{ {'userid': 's', 'date': 'y', 'start_window': 't', 'end_window': 't'}.get(c, 'd')}" for c in DAILY_COLUMNS)
 DAILY = table(_DAILY)
