@@ -14,9 +14,10 @@ moves few words a lot). A logistic curve turns them into a probability.
 
 Training rows are split by a hash: four fifths feed the counts, one fifth (at most `max_calibration` of them, taken by
 the order of their hash) fits the curve and chooses the order (words alone, or bigrams) and discount of least loss. The
-counts cover all labelled rows. What is broadcast is bounded: the `max_words` most frequent words (all others are one
-unknown word) and the most frequent bigrams, as many as stay within `max_bigrams`; the mass of every other bigram goes
-to the back-off weight of its history.
+counts are distributed tables of all words and bigrams of the rows that feed them, with no bound. What decides the order
+is the part of them that the calibration texts use. For scoring, the `max_words` most frequent words and `max_bigrams`
+most frequent bigrams (of those that differ from their back-off) are sent to all tasks; if there are more, the words of
+the texts that these decide are joined to the whole tables, with the same scores.
 
 Defined cases: a null or empty text has no words and scores with differences of 0; rows with a null label or id do not
 train; several labels of one document count as toxic if one is; without rows of both classes every score is the share of
@@ -25,6 +26,7 @@ toxic labels (0 without labels). Repeated rows are scored one by one; extra colu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spark import cut, small, small_batches
-from .textscan import ALNUM, LOWER, Words, byte_hashes, chunks, ids_of
+from .spark import shared_dir, small, small_batches
+from .textscan import ALNUM, LOWER, Words, byte_hashes, chunks, ids_of, mix
 
 MAX_WORDS = 1 << 17
 MAX_BIGRAMS = 1 << 19
@@ -42,6 +44,10 @@ DISCOUNT = 0.75
 EXCESS = (1.0, 2.5)
 DISCOUNTS = (1.0, 8.0, 32.0, 128.0, 512.0)
 CLASSES = ("c0", "c1")
+#: In place of a word: the history of a text's first word, and of the rows that count texts by word.
+START, TEXTS = 1, 2
+SLOTS = 1 << 25
+_SUMS = tuple(f"s{j}" for j in range(1 + len(EXCESS)))
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -50,41 +56,124 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     return words, byte_hashes(data).of(words.start, words.end).view(np.int64)
 
 
-def _counted(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    both = np.bincount(at * 2 + toxic, minlength=2 * len(keys)).reshape(-1, 2)
-    return keys, both[:, 0], both[:, 1]
+def _histories(words: Words, hashes: np.ndarray) -> np.ndarray:
+    h = np.empty_like(hashes)
+    h[1:] = hashes[:-1]
+    h[words.first[:-1][words.count > 0]] = START
+    return h
 
 
-def _table(name: str, keys: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c0, pa.int64()), pa.array(c1, pa.int64())], names=[name, "c0", "c1"])
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one of each distinct pair, and which of these each pair is."""
+    return np.unique(mix(mix(a.view(np.uint64)) + b.view(np.uint64)), return_index=True, return_inverse=True)[1:]
+
+
+def _counted(h: np.ndarray, w: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+    one, at = _distinct(h, w)
+    both = np.bincount(at * 2 + toxic, minlength=2 * len(one)).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(w[one]), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["h", "w", *CLASSES])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (text, toxic): (history, word, count in each class), and with TEXTS as history the texts that have the word."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, stop, data, offsets in chunks(batch.column(0)):
+            words, w = _tokens(data, offsets)
+            if len(w):
+                own = words.row()
+                yield _counted(_histories(words, w), w, toxic[row:stop][own])
+                one, _ = _distinct(own, w)
+                yield _counted(np.full(len(one), TEXTS), w[one], toxic[row:stop][own[one]])
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """(h, w, c0, c1) of all words and bigrams of (text, toxic): a distributed table, whatever its size."""
+    return rows.select("text", "toxic").mapInArrow(_count, "h long, w long, c0 long, c1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in CLASSES))
+
+
+def _stored(df: DataFrame, *order: str) -> DataFrame:
+    """df computed once, in the shared folder; columns of sorted keys and small counts take a fraction of a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+    df.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _slots(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (((h.view(np.uint64) >> np.uint64(7)).view(np.int64)) ^ w) & (SLOTS - 1)
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """SLOTS bits, those set that the keys (h, w) fall on: loses no key and lets few others pass."""
+    slot = (F.shiftrightunsigned("h", 7).bitwiseXOR(F.col("w"))).bitwiseAND(F.lit(SLOTS - 1)).alias("s")
+    found = keys.select(slot).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, dtype=np.int64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return bits
+
+
+def _within(bits: np.ndarray | None, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(w), dtype=bool)
+    s = _slots(h, w)
+    return (bits[s >> 6] >> (s & 63)) & 1 == 1
 
 
 class Model:
-    """Difference of log-probabilities (toxic less ordinary) of words, histories and kept bigrams; the curve."""
+    """Difference of log-probabilities (toxic less ordinary) of words, histories and bigrams; the curve.
+
+    What is held here is sent to all tasks. `tail` has the whole tables if they have more: words (w, word, history) and
+    bigrams (h, w, value); `more_words` and `more_bigrams` then have the bits of what is not held.
+    """
 
     def __init__(self, words: np.ndarray, word: np.ndarray, history: np.ndarray, bigrams: np.ndarray, bigram: np.ndarray):
+        """words: sorted. word and history have two more places, for unknown words and for the start of a text."""
         self.words, self.word, self.history, self.bigrams, self.bigram = words, word, history, bigrams, bigram
         self.curve = np.append(np.ones(1 + len(EXCESS)), 0.0)
+        self.tail: tuple[DataFrame, DataFrame] | None = None
+        self.more_words: np.ndarray | None = None
+        self.more_bigrams: np.ndarray | None = None
 
-    def differences(self, words: Words, w: np.ndarray) -> np.ndarray:
-        """Per row, over its words (positions in the vocabulary): mean difference, and means of what exceeds EXCESS."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tail": None}
+
+    def values(self, words: Words, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word (w: positions in the vocabulary): the difference, its history's position, and whether a bigram was met."""
         unknown = len(self.words)
         h = np.empty_like(w)
         h[1:] = w[:-1]
         h[words.first[:-1][words.count > 0]] = unknown + 1
         value = self.history[h] + self.word[w]
+        met = np.zeros(len(w), dtype=bool)
         if len(self.bigrams):
             key = h * (unknown + 2) + w
             at = np.searchsorted(self.bigrams, key)
             at[at == len(self.bigrams)] = 0
-            value = np.where(self.bigrams[at] == key, self.bigram[at], value)
+            met = self.bigrams[at] == key
+            value = np.where(met, self.bigram[at], value)
+        return value, h, met
+
+    def open(self, words: Words, hashes: np.ndarray, w: np.ndarray, h: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words' differences depend on the tail, and whether through the history's value and the word's."""
+        before = _histories(words, hashes)
+        texts = np.full(len(w), TEXTS)
+        word = (w == len(self.words)) & _within(self.more_words, texts, hashes)
+        history = (h == len(self.words)) & _within(self.more_words, texts, before)
+        return word | history | ~met & _within(self.more_bigrams, before, hashes), history, word
+
+    @staticmethod
+    def sums(words: Words, value: np.ndarray) -> np.ndarray:
+        """Per row: the sum of the differences, and of what exceeds each of EXCESS."""
         out = []
         for x in (value, *(np.maximum(value - e, 0) for e in EXCESS)):
             sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-            out.append((sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(words.count, 1))
+            out.append(sums[words.first[1:]] - sums[words.first[:-1]])
         return np.stack(out)
 
+    def differences(self, words: Words, w: np.ndarray) -> np.ndarray:
+        """Per row, over its words: mean difference, and means of what exceeds EXCESS."""
+        return self.sums(words, self.values(words, w)[0]) / np.maximum(words.count, 1)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -60, 60)))
 
@@ -109,92 +198,186 @@ def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sp
     """A model from labelled rows, or the share of toxic labels if a class is missing."""
     rows = rows.select(F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.xxhash64(F.col(split_col).cast("string"), F.lit(7)).alias("draw")).filter("toxic is not null")
     train, held = rows.filter("pmod(draw, 5) <> 0"), rows.filter("pmod(draw, 5) = 0")
-    spark = rows.sparkSession
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, stop, data, offsets in chunks(batch.column(0)):
-                w, hashes = _tokens(data, offsets)
-                pairs = np.unique(np.stack([w.row(), hashes]), axis=1) if len(hashes) else np.zeros((2, 0), np.int64)
-                yield _table("word", *_counted(pairs[1], toxic[row:stop][pairs[0]]))
-
-    counted = cut(train.select("text", "toxic").mapInArrow(words, "word long, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    frequent = counted.orderBy(F.desc(F.col("c0") + F.col("c1")), "word").limit(max_words).toArrow().to_pandas().sort_values("word")
-    mass = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES)).first()
-    vocabulary = frequent["word"].to_numpy()
-    size = len(vocabulary)
-    held_words = spark.sparkContext.broadcast(vocabulary)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, stop, data, offsets in chunks(batch.column(0)):
-                words, hashes = _tokens(data, offsets)
-                w = ids_of(hashes, held_words.value, size)
-                h = np.empty_like(w)
-                h[1:] = w[:-1]
-                h[words.first[:-1][words.count > 0]] = size + 1
-                yield _table("pair", *_counted(h * (size + 2) + w, toxic[row:stop][words.row()]))
-
-    pairs = train.select("text", "toxic").mapInArrow(bigrams, "pair long, c0 long, c1 long").groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    pairs = cut(pairs)
-    sizes = pairs.groupBy((F.col("c0") + F.col("c1")).alias("n")).agg(F.count("*").alias("k")).filter("n > 1").orderBy(F.desc("n")).toArrow()
-    total, least = 0, 1 << 62
-    for n, k in zip(sizes.column("n").to_pylist(), sizes.column("k").to_pylist(), strict=True):
-        if total + k > max_bigrams:
-            break
-        total, least = total + k, n
-    kept = F.col("c0") + F.col("c1") >= least
-    left = pairs.groupBy((F.col("pair") % (size + 2)).alias("w")).agg(F.count("*").alias("n")).toArrow().to_pandas()
-    n = np.zeros(size + 2)
-    n[left["w"]] = left["n"]
-    own = {c: np.append(frequent[c].to_numpy(dtype=float), [mass[c] - frequent[c].sum(), 0.0]) for c in CLASSES}
-    if not all(x.sum() for x in own.values()):
-        return float(own["c1"].sum() > 0)
-    share = {c: own[c].sum() / sum(x.sum() for x in own.values()) for c in CLASSES}
-    free = lambda c, d: F.sum(F.when(kept, F.least(F.col(c), F.lit(d * share[c]))).otherwise(F.col(c)))
-    given = pairs.groupBy(F.expr(f"pair div {size + 2}").alias("h")).agg(*(F.sum(c).alias(c) for c in CLASSES), *(free(c, d).alias(f"{c}_{k}") for c in CLASSES for k, d in enumerate(discounts))).toArrow().to_pandas()
-    top = pairs.filter(kept).toArrow().to_pandas().sort_values("pair")
-
-    models = []
-    for k, d in enumerate(discounts):
-        shared = np.maximum(n - DISCOUNT, 0) / n.sum() + DISCOUNT * (n > 0).sum() / n.sum() / (size + 1)
-        word = [np.maximum(own[c] - d * share[c], 0) / own[c].sum() + np.minimum(own[c], d * share[c]).sum() / own[c].sum() * shared for c in CLASSES]
-        back, grams = [], []
-        h, w = top["pair"].to_numpy() // (size + 2), top["pair"].to_numpy() % (size + 2)
-        for c, p in zip(CLASSES, word, strict=True):
-            seen = given[given[c] > 0]
-            total, rest = np.zeros(size + 2), np.ones(size + 2)
-            total[seen["h"]], rest[seen["h"]] = seen[c], seen[f"{c}_{k}"] / seen[c]
-            back.append(rest)
-            grams.append(np.maximum(top[c].to_numpy() - d * share[c], 0) / np.maximum(total[h], 1) + rest[h] * p[w])
-        models += [Model(vocabulary, _ratio(word), np.zeros(size + 2, np.float32), top["pair"].to_numpy()[:0], _ratio(grams)[:0]), Model(vocabulary, _ratio(word), _ratio(back), top["pair"].to_numpy(), _ratio(grams))]
-
+    tables = Tables(_stored(counts(train), "h", "w"), discounts)
+    if not tables.both:
+        return tables.share["c1"]
     last = held.select("draw").orderBy("draw").limit(max_calibration).agg(F.max("draw")).first()[0]  # of draws alone: no texts are gathered
     sample = held.filter(F.col("draw") <= F.lit(last)).select("text", "toxic")
+    models = tables.over(_stored(counts(sample).select("h", "w"), "h", "w"))
     seen = score_differences(sample, models).toArrow()
     y = seen.column("toxic").to_numpy().astype(float)
     if len(set(y)) < 2:
-        return models[0]
+        return tables.model(0, False, max_words, max_bigrams)
     best = None
     for k, model in enumerate(models):
         x = np.column_stack([seen.column(f"difference_{k}_{j}").to_numpy() for j in range(1 + len(EXCESS))])
         model.curve = _fit_curve(x, y)
         p = np.clip(model.probability(x), 1e-12, 1 - 1e-12)
         loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-        model.loss = loss
         if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
+            best = loss, k, model.curve
+    loss, k, curve = best
+    model = tables.model(k // 2, k % 2 == 1, max_words, max_bigrams)
+    model.curve, model.loss = curve, loss
+    return model
+
+
+class Tables:
+    """What the models need of counts (h, w, c0, c1), as distributed tables: bigrams, and a row for each word or history."""
+
+    def __init__(self, counted: DataFrame, discounts: tuple[float, ...]):
+        self.discounts, text = discounts, F.col("h") == TEXTS
+        self.pairs = counted.filter(~text)
+        sums = counted.agg(*(F.coalesce(F.sum(F.when(text, F.col(c))), F.lit(0)).alias(c) for c in CLASSES), F.count(F.when(text, 1)).alias("size"), F.count(F.when(~text, 1)).alias("kinds")).first()
+        self.mass, self.size, self.kinds = {c: float(sums[c]) for c in CLASSES}, sums["size"], sums["kinds"]
+        self.both = all(self.mass.values())
+        self.share = {c: self.mass[c] / max(1.0, sum(self.mass.values())) for c in CLASSES}
+        if self.both:
+            words = counted.groupBy("w").agg(*(F.coalesce(F.sum(F.when(text, F.col(c))), F.lit(0)).alias(f"own_{c}") for c in CLASSES), F.count(F.when(~text, 1)).alias("n"))
+            free = (F.sum(F.least(F.col(c).cast("double"), F.lit(d * self.share[c]))).alias(f"{c}_{k}") for c in CLASSES for k, d in enumerate(discounts))
+            given = self.pairs.groupBy(F.col("h").alias("w")).agg(*(F.sum(c).alias(c) for c in CLASSES), *free)
+            self.words = _stored(words.join(given, "w", "full").na.fill(0), "w")
+            names = {(c, k): f"free_{c}_{k}" for c in CLASSES for k in range(len(discounts))}
+            row = self.words.agg(*(F.sum(F.least(F.col(f"own_{c}").cast("double"), F.lit(discounts[k] * self.share[c]))).alias(x) for (c, k), x in names.items())).first()
+            self.free = {ck: row[x] / self.mass[ck[0]] for ck, x in names.items()}
+
+    def _word(self, own: dict, n, most) -> list:
+        """Per discount: the words' probabilities in each class. Over arrays or columns, by the given maximum."""
+        shared = most(n - DISCOUNT, 0.0) / self.kinds + DISCOUNT * self.size / self.kinds / (self.size + 1)
+        return [[most(own[c] - d * self.share[c], 0.0) / self.mass[c] + self.free[c, k] * shared for c in CLASSES] for k, d in enumerate(self.discounts)]
+
+    def over(self, wanted: DataFrame) -> list[Model]:
+        """For each discount a model of words and one of bigrams, as far as the words and bigrams of a sample need it."""
+        names = wanted.select("w").distinct().unionByName(wanted.sparkSession.createDataFrame([(START,)], "w long"))
+        words = self.words.join(names, "w", "left_semi").toArrow().to_pandas().sort_values("w")
+        bits = wanted.sparkSession.sparkContext.broadcast(_bits(wanted))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_within(bits.value, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+
+        pairs = self.pairs.select("h", "w", *CLASSES).mapInArrow(near, "h long, w long, c0 long, c1 long").join(wanted, ["h", "w"], "left_semi").toArrow().to_pandas()
+        start, words = words[words["w"] == START], words[words["w"] != START]
+        size, vocabulary = len(words), words["w"].to_numpy()
+        column = lambda c: np.concatenate([words[c].to_numpy(dtype=float), [0.0], start[c].to_numpy(dtype=float) if len(start) else [0.0]])
+        word = self._word({c: column(f"own_{c}") for c in CLASSES}, column("n"), np.maximum)
+        h, w = np.where(pairs["h"] == START, size + 1, ids_of(pairs["h"].to_numpy(), vocabulary, size)), ids_of(pairs["w"].to_numpy(), vocabulary, size)
+        key = h * (size + 2) + w
+        order = np.argsort(key)
+        models = []
+        for k, (d, p) in enumerate(zip(self.discounts, word, strict=True)):
+            total = [column(c) for c in CLASSES]
+            back = [np.where(t > 0, column(f"{c}_{k}") / np.maximum(t, 1), 1.0) for c, t in zip(CLASSES, total, strict=True)]
+            grams = [np.maximum(pairs[c].to_numpy() - d * self.share[c], 0) / np.maximum(t[h], 1) + b[h] * q[w] for c, t, b, q in zip(CLASSES, total, back, p, strict=True)]
+            models += [Model(vocabulary, _ratio(p), np.zeros(size + 2, np.float32), key[:0], _ratio(grams)[:0]), Model(vocabulary, _ratio(p), _ratio(back), key[order], _ratio(grams)[order])]
+        return models
+
+    def model(self, k: int, bigrams: bool, max_words: int, max_bigrams: int) -> Model:
+        """The whole model of the k-th discount. Up to max_words of the most frequent words and max_bigrams of the most
+        frequent bigrams are held and sent to all tasks; if there are more, these are left in its tail.
+
+        A bigram that neither class has more often than its discount has the value of its back-off, so needs no row."""
+        d, ratio = self.discounts[k], lambda x: (F.log(x[1]) - F.log(x[0])).cast("float")
+        p = self._word({c: F.col(f"own_{c}") for c in CLASSES}, F.col("n"), lambda a, b: F.greatest(a, F.lit(b)))[k]
+        back = [F.when(F.col(c) > 0, F.col(f"{c}_{k}") / F.col(c)).otherwise(F.lit(1.0)) for c in CLASSES]
+        every = self.words.select("w", (F.col("own_c0") + F.col("own_c1")).alias("many"), ratio(p).alias("word"), (ratio(back) if bigrams else F.lit(0.0).cast("float")).alias("history"), *(x.alias(f"p_{c}") for c, x in zip(CLASSES, p, strict=True)), *(x.alias(f"back_{c}") for c, x in zip(CLASSES, back, strict=True)), *(F.col(c).alias(f"total_{c}") for c in CLASSES))
+        words = every.filter(F.col("w") != START).select("w", "many", "word", "history")
+        held = words.orderBy(F.desc("many"), "w").limit(max_words).toArrow().to_pandas().sort_values("w")
+        vocabulary, size = held["w"].to_numpy(), len(held)
+        start = every.filter(F.col("w") == START).select("history").first()
+        unknown = _ratio([np.array([x]) for x in self._word({c: 0.0 for c in CLASSES}, 0.0, max)[k]])
+        word = np.concatenate([held["word"].to_numpy(np.float32), unknown, [0.0]]).astype(np.float32)
+        history = np.concatenate([held["history"].to_numpy(np.float32), [0.0, start[0] if start else 0.0]]).astype(np.float32)
+        key, value, n, grams = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, None
+        if bigrams:
+            over = [F.col(c) > F.lit(d * self.share[c]) for c in CLASSES]
+            grams = self.pairs.filter(over[0] | over[1]).withColumns({f"n_{c}": F.col(c) for c in CLASSES}).select("h", "w", "n_c0", "n_c1")
+            grams = grams.join(small(every.select(F.col("w").alias("h"), "back_c0", "back_c1", "total_c0", "total_c1"), 500_000), "h").join(small(every.select("w", "p_c0", "p_c1"), 500_000), "w")
+            grams = grams.select("h", "w", (F.col("n_c0") + F.col("n_c1")).alias("many"), ratio([F.greatest(F.col(f"n_{c}") - d * self.share[c], F.lit(0.0)) / F.greatest(F.col(f"total_{c}"), F.lit(1)) + F.col(f"back_{c}") * F.col(f"p_{c}") for c in CLASSES]).alias("value"))
+            grams = _stored(grams, "h", "w")
+            n = grams.count()
+            top = grams.orderBy(F.desc("many"), "h", "w").limit(max_bigrams).toArrow().to_pandas()
+            h, w = np.where(top["h"] == START, size + 1, ids_of(top["h"].to_numpy(), vocabulary, size)), ids_of(top["w"].to_numpy(), vocabulary, size)
+            near = (h != size) & (w != size)
+            key, value = (h * (size + 2) + w)[near], top["value"].to_numpy(np.float32)[near]
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+        model = Model(vocabulary, word, history, key, value)
+        if self.size > size:
+            model.more_words = _bits(words.select(F.lit(TEXTS).cast("long").alias("h"), "w"))
+        if n > len(key):
+            model.more_bigrams = _bits(grams)
+        if self.size > size or n > len(key):
+            model.tail = words.select("w", "word", "history"), grams.select("h", "w", "value") if n > len(key) else None
+        return model
 
 
 def _ratio(x: list[np.ndarray]) -> np.ndarray:
     return (np.log(np.maximum(x[1], 1e-300)) - np.log(np.maximum(x[0], 1e-300))).astype(np.float32)
 
 
+def _with_tail(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """score_differences of one model whose tail is not held. A row's held part is added up in one scan; the words that
+    the tail decides go by the hash of their text in another, are joined to the whole tables, and are added per text."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    rest, unknown = [c for c in rows.columns if c != text_col], float(model.word[len(model.words)])
+    keyed = rows.select(*rest, F.xxhash64(text_col).alias("__a"), F.col(text_col).alias("__text"))
+
+    def scanned(batch: pa.RecordBatch):
+        model = held.value
+        for row, stop, data, offsets in chunks(batch.column(batch.schema.get_field_index("__text"))):
+            words, hashes = _tokens(data, offsets)
+            w = ids_of(hashes, model.words, len(model.words))
+            value, h, met = model.values(words, w)
+            yield row, stop, words, hashes, w, h, value, *model.open(words, hashes, w, h, met)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.zeros((2 + len(_SUMS), 0))]
+            for _, _, words, _, _, _, value, far, _, _ in scanned(batch):
+                sums = np.where(far, 0, np.stack([value, *(np.maximum(value - e, 0) for e in EXCESS)])) if len(value) else np.zeros((len(_SUMS), 0))
+                total = np.concatenate([np.zeros((len(_SUMS) + 1, 1)), np.cumsum(np.vstack([sums, far]), axis=1, dtype=np.float64)], axis=1)
+                parts.append(np.vstack([total[:, words.first[1:]] - total[:, words.first[:-1]], words.count]))
+            *sums, far, count = np.concatenate(parts, axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in (*rest, "__a")), *(pa.array(x) for x in (*sums, far, count))], names=[*rest, "__a", *(f"__{x}" for x in _SUMS), "__far", "__count"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(0).to_numpy()
+            for row, _, words, hashes, w, h, _, far, history, word in scanned(batch):
+                own = row + words.row()[far]
+                known = [pa.array(v[i[far]], mask=m[far]) for v, i, m in ((held.value.history, h, history), (held.value.word, w, word))]
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(_histories(words, hashes)[far]), pa.array(hashes[far]), *known], names=["a", "h", "w", "hv", "wv"])
+
+    schema = keyed.drop("__text").schema
+    for x in (*(f"__{x}" for x in _SUMS), "__far", "__count"):
+        schema = schema.add(x, "double")
+    words, grams = model.tail
+    far = keyed.select("__a", "__text").mapInArrow(apart, "a long, h long, w long, hv float, wv float")
+    if grams is not None:
+        far = far.join(grams, ["h", "w"], "left")
+    else:
+        far = far.withColumn("value", F.lit(None).cast("float"))
+    if model.more_words is not None:
+        other = F.xxhash64("h", "w")  # spreads what needs no look-up
+        words = small(words, 500_000)
+        sure = F.col("value").isNotNull() | F.col("hv").isNotNull() & F.col("wv").isNotNull()
+        rare = far.filter(~sure).withColumns({"hk": F.when(F.col("hv").isNull(), F.col("h")).otherwise(other), "wk": F.when(F.col("wv").isNull(), F.col("w")).otherwise(other)})
+        rare = rare.join(words.select(F.col("w").alias("hk"), "history"), "hk", "left").join(words.select(F.col("w").alias("wk"), "word"), "wk", "left")
+        rare = rare.withColumns({"hv": F.coalesce("hv", "history"), "wv": F.coalesce("wv", "word")})
+        far = far.filter(sure).select("a", "value", "hv", "wv").unionByName(rare.select("a", "value", "hv", "wv"))
+    value = F.coalesce(F.col("value"), F.coalesce("hv", F.lit(0.0).cast("float")) + F.coalesce("wv", F.lit(unknown).cast("float")))
+    x = F.col("x").cast("double")
+    far = far.select("a", value.alias("x")).repartition("a").groupBy("a").agg(F.count("*").alias("m"), *(F.sum(v).alias(y) for y, v in zip(_SUMS, (x, *(F.greatest(x - e, F.lit(0.0)) for e in EXCESS)), strict=True)))
+    both = keyed.mapInArrow(near, schema).join(far, F.col("__a") == F.col("a"), "left")
+    mean = lambda x: (F.col(f"__{x}") + F.coalesce(F.col(x) * F.col("__far") / F.col("m"), F.lit(0.0))) / F.greatest("__count", F.lit(1.0))
+    return both.select(*(F.col(c) for c in rest), *(mean(x).alias(f"{name}_0_{j}") for j, x in enumerate(_SUMS)))
+
+
 def score_differences(rows: DataFrame, models: list[Model], text_col: str = "text", name: str = "difference") -> DataFrame:
     """rows with each model's mean difference of log-likelihoods per word in place of the text."""
+    if len(models) == 1 and models[0].tail is not None:
+        return _with_tail(rows, models[0], text_col, name)
     held = rows.sparkSession.sparkContext.broadcast(models)
     rest = [c for c in rows.columns if c != text_col]
     schema, names = rows.select(*rest).schema, [f"{name}_{k}_{j}" for k in range(len(models)) for j in range(1 + len(EXCESS))]

@@ -316,3 +316,23 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert toxicity.kept(edges, model).columns == ["doc_id", "text", "score"]
     assert toxicity.fit(train.filter("toxic = 0")) == 0.0
     assert toxicity.fit(train.limit(0)) == 0.0
+
+
+@pytest.mark.parametrize("discounts", [(1.0,), toxicity.DISCOUNTS])
+def test_toxicity_scores_do_not_depend_on_what_is_held(spark, discounts):
+    rng = random.Random(10)
+    rows = []
+    for k in range(500):
+        w = words_in(rng, rng.randrange(10, 40), 300)
+        if k % 3 == 0:
+            w[rng.randrange(1, len(w))] = rng.choice(["vile", "nasty"])
+            w[0] = f"rare{k // 6}"
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows + [(None, "", 0), (7, "rare1 never vile", 1), (7, "rare1 never vile", 1)], "doc_id long, text string, toxic int")
+    whole = toxicity.fit(docs, discounts=discounts)
+    few = toxicity.fit(docs, discounts=discounts, max_words=20, max_bigrams=5)
+    assert whole.tail is None and few.tail is not None
+    want, got = (sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs.select("doc_id", "text"), m).collect()) for m in (whole, few))
+    assert len(got) == len(rows) + 3
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-5)
+    assert toxicity.kept(docs, few).count() == toxicity.kept(docs, whole).count()
