@@ -15,7 +15,8 @@ judged on the texts as they came in.
 Hashes have 64 bits. No step collects a group: a hot line, half or variant streams past one or two held rows.
 
 Defined cases: null and empty texts have one line, which stays; blank lines stay; an id must name one text (repeated
-rows with equal id and text get equal results); rows with a null id keep all their lines; extra columns are carried.
+rows with equal id and text get equal results, and neither
+counts as earlier than the other, so their lines stay unless a smaller id or an earlier line has them); rows with a null id keep all their lines; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -88,7 +89,8 @@ def _mark(min_words: int, near_words: int):
             first = np.ones(len(h), dtype=bool)
             first[1:] = h[1:] != h[:-1]
             yield _lines(0, h[first], own[first], line[first], [x[first] for x in halves])
-            gone = ~first
+            top = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+            gone = _earlier(own[top], line[top], own, line)
             if gone.any():
                 zero = np.zeros(int(gone.sum()), np.uint64)
                 yield _lines(1, mix(own[gone].view(np.uint64)), own[gone], line[gone], [zero] * 4)
@@ -97,17 +99,22 @@ def _mark(min_words: int, near_words: int):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over lines sorted by kind, hash, id, number: kind 0 for the earliest of each hash, kind 1 for those to go."""
-    last = None
+    """Over lines sorted by kind, hash, id, number: kind 0 for the earliest of each hash, kind 1 for those to go. A repeated
+    row's line that is the earliest itself is passed once. Holds that line."""
+    held = None
     for batch in batches:
-        kind, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        again = np.zeros(len(h), dtype=bool)
-        line = kind == 0
-        again[1:] = (h[1:] == h[:-1]) & line[1:] & line[:-1]
-        if len(h):
-            again[0] = bool(line[0]) and last == (0, h[0])
-            last = int(kind[-1]), h[-1]
-        yield batch.set_column(0, "kind", pa.array(np.where(again, 1, kind).astype(np.int32)))
+        kind, h, ids, number = (batch.column(k).to_numpy() for k in range(4))
+        if not len(h):
+            continue
+        if held is not None:
+            kind, h, ids, number = (np.concatenate([x, c]) for x, c in zip(held, (kind, h, ids, number), strict=True))
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != 0)])
+        top = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        later = ~first & _earlier(ids[top], number[top], ids, number)
+        skip = 0 if held is None else 1
+        held = [x[top[-1:]] for x in (kind, h, ids, number)]
+        out = batch.set_column(0, "kind", pa.array(np.where(later, 1, kind)[skip:].astype(np.int32)))
+        yield out.filter(pa.array((first | later)[skip:]))
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +162,8 @@ def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over variants sorted by variant, place, id, line: the lines that an earlier one is one edit from.
 
-    A variant's row of place -1 (there is one at most, lines being distinct) is a shorter line; all others were longer
-    by the word at their place. Holds two rows: that one, and the earliest of the place in hand.
+    A variant's row of place -1 (there is one at most, lines being distinct, but for repeated rows) is a shorter line; all
+    others were longer by the word at their place. A repeated row's line is not earlier than itself. Holds two rows: that one, and the earliest of the place in hand.
     """
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -168,7 +175,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variant, place, ids, line = cols
         new = np.concatenate([[True], variant[1:] != variant[:-1]])
         first = new | np.concatenate([[True], place[1:] != place[:-1]])
-        gone = ~first & (place >= 0)
+        before = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))  # the first row of the variant's place
+        gone = (place >= 0) & _earlier(ids[before], line[before], ids, line)
         start = np.flatnonzero(new)
         top = start[np.cumsum(new) - 1]  # the first row of the variant
         whole = place[top] == -1

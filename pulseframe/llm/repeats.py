@@ -148,8 +148,10 @@ def _mark(least: int, gram: int):
             first = np.ones(len(fp), dtype=bool)
             first[1:] = (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])
             yield _rows(0, fp[first], ctx[first], doc[first], pos[first], (left * 1024 + right)[first], near[first])
-            if not first.all():
-                yield _covered(doc[~first], (pos - left)[~first], (pos + right)[~first])
+            top = np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))
+            later = ~first & ((doc != doc[top]) | (pos != pos[top]))  # a repeated row's context is not later than itself
+            if later.any():
+                yield _covered(doc[later], (pos - left)[later], (pos + right)[later])
 
     return scan
 
@@ -189,7 +191,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         fp, ctx, ids, pos, ext, _ = cols
         first = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])
-        later = ~first
+        top = np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))
+        later = ~first & ((ids != ids[top]) | (pos != pos[top]))
         if later.any():
             yield _covered(ids[later], (pos - ext // 1024)[later], (pos + ext % 1024)[later])
         cols = [x[first] for x in cols]

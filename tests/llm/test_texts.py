@@ -253,6 +253,18 @@ def test_lines(spark, docs, corpus):
         assert (k not in kept) if k in want and not left.strip() else kept[k] == left
 
 
+def test_repeated_rows_lose_only_what_is_earlier_elsewhere(spark, docs, corpus):
+    extra = [(900, "a b c d e f g h i j k\nb c d e f g h i j k\na b c d e f g h i j X"), (901, "only here are these eleven words for a test of repeats"), (902, "only here six words stand once")]
+    rows = corpus + extra
+    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    twice = df.unionByName(df)
+    assert {r.id: list(r.lines) for r in line_dedup.repeated_lines(twice).collect()} == brute_lines(rows)
+    assert line_dedup.remove(twice).filter("doc_id = 901").count() == 2
+    passages = repeats.op6_suffix_array_dedup(Tables(spark, twice), "").collect()
+    assert len(passages) == 2 * len(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in passages} == brute_passages(rows)
+
+
 def test_lines_empty(spark):
     assert line_dedup.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
