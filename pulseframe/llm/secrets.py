@@ -6,9 +6,9 @@ map from each decoded character to the characters it came from; runs of base64 (
 through gzip or zlib if they hold that, and map to the whole run. Each new layer is scanned again and its findings are
 mapped back to the original text. A layer that was seen before is not unwrapped again, so cycles end.
 
-Decoded bytes count as a layer if they are UTF-8 text of printable characters. A document's decoded layers are held to
-`max_decoded` characters in all, against compression bombs; beyond that `exhausted` is true and the spans found so far
-stand. Positions count code points, ends are exclusive.
+Decoded bytes count as a layer if they are UTF-8 text. Base64 may be wrapped into lines. Inflated layers are held whole up
+to `max_decoded` characters in all; beyond that `exhausted` is true and they are scanned in overlapping pieces (a secret
+longer than the overlap may be cut there). Escapes and base64 never expand and are not charged. Positions count code points, ends are exclusive.
 
 Defined cases: a null text is an empty one; empty texts have no spans; repeated rows are scanned one by one; extra
 columns are not read.
@@ -19,7 +19,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections import deque
@@ -41,7 +43,10 @@ _NAMES = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_SEPARATOR = re.compile(r"[/_-]+")
 MAX_DECODED = 1 << 24
+PIECE, OVERLAP = 1 << 20, 1 << 16
 
 Span = tuple[int, int, int]
 
@@ -127,42 +132,107 @@ def _unescaped(text: str, pattern: re.Pattern) -> tuple[str, list[tuple[int, int
 
 def _readable(raw: bytes) -> str | None:
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8") or None
     except UnicodeDecodeError:
         return None
-    return text if text and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0
+
+
+def _blocks(raw: bytes) -> Iterator[bytes]:
+    """What gzip or zlib members hold, block by block. Raises zlib.error if the first does not inflate to its end."""
+    any_done = False
+    while _packed(raw):
+        stream, rest = zlib.decompressobj(zlib.MAX_WBITS | 32), raw
+        try:
+            while not stream.eof:
+                block = stream.decompress(rest, PIECE)
+                rest = stream.unconsumed_tail
+                if block:
+                    yield block
+                elif not stream.eof and not rest:
+                    raise zlib.error("cut short")
+        except zlib.error:
+            if any_done:
+                return
+            raise
+        any_done, raw = True, stream.unused_data
 
 
 def _inflated(raw: bytes, limit: int) -> bytes | None:
-    """What a gzip or zlib stream holds, through nested streams; None if it is neither."""
+    """What gzip or zlib members hold, through nested streams; None if they are neither."""
     inner = None
-    while raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        stream = zlib.decompressobj(zlib.MAX_WBITS | 32)
+    while _packed(raw):
+        parts, size = [], 0
         try:
-            plain = stream.decompress(raw, limit + 1)
-            plain += stream.flush() if len(plain) <= limit and not stream.unconsumed_tail else b""
+            for block in _blocks(raw):
+                parts.append(block)
+                size += len(block)
+                if size > limit:
+                    raise OverflowError(raw)
         except zlib.error:
             break
-        if len(plain) > limit:
-            raise OverflowError
-        if not stream.eof or plain == raw:
+        plain = b"".join(parts)
+        if plain == raw:
             break
         raw = inner = plain
     return inner
 
 
-def _from_base64(run: str, limit: int) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _pieces(raw: bytes) -> Iterator[str]:
+    """Overlapping pieces of the text that a stream of any size holds; only one piece is in memory."""
+    decode, held, fresh = codecs.getincrementaldecoder("utf-8")("replace").decode, "", 0
     try:
+        for block in _blocks(raw):
+            more = decode(block)
+            held, fresh = held + more, fresh + len(more)
+            if fresh >= PIECE:
+                yield held
+                held, fresh = held[-OVERLAP:], 0
+    except zlib.error:
+        pass
+    if fresh:
+        yield held
+
+
+def _decoded(body: str, start: int, limit: int) -> tuple[str, bool] | None:
+    """The text of base64 characters, and whether it was inflated. Its beginning tells cheaply if there can be any."""
+    try:
+        head = body[start : start + 64]
+        head = base64.b64decode(head[: len(head) // 4 * 4])
+        if not _packed(head):
+            codecs.getincrementaldecoder("utf-8")().decode(head)
+        body = body[start : len(body) - ((len(body) - start) % 4 == 1)]
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
+    if (inner := _inflated(raw, limit)) is not None and (text := _readable(inner)) is not None:
+        return text, True
     text = _readable(raw)
-    if text is None and (raw := _inflated(raw, limit)) is not None:
-        text = _readable(raw)
-    return text
+    return None if text is None else (text, False)
+
+
+def _from_base64(run: str, limit: int) -> tuple[str, bool] | None:
+    """The run may begin with what does not belong to it: four alignments, and the places behind separators, are tried."""
+    run = run.rstrip("=")
+    body = run.replace("-", "+").replace("_", "/")
+    for start in dict.fromkeys([0, *(m.end() for m in _SEPARATOR.finditer(run)), 1, 2, 3]):
+        if len(body) - start >= 16 and (found := _decoded(body, start, limit)) is not None:
+            return found
+    return None
+
+
+def _wrapped(layer: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined) of base64 runs over several lines: all of them, and those up to the first of another length."""
+    for m in _WRAPPED.finditer(layer):
+        lines = m[0].split("\n")
+        bare = [x.strip() for x in lines]
+        k = next((k for k, x in enumerate(bare) if len(x) != len(bare[0])), len(bare) - 1)
+        for n in {k, k + 1, len(bare)}:
+            if n > 1:
+                yield m.start(), m.start() + len("\n".join(lines[:n])), "".join(bare[:n])
 
 
 def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Span], int, bool]:
@@ -172,16 +242,13 @@ def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Sp
     seen, work = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, deque()
     exhausted = False
 
-    def add(layer: str, to: Map) -> None:
+    def add(layer: str, to: Map, inflated: bool = False) -> None:
         nonlocal layers, left, exhausted
         key = hashlib.blake2b(layer.encode("utf-8", "surrogatepass") + repr(to.span(0, len(layer))).encode(), digest_size=16).digest()
         if key in seen:
             return
-        if len(layer) > left:
-            exhausted = True
-            return
         seen.add(key)
-        left -= len(layer)
+        left -= len(layer) if inflated else 0  # nothing else expands
         layers += 1
         for start, kind, end in base_spans(layer):
             a, b = to.span(start, end)
@@ -194,14 +261,15 @@ def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Sp
         for mark, pattern in (("%", _PERCENT), ("\\", _ESCAPE), ("&#", _ESCAPE)):
             if mark in layer and (plain := _unescaped(layer, pattern)) and plain[0]:
                 add(plain[0], to.then(plain[1]))
-        for m in _BASE64.finditer(layer):
+        for start, end, run in itertools.chain(((m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer)), _wrapped(layer)):
+            own = Map([(0, *to.span(start, end), False)])
             try:
-                plain = _from_base64(m[0], left)
-            except OverflowError:
+                if plain := _from_base64(run, max(left, 0)):
+                    add(plain[0], own, plain[1])
+            except OverflowError as large:
                 exhausted = True
-                continue
-            if plain:
-                add(plain, Map([(0, *to.span(m.start(), m.end()), False)]))
+                for piece in _pieces(large.args[0]):
+                    add(piece, own)
     return base, sorted(found), layers, exhausted
 
 

@@ -300,6 +300,27 @@ def test_secrets_base_and_mapping():
     assert secrets.scan("K" * 50 + " ſecret=abcdefghijklmnop")[0] == []
 
 
+def test_secrets_beyond_the_limit_and_in_long_texts():
+    packed = base64.b64encode(gzip.compress(b"word " * 900_000 + SECRET.encode() + b" word" * 9)).decode()
+    _, spans, _, over = secrets.scan(packed, max_decoded=1_000_000)
+    assert over and [k for _, k, _ in spans] == [0]
+    text = "word " * 1000 + urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe="")
+    _, spans, _, over = secrets.scan(text, max_decoded=100)
+    assert not over and [k for _, k, _ in spans] == [0]
+
+
+def test_secrets_in_common_forms_of_base64():
+    noise = bytes(random.Random(3).randrange(97, 123) for _ in range(300))
+    plain = base64.b64encode(SECRET.encode()).decode()
+    packed = base64.encodebytes(gzip.compress(noise + b" " + SECRET.encode())).decode()
+    wrapped = base64.encodebytes(b"some words here " * 3 + SECRET.encode() + b" and more words").decode()
+    members = base64.b64encode(gzip.compress(b"first") + gzip.compress(b" " + SECRET.encode())).decode()
+    marked = base64.b64encode(("\ufeff\u200b\u00a0" + SECRET).encode()).decode()
+    for encoded in (packed, wrapped, packed + "\nend of it", f"path/{plain}", f"id-{plain}", f"x_{plain}", members, marked):
+        spans = secrets.scan("é " + encoded)[1]
+        assert spans and {k for _, k, _ in spans} == {0}, encoded
+
+
 def test_secret_query_edges(spark):
     rows = [(1, None), (2, ""), (None, "token=abcdefghijklmnop"), (2, "")]
     got = secrets.find(spark.createDataFrame(rows, SCHEMA)).collect()
