@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents of which nothing else is left."""
+    """Lines that repeat an earlier one go (copies of any length, near copies from five words), and documents of which nothing else is left."""
     small_batches(spark)
-    return line_dedup.remove(docs)
+    return line_dedup.remove(docs, min_words=1, near_words=5)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pulseframe.llm import decontaminate, jaccard, line_dedup, repeats, secrets, toxicity
 
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -265,6 +266,15 @@ def test_repeated_rows_lose_only_what_is_earlier_elsewhere(spark, docs, corpus):
     assert {r.doc_id: tuple(r)[1:] for r in passages} == brute_passages(rows)
 
 
+def test_pipeline_lines_of_any_length(spark, docs, corpus):
+    extra = [(900, "Ietzte.\none two three four five six"), (901, "Ietzte.\none two three four five X\nkept here"), (902, "一二三四五六七"), (903, "一二三四五六七\nalso kept")]
+    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    want = brute_lines(corpus + extra, 1, 5)
+    assert {r.id: list(r.lines) for r in line_dedup.repeated_lines(df, min_words=1, near_words=5).collect()} == want
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert kept[901] == "kept here" and kept[903] == "also kept"
+
+
 def test_lines_empty(spark):
     assert line_dedup.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
