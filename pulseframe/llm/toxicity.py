@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
-For each class (toxic, ordinary) a word model is estimated from every labelled training row:
+For each class (toxic, ordinary) a word model is estimated from four fifths of the labelled rows:
 
     p_c(w | h) = max(c_c(h, w) - D_c, 0) / c_c(h) + l_c(h) p_c(w)
     p_c(w)     = max(t_c(w) - D_c, 0) / t_c + l_c p(w)           t: texts of the class that have the word
