@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import bitmap, components, cut, small, small_batches, texts_in
-from .textscan import LOWER, NOT_SPACE, Rolling, Words, byte_hashes, chunks, ids_of, mix
+from .textscan import LOWER, NOT_SPACE, Words, chunks, ids_of, mix, windows_of, word_hashes
 
 GROUP_ROWS = 256
 MAX_FREQUENT = 1 << 16
@@ -49,13 +49,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     """Distinct shingle hashes (63 bits) of a chunk's rows, sorted by row then hash, and each row's first position."""
     data = LOWER[data]
     words = Words(data, offsets, NOT_SPACE)
-    rolling = Rolling(byte_hashes(data).of(words.start, words.end))
+    hashed = word_hashes(data, words)
     at = words.windows(size)
     row = np.searchsorted(words.first, at, side="right") - 1
+    h = windows_of(hashed, size)[at] >> np.uint64(1) if len(at) else np.zeros(0, np.uint64)
     short = np.flatnonzero((words.count > 0) & (words.count < size))
-    h = rolling.of(np.concatenate([at, words.first[short]]), np.concatenate([at + size, words.first[short + 1]])) >> np.uint64(1)
     if len(short):
-        row = np.concatenate([row, short])
+        own = np.empty(len(short), dtype=np.uint64)
+        for m in range(1, size):
+            some = words.count[short] == m
+            if some.any():
+                own[some] = windows_of(hashed, m)[words.first[short[some]]] >> np.uint64(1)
+        h, row = np.concatenate([h, own]), np.concatenate([row, short])
         order = np.argsort(row, kind="stable")
         h, row = h[order], row[order]
     sort_rows(h, np.searchsorted(row, np.arange(len(offsets))))

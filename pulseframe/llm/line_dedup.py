@@ -5,18 +5,21 @@ smaller id, or earlier in the same text) has the same words, or, for lines of at
 word put in, taken out or exchanged. Lines of fewer than `min_words` words repeat by chance and always stay. Lines are
 judged on the texts as they came in.
 
-1. Equal lines: each batch settles its own, then one shuffle by the line's hash settles the rest.
+1. Equal lines: each batch settles its own, then one shuffle by the line's hash settles the rest. Lines count as equal
+   when two independent hashes of their words agree (124 bits; see textscan.Powers).
 2. Of two lines within one edit, the first or the last half agrees word by word. A shuffle of four hashed halves a line
    finds the lines that have a partner at all (a loss-free filter).
 3. Those emit the whole deletion neighbourhood, hashed: the line itself, and the line without each of its words. Equal
-   variants meet. The edit distance is verified from what was deleted: equal lengths are one exchange apart if the same
-   place was deleted, lengths that differ by one are one deletion apart if nothing was deleted from the shorter.
+   variants meet: lines of one length with the same place deleted, or a whole line with a longer one.
+4. The words of each pair that met are fetched, and their edit distance is verified before the later line goes.
 
-Hashes have 64 bits. No step collects a group: a hot line, half or variant streams past one or two held rows.
+No step collects a group: a hot line, half or variant streams past one or two held rows, and each line that is to go
+brings one pair for each variant that told so.
 
-Defined cases: null and empty texts have one line, which stays; blank lines stay; an id must name one text (repeated
-rows with equal id and text get equal results, and neither
-counts as earlier than the other, so their lines stay unless a smaller id or an earlier line has them); rows with a null id keep all their lines; extra columns are carried.
+Defined cases: null and empty texts have one line, which stays; blank lines stay (they have fewer than `min_words` words);
+an id must name one text (repeated rows with equal id and text get equal results, and neither counts as earlier than the
+other, so their lines stay unless a smaller id or an earlier line has them); rows with a null id keep all their lines;
+extra columns are carried, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import bitmap, cut, small_batches, texts_in
-from .textscan import LOWER, NOT_SPACE, Rolling, Words, buffers, byte_hashes, chunks, mix
+from .spark import bitmap, cut, small_batches, texts_in, unused
+from .textscan import LOWER, NOT_SPACE, Powers, Words, buffers, chunks, mix, word_hashes
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
-_LINES = "kind int, hash long, id long, line int, a1 long, b1 long, a2 long, b2 long"
+_LINES = "kind int, hash long, check long, id long, line int, a1 long, b1 long, a2 long, b2 long"
 _PLACES = "id long, line int"
+_PAIRS = "id long, line int, other long, at int"
 _HALVES = ("a1", "b1", "a2", "b2")
 
 
@@ -45,7 +49,8 @@ class Lines:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         self.words = words = Words(data, offsets, NOT_SPACE)
-        self.rolling = Rolling(byte_hashes(data).of(words.start, words.end))
+        self.data, self.hashes = data, word_hashes(data, words)
+        self.powers = Powers(self.hashes)
         feeds = np.flatnonzero(data == 10)
         start = np.concatenate([offsets[:-1], feeds + 1])
         row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feeds, side="right") - 1])
@@ -60,8 +65,10 @@ def _earlier(id_a: np.ndarray, line_a: np.ndarray, id_b: np.ndarray, line_b: np.
     return (id_a < id_b) | (id_a == id_b) & (line_a < line_b)
 
 
-def _lines(kind: int, h: np.ndarray, ids: np.ndarray, line: np.ndarray, halves: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(ids), pa.array(line.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in halves)], names=["kind", "hash", "id", "line", *_HALVES])
+def _lines(kind: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Of hash, check, id, line and halves."""
+    h, check, ids, line, *halves = cols
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids), pa.array(line.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in halves)], names=["kind", "hash", "check", "id", "line", *_HALVES])
 
 
 def _mark(min_words: int, near_words: int):
@@ -74,45 +81,48 @@ def _mark(min_words: int, near_words: int):
                 lines = Lines(data, offsets)
                 long = np.flatnonzero(lines.count >= min_words)
                 a, n = lines.first[long], lines.count[long]
-                of, near, halves = lines.rolling.of, n >= near_words, []
+                of, near, halves = lines.powers.of, n >= near_words, []
                 for most in (n, n + 1):
                     half = most // 2
                     for side, (s, e) in enumerate(((a, a + half), (a + n - half, a + n))):
                         salt = mix((most * 2 + side).astype(np.uint64))
                         halves.append(np.where(near, mix(of(s, e) ^ salt) | np.uint64(1), np.uint64(0)))
-                parts.append((of(a, a + n), ids[row + lines.row[long]], lines.number[long], *halves))
+                parts.append((of(a, a + n), Powers(lines.hashes, 1).of(a, a + n), ids[row + lines.row[long]], lines.number[long], *halves))
             if not parts:
                 continue
-            h, own, line, *halves = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((line, own, h))
-            h, own, line, *halves = (x[order] for x in (h, own, line, *halves))
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            h, check, own, line = cols[:4]
+            order = np.lexsort((line, own, check, h))
+            cols = [x[order] for x in cols]
+            h, check, own, line = cols[:4]
             first = np.ones(len(h), dtype=bool)
-            first[1:] = h[1:] != h[:-1]
-            yield _lines(0, h[first], own[first], line[first], [x[first] for x in halves])
+            first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+            yield _lines(0, [x[first] for x in cols])
             top = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
             gone = _earlier(own[top], line[top], own, line)
             if gone.any():
                 zero = np.zeros(int(gone.sum()), np.uint64)
-                yield _lines(1, mix(own[gone].view(np.uint64)), own[gone], line[gone], [zero] * 4)
+                yield _lines(1, [mix(own[gone].view(np.uint64)), zero, own[gone], line[gone], *([zero] * 4)])
 
     return scan
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over lines sorted by kind, hash, id, number: kind 0 for the earliest of each hash, kind 1 for those to go. A repeated
-    row's line that is the earliest itself is passed once. Holds that line."""
+    """Over lines sorted by kind, hash, check, id, number: kind 0 for the earliest of each hash, kind 1 for those to go. A
+    repeated row's line that is the earliest itself is passed once. Holds that line."""
     held = None
     for batch in batches:
-        kind, h, ids, number = (batch.column(k).to_numpy() for k in range(4))
-        if not len(h):
+        cols = [batch.column(k).to_numpy() for k in range(5)]
+        if not len(cols[0]):
             continue
         if held is not None:
-            kind, h, ids, number = (np.concatenate([x, c]) for x, c in zip(held, (kind, h, ids, number), strict=True))
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != 0)])
+            cols = [np.concatenate([x, c]) for x, c in zip(held, cols, strict=True)]
+        kind, h, check, ids, number = cols
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (kind[1:] != 0)])
         top = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         later = ~first & _earlier(ids[top], number[top], ids, number)
         skip = 0 if held is None else 1
-        held = [x[top[-1:]] for x in (kind, h, ids, number)]
+        held = [x[top[-1:]] for x in cols]
         out = batch.set_column(0, "kind", pa.array(np.where(later, 1, kind)[skip:].astype(np.int32)))
         yield out.filter(pa.array((first | later)[skip:]))
 
@@ -150,20 +160,18 @@ def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 which = np.repeat(np.arange(len(k)), n)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 a, b = first[which], (first + n)[which]
-                sums, inverse = lines.rolling.sums, lines.rolling.inverse
-                cutout = (sums[a + place] - sums[a] + (sums[b] - sums[a + place + 1]) * inverse[1]) * inverse[a]
-                size = np.uint64(0x94D049BB133111EB)
-                key = np.concatenate([mix(cutout + (n[which] - 1).astype(np.uint64) * size), lines.rolling.of(first, first + n)])
+                key = np.concatenate([lines.powers.without(a, b, a + place), lines.powers.of(first, first + n)])
                 which = np.concatenate([which, np.arange(len(k))])
                 places = np.concatenate([place, np.full(len(k), -1)])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(places.astype(np.int32)), pa.array(ids[row + lines.row[k]][which]), pa.array(lines.number[k][which].astype(np.int32))], names=["variant", "place", "id", "line"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over variants sorted by variant, place, id, line: the lines that an earlier one is one edit from.
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over variants sorted by variant, place, id, line: each line that an earlier one seems one edit from, with that one.
 
     A variant's row of place -1 (there is one at most, lines being distinct, but for repeated rows) is a shorter line; all
-    others were longer by the word at their place. A repeated row's line is not earlier than itself. Holds two rows: that one, and the earliest of the place in hand.
+    others were longer by the word at their place. A repeated row's line is not earlier than itself. Holds two rows: that
+    one, and the earliest of the place in hand.
     """
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -176,35 +184,75 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], variant[1:] != variant[:-1]])
         first = new | np.concatenate([[True], place[1:] != place[:-1]])
         before = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))  # the first row of the variant's place
-        gone = (place >= 0) & _earlier(ids[before], line[before], ids, line)
+        later = np.flatnonzero((place >= 0) & _earlier(ids[before], line[before], ids, line))
         start = np.flatnonzero(new)
         top = start[np.cumsum(new) - 1]  # the first row of the variant
         whole = place[top] == -1
         longer = np.flatnonzero(first & whole & (place >= 0))
-        before = _earlier(ids[top[longer]], line[top[longer]], ids[longer], line[longer])
-        gone[longer[before]] = True
-        gone[top[longer[~before]]] = True
-        if gone.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(line[gone])], names=["id", "line"])
+        short = _earlier(ids[top[longer]], line[top[longer]], ids[longer], line[longer])
+        gone = np.concatenate([later, longer[short], top[longer[~short]]])
+        told = np.concatenate([before[later], top[longer[short]], longer[~short]])
+        if len(gone):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(line[gone]), pa.array(ids[told]), pa.array(line[told])], names=["id", "line", "other", "at"])
         keep = [int(np.flatnonzero(first)[-1])]
         if whole[-1] and top[-1] != keep[0]:
             keep.insert(0, int(top[-1]))
         held = [x[keep] for x in cols]
 
 
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (id, text, lines): (id, line, words), the words of each listed line between single spaces."""
+    for batch in batches:
+        ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for row, _, data, offsets in chunks(batch.column(1)):
+            lower = LOWER[data]
+            for k in range(len(offsets) - 1):
+                text = lower[offsets[k] : offsets[k + 1]].tobytes().split(b"\n")
+                said = [b" ".join(text[n].split()) for n in wanted[row + k]]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[row + k]] * len(said), pa.int64()), pa.array(wanted[row + k], pa.int32()), pa.array(said, pa.binary())], names=["id", "line", "words"])
+
+
+def one_edit(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one word put in, taken out or exchanged makes a of b (or nothing does)."""
+    if len(a) < len(b):
+        a, b = b, a
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k + 1 :] == b[k:]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (id, line, words, other's words): the lines that are within one edit of the other."""
+    for batch in batches:
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        yield batch.select([0, 1]).filter(pa.array([one_edit(a.split(b" "), b.split(b" ")) for a, b in pairs], pa.bool_()))
+
+
+def _listed(places: DataFrame) -> DataFrame:
+    return places.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def _within_one_edit(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, line) of the pairs (id, line, other, at) whose words are within one edit of each other."""
+    ends = _listed(pairs.select("id", "line").unionByName(pairs.select(F.col("other").alias("id"), F.col("at").alias("line"))))
+    ends = cut(ends)
+    words = texts_in(docs, bitmap(ends)).join(ends, "id").select("id", "text", "lines").mapInArrow(_said, "id long, line int, words binary").dropDuplicates(["id", "line"])
+    words = cut(words)
+    theirs = words.select(F.col("id").alias("other"), F.col("line").alias("at"), F.col("words").alias("others"))
+    both = pairs.join(words, ["id", "line"]).join(theirs, ["other", "at"])
+    return both.select("id", "line", "words", "others").mapInArrow(_verified, _PLACES)
+
+
 def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(id, lines): the numbers, from 0, of the lines to go, for each text that has any."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = docs.mapInArrow(_mark(min_words, near_words), _LINES).repartition("hash").sortWithinPartitions("kind", "hash", "id", "line").mapInArrow(_settle, _LINES)
+    rows = docs.mapInArrow(_mark(min_words, near_words), _LINES).repartition("hash").sortWithinPartitions("kind", "hash", "check", "id", "line").mapInArrow(_settle, _LINES)
     rows = cut(rows)
     halves = rows.filter("kind = 0 and a1 <> 0").select(F.explode(F.array_distinct(F.array(*_HALVES))).alias("half"), "id", "line")
     partners = halves.repartition("half").sortWithinPartitions("half").mapInArrow(_partners, _PLACES)
-    listed = partners.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    listed = cut(listed)
+    listed = cut(_listed(partners))
     variants = texts_in(docs, bitmap(listed)).join(listed, "id").select("id", "text", "lines").mapInArrow(_neighbourhood, "variant long, place int, id long, line int")
-    near = variants.repartition("variant").sortWithinPartitions("variant", "place", "id", "line").mapInArrow(_verify, _PLACES)
-    gone = rows.filter("kind = 1").select("id", "line").unionByName(near)
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    pairs = cut(variants.repartition("variant").sortWithinPartitions("variant", "place", "id", "line").mapInArrow(_meeting, _PAIRS).distinct())
+    return _listed(rows.filter("kind = 1").select("id", "line").unionByName(_within_one_edit(pairs, docs)))
 
 
 def without(text: bytes, lines: list[int]) -> bytes:
@@ -217,17 +265,18 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that lose no line are returned as they are, whatever they hold.
     """
-    lines = repeated_lines(documents, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
-    named = documents.withColumn("__key", F.col(id_col).cast("long")).filter("__key is not null").join(lines, F.col("__key") == F.col("__id"), "left").select(*documents.columns, "__lines")
+    key, own, drop = unused(documents, "key", "own", "drop")
+    lines = repeated_lines(documents, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias(own), F.col("lines").alias(drop))
+    named = documents.withColumn(key, F.col(id_col).cast("long")).filter(F.col(key).isNotNull()).join(lines, F.col(key) == F.col(own), "left").select(*documents.columns, drop)
     at, names = documents.columns.index(text_col), documents.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep = [True] * len(texts)
-            for k, drop in enumerate(batch.column(len(names)).to_pylist()):
-                if drop:
-                    texts[k] = without(texts[k].encode(), drop).decode()
+            for k, gone in enumerate(batch.column(len(names)).to_pylist()):
+                if gone:
+                    texts[k] = without(texts[k].encode(), gone).decode()
                     keep[k] = bool(texts[k].strip())
             out = [pa.array(texts, batch.column(at).type) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep, pa.bool_()))

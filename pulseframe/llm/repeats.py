@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import bitmap, cut, small_batches, texts_in
-from .textscan import buffers, byte_hashes, chunks, mix
+from .textscan import buffers, chunks, eights, hash_ranges, mix, windows_of
 
 LEAST = 100
 GRAM = 32
@@ -81,10 +81,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tup
     empty = np.zeros(0, np.int64)
     if n < least:
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
-    rolling = byte_hashes(data)
+    eight = eights(data)
     end = np.repeat(offsets[1:], np.diff(offsets))
     at = np.arange(n - gram + 1)
-    h = rolling.of(at, at + gram)
+    h = windows_of(eight[: n - 7], gram, 8)
     h[at + gram > end[: len(at)]] = _NONE
     low = sliding(h, width, np.minimum)
     low[np.arange(len(low)) + least > end[: len(low)]] = 0
@@ -97,13 +97,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tup
     last = np.minimum(np.minimum(offsets[row + 1] - least, place), after - width)
     own = last >= first
     place, row, first, last = place[own], row[own], first[own], last[own] + least
-    ctx = mix(rolling.of(first, last) + (place - first).astype(np.uint64) * _SALT)
+    ctx = mix(hash_ranges(eight, first, last) + (place - first).astype(np.uint64) * _SALT)
     near, free = np.zeros(len(place), np.uint64), least - gram
     for k in range(SPLITS):
         a, b = place - free * k // SPLITS, place + gram + free - free * (k + 1) // SPLITS
         whole = (a >= first) & (b <= last)
         a, b = np.where(whole, a, place), np.where(whole, b, place)
-        near |= np.where(whole, (rolling.of(a, b) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * k)
+        near |= np.where(whole, (hash_ranges(eight, a, b, 1) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * k)
     return row, place - offsets[row], h[place], ctx, place - first, last - place, near
 
 
@@ -287,7 +287,7 @@ def covered_by_repeats(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray
     if not len(starts):
         return none
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    key = byte_hashes(data).of(starts, starts + least) ^ mix(groups[owner].view(np.uint64))
+    key = windows_of(eights(data)[: len(data) - 7], least, 8)[starts] ^ mix(groups[owner].view(np.uint64))
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     some = np.unique(owner[count[inverse] > 1])  # contexts without a string that repeats need no suffixes
     if not len(some):
@@ -363,6 +363,8 @@ def _trees(least: int, together: int = 3_000):
 
 def stretches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """(id, spans): the covered stretches of each text that has any, unmerged, in bytes."""
+    if not 8 <= gram <= least < 1024:
+        raise ValueError(f"gram {gram} and least {least}: at least 8 bytes, and less than 1024")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     rows = docs.mapInArrow(_mark(least, gram), _ROWS).repartition("fp").sortWithinPartitions("kind", "fp", "ctx", "id", "pos").mapInArrow(_settle, _ROWS)
     rows = cut(rows)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spark import shared_dir, small, small_batches
-from .textscan import ALNUM, LOWER, Words, byte_hashes, chunks, ids_of, mix
+from .textscan import ALNUM, LOWER, Words, chunks, ids_of, mix, word_hashes
 
 MAX_WORDS = 1 << 17
 MAX_BIGRAMS = 1 << 19
@@ -53,7 +53,7 @@ _SUMS = tuple(f"s{j}" for j in range(1 + len(EXCESS)))
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     data = LOWER[data]
     words = Words(data, offsets, ALNUM)
-    return words, byte_hashes(data).of(words.start, words.end).view(np.int64)
+    return words, word_hashes(data, words).view(np.int64)
 
 
 def _histories(words: Words, hashes: np.ndarray) -> np.ndarray:

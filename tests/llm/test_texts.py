@@ -87,11 +87,17 @@ def test_decontamination(spark, corpus, docs, max_windows):
 
 
 def test_large_benchmarks_are_dealt_into_parts(spark, corpus, docs):
-    items = spark.createDataFrame([(1, corpus[8][1]), (2, corpus[14][1])], "item_id long, text string")
-    whole = {r.doc_id for r in decontaminate.remove(docs, items).collect()}
-    assert {r.doc_id for r in decontaminate.remove(docs, items, max_windows=20).collect()} == whole
-    with pytest.raises(ValueError):
-        decontaminate.remove(docs, items, mode="spans", max_windows=20)
+    items = spark.createDataFrame([(1, corpus[8][1]), (2, corpus[14][1]), (None, corpus[26][1])], "item_id long, text string")
+    odd = [(None, corpus[8][1], "x"), (None, corpus[8][1], "x"), (8, corpus[8][1], "y"), (None, None, "z"), (977, corpus[26][1], "null item")]
+    df = docs.withColumn("digest", F.lit("d")).unionByName(spark.createDataFrame(odd, "doc_id long, text string, digest string"))
+    key = lambda r: (str(r.doc_id), str(r.text), r.digest)
+    for mode in ("documents", "spans"):
+        whole, parts = (sorted(map(key, decontaminate.remove(df, items, mode=mode, max_windows=m).collect())) for m in (10**6, 20))
+        assert whole == parts and len(whole) == (df.count() if mode == "spans" else len(whole))
+    found = [sorted((str(r.doc_id), r.n_words, tuple(r.hits), tuple(r["items"])) for r in decontaminate.find(df, items, max_windows=m).collect()) for m in (10**6, 20)]
+    assert found[0] == found[1] and len(found[0]) == df.count()
+    assert [r for r in found[0] if r[0] == "977"][0][2] and not [r for r in found[0] if r[0] == "977"][0][3]
+    assert not [r for r in whole if r[2] == "null item" and r[1].strip()]
 
 
 def test_decontamination_empty_tables(spark, docs):
@@ -275,6 +281,47 @@ def test_pipeline_lines_of_any_length(spark, docs, corpus):
     assert kept[901] == "kept here" and kept[903] == "also kept"
 
 
+def thue_morse(n):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return out
+
+
+def test_hashes_do_not_cancel(spark):
+    """A line and its complement, which differ in every word; passages alike in bytes."""
+    tm = thue_morse(1024)
+    a, b = (" ".join(w[x] for x in tm) for w in (("yes", "no"), ("no", "yes")))
+    rows = [(1, a), (2, b), (3, a + "\n" + b), (4, a + " more")]
+    got = {r.id: list(r.lines) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_lines(rows) == {3: [0, 1], 4: [0]}
+    p, q = ("".join(w[x] for x in thue_morse(128)) for w in ("ab", "ba"))
+    rows = [(1, p * 3), (2, q), (3, q + p), (4, "x" + q)]
+    got = repeats.op6_suffix_array_dedup(Tables(spark, spark.createDataFrame(rows, SCHEMA)), "")
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == brute_passages(rows)
+    with pytest.raises(ValueError):
+        repeats.stretches(spark.createDataFrame(rows, SCHEMA), least=1500)
+
+
+def test_one_edit():
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = [rng.choice("ab").encode() for _ in range(rng.randrange(6))]
+        b = [rng.choice("ab").encode() for _ in range(rng.randrange(6))]
+        if len(a) == len(b):
+            want = sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        else:
+            long, short = (a, b) if len(a) > len(b) else (b, a)
+            want = len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+        assert line_dedup.one_edit(a, b) == want, (a, b)
+
+
+def test_line_columns_may_clash(spark):
+    rows = [(1, "a b c d e f\nx", "k", [3], 5), (2, "a b c d e f\ny", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, key string, drop array<int>, own int")
+    assert sorted(map(tuple, line_dedup.remove(df).collect())) == [rows[0], (2, "y", None, None, None)]
+
+
 def test_lines_empty(spark):
     assert line_dedup.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
