@@ -76,16 +76,16 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-BITS = 1 << 25
-
-
-def bitmap(wanted: DataFrame) -> np.ndarray:
-    """BITS bits, those set that the wanted ids hash to: a filter of fixed size that loses no id and lets few others pass."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")
+def bitmap(wanted: DataFrame, least: int = 1 << 20, most: int = 1 << 30) -> np.ndarray:
+    """A power of two of bits, those set that the wanted ids hash to: a filter that loses no id and lets few others pass. It
+    has eight bits for each row of wanted, and 128 MB at most (beyond a hundred million ids it lets more pass)."""
+    n = wanted.count()
+    bits = min(most, max(least, 1 << (8 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits)).alias("s")
     words = wanted.select(slot).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(BITS // 64, dtype=np.int64)
-    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    return bits
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
 
 def texts_in(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
@@ -98,4 +98,4 @@ def texts_in(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFram
             hit = (held.value[s >> 6] >> (s & 63)) & 1 == 1
             yield batch.select([0, 1]).filter(pa.array(hit == inside))
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("s")).mapInArrow(scan, "id long, text string")
+    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(64 * len(bits))).alias("s")).mapInArrow(scan, "id long, text string")

@@ -1,426 +1,439 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
-
-For each class (toxic, ordinary) a word model is estimated from four fifths of the labelled rows:
-
-    p_c(w | h) = max(c_c(h, w) - D_c, 0) / c_c(h) + l_c(h) p_c(w)
-    p_c(w)     = max(t_c(w) - D_c, 0) / t_c + l_c p(w)           t: texts of the class that have the word
-    p(w)       = max(N(. w) - 0.75, 0) / N(. .) + l / |V|        N: distinct left neighbours, in both classes together
-
-so an expression that one class has rarely or never seen falls back on continuation counts that both classes share.
-D_c is a discount times the class's share of words, so that the smaller class is not smoothed more than the larger. A
-text is scored by length-normalised comparisons of its words' log-likelihoods: the mean difference (toxic less ordinary),
-and the means of what exceeds each of EXCESS (a text's language moves every word's difference a little, a toxic expression
-moves few words a lot). A logistic curve turns them into a probability.
-
-Training rows are split by a hash: four fifths feed the counts, one fifth (at most `max_calibration` of them, taken by
-the order of their hash) fits the curve and chooses the order (words alone, or bigrams) and discount of least loss. The
-counts are distributed tables of all words and bigrams of the rows that feed them, with no bound. What decides the order
-is the part of them that the calibration texts use. For scoring, the `max_words` most frequent words and `max_bigrams`
-most frequent bigrams (of those that differ from their back-off) are sent to all tasks; if there are more, the words of
-the texts that these decide are joined to the whole tables, with the same scores.
-
-Defined cases: a null or empty text has no words and scores with differences of 0; rows with a null label or id do not
-train; several labels of one document count as toxic if one is; without rows of both classes every score is the share of
-toxic labels (0 without labels). Repeated rows are scored one by one; extra columns are carried by `score`.
+"""Toxicity by class-conditional Kneser-Ney models of the letters of words.
+
+For each class (toxic, ordinary) the bytes of words are modelled with the seven bytes before them in the word (a boundary
+stands before and behind each word). With h the bytes before, h' the same without the first, and a the next byte:
+
+    p_c(a | h) = max(c_c(ha) - D_c, 0) / c_c(h.) + D_c N_c(h.) / c_c(h.) p(a | h')       of the class's counts
+    p(a | h)   = max(N(.ha) - D, 0) / N(.h.) + D N(h.) / N(.h.) p(a | h')                shared by both classes
+
+N(.ha) is the number of different bytes (or boundaries) seen before ha, in both classes together, N(h.) that of different
+bytes behind h; p ends in 1/256 for each byte. A class that never saw h takes p(a | h'). The discounts come from counts
+of counts, n1 / (n1 + 2 n2), for each class and each length. So an expression that a class has rarely or never seen falls
+back on continuation counts that both share, and new forms of a word are judged by what they begin with.
+
+A word's difference d is its log-likelihood under the toxic model less that under the ordinary one. Toxic texts are mostly
+ordinary words: with a share s of their words toxic, a text's length-normalised log-likelihood exceeds the ordinary one by
+the mean of log(1 - s + s exp(d)) over its words. That mean is the text's only feature. With s = 1 it is the plain
+comparison of the two models, in which the many ordinary words' differences drown the few toxic words' (README has the
+figures); s is one of SHARES, chosen like the curve that makes the mean a score: by the loss on calibration rows.
+
+Calibration rows are a fifth of the labelled rows by a hash of their id, `max_calibration` of them at most; all other
+labelled rows are counted. The score 0.5 stands where the F1 of the calibration rows is greatest. Counts are distributed
+tables of all that the counted rows hold, without bound. Up to `max_held` grams they are sent to all tasks; beyond that
+the corpus's different words are joined to them, and the texts' words to the words' differences.
+
+Defined cases: a null or empty text has no words and a mean of 0; rows with a null label do not train; several labels of
+one document count as toxic if one is; without rows of both classes every score is the share of toxic labels (0 without
+labels), and without calibration rows of both the curve is the plain logistic one. Repeated rows are scored one by one;
+extra columns are carried, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spark import shared_dir, small, small_batches
-from .textscan import ALNUM, LOWER, Words, chunks, ids_of, mix, word_hashes
+from .spark import bitmap, cut, shared_dir, small_batches, texts_in, unused
+from .textscan import ALNUM, LOWER, Words, chunks, ids_of, word_hashes
 
-MAX_WORDS = 1 << 17
-MAX_BIGRAMS = 1 << 19
+ORDER = 8
+BOUNDARY = 0x20
+SHARES = (1.0, 0.1, 0.03, 0.01, 0.003, 0.001)
+MAX_HELD = 6_000_000
 MAX_CALIBRATION = 8_000
-DISCOUNT = 0.75
-EXCESS = (1.0, 2.5)
-DISCOUNTS = (1.0, 8.0, 32.0, 128.0, 512.0)
+MOST_FREQUENT = 1 << 17
 CLASSES = ("c0", "c1")
-#: In place of a word: the history of a text's first word, and of the rows that count texts by word.
-START, TEXTS = 1, 2
-SLOTS = 1 << 25
-_SUMS = tuple(f"s{j}" for j in range(1 + len(EXCESS)))
+_FLOOR = 1e-3
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray]:
     data = LOWER[data]
     words = Words(data, offsets, ALNUM)
-    return words, word_hashes(data, words).view(np.int64)
+    return data, words, word_hashes(data, words)
 
 
-def _histories(words: Words, hashes: np.ndarray) -> np.ndarray:
-    h = np.empty_like(hashes)
-    h[1:] = hashes[:-1]
-    h[words.first[:-1][words.count > 0]] = START
-    return h
+def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, gram) for each byte of the given words and for their closing boundary: it and up to seven bytes before, the
+    boundary before the word included, as one number with the byte itself lowest."""
+    size = end - start + 1
+    first = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(word)) - first[word]
+    byte = np.append(data, np.uint8(0))[start[word] + place].astype(np.uint64)
+    byte[first + size - 1] = BOUNDARY
+    gram = byte.copy()
+    for k in range(1, ORDER):
+        before = np.zeros_like(byte)
+        before[k:] = byte[:-k]
+        gram |= np.where(place >= k, before, np.where(place == k - 1, np.uint64(BOUNDARY), np.uint64(0))) << np.uint64(8 * k)
+    return word, gram
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one of each distinct pair, and which of these each pair is."""
-    return np.unique(mix(mix(a.view(np.uint64)) + b.view(np.uint64)), return_index=True, return_inverse=True)[1:]
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    both = np.concatenate([p[1] for p in parts])
+    return g, np.stack([np.bincount(at, both[:, c], len(g)) for c in (0, 1)], axis=1)
 
 
-def _counted(h: np.ndarray, w: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
-    one, at = _distinct(h, w)
-    both = np.bincount(at * 2 + toxic, minlength=2 * len(one)).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(w[one]), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["h", "w", *CLASSES])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (text, toxic): (gram, count in each class). Holds some hundred thousand grams of its partition at most."""
 
+    def told(g: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(pa.array(both[:, c].astype(np.int64)) for c in (0, 1))], names=["g", *CLASSES])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (text, toxic): (history, word, count in each class), and with TEXTS as history the texts that have the word."""
+    parts, rows = [], 0
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for row, stop, data, offsets in chunks(batch.column(0)):
-            words, w = _tokens(data, offsets)
-            if len(w):
-                own = words.row()
-                yield _counted(_histories(words, w), w, toxic[row:stop][own])
-                one, _ = _distinct(own, w)
-                yield _counted(np.full(len(one), TEXTS), w[one], toxic[row:stop][own[one]])
+            data, words, hashes = _tokens(data, offsets)
+            _, one, at = np.unique(hashes, return_index=True, return_inverse=True)
+            both = np.bincount(at * 2 + toxic[row:stop][words.row()], minlength=2 * len(one)).reshape(-1, 2)
+            word, g = grams(data, words.start[one], words.end[one])
+            parts.append(_merged([(g, both[word])]))
+            rows += len(parts[-1][0])
+            if rows > 1_000_000:
+                parts = [_merged(parts)]
+                rows = len(parts[0][0])
+                if rows > 500_000:
+                    yield told(*parts[0])
+                    parts, rows = [], 0
+    if parts:
+        yield told(*_merged(parts))
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(h, w, c0, c1) of all words and bigrams of (text, toxic): a distributed table, whatever its size."""
-    return rows.select("text", "toxic").mapInArrow(_count, "h long, w long, c0 long, c1 long").groupBy("h", "w").agg(*(F.sum(c).alias(c) for c in CLASSES))
+    """(g, c0, c1) of all grams of (text, toxic): a distributed table, whatever its size."""
+    return rows.select("text", "toxic").mapInArrow(_count, "g long, c0 long, c1 long").groupBy("g").agg(*(F.sum(c).alias(c) for c in CLASSES))
 
 
-def _stored(df: DataFrame, *order: str) -> DataFrame:
-    """df computed once, in the shared folder; columns of sorted keys and small counts take a fraction of a checkpoint."""
+def _stored(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder; columns of numbers take a fraction of a checkpoint there."""
     path = f"{shared_dir(df.sparkSession)}/toxicity-{uuid.uuid4().hex}"
-    df.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _slots(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (((h.view(np.uint64) >> np.uint64(7)).view(np.int64)) ^ w) & (SLOTS - 1)
+def _before(g: Column) -> Column:
+    """The gram without its last byte."""
+    return F.shiftrightunsigned(g, 8)
+
+
+def _shorter(g: Column) -> Column:
+    """The gram without its first byte."""
+    out = F.lit(0).cast("long")
+    for k in range(1, ORDER):
+        out = F.when(F.shiftrightunsigned(g, 8 * k) != 0, g.bitwiseAND(F.lit((1 << 8 * k) - 1))).otherwise(out)
+    return out
+
+
+def _length(g: Column) -> Column:
+    out = F.lit(1)
+    for k in range(1, ORDER):
+        out = F.when(F.shiftrightunsigned(g, 8 * k) != 0, k + 1).otherwise(out)
+    return out
+
+
+def discount(ones: int, twos: int) -> float:
+    """From how many were counted once and twice; 0.5 if that tells nothing."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def shared(counted: DataFrame) -> DataFrame:
+    """(g, p): the shared probability of the last byte of each gram of one to seven bytes that a counted one falls back on."""
+    g, levels, after = F.col("g"), {}, None
+    for k in range(ORDER - 1, 0, -1):
+        longer = counted.select("g").filter(_length(g) == k + 1)
+        longer = longer if after is None else longer.unionByName(after.select("g"))
+        after = levels[k] = cut(longer.groupBy(_shorter(g).alias("g")).agg(F.count("*").alias("n")))
+    tallies = [levels[k].agg(F.lit(k).alias("k"), F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.count(F.when(F.col("n") == 2, 1)).alias("twos")) for k in levels]
+    every = tallies[0]
+    for t in tallies[1:]:
+        every = every.unionByName(t)
+    free = {r.k: discount(r.ones, r.twos) for r in every.collect()}  # seven rows
+    out, below = None, None
+    for k in range(1, ORDER):
+        own = Window.partitionBy(_before(g))
+        level = levels[k].select("g", "n", F.sum("n").over(own).alias("total"), F.count("*").over(own).alias("kinds"))
+        if below is None:
+            level = level.withColumn("low", F.lit(1 / 256))
+        else:
+            level = level.join(below.select(F.col("g").alias("s"), F.col("p").alias("low")), _shorter(g) == F.col("s"))
+        d = F.lit(free[k])
+        below = cut(level.select("g", ((F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("low")) / F.col("total")).alias("p")))
+        out = below if out is None else out.unionByName(below)
+    return out
+
+
+def differences(counted: DataFrame) -> DataFrame:
+    """(g, value, back): the log-ratio of the toxic and the ordinary probability of each counted gram's last byte, and what
+    it is for a byte that never followed the same bytes before."""
+    n = counted.agg(*(F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in CLASSES for k in (1, 2))).first()
+    g, own = F.col("g"), Window.partitionBy(_before(F.col("g")))
+    t = counted.select("g", *CLASSES, *(F.sum(c).over(own).alias(f"total_{c}") for c in CLASSES), *(F.count(F.when(F.col(c) > 0, 1)).over(own).alias(f"kinds_{c}") for c in CLASSES))
+    t = t.join(shared(counted).select(F.col("g").alias("s"), "p"), _shorter(g) == F.col("s"))
+    p, back = {}, {}
+    for c in CLASSES:
+        d, total = discount(n[f"{c}_1"], n[f"{c}_2"]), F.col(f"total_{c}")
+        back[c] = F.when(total > 0, d * F.col(f"kinds_{c}") / total).otherwise(1.0)
+        p[c] = F.when(total > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / total).otherwise(0.0) + back[c] * F.col("p")
+    return t.select("g", F.log(p["c1"] / p["c0"]).cast("float").alias("value"), F.log(back["c1"] / back["c0"]).cast("float").alias("back"))
+
+
+class Held:
+    """The differences of all counted grams, sorted, for one task."""
+
+    def __init__(self, g: np.ndarray, value: np.ndarray, back: np.ndarray):
+        order = np.argsort(g)
+        self.grams, self.value = g[order], value[order]
+        self.histories, one = np.unique(self.grams >> np.uint64(8), return_index=True)
+        self.back = back[order][one]
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each word's difference."""
+        if not len(start):
+            return np.zeros(0)
+        word, g = grams(data, start, end)
+        g, at = np.unique(g, return_inverse=True)
+        known, history = ids_of(g, self.grams, -1), ids_of(g >> np.uint64(8), self.histories, -1)
+        value = np.where(known >= 0, self.value[known], np.where(history >= 0, self.back[history], 0.0)) if len(self.grams) else np.zeros(len(g))
+        return np.bincount(word, value[at], len(start))
+
+
+def excess(d: np.ndarray, share: float) -> np.ndarray:
+    """What words of difference d add to a text's log-likelihood if so large a share of its words is toxic."""
+    return d if share == 1 else np.log1p(share * np.expm1(np.minimum(d, 60.0)))
+
+
+class Memory:
+    """Words' differences by their hash, of the words met so far in a task; begins anew when there are many."""
+
+    def __init__(self, held: Held, most: int = 1 << 20):
+        self.held, self.most = held, most
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, data: np.ndarray, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differences of the chunk's different words, and which of these each word is."""
+        keys, one, at = np.unique(hashes, return_index=True, return_inverse=True)
+        known = ids_of(keys, self.keys, -1)
+        d = self.values[known] if len(self.keys) else np.zeros(len(keys))
+        new = known < 0
+        if new.any():
+            d[new] = self.held.words(data, words.start[one[new]], words.end[one[new]])
+            if len(self.keys) > self.most:
+                self.keys, self.values = keys, d
+            else:
+                both, values = np.concatenate([self.keys, keys[new]]), np.concatenate([self.values, d[new]])
+                order = np.argsort(both)
+                self.keys, self.values = both[order], values[order]
+        return d, at
+
+
+def _row_sums(words: Words, x: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    return sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """SLOTS bits, those set that the keys (h, w) fall on: loses no key and lets few others pass."""
-    slot = (F.shiftrightunsigned("h", 7).bitwiseXOR(F.col("w"))).bitwiseAND(F.lit(SLOTS - 1)).alias("s")
-    found = keys.select(slot).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, dtype=np.int64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return bits
+class Model:
+    """Differences of grams (held, or as a table), the share of toxic words, and the curve."""
 
+    def __init__(self, held: Held | None, table: DataFrame | None):
+        self.held, self.table = held, table
+        self.share, self.slope, self.bias = SHARES[0], 1.0, 0.0
 
-def _within(bits: np.ndarray | None, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.zeros(len(w), dtype=bool)
-    s = _slots(h, w)
-    return (bits[s >> 6] >> (s & 63)) & 1 == 1
+    def feature(self, mean, log=F.log):
+        """Of a mean at the model's share; a column, or an array with log=numpy.log."""
+        return mean if self.share == 1 else log(mean - math.log1p(-self.share) + _FLOOR)
 
 
-class Model:
-    """Difference of log-probabilities (toxic less ordinary) of words, histories and bigrams; the curve.
-
-    What is held here is sent to all tasks. `tail` has the whole tables if they have more: words (w, word, history) and
-    bigrams (h, w, value); `more_words` and `more_bigrams` then have the bits of what is not held.
-    """
-
-    def __init__(self, words: np.ndarray, word: np.ndarray, history: np.ndarray, bigrams: np.ndarray, bigram: np.ndarray):
-        """words: sorted. word and history have two more places, for unknown words and for the start of a text."""
-        self.words, self.word, self.history, self.bigrams, self.bigram = words, word, history, bigrams, bigram
-        self.curve = np.append(np.ones(1 + len(EXCESS)), 0.0)
-        self.tail: tuple[DataFrame, DataFrame] | None = None
-        self.more_words: np.ndarray | None = None
-        self.more_bigrams: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"tail": None}
-
-    def values(self, words: Words, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word (w: positions in the vocabulary): the difference, its history's position, and whether a bigram was met."""
-        unknown = len(self.words)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[words.first[:-1][words.count > 0]] = unknown + 1
-        value = self.history[h] + self.word[w]
-        met = np.zeros(len(w), dtype=bool)
-        if len(self.bigrams):
-            key = h * (unknown + 2) + w
-            at = np.searchsorted(self.bigrams, key)
-            at[at == len(self.bigrams)] = 0
-            met = self.bigrams[at] == key
-            value = np.where(met, self.bigram[at], value)
-        return value, h, met
-
-    def open(self, words: Words, hashes: np.ndarray, w: np.ndarray, h: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which words' differences depend on the tail, and whether through the history's value and the word's."""
-        before = _histories(words, hashes)
-        texts = np.full(len(w), TEXTS)
-        word = (w == len(self.words)) & _within(self.more_words, texts, hashes)
-        history = (h == len(self.words)) & _within(self.more_words, texts, before)
-        return word | history | ~met & _within(self.more_bigrams, before, hashes), history, word
-
-    @staticmethod
-    def sums(words: Words, value: np.ndarray) -> np.ndarray:
-        """Per row: the sum of the differences, and of what exceeds each of EXCESS."""
-        out = []
-        for x in (value, *(np.maximum(value - e, 0) for e in EXCESS)):
-            sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-            out.append(sums[words.first[1:]] - sums[words.first[:-1]])
-        return np.stack(out)
-
-    def differences(self, words: Words, w: np.ndarray) -> np.ndarray:
-        """Per row, over its words: mean difference, and means of what exceeds EXCESS."""
-        return self.sums(words, self.values(words, w)[0]) / np.maximum(words.count, 1)
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -60, 60)))
-
-
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by damped Newton steps on standardised columns, with a weak pull to 0: weights, then bias."""
-    centre, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope and bias of a logistic curve, by damped Newton steps with a weak pull to 0, and its loss."""
+    centre, spread = x.mean(), x.std() or 1.0
     z = np.column_stack([(x - centre) / spread, np.ones(len(x))])
-    a = np.zeros(z.shape[1])
+    a = np.zeros(2)
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -40, 40)))
-        gradient = z.T @ (p - y) + 1e-2 * a
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(a))
-        step = np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * a)
         a -= step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-9:
             break
-    return np.append(a[:-1] / spread, a[-1] - (a[:-1] * centre / spread).sum())
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ a, -40, 40))), 1e-12, 1 - 1e-12)
+    return a[0] / spread, a[1] - a[0] * centre / spread, -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
 
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The value between two of x from which on counting as toxic has the greatest F1."""
+    order = np.argsort(-x, kind="stable")
+    x, right = x[order], np.cumsum(y[order])
+    f1 = 2 * right / (np.arange(1, len(x) + 1) + y.sum())
+    f1[:-1][x[:-1] == x[1:]] = -1  # equal values go together
+    k = int(f1.argmax())
+    return float((x[k] + x[min(k + 1, len(x) - 1)]) / 2)
 
-def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", split_col: str = "doc_id", max_words: int = MAX_WORDS, max_bigrams: int = MAX_BIGRAMS, max_calibration: int = MAX_CALIBRATION, discounts: tuple[float, ...] = DISCOUNTS) -> Model | float:
+
+def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "toxic", split_col: str = "doc_id", max_held: int = MAX_HELD, max_calibration: int = MAX_CALIBRATION) -> Model | float:
     """A model from labelled rows, or the share of toxic labels if a class is missing."""
     rows = rows.select(F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.xxhash64(F.col(split_col).cast("string"), F.lit(7)).alias("draw")).filter("toxic is not null")
-    train, held = rows.filter("pmod(draw, 5) <> 0"), rows.filter("pmod(draw, 5) = 0")
-    tables = Tables(_stored(counts(train), "h", "w"), discounts)
-    if not tables.both:
-        return tables.share["c1"]
-    last = held.select("draw").orderBy("draw").limit(max_calibration).agg(F.max("draw")).first()[0]  # of draws alone: no texts are gathered
-    sample = held.filter(F.col("draw") <= F.lit(last)).select("text", "toxic")
-    models = tables.over(_stored(counts(sample).select("h", "w"), "h", "w"))
-    seen = score_differences(sample, models).toArrow()
-    y = seen.column("toxic").to_numpy().astype(float)
+    fifth = F.pmod("draw", F.lit(5)) == 0
+    last = rows.filter(fifth).select("draw").distinct().orderBy("draw").limit(max_calibration).agg(F.max("draw")).first()[0]  # of draws alone
+    aside = fifth & (F.col("draw") <= F.lit(last)) if last is not None else F.lit(False)
+    classes = rows.filter(~aside).agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("c0"), F.count(F.when(F.col("toxic") == 1, 1)).alias("c1")).first()
+    if not classes.c0 or not classes.c1:
+        return classes.c1 / max(1, classes.c0 + classes.c1)
+    model = _held(_stored(differences(_stored(counts(rows.filter(~aside))))), max_held)
+    told = means(rows.filter(aside), model, SHARES, "text", "m").groupBy("draw").agg(F.max("toxic").alias("toxic"), *(F.first(f"m_{k}").alias(f"m_{k}") for k in range(len(SHARES)))).toArrow()
+    y, best = told.column("toxic").to_numpy().astype(float), None
     if len(set(y)) < 2:
-        return tables.model(0, False, max_words, max_bigrams)
-    best = None
-    for k, model in enumerate(models):
-        x = np.column_stack([seen.column(f"difference_{k}_{j}").to_numpy() for j in range(1 + len(EXCESS))])
-        model.curve = _fit_curve(x, y)
-        p = np.clip(model.probability(x), 1e-12, 1 - 1e-12)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        return model
+    for k, share in enumerate(SHARES):
+        model.share = share
+        x = model.feature(told.column(f"m_{k}").to_numpy(), np.log)
+        slope, bias, loss = fit_curve(x, y)
         if best is None or loss < best[0]:
-            best = loss, k, model.curve
-    loss, k, curve = best
-    model = tables.model(k // 2, k % 2 == 1, max_words, max_bigrams)
-    model.curve, model.loss = curve, loss
+            best = loss, share, slope, -slope * best_cut(x, y) if slope > 0 else bias
+    model.loss, model.share, model.slope, model.bias = best
     return model
 
 
-class Tables:
-    """What the models need of counts (h, w, c0, c1), as distributed tables: bigrams, and a row for each word or history."""
-
-    def __init__(self, counted: DataFrame, discounts: tuple[float, ...]):
-        self.discounts, text = discounts, F.col("h") == TEXTS
-        self.pairs = counted.filter(~text)
-        sums = counted.agg(*(F.coalesce(F.sum(F.when(text, F.col(c))), F.lit(0)).alias(c) for c in CLASSES), F.count(F.when(text, 1)).alias("size"), F.count(F.when(~text, 1)).alias("kinds")).first()
-        self.mass, self.size, self.kinds = {c: float(sums[c]) for c in CLASSES}, sums["size"], sums["kinds"]
-        self.both = all(self.mass.values())
-        self.share = {c: self.mass[c] / max(1.0, sum(self.mass.values())) for c in CLASSES}
-        if self.both:
-            words = counted.groupBy("w").agg(*(F.coalesce(F.sum(F.when(text, F.col(c))), F.lit(0)).alias(f"own_{c}") for c in CLASSES), F.count(F.when(~text, 1)).alias("n"))
-            free = (F.sum(F.least(F.col(c).cast("double"), F.lit(d * self.share[c]))).alias(f"{c}_{k}") for c in CLASSES for k, d in enumerate(discounts))
-            given = self.pairs.groupBy(F.col("h").alias("w")).agg(*(F.sum(c).alias(c) for c in CLASSES), *free)
-            self.words = _stored(words.join(given, "w", "full").na.fill(0), "w")
-            names = {(c, k): f"free_{c}_{k}" for c in CLASSES for k in range(len(discounts))}
-            row = self.words.agg(*(F.sum(F.least(F.col(f"own_{c}").cast("double"), F.lit(discounts[k] * self.share[c]))).alias(x) for (c, k), x in names.items())).first()
-            self.free = {ck: row[x] / self.mass[ck[0]] for ck, x in names.items()}
-
-    def _word(self, own: dict, n, most) -> list:
-        """Per discount: the words' probabilities in each class. Over arrays or columns, by the given maximum."""
-        shared = most(n - DISCOUNT, 0.0) / self.kinds + DISCOUNT * self.size / self.kinds / (self.size + 1)
-        return [[most(own[c] - d * self.share[c], 0.0) / self.mass[c] + self.free[c, k] * shared for c in CLASSES] for k, d in enumerate(self.discounts)]
-
-    def over(self, wanted: DataFrame) -> list[Model]:
-        """For each discount a model of words and one of bigrams, as far as the words and bigrams of a sample need it."""
-        names = wanted.select("w").distinct().unionByName(wanted.sparkSession.createDataFrame([(START,)], "w long"))
-        words = self.words.join(names, "w", "left_semi").toArrow().to_pandas().sort_values("w")
-        bits = wanted.sparkSession.sparkContext.broadcast(_bits(wanted))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_within(bits.value, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
-
-        pairs = self.pairs.select("h", "w", *CLASSES).mapInArrow(near, "h long, w long, c0 long, c1 long").join(wanted, ["h", "w"], "left_semi").toArrow().to_pandas()
-        start, words = words[words["w"] == START], words[words["w"] != START]
-        size, vocabulary = len(words), words["w"].to_numpy()
-        column = lambda c: np.concatenate([words[c].to_numpy(dtype=float), [0.0], start[c].to_numpy(dtype=float) if len(start) else [0.0]])
-        word = self._word({c: column(f"own_{c}") for c in CLASSES}, column("n"), np.maximum)
-        h, w = np.where(pairs["h"] == START, size + 1, ids_of(pairs["h"].to_numpy(), vocabulary, size)), ids_of(pairs["w"].to_numpy(), vocabulary, size)
-        key = h * (size + 2) + w
-        order = np.argsort(key)
-        models = []
-        for k, (d, p) in enumerate(zip(self.discounts, word, strict=True)):
-            total = [column(c) for c in CLASSES]
-            back = [np.where(t > 0, column(f"{c}_{k}") / np.maximum(t, 1), 1.0) for c, t in zip(CLASSES, total, strict=True)]
-            grams = [np.maximum(pairs[c].to_numpy() - d * self.share[c], 0) / np.maximum(t[h], 1) + b[h] * q[w] for c, t, b, q in zip(CLASSES, total, back, p, strict=True)]
-            models += [Model(vocabulary, _ratio(p), np.zeros(size + 2, np.float32), key[:0], _ratio(grams)[:0]), Model(vocabulary, _ratio(p), _ratio(back), key[order], _ratio(grams)[order])]
-        return models
-
-    def model(self, k: int, bigrams: bool, max_words: int, max_bigrams: int) -> Model:
-        """The whole model of the k-th discount. Up to max_words of the most frequent words and max_bigrams of the most
-        frequent bigrams are held and sent to all tasks; if there are more, these are left in its tail.
-
-        A bigram that neither class has more often than its discount has the value of its back-off, so needs no row."""
-        d, ratio = self.discounts[k], lambda x: (F.log(x[1]) - F.log(x[0])).cast("float")
-        p = self._word({c: F.col(f"own_{c}") for c in CLASSES}, F.col("n"), lambda a, b: F.greatest(a, F.lit(b)))[k]
-        back = [F.when(F.col(c) > 0, F.col(f"{c}_{k}") / F.col(c)).otherwise(F.lit(1.0)) for c in CLASSES]
-        every = self.words.select("w", (F.col("own_c0") + F.col("own_c1")).alias("many"), ratio(p).alias("word"), (ratio(back) if bigrams else F.lit(0.0).cast("float")).alias("history"), *(x.alias(f"p_{c}") for c, x in zip(CLASSES, p, strict=True)), *(x.alias(f"back_{c}") for c, x in zip(CLASSES, back, strict=True)), *(F.col(c).alias(f"total_{c}") for c in CLASSES))
-        words = every.filter(F.col("w") != START).select("w", "many", "word", "history")
-        held = words.orderBy(F.desc("many"), "w").limit(max_words).toArrow().to_pandas().sort_values("w")
-        vocabulary, size = held["w"].to_numpy(), len(held)
-        start = every.filter(F.col("w") == START).select("history").first()
-        unknown = _ratio([np.array([x]) for x in self._word({c: 0.0 for c in CLASSES}, 0.0, max)[k]])
-        word = np.concatenate([held["word"].to_numpy(np.float32), unknown, [0.0]]).astype(np.float32)
-        history = np.concatenate([held["history"].to_numpy(np.float32), [0.0, start[0] if start else 0.0]]).astype(np.float32)
-        key, value, n, grams = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, None
-        if bigrams:
-            over = [F.col(c) > F.lit(d * self.share[c]) for c in CLASSES]
-            grams = self.pairs.filter(over[0] | over[1]).withColumns({f"n_{c}": F.col(c) for c in CLASSES}).select("h", "w", "n_c0", "n_c1")
-            grams = grams.join(small(every.select(F.col("w").alias("h"), "back_c0", "back_c1", "total_c0", "total_c1"), 500_000), "h").join(small(every.select("w", "p_c0", "p_c1"), 500_000), "w")
-            grams = grams.select("h", "w", (F.col("n_c0") + F.col("n_c1")).alias("many"), ratio([F.greatest(F.col(f"n_{c}") - d * self.share[c], F.lit(0.0)) / F.greatest(F.col(f"total_{c}"), F.lit(1)) + F.col(f"back_{c}") * F.col(f"p_{c}") for c in CLASSES]).alias("value"))
-            grams = _stored(grams, "h", "w")
-            n = grams.count()
-            top = grams.orderBy(F.desc("many"), "h", "w").limit(max_bigrams).toArrow().to_pandas()
-            h, w = np.where(top["h"] == START, size + 1, ids_of(top["h"].to_numpy(), vocabulary, size)), ids_of(top["w"].to_numpy(), vocabulary, size)
-            near = (h != size) & (w != size)
-            key, value = (h * (size + 2) + w)[near], top["value"].to_numpy(np.float32)[near]
-            order = np.argsort(key)
-            key, value = key[order], value[order]
-        model = Model(vocabulary, word, history, key, value)
-        if self.size > size:
-            model.more_words = _bits(words.select(F.lit(TEXTS).cast("long").alias("h"), "w"))
-        if n > len(key):
-            model.more_bigrams = _bits(grams)
-        if self.size > size or n > len(key):
-            model.tail = words.select("w", "word", "history"), grams.select("h", "w", "value") if n > len(key) else None
-        return model
-
+def _held(table: DataFrame, max_held: int) -> Model:
+    if table.count() > max_held:
+        return Model(None, table)
+    t = table.toArrow()
+    return Model(Held(*(t.column(k).to_numpy() if k else t.column(0).to_numpy().view(np.uint64) for k in range(3))), None)
 
-def _ratio(x: list[np.ndarray]) -> np.ndarray:
-    return (np.log(np.maximum(x[1], 1e-300)) - np.log(np.maximum(x[0], 1e-300))).astype(np.float32)
 
+def means(rows: DataFrame, model: Model, shares: Sequence[float], text_col: str, name: str) -> DataFrame:
+    """rows without the text, with name_0, ...: the mean excess of its words at each share."""
+    return _by_held(rows, model.held, shares, text_col, name) if model.table is None else _by_table(rows, model.table, shares, text_col, name)
 
-def _with_tail(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
-    """score_differences of one model whose tail is not held. A row's held part is added up in one scan; the words that
-    the tail decides go by the hash of their text in another, are joined to the whole tables, and are added per text."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    rest, unknown = [c for c in rows.columns if c != text_col], float(model.word[len(model.words)])
-    keyed = rows.select(*rest, F.xxhash64(text_col).alias("__a"), F.col(text_col).alias("__text"))
 
-    def scanned(batch: pa.RecordBatch):
-        model = held.value
-        for row, stop, data, offsets in chunks(batch.column(batch.schema.get_field_index("__text"))):
-            words, hashes = _tokens(data, offsets)
-            w = ids_of(hashes, model.words, len(model.words))
-            value, h, met = model.values(words, w)
-            yield row, stop, words, hashes, w, h, value, *model.open(words, hashes, w, h, met)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.zeros((2 + len(_SUMS), 0))]
-            for _, _, words, _, _, _, value, far, _, _ in scanned(batch):
-                sums = np.where(far, 0, np.stack([value, *(np.maximum(value - e, 0) for e in EXCESS)])) if len(value) else np.zeros((len(_SUMS), 0))
-                total = np.concatenate([np.zeros((len(_SUMS) + 1, 1)), np.cumsum(np.vstack([sums, far]), axis=1, dtype=np.float64)], axis=1)
-                parts.append(np.vstack([total[:, words.first[1:]] - total[:, words.first[:-1]], words.count]))
-            *sums, far, count = np.concatenate(parts, axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in (*rest, "__a")), *(pa.array(x) for x in (*sums, far, count))], names=[*rest, "__a", *(f"__{x}" for x in _SUMS), "__far", "__count"])
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = batch.column(0).to_numpy()
-            for row, _, words, hashes, w, h, _, far, history, word in scanned(batch):
-                own = row + words.row()[far]
-                known = [pa.array(v[i[far]], mask=m[far]) for v, i, m in ((held.value.history, h, history), (held.value.word, w, word))]
-                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(_histories(words, hashes)[far]), pa.array(hashes[far]), *known], names=["a", "h", "w", "hv", "wv"])
-
-    schema = keyed.drop("__text").schema
-    for x in (*(f"__{x}" for x in _SUMS), "__far", "__count"):
-        schema = schema.add(x, "double")
-    words, grams = model.tail
-    far = keyed.select("__a", "__text").mapInArrow(apart, "a long, h long, w long, hv float, wv float")
-    if grams is not None:
-        far = far.join(grams, ["h", "w"], "left")
-    else:
-        far = far.withColumn("value", F.lit(None).cast("float"))
-    if model.more_words is not None:
-        other = F.xxhash64("h", "w")  # spreads what needs no look-up
-        words = small(words, 500_000)
-        sure = F.col("value").isNotNull() | F.col("hv").isNotNull() & F.col("wv").isNotNull()
-        rare = far.filter(~sure).withColumns({"hk": F.when(F.col("hv").isNull(), F.col("h")).otherwise(other), "wk": F.when(F.col("wv").isNull(), F.col("w")).otherwise(other)})
-        rare = rare.join(words.select(F.col("w").alias("hk"), "history"), "hk", "left").join(words.select(F.col("w").alias("wk"), "word"), "wk", "left")
-        rare = rare.withColumns({"hv": F.coalesce("hv", "history"), "wv": F.coalesce("wv", "word")})
-        far = far.filter(sure).select("a", "value", "hv", "wv").unionByName(rare.select("a", "value", "hv", "wv"))
-    value = F.coalesce(F.col("value"), F.coalesce("hv", F.lit(0.0).cast("float")) + F.coalesce("wv", F.lit(unknown).cast("float")))
-    x = F.col("x").cast("double")
-    far = far.select("a", value.alias("x")).repartition("a").groupBy("a").agg(F.count("*").alias("m"), *(F.sum(v).alias(y) for y, v in zip(_SUMS, (x, *(F.greatest(x - e, F.lit(0.0)) for e in EXCESS)), strict=True)))
-    both = keyed.mapInArrow(near, schema).join(far, F.col("__a") == F.col("a"), "left")
-    mean = lambda x: (F.col(f"__{x}") + F.coalesce(F.col(x) * F.col("__far") / F.col("m"), F.lit(0.0))) / F.greatest("__count", F.lit(1.0))
-    return both.select(*(F.col(c) for c in rest), *(mean(x).alias(f"{name}_0_{j}") for j, x in enumerate(_SUMS)))
-
-
-def score_differences(rows: DataFrame, models: list[Model], text_col: str = "text", name: str = "difference") -> DataFrame:
-    """rows with each model's mean difference of log-likelihoods per word in place of the text."""
-    if len(models) == 1 and models[0].tail is not None:
-        return _with_tail(rows, models[0], text_col, name)
-    held = rows.sparkSession.sparkContext.broadcast(models)
-    rest = [c for c in rows.columns if c != text_col]
-    schema, names = rows.select(*rest).schema, [f"{name}_{k}_{j}" for k in range(len(models)) for j in range(1 + len(EXCESS))]
+def _by_held(rows: DataFrame, held: Held, shares: Sequence[float], text_col: str, name: str) -> DataFrame:
+    sent, at = rows.sparkSession.sparkContext.broadcast(held), rows.columns.index(text_col)
+    rest = [k for k in range(len(rows.columns)) if k != at]
+    names = [f"{name}_{k}" for k in range(len(shares))]
+    schema = rows.drop(text_col).schema
     for x in names:
         schema = schema.add(x, "double")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(sent.value)
         for batch in batches:
-            parts = [np.zeros((len(names), 0))]
-            for _, _, data, offsets in chunks(batch.column(batch.schema.get_field_index(text_col))):
-                words, hashes = _tokens(data, offsets)
-                w = ids_of(hashes, held.value[0].words, len(held.value[0].words))
-                parts.append(np.concatenate([model.differences(words, w) for model in held.value]))
+            parts = [np.zeros((len(shares), 0))]
+            for _, _, data, offsets in chunks(batch.column(at)):
+                data, words, hashes = _tokens(data, offsets)
+                d, which = memory.of(data, words, hashes)
+                parts.append(np.stack([_row_sums(words, excess(d, s)[which]) for s in shares]) / np.maximum(words.count, 1))
             values = np.concatenate(parts, axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), *(pa.array(x, pa.float64()) for x in values)], names=[*rest, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(x) for x in values)], names=[*schema.names])
 
     return rows.mapInArrow(scan, schema)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (text): each chunk's different words (hash, word, occurrences)."""
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column(0)):
+            data, words, hashes = _tokens(data, offsets)
+            keys, one, n = np.unique(hashes, return_index=True, return_counts=True)
+            said = [data[a:b].tobytes() for a, b in zip(words.start[one].tolist(), words.end[one].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(said, pa.binary()), pa.array(n)], names=["w", "word", "n"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (w, word): (w, gram)."""
+    for batch in batches:
+        w, at = batch.column(0).to_numpy(), 0
+        for row, stop, data, offsets in chunks(batch.column(1)):
+            word, g = grams(data, offsets[:-1], offsets[1:])
+            for at in range(0, len(g), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(w[row:stop][word[at : at + (1 << 20)]]), pa.array(g[at : at + (1 << 20)].view(np.int64))], names=["w", "g"])
+
+
+def _by_table(rows: DataFrame, table: DataFrame, shares: Sequence[float], text_col: str, name: str) -> DataFrame:
+    """The same means when the grams are more than a task holds. The corpus's different words get their differences by a
+    join of their grams. The most frequent words' are sent to all tasks and added up in one scan; the others are joined to
+    the words of each text, which go by the text's digest. Equal texts have equal means of these, however many they are."""
+    words = rows.select(text_col).mapInArrow(_met, "w long, word binary, n long").groupBy("w").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    words = _stored(words)
+    spelled = words.select("w", "word").mapInArrow(_spelled, "w long, g long").withColumn("h", _before(F.col("g")))
+    backs = table.groupBy(_before(F.col("g")).alias("h")).agg(F.first("back").alias("back"))
+    found = spelled.join(table.select("g", "value"), "g", "left").join(backs, "h", "left")
+    d = found.groupBy("w").agg(F.sum(F.coalesce(F.col("value"), F.col("back"), F.lit(0.0)).cast("double")).alias("d"))
+    d = _stored(words.select("w", "n").join(d, "w"))
+    top = d.orderBy(F.desc("n"), "w").limit(MOST_FREQUENT).toArrow()
+    order = np.argsort(top.column("w").to_numpy().view(np.uint64))
+    sent = rows.sparkSession.sparkContext.broadcast((top.column("w").to_numpy().view(np.uint64)[order], np.append(top.column("d").to_numpy()[order], 0.0)))
+    digest, own, far, count = unused(rows, "digest", "own", "far", "count")
+    at, rest = rows.columns.index(text_col), [k for k, c in enumerate(rows.columns) if c != text_col]
+    sums = unused(rows, *(f"sum{k}" for k in range(len(shares))))
+    schema = rows.drop(text_col).schema.add(digest, "string")
+    for x in (*sums, far, count):
+        schema = schema.add(x, "double")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.zeros((len(shares) + 2, 0))]
+            for _, _, data, offsets in chunks(batch.column(at)):
+                _, words, hashes = _tokens(data, offsets)
+                k = ids_of(hashes, sent.value[0], -1)
+                some = k >= 0
+                d = sent.value[1][k]  # 0 behind the last one
+                parts.append(np.stack([*(_row_sums(words, np.where(some, excess(d, s), 0.0)) for s in shares), _row_sums(words, ~some), words.count.astype(float)]))
+            values = np.concatenate(parts, axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), batch.column(batch.num_columns - 1), *(pa.array(x) for x in values)], names=schema.names)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, offsets in chunks(batch.column(1)):
+                _, words, hashes = _tokens(data, offsets)
+                some = ids_of(hashes, sent.value[0], -1) < 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + words.row()[some])), pa.array(hashes[some].view(np.int64))], names=["a", "w"])
+
+    keyed = rows.withColumn(digest, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    other = keyed.select(F.col(digest).alias("a"), text_col).mapInArrow(apart, "a string, w long").groupBy("a", "w").agg(F.count("*").alias("n")).join(d.select("w", "d"), "w")
+    value = lambda s: F.col("d") if s == 1 else F.log1p(F.lit(s) * F.expm1(F.least(F.col("d"), F.lit(60.0))))
+    tails = unused(rows, *(f"tail{k}" for k in range(len(shares))))
+    other = other.groupBy(F.col("a").alias(own)).agg(*((F.sum(F.col("n") * value(s)) / F.sum("n")).alias(t) for s, t in zip(shares, tails, strict=True)))
+    both = keyed.select(*rows.columns, digest).mapInArrow(near, schema).join(other, F.col(digest) == F.col(own), "left")
+    mean = lambda x, t: (F.col(x) + F.coalesce(F.col(t) * F.col(far), F.lit(0.0))) / F.greatest(F.col(count), F.lit(1.0))
+    return both.select(*(c for c in rows.columns if c != text_col), *(mean(x, t).alias(f"{name}_{k}") for k, (x, t) in enumerate(zip(sums, tails, strict=True))))
+
+
 def score(rows: DataFrame, model: Model | float, text_col: str = "text", name: str = "score") -> DataFrame:
-    """rows without the text, with the probability that the text is toxic."""
+    """rows without the text, with the score of each text."""
     if isinstance(model, float):
         return rows.drop(text_col).withColumn(name, F.lit(model))
-    raw, (*weights, bias) = [f"{name}_0_{j}" for j in range(1 + len(EXCESS))], model.curve.tolist()
-    z = sum((F.lit(w) * F.col(c) for w, c in zip(weights, raw, strict=True)), F.lit(bias))
+    rest = [c for c in rows.columns if c != text_col]
+    mean = unused(rows, "mean")[0]
+    z = F.lit(float(model.slope)) * model.feature(F.col(f"{mean}_0")) + F.lit(float(model.bias))
     z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))
-    return score_differences(rows, [model], text_col, name).withColumn(name, 1 / (1 + F.exp(-z))).drop(*raw)
+    return means(rows, model, (model.share,), text_col, mean).select(*rest, (1 / (1 + F.exp(-z))).alias(name))
 
 
 def kept(rows: DataFrame, model: Model | float, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """rows, with all their columns, that score below the threshold."""
-    again = rows.withColumn("__text", F.col(text_col))
-    return score(again, model, "__text", "__score").filter(F.col("__score") < threshold).select(*rows.columns)
+    text, value = unused(rows, "scanned", "score")
+    return score(rows.withColumn(text, F.col(text_col)), model, text, value).filter(F.col(value) < threshold).select(*rows.columns)
 
 
-def crc_fold(column: str = "doc_id", folds: int = 5):
+def crc_fold(column: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-def labelled(documents: DataFrame, labels: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, text, toxic of the labelled documents outside the held-out fold. Labels are sent to all tasks if few."""
+def labelled(documents: DataFrame, labels: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """doc_id, text, toxic of the labelled documents outside the held-out fold. Up to `max_rows` labels (12 bytes each) are
+    sent to all tasks; beyond that, the texts that may have one meet them in a shuffle."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_fold() != 0)
-    return documents.select("doc_id", "text").join(small(marks, max_rows), "doc_id")
+    docs = documents.select("doc_id", "text")
+    if marks.limit(max_rows + 1).count() <= max_rows:
+        return docs.join(F.broadcast(marks), "doc_id")
+    near = texts_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), bitmap(marks.select(F.col("doc_id").cast("long").alias("id"))))
+    return near.withColumnRenamed("id", "doc_id").join(marks, "doc_id")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

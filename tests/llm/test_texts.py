@@ -3,10 +3,12 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import urllib.parse
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -408,21 +410,72 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert toxicity.fit(train.limit(0)) == 0.0
 
 
-@pytest.mark.parametrize("discounts", [(1.0,), toxicity.DISCOUNTS])
-def test_toxicity_scores_do_not_depend_on_what_is_held(spark, discounts):
+def brute_differences(rows):
+    """Words' differences by dictionaries: the formulas of the docstring."""
+    spell = lambda w: (lambda b: [b[max(0, i - 7) : i + 1] for i in range(1, len(b))])(b" " + w.encode() + b" ")
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER))
+    c = [Counter(), Counter()]
+    for t, y in rows:
+        for w in tokens(t):
+            c[y].update(spell(w))
+    discount = lambda values: (lambda n: n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5)(Counter(values))
+    every, follow = set(c[0]) | set(c[1]), {}
+    for k in range(7, 0, -1):
+        follow[k] = Counter(g[1:] for g in [g for g in every if len(g) == k + 1] + list(follow.get(k + 1, ())))
+    low = {}
+    for k in range(1, 8):
+        total, kinds, d = Counter(), Counter(), discount(follow[k].values())
+        for g, n in follow[k].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        for g, n in follow[k].items():
+            low[g] = (max(n - d, 0) + d * kinds[g[:-1]] * (low[g[1:]] if k > 1 else 1 / 256)) / total[g[:-1]]
+    d, total, kinds = [discount(x.values()) for x in c], [Counter(), Counter()], [Counter(), Counter()]
+    for y in (0, 1):
+        for g, n in c[y].items():
+            total[y][g[:-1]] += n
+            kinds[y][g[:-1]] += 1
+
+    def difference(word):
+        out = 0.0
+        for g in spell(word):
+            h = g[:-1]
+            back = [d[y] * kinds[y][h] / total[y][h] if total[y][h] else 1.0 for y in (0, 1)]
+            if g in every:
+                p = [(max(c[y][g] - d[y], 0) / total[y][h] if total[y][h] else 0) + back[y] * low[g[1:]] for y in (0, 1)]
+                out += math.log(p[1] / p[0])
+            else:
+                out += math.log(back[1] / back[0])
+        return out
+
+    return difference, tokens
+
+
+def test_toxicity_matches_dictionaries(spark, monkeypatch):
+    """Held grams and joined ones, at every share; copies, nulls and clashing names; all words or few of them frequent."""
     rng = random.Random(10)
-    rows = []
-    for k in range(500):
-        w = words_in(rng, rng.randrange(10, 40), 300)
-        if k % 3 == 0:
-            w[rng.randrange(1, len(w))] = rng.choice(["vile", "nasty"])
-            w[0] = f"rare{k // 6}"
-        rows.append((k, " ".join(w), int(k % 3 == 0)))
-    docs = spark.createDataFrame(rows + [(None, "", 0), (7, "rare1 never vile", 1), (7, "rare1 never vile", 1)], "doc_id long, text string, toxic int")
-    whole = toxicity.fit(docs, discounts=discounts)
-    few = toxicity.fit(docs, discounts=discounts, max_words=20, max_bigrams=5)
-    assert whole.tail is None and few.tail is not None
-    want, got = (sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs.select("doc_id", "text"), m).collect()) for m in (whole, few))
-    assert len(got) == len(rows) + 3
-    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-5)
-    assert toxicity.kept(docs, few).count() == toxicity.kept(docs, whole).count()
+    rows = [(k, " ".join([*words_in(rng, rng.randrange(5, 30), 60), *(["vile" + rng.choice("abc")] * (k % 3 == 0))]), int(k % 3 == 0)) for k in range(120)]
+    train = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
+    table = toxicity.differences(toxicity.counts(train)).cache()
+    difference, tokens = brute_differences([(t, y) for _, t, y in rows])
+    texts = [t for _, t, _ in rows[:40]] + [rows[1][1]] * 5 + [None, "", "vilea vilez never-met wörter", "!" * 9, "x" * 5000]
+    docs = spark.createDataFrame([(k, t, k, None if k % 2 else 1.0) for k, t in enumerate(texts)], "doc_id int, text string, digest int, far double")
+    want = []
+    for t in texts:
+        ds = [difference(w) for w in tokens(t)]
+        want.append([np.mean([x if s == 1 else math.log1p(s * math.expm1(min(x, 60))) for x in ds]) if ds else 0.0 for s in toxicity.SHARES])
+    for most_held, frequent in ((10**9, 10**6), (0, 10**6), (0, 20), (0, 0)):
+        monkeypatch.setattr(toxicity, "MOST_FREQUENT", frequent)
+        got = toxicity.means(docs, toxicity._held(table, most_held), toxicity.SHARES, "text", "m").collect()
+        assert sorted(r.doc_id for r in got) == list(range(len(texts))) and all(r.digest == r.doc_id for r in got)
+        for r in got:
+            assert np.allclose([r[f"m_{k}"] for k in range(len(toxicity.SHARES))], want[r.doc_id], rtol=1e-4, atol=1e-4), r
+
+
+def test_toxicity_labels_in_a_shuffle(spark):
+    docs = spark.createDataFrame([(k, f"w{k}") for k in range(30)] + [(None, "n"), (3, "again")], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 30, 3)] + [(3, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, toxicity.labelled(docs, labels, m).collect())) for m in (100, 0)]
+    assert got[0] == got[1] and len([r for r in got[0] if r[0] == 3]) in (0, 2)
+
+
