@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .series import spread
+
 DAY = ("userid", "date")
 DEFAULT = 70  # Fixed value: what the sensor reports when it has no reading.
 
@@ -20,6 +22,12 @@ def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("__i", F.row_number().over(w.orderBy("time", "value"))).withColumn("__n", F.count(F.lit(1)).over(w))
 
 
+def _from_here(keys: Sequence[str]) -> WindowSpec:
+    """A row and all after it, as a running frame of the reversed order (a frame that follows without bound is computed anew
+    for each row)."""
+    return Window.partitionBy(*keys).orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def _done(df: DataFrame, drop) -> DataFrame:
     return df.filter(~F.coalesce(drop, F.lit(False))).drop(*(c for c in df.columns if c.startswith("__")))
 
@@ -59,7 +67,7 @@ def drop_jump_islands(df: DataFrame, keys: Sequence[str] = DAY, percent: float =
     jump = (change * 100 / F.nullif(F.col("value"), F.lit(0.0)) >= percent) | (F.col("value") == 0) & (change > 0)
     rows = rows.withColumn("__jump", F.when(jump, F.struct(F.col("__i").alias("k"), F.col("__next").alias("v"), F.col("__step").alias("t"))))
     a = F.last("__jump", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    b = F.first(F.col("__jump.k"), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.min(F.col("__jump.k")).over(_from_here(keys))
     rows = rows.withColumn("__a", a).withColumn("__b", b)
     drop = (F.col("__b") - F.col("__a.k") <= rows_at_most) & (F.col("__a.v") < below) & (F.col("__a.t") < seconds * 1_000_000)
     return _done(rows, drop)
@@ -78,7 +86,7 @@ def drop_gap_islands(df: DataFrame, keys: Sequence[str] = DAY, gap_seconds: int
     gap = F.unix_micros(F.lead("time").over(w)) - F.unix_micros("time") >= gap_seconds * 1_000_000
     rows = rows.withColumn("__gap", F.when(gap, F.col("__i")))
     rows = rows.withColumn("__a", F.greatest(F.lit(1), F.last("__gap", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    rows = rows.withColumn("__b", F.least(F.first("__gap", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("__n") - 1))
+    rows = rows.withColumn("__b", F.least(F.min("__gap").over(_from_here(keys)), F.col("__n") - 1))
     rows = rows.withColumn("__any", F.count("__gap").over(whole) > 0).withColumn("__first", F.min("__gap").over(whole) == 1).withColumn("__last", F.max("__gap").over(whole) == F.col("__n") - 1)
     middle = (F.col("__i") > 1) & (F.col("__i") < F.col("__n")) & (F.col("__b") - F.col("__a") <= rows_at_most)
     edge = F.col("__first") & (F.col("__i") <= 2) | F.col("__last") & (F.col("__i") >= F.col("__n") - 1)
@@ -87,7 +95,7 @@ def drop_gap_islands(df: DataFrame, keys: Sequence[str] = DAY, gap_seconds: int
 
 def clean(samples: DataFrame, keys: Sequence[str] = DAY) -> DataFrame:
     """All rules in the study's order; gap islands twice. One exchange: repartition by the keys comes first."""
-    out = samples.repartition(*keys)
+    out = spread(samples, keys)
     for rule in (drop_default_edges, drop_repeats, drop_jump_islands, drop_gap_islands, drop_gap_islands):
         out = rule(out, keys)
     return out

@@ -6,10 +6,14 @@ the caller's tiebreak. Keys with long series (hot keys) are bounded by time (day
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def with_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, run: str = "run", length: str = "run_length") -> DataFrame:
@@ -39,6 +43,13 @@ def chain_total(flagged: Column, length: Column, least: int) -> Column:
     return F.sum(F.when(flagged & (length >= max(2, least)), 1).otherwise(0))
 
 
+def length_total(place: Column, least: int) -> Column:
+    """Aggregate: the rows of runs of at least so many rows, from each row's place in its run (1, 2, ..., null outside): a run
+    brings `least` when it gets that long, and 1 for each row more."""
+    least = max(1, least)
+    return F.coalesce(F.sum(F.when(place == least, least).when(place > least, 1)), F.lit(0))
+
+
 def upcrossing(value: Column, threshold: Column, keys: Sequence[str], order: Sequence[str]) -> Column:
     """Whether the value rose strictly through the threshold since the row before; missing values count as 0."""
     v = F.coalesce(value, F.lit(0.0))
@@ -61,11 +72,72 @@ def sessionise(sessions: DataFrame, keys: Sequence[str], start: str, end: str, s
 
 def nearest_date(probes: DataFrame, history: DataFrame, key: str, date: str, history_date: str, columns: Sequence[str]) -> DataFrame:
     """probes with the columns of the key's history row whose date is nearest, the earlier one of two. Unmatched keys keep
-    nulls. probes must be unique by (key, date)."""
-    far = F.abs(F.datediff(F.col(date), F.col("__d")))
-    joined = probes.join(history.select(key, F.col(history_date).alias("__d"), *columns), key, "left")
-    best = Window.partitionBy(key, date).orderBy(far.asc_nulls_last(), F.col("__d"))
-    return joined.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r", "__d")
+    nulls. probes must be unique by (key, date).
+
+    Both sides are put in one order, in which each probe sees the last history row up to it and the first one from it on:
+    the work is that of a sort, however long a key's history is. Of a key's history rows of one date, the one of least
+    columns counts.
+    """
+    row = F.struct(F.col(history_date).cast("date").alias("d"), *columns)
+    told = history.filter(F.col(history_date).isNotNull()).groupBy(key, F.col(history_date).cast("date").alias("__at")).agg(F.min(row).alias("__row"))
+    both = probes.withColumn("__at", F.col(date).cast("date")).withColumn("__probe", F.lit(True)).unionByName(told.withColumn("__probe", F.lit(False)), allowMissingColumns=True)
+    up, down = Window.partitionBy(key).orderBy("__at", "__probe"), Window.partitionBy(key).orderBy(F.col("__at").desc(), "__probe")
+    before = F.last("__row", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("__row", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__a", before).withColumn("__b", after).filter("__probe")
+    far = lambda c: F.abs(F.datediff("__at", F.col(f"{c}.d")))
+    best = F.when(F.col("__b").isNull() | (F.col("__a").isNotNull() & (far("__a") <= far("__b"))), F.col("__a")).otherwise(F.col("__b"))
+    best = F.when(F.col("__at").isNull(), F.coalesce("__a", "__b")).otherwise(best)
+    return both.withColumn("__best", best).select(*probes.columns, *(F.col(f"__best.{c}").alias(c) for c in columns))
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df dealt by the keys into the session's number of shuffle partitions. Without a number, adaptive execution puts few
+    bytes of much work into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def with_kernel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, kind: DataType, together: int = 20_000) -> DataFrame:
+    """df with a column that kernel(values, starts) computes from whole series, in order; starts are the places at which the
+    series of a call begin. Many series go into one call. A task holds its batch and one series."""
+    placed = spread(df, keys).sortWithinPartitions(*keys, *order)
+    names, arrow = df.columns, to_arrow_type(kind)
+    at, own = names.index(value), [names.index(k) for k in keys]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                values = table.column(at).to_numpy().astype(float)
+                out = table.append_column(name, pa.array(kernel(values, np.flatnonzero(fresh)), arrow))
+                yield from out.combine_chunks().to_batches()
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < together:
+                continue
+            table = pa.Table.from_batches(held)
+            fresh = _fresh(table, own)
+            last = int(np.flatnonzero(fresh)[-1])  # the last series may go on
+            yield from done(table.slice(0, last), fresh[:last])
+            held, rows = table.slice(last).to_batches(), table.num_rows - last
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield from done(table, _fresh(table, own))
+
+    return placed.mapInArrow(scan, StructType([*df.schema.fields, StructField(name, kind)]))
+
+
+def _fresh(table: pa.Table, keys: Sequence[int]) -> np.ndarray:
+    """Where a row's key differs from that of the row before."""
+    fresh = np.zeros(table.num_rows, dtype=bool)
+    fresh[:1] = True
+    for k in keys:
+        ids = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        ids = (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).indices.to_numpy()
+        fresh[1:] |= ids[1:] != ids[:-1]
+    return fresh
 
 
 def first_differences(value: Column, keys: Sequence[str], order: Sequence[str]) -> Column:

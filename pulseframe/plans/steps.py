@@ -1,12 +1,15 @@
 """The two pipelines as incremental steps over whole populations.
 
-A step reads its ledger, takes the units (sessions, treatments, days) that are not in it by an anti join, transforms all
-of them in one plan, and writes the data by replacing the units' partitions before it appends the ledger; a step that is
-run again after a failure therefore neither loses nor doubles rows.
+A step reads its ledger, takes the units (sessions, treatments, days) that are not in it by an anti join, and transforms all
+of them in one plan. It first notes the units of its run in `<ledger>_begun`, then writes the data, then the ledger, all
+under the run's name; a run that is in the first but not in the ledger was broken off, and the next call does it again, with
+the same units and under the same name, so that what it had written is replaced. A step that is run again after a failure
+therefore neither loses nor doubles rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import daily, enrich, heart, pressure, quality, treatments
-from ..sources.tables import Store, day_ledger, remaining
+from ..sources.tables import RUN, Store, day_ledger, remaining
 
 
 def clean_pressure(raw: DataFrame) -> DataFrame:
@@ -34,18 +37,29 @@ def label_pressure(clean: DataFrame, metadata: DataFrame) -> DataFrame:
     return treatments.with_counts(pressure.with_sets(rows))
 
 
-def run_step(store: Store, source: str, target: str, ledger: str, keys: list[str], transform: Callable[[DataFrame], DataFrame], units: DataFrame, ledger_rows: Callable[[DataFrame], DataFrame] | None = None, partition_by: str | None = None) -> bool:
-    """Transforms the source rows of the units that the ledger lacks; returns whether there were any."""
-    todo = remaining(units, store.read(ledger) if store.exists(ledger) else None, keys).cache()
-    try:
-        if not todo.limit(1).count():
-            return False
-        rows = store.read(source).join(todo, keys, "left_semi")
-        store.write(transform(rows), target, "partitions" if partition_by else "append", [partition_by] if partition_by else [])
-        store.write((ledger_rows or (lambda t: t))(todo), ledger)
-        return True
-    finally:
-        todo.unpersist()
+def run_step(store: Store, target: str, ledger: str, keys: list[str], units: DataFrame, data: Callable[[DataFrame], DataFrame]) -> bool:
+    """Writes data(units) for the units that the ledger lacks, after those of a run that was broken off; returns whether there
+    were any."""
+    begun, known = f"{ledger}_begun", store.exists(ledger)
+    found = False
+
+    def finish(run: str, todo: DataFrame) -> None:
+        store.write_run(data(todo), target, run)
+        store.write_run(todo, ledger, run)
+
+    if store.exists(begun):
+        notes = store.read(begun, runs=True)
+        runs = notes.select(RUN).distinct()
+        for row in (runs.join(store.read(ledger, runs=True).select(RUN), RUN, "left_anti") if known else runs).collect():  # one name for each broken run
+            finish(row[0], notes.filter(F.col(RUN) == row[0]).select(*keys))
+            found = known = True
+    todo = remaining(units, store.read(ledger) if known else None, keys)
+    if not todo.limit(1).count():
+        return found
+    run = uuid.uuid4().hex
+    store.write_run(todo, begun, run)
+    finish(run, store.read(begun, runs=True).filter(F.col(RUN) == run).select(*keys))
+    return True
 
 
 def between(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
@@ -108,60 +122,47 @@ def enrich_days(features: DataFrame, link: DataFrame, sex: DataFrame) -> DataFra
 def clean_pressure_step(store: Store, raw: str, clean: str, ledger: str, start: str, end: str) -> bool:
     sessions = treatments.session_spans(store.read(raw).select(F.col("patient_record_id").alias("patient_id"), F.col("id").alias("session_id"), "time"))
     units = between(sessions, "date", start, end).select(F.col("session_id").alias("id"))
-    return run_step(store, raw, clean, ledger, ["id"], clean_pressure, units)
+    return run_step(store, clean, ledger, ["id"], units, lambda todo: clean_pressure(store.read(raw).join(todo, "id", "left_semi")))
 
 
 def label_pressure_step(store: Store, clean: str, labelled: str, ledger: str, start: str, end: str) -> bool:
     """Whole treatments at a time: a treatment's later sessions never restart its numbering."""
     metadata = treatments.session_metadata(store.read(clean))
-    first = metadata.groupBy("treatment_id").agg(F.min("date").alias("date"))
-    todo = remaining(between(first, "date", start, end), store.read(ledger) if store.exists(ledger) else None, ["treatment_id"])
-    sessions = metadata.join(todo, "treatment_id", "left_semi").cache()
-    try:
-        if not sessions.limit(1).count():
-            return False
-        rows = store.read(clean).join(sessions.select("session_id"), "session_id", "left_semi")
-        store.write(label_pressure(rows, sessions), labelled)
-        store.write(sessions.select("treatment_id").distinct(), ledger)
-        return True
-    finally:
-        sessions.unpersist()
+    first = between(metadata.groupBy("treatment_id").agg(F.min("date").alias("date")), "date", start, end)
+
+    def data(todo: DataFrame) -> DataFrame:
+        sessions = metadata.join(todo, "treatment_id", "left_semi")
+        return label_pressure(store.read(clean).join(sessions.select("session_id"), "session_id", "left_semi"), sessions)
+
+    return run_step(store, labelled, ledger, ["treatment_id"], first, data)
 
 
 def featurise_treatments_step(store: Store, labelled: str, target: str, ledger: str, devices: DataFrame, start: str, end: str, extra: bool = False) -> bool:
     whole_weeks(start, end)
     spans = treatments.treatment_spans(store.read(labelled)).withColumn("date", F.to_date("treatment_start"))
     units = between(spans, "date", start, end).select("treatment_id")
-    return run_step(store, labelled, target, ledger, ["treatment_id"], lambda rows: treatments.with_adherence(treatments.treatment_features(rows, extra), devices, extra), units)
+
+    def data(todo: DataFrame) -> DataFrame:
+        rows = store.read(labelled).join(todo, "treatment_id", "left_semi")
+        return treatments.with_adherence(treatments.treatment_features(rows, extra), devices, extra)
+
+    return run_step(store, target, ledger, ["treatment_id"], units, data)
+
+
+def of_days(samples: DataFrame, days: DataFrame) -> DataFrame:
+    """The samples (userid, time, ...) of the given (userid, date)."""
+    return samples.withColumn("date", F.to_date("time")).join(days, ["userid", "date"], "left_semi").drop("date")
 
 
 def clean_days_step(store: Store, samples: str, clean: str, ledger: str, start: str, end: str) -> bool:
     days = between(settled_days(day_ledger(store.read(samples))), "date", start, end)
-    todo = remaining(days, store.read(ledger) if store.exists(ledger) else None, ["userid", "date"]).cache()
-    try:
-        if not todo.limit(1).count():
-            return False
-        rows = store.read(samples).withColumn("date", F.to_date("time")).join(todo, ["userid", "date"], "left_semi").drop("date")
-        store.write(clean_days(rows), clean)
-        store.write(todo, ledger)
-        return True
-    finally:
-        todo.unpersist()
+    return run_step(store, clean, ledger, ["userid", "date"], days, lambda todo: clean_days(of_days(store.read(samples), todo)))
 
 
 def featurise_days_step(store: Store, steps: str, clean: str, target: str, ledger: str, thresholds: DataFrame, link: DataFrame, start: str, end: str) -> bool:
     """Days that are not worth featurising enter the ledger too."""
-    days = day_ledger(store.read(steps)).union(day_ledger(store.read(clean))).distinct()
-    todo = remaining(between(days, "date", start, end), store.read(ledger) if store.exists(ledger) else None, ["userid", "date"]).cache()
-    try:
-        if not todo.limit(1).count():
-            return False
-        of = lambda name: store.read(name).withColumn("date", F.to_date("time")).join(todo, ["userid", "date"], "left_semi").drop("date")
-        store.write(featurise_days(of(steps), of(clean), thresholds, link), target)
-        store.write(todo, ledger)
-        return True
-    finally:
-        todo.unpersist()
+    days = between(day_ledger(store.read(steps)).union(day_ledger(store.read(clean))).distinct(), "date", start, end)
+    return run_step(store, target, ledger, ["userid", "date"], days, lambda todo: featurise_days(of_days(store.read(steps), todo), of_days(store.read(clean), todo), thresholds, link))
 
 
 def weeks_from(start: str, weeks: int) -> str:

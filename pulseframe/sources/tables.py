@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 #: Fixed value: a table that no sink may replace.
 PROTECTED = ("pressure_raw_vals",)
+#: The column by which a step's rows are told apart; readers do not see it.
+RUN = "_run"
 
 
 @dataclass(frozen=True)
@@ -36,13 +38,16 @@ class Store:
                 raise
         return self.spark.catalog.tableExists(name)
 
-    def read(self, name: str, schema: StructType | None = None) -> DataFrame:
+    def read(self, name: str, schema: StructType | None = None, runs: bool = False) -> DataFrame:
+        """The table, with the run that wrote each row only if asked for."""
         if self.root:
             reader = self.spark.read.schema(schema) if schema else self.spark.read
-            return reader.parquet(self.path(name))
-        if self.jdbc:
-            return self.spark.read.format("jdbc").options(dbtable=name, **self.jdbc).load()
-        return self.spark.table(name)
+            df = reader.parquet(self.path(name))
+        elif self.jdbc:
+            df = self.spark.read.format("jdbc").options(dbtable=name, **self.jdbc).load()
+        else:
+            df = self.spark.table(name)
+        return df if runs else df.drop(RUN)
 
     def write(self, df: DataFrame, name: str, mode: str = "append", partition_by: Sequence[str] = ()) -> None:
         """mode: append, overwrite, or "partitions" (replaces only the partitions that df has). Errors are not swallowed."""
@@ -60,6 +65,36 @@ class Store:
         else:
             writer.saveAsTable(name)
 
+    def write_run(self, df: DataFrame, name: str, run: str) -> None:
+        """Writes df as the rows of the given run in place of any that the run has left there before."""
+        from pyspark.sql import functions as F
+
+        if name.rpartition(".")[2] in PROTECTED:
+            raise ValueError(f"{name} holds raw data and is not written")
+        rows = df.withColumn(RUN, F.lit(run))
+        if self.jdbc:
+            if self.exists(name):
+                self._delete_run(name, run)
+            rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
+        elif self.root or not self.exists(name):
+            self.write(rows, name, "partitions", [RUN])
+        else:
+            rows.select(*self.spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+
+    def _delete_run(self, name: str, run: str) -> None:
+        """Through the driver's own connection; JDBC writers have no replacing mode for part of a table."""
+        settings = self.spark._jvm.java.util.Properties()
+        for k in ("user", "password"):
+            if k in self.jdbc:
+                settings.setProperty(k, self.jdbc[k])
+        connection = self.spark._jvm.java.sql.DriverManager.getConnection(self.jdbc["url"], settings)
+        try:
+            statement = connection.prepareStatement(f'DELETE FROM {name} WHERE "{RUN}" = ?')
+            statement.setString(1, run)
+            statement.executeUpdate()
+        finally:
+            connection.close()
+
     def drop(self, name: str) -> None:
         if self.root:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))

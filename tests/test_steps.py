@@ -158,6 +158,66 @@ def test_activity_steps_withhold_the_latest_day(spark, tmp_path):
     assert remaining(day_ledger(heart), store.read("hr_ledger"), ["date", "userid"]).count() == 1
 
 
+class Breaks(Store):
+    """A store whose writes to one table fail, before or after they are done."""
+
+    def write_run(self, df, name, run):
+        where, after = self.jdbc.get("_fails"), self.jdbc.get("_after")
+        if name == where and not after:
+            raise OSError(name)
+        Store(self.spark, self.root).write_run(df, name, run)
+        if name == where:
+            raise OSError(name)
+
+
+STEPS = {
+    "clean_pressure": lambda st, dims: steps.clean_pressure_step(st, "raw", "clean", "clean_ledger", "2024-01-01", "2024-01-08"),
+    "label": lambda st, dims: steps.label_pressure_step(st, "clean", "labelled", "label_ledger", "2024-01-01", "2024-01-08"),
+    "featurise": lambda st, dims: steps.featurise_treatments_step(st, "labelled", "features", "feature_ledger", dims[0], "2024-01-01", "2024-01-08"),
+    "clean_days": lambda st, dims: steps.clean_days_step(st, "hr", "clean_hr", "hr_ledger", "2024-01-01", "2024-02-01"),
+    "featurise_days": lambda st, dims: steps.featurise_days_step(st, "fs", "clean_hr", "daily", "daily_ledger", dims[1], dims[2], "2024-01-01", "2024-02-01"),
+}
+WRITES = {"clean_pressure": ("clean", "clean_ledger"), "label": ("labelled", "label_ledger"), "featurise": ("features", "feature_ledger"), "clean_days": ("clean_hr", "hr_ledger"), "featurise_days": ("daily", "daily_ledger")}
+
+
+def seeded(spark, root):
+    store = Store(spark, root)
+    store.write(raw_sessions(spark, 2), "raw")
+    heart = spark.createDataFrame([("u", D0 + timedelta(days=d, minutes=m), 80.0 + m % 3) for d in range(3) for m in range(40)], HEART)
+    store.write(heart, "hr")
+    store.write(heart.withColumn("value", F.lit(12.0)), "fs")
+    devices = spark.createDataFrame([("p", 2, 4, 5)], "patient_id string, treatments_per_day int, number_of_sets int, breaths_per_set int")
+    return store, (devices, thresholds(spark), link(spark))
+
+
+def test_steps_after_failures(spark, tmp_path):
+    """Each step breaks off once with its data written and no ledger, and once with both; what stands there in the end is what
+    one clean run gives."""
+    store, dims = seeded(spark, str(tmp_path / "a"))
+    other, _ = seeded(spark, str(tmp_path / "b"))
+    for name, step in STEPS.items():
+        target, ledger = WRITES[name]
+        assert step(store, dims)
+        for fails, after in ((target, True), (ledger, False)):
+            with pytest.raises(OSError):
+                step(Breaks(spark, other.root, {"_fails": fails, "_after": after}), dims)
+        assert step(other, dims) and not step(other, dims)
+        for table in (target, ledger):
+            a, b = (sorted(map(str, s.read(table).collect())) for s in (store, other))
+            assert a == b and len(a) > 0, table
+
+
+def test_steps_in_a_catalog(spark, tmp_path):
+    store = Store(spark)
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    store.write_run(rows, "run_table", "x")
+    store.write_run(rows.filter("k = 1"), "run_table", "y")
+    store.write_run(rows.filter("k = 2"), "run_table", "x")
+    assert sorted(map(tuple, store.read("run_table").collect())) == [(1, "a"), (2, "b")]
+    store.drop("run_table")
+    assert not store.exists("run_table")
+
+
 def test_blind_windows_and_csv(spark, tmp_path):
     w = steps.blind_windows(link(spark), featurise=True).first()
     assert (w.window_end - w.window_start).days % 7 == 0 and (w.window_end - w.window_start).days == 63
