@@ -4,19 +4,24 @@
 2. Each class's unit vector is rotated at random; the signs are its code o, and the correction factor <o, x> is stored
    with it. For another unit vector y, <o, y> / <o, x> estimates <x, y> without bias; it errs by at most
    e0 sqrt((1 - <o, x>^2) / (<o, x>^2 (d - 1))) with high confidence, and by the angle between o and x with certainty.
-3. Candidates meet by bands of code bits from several rotations. With `miss` the chance that a pair at the threshold
+3. Candidates meet by bands of sign bits from further rotations. With `miss` the chance that a pair at the threshold
    meets in no band, the number of bands follows from the bits, and these from the number of vectors (buckets of about
    `bucket` vectors). A pair is compared in the first band in which it meets.
-4. Buckets beyond `block` vectors are dealt into blocks, and each pair of blocks is compared in a task of its own. In a
-   block pair, only pairs whose upper bound (the smaller of the two) reaches the threshold are recomputed, in double
-   precision, from the vectors themselves. A block reports each vector's number of links and a spanning forest of them,
-   never all pairs.
+4. First only sign bits travel: of all bits, a pair at the threshold differs in so many on average, with a binomial
+   deviation, and pairs that differ in `confidence` deviations more are let go. Only the vectors that are left, in the
+   buckets where they are, follow.
+5. Of those, pairs whose upper bound by code and correction factor (the smaller of the two of step 2) reaches the threshold
+   are recomputed in double precision, from the vectors themselves. A bucket reports each vector's number of links and a
+   spanning forest of them, never all pairs.
 
-Nothing is capped: every pair that meets is decided. What banding may miss is measured in the tests against all pairs.
+Buckets beyond `block` vectors are dealt into blocks, and each pair of blocks is compared in a task of its own.
+
+Nothing is capped: every pair that meets is decided. What bands and sign bits may miss is measured in the tests against all
+pairs.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component link with nothing; vectors
 of different lengths never link; rows with a null id link with nothing and get a null component; repeated rows are
-vectors of their own (equal ones are linked); extra columns are not read.
+vectors of their own (equal ones are linked); extra columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import components, cut
+from .spark import components, cut, small
+from .textscan import buffers
 
 THRESHOLD = 0.95
 MISS = 1e-3
 BUCKET = 128
-BLOCK = 512
+BLOCK = 2048
+TILE = 512
 CONFIDENCE = 5.0
 
 
@@ -53,12 +60,27 @@ def plan(count: int, threshold: float = THRESHOLD, miss: float = MISS, bucket: i
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
 
 
-def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """A key for each row and band, from the signs of as many rotations as that takes."""
+def moderate(x: np.ndarray) -> np.ndarray:
+    """The rows times powers of two, so that squares neither overflow nor vanish; exact, but for entries that are nothing
+    beside the row's largest."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def sign_bits(unit: np.ndarray, count: int) -> np.ndarray:
+    """So many signs of each row, from as many rotations as that takes."""
     d = unit.shape[1]
-    signs = [unit @ rotation(d, 1 + k).T > 0 for k in range(-(-bits * bands // d))]
-    signs = np.concatenate(signs, axis=1)[:, : bits * bands].reshape(len(unit), bands, bits)
-    return (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
+    return np.concatenate([unit @ rotation(d, 1 + k).T > 0 for k in range(-(-count // d))], axis=1)[:, :count]
+
+
+def band_keys(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """A key for each row and band."""
+    return (signs.reshape(len(signs), bands, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+def most_different(count: int, threshold: float, confidence: float = CONFIDENCE) -> float:
+    """In how many of so many sign bits two vectors at the threshold may differ."""
+    share = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return count * share + confidence * math.sqrt(count * share * (1 - share))
 
 
 def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,14 +100,16 @@ def upper_bounds(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, conf
     return np.minimum(likely, certain)
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray | None, factor: np.ndarray, code: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with cosine >= threshold between x's rows and y's (or, without y, of x's rows i < j)."""
+def linked_pairs(x: np.ndarray, y: np.ndarray | None, factor: np.ndarray, code: np.ndarray, threshold: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with cosine >= threshold between x's rows and y's (or, without y, of x's rows i < j), among those given."""
     norm = np.linalg.norm(x, axis=1)
     other, other_norm = (x, norm) if y is None else (y, np.linalg.norm(y, axis=1))
     turned = (other / other_norm[:, None]) @ rotation(x.shape[1], 0).T
     near = upper_bounds(code, factor, turned) >= threshold - 1e-6
     if y is None:
         near = np.triu(near, 1)
+    if among is not None:
+        near &= among
     i, j = np.nonzero(near)
     exact = np.empty(len(i))
     for s in range(0, len(i), 65536):
@@ -94,31 +118,127 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, factor: np.ndarray, code:
     return i[exact >= threshold], j[exact >= threshold]
 
 
-def _matrix(column: pa.Array, kind: type) -> np.ndarray:
-    return np.stack([np.frombuffer(v, dtype=kind) for v in column.to_pylist()])
-
-
-def _encode(bits: int, bands: int):
-    """Over (rep, copies, embedding): (rep, copies, vector, code, factor, keys)."""
+def _encode(bits: int, bands: int, kind: type):
+    """Over (rep, copies, embedding): (rep, copies, d, vector, code, factor, bits)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.diff(batch.column(2).offsets.to_numpy())
-            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], np.cumsum(lengths)])
             for d in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == d)
                 x = values[bounds[rows][:, None] + np.arange(d)].astype(np.float64)
-                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                scaled = moderate(x)
+                unit = scaled / np.linalg.norm(scaled, axis=1)[:, None]
                 _, signs, factor = coded(unit)
-                keys = band_keys(unit, bits, bands)
+                packed = np.packbits(sign_bits(unit, bits * bands), axis=1)
                 cols = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32))]
-                cols += [pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()), pa.array([v.tobytes() for v in np.packbits(signs > 0, axis=1)], pa.binary()), pa.array(factor), pa.array(list(keys), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "copies", "d", "vector", "code", "factor", "keys"])
+                cols += [_binary(x.astype(kind)), _binary(np.packbits(signs > 0, axis=1)), pa.array(factor), _binary(packed)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "copies", "d", "vector", "code", "factor", "bits"])
+
+    return scan
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    raw, width = np.ascontiguousarray(rows).view(np.uint8), rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.py_buffer(raw)])
+
+
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    """The rows of a binary column of values of one length."""
+    data, offsets = buffers(column)
+    return data[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
+
+
+def _place(bits: int, bands: int):
+    """Over (d, rep, bits): (bucket, rep, bits) for each band."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = band_keys(np.unpackbits(_matrix(batch.column(2)), axis=1)[:, : bits * bands], bits, bands)
+            d = batch.column(0).to_numpy().astype(np.int64)
+            for band in range(bands):
+                yield pa.RecordBatch.from_arrays([pa.array(d << 46 | band << 32 | keys[:, band]), batch.column(1), batch.column(2)], names=["bucket", "rep", "bits"])
 
     return scan
 
 
+def _groups(work, names: list[str], types: list, together: int = 20_000):
+    """work(table) over each stretch of rows of one (bucket, ij), of batches sorted by these, their first two columns."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            at = table.column(0).to_numpy(), table.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]), [True]]))
+            out = [x for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > 1 for x in work(table.slice(a, b - a))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < together:
+                continue
+            table = pa.Table.from_batches(held)
+            at = table.column(0).to_numpy(), table.column(1).to_numpy()
+            last = int(np.flatnonzero((at[0] == at[0][-1]) & (at[1] == at[1][-1]))[0])  # the last block may go on
+            if last:
+                yield from told(table.slice(0, last))
+            held, rows = table.slice(last).to_batches(), table.num_rows - last
+        if rows:
+            yield from told(pa.Table.from_batches(held))
+
+    return scan
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of a block pair's two blocks (twice the same for a block and itself)."""
+    ij, part = int(table.column(1)[0].as_py()), table.column(2).to_numpy()
+    i, j = ij >> 31, ij & ((1 << 31) - 1)
+    return np.flatnonzero(part == i), np.flatnonzero(part == j), i == j
+
+
+def _fresh(keys: np.ndarray, band: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs meet in no band before this one."""
+    out = np.ones(len(a), dtype=bool)
+    for k in range(band):
+        out &= keys[a, k] != keys[b, k]
+    return out
+
+
+def _band(table: pa.Table) -> int:
+    return int(table.column(0)[0].as_py()) >> 32 & ((1 << 14) - 1)
+
+
+def _sift(bits: int, bands: int, limit: float):
+    """Over block rows (bucket, ij, part, rep, bits): those that some pair is left of which first meets here."""
+
+    def work(table: pa.Table) -> Iterator[tuple]:
+        left, right, same = _sides(table)
+        signs = np.unpackbits(_matrix(table.column(4).combine_chunks()), axis=1)[:, : bits * bands]
+        keys, ones = band_keys(signs, bits, bands), signs.astype(np.float32) * 2 - 1
+        some = np.zeros(len(signs), dtype=bool)
+        for s in range(0, len(left), TILE):
+            rows = left[s : s + TILE]
+            near = (bits * bands - ones[rows] @ ones[right].T) / 2 <= limit
+            if same:
+                near &= np.arange(len(right)) > np.arange(s, s + len(rows))[:, None]
+            a, b = np.nonzero(near)
+            a, b = rows[a], right[b]
+            fresh = _fresh(keys, _band(table), a, b)
+            some[a[fresh]] = some[b[fresh]] = True
+        if some.any():
+            yield tuple(table.column(k).to_numpy()[some] for k in range(4))
+
+    return _groups(work, ["bucket", "ij", "part", "rep"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()])
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Each of n nodes' smallest node reachable over the pairs."""
     label = np.arange(n)
@@ -133,77 +253,59 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _compare(threshold: float):
-    """Over block rows sorted by band, d, key, i, j, part: (kind 0, vector, links) and (kind 1, vector, vector)."""
-
-    def work(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        band, d, _, i, j = rows[0][:5]
-        left = [r for r in rows if r[5] == i]
-        right = left if i == j else [r for r in rows if r[5] == j]
-        if len(left) + len(right) < 2 or not left or not right or i == j and len(left) < 2:
-            return
-        vectors = lambda part: np.stack([np.frombuffer(r[8], dtype=np.float32) for r in part]).astype(np.float64)
-        code = np.unpackbits(np.stack([np.frombuffer(r[9], dtype=np.uint8) for r in left]), axis=1)[:, :d] * 2.0 - 1.0
-        a, b = linked_pairs(vectors(left), None if i == j else vectors(right), np.array([r[10] for r in left]), code, threshold)
-        if band and len(a):
-            x, y = np.array([r[11][:band] for r in left]), np.array([r[11][:band] for r in right])
-            fresh = np.concatenate([~(x[a[s : s + 65536]] == y[b[s : s + 65536]]).any(axis=1) for s in range(0, len(a), 65536)])
+def _compare(bits: int, bands: int, threshold: float, limit: float, kind: type):
+    """Over block rows (bucket, ij, part, rep, copies, d, vector, code, factor, bits): (kind 0, vector, links) and (kind 1,
+    vector, vector)."""
+
+    def work(table: pa.Table) -> Iterator[tuple]:
+        left, right, same = _sides(table)
+        ids, copies, d = table.column(3).to_numpy(), table.column(4).to_numpy(), int(table.column(5)[0].as_py())
+        x = moderate(_matrix(table.column(6).combine_chunks(), kind).astype(np.float64))
+        code = np.unpackbits(_matrix(table.column(7).combine_chunks()), axis=1)[:, :d] * 2.0 - 1.0
+        factor = table.column(8).to_numpy()
+        signs = np.unpackbits(_matrix(table.column(9).combine_chunks()), axis=1)[:, : bits * bands]
+        keys, ones = band_keys(signs, bits, bands), signs.astype(np.float32) * 2 - 1
+        links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        for s in range(0, len(left), TILE):
+            rows = left[s : s + TILE]
+            near = (bits * bands - ones[rows] @ ones[right].T) / 2 <= limit
+            if same:
+                near &= np.arange(len(right)) > np.arange(s, s + len(rows))[:, None]
+            a, b = linked_pairs(x[rows], x[right], factor[rows], code[rows], threshold, near)
+            a, b = rows[a], right[b]
+            fresh = _fresh(keys, _band(table), a, b)
             a, b = a[fresh], b[fresh]
-        if not len(a):
-            return
-        ids, other = np.array([r[6] for r in left]), np.array([r[6] for r in right])
-        copies, other_copies = np.array([r[7] for r in left]), np.array([r[7] for r in right])
-        yield ids, np.bincount(a, other_copies[b], len(ids)).astype(np.int64), 0
-        yield other, np.bincount(b, copies[a], len(other)).astype(np.int64), 0
-        shift = 0 if i == j else len(ids)
-        nodes = ids if i == j else np.concatenate([ids, other])
-        label = _forest(len(nodes), a, b + shift)
-        joined = np.flatnonzero(label != np.arange(len(nodes)))
-        yield nodes[joined], nodes[label[joined]], 1
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            keep = [(a, b, k) for a, b, k in ((a[b > 0], b[b > 0], k) if k == 0 else (a, b, k) for a, b, k in found)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(a), k, np.int32) for a, _, k in keep])), pa.array(np.concatenate([a for a, _, _ in keep])), pa.array(np.concatenate([b for _, b, _ in keep]))], names=["kind", "a", "b"])
+            links += np.bincount(a, copies[b], len(ids)).astype(np.int64) + np.bincount(b, copies[a], len(ids)).astype(np.int64)
+            label = _forest(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
+        some = links > 0
+        yield np.zeros(int(some.sum()), np.int32), ids[some], links[some]
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        yield np.ones(len(joined), np.int32), ids[joined], ids[label[joined]]
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:5] != key:
-                    if len(rows) > 1:
-                        out += work(rows)
-                    key, rows = row[:5], []
-                rows.append(row)
-            if len(out) > 500:
-                yield batch_of(out)
-                out = []
-        if len(rows) > 1:
-            out += work(rows)
-        if out:
-            yield batch_of(out)
-
-    return scan
+    return _groups(work, ["kind", "a", "b"], [pa.int32(), pa.int64(), pa.int64()])
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """One row per row of vectors: id, n_links, component_id, kept."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("e"))
+    """One row per row of vectors: id, n_links, component_id, kept. Single-precision columns stay so while they travel."""
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    kind = np.float32 if single else np.float64
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("e"))
     solid = F.coalesce((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
     good = v.filter(F.col("id").isNotNull() & solid)
     classes = cut(good.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    count = classes.count()
-    bits, bands = plan(count, threshold, miss)
-    codes = cut(classes.select("rep", "copies", "e").mapInArrow(_encode(bits, bands), "rep long, copies long, d int, vector binary, code binary, factor double, keys array<int>"))
-    placed = codes.select("d", "rep", F.posexplode("keys").alias("band", "key"))
-    crowded = cut(placed.groupBy("band", "d", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("band", "d", "key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    rows = codes.select("*", F.posexplode("keys").alias("band", "key")).join(crowded, ["band", "d", "key"])
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("i"), F.greatest(p, own).alias("j")))
-    dealt = rows.select("band", "d", "key", F.explode(pairs).alias("x"), own.alias("part"), "rep", "copies", "vector", "code", "factor", "keys")
-    dealt = dealt.select("band", "d", "key", "x.i", "x.j", "part", "rep", "copies", "vector", "code", "factor", "keys")
-    by = ["band", "d", "key", "i", "j"]
-    found = cut(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare(threshold), "kind int, a long, b long"))
+    bits, bands = plan(classes.count(), threshold, miss)
+    limit = most_different(bits * bands, threshold)
+    codes = cut(classes.select("rep", "copies", "e").mapInArrow(_encode(bits, bands, kind), "rep long, copies long, d int, vector binary, code binary, factor double, bits binary"))
+    placed = codes.select("d", "rep", "bits").mapInArrow(_place(bits, bands), "bucket long, rep long, bits binary")
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.shiftleft(F.least(p.cast("long"), own), 31) + F.greatest(p.cast("long"), own))
+    dealt = placed.join(small(cut(crowded), 200_000), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("bucket", F.explode(pairs).alias("ij"), own.cast("int").alias("part"), "rep", "bits")
+    by = ["bucket", "ij"]
+    near = cut(dealt.repartition(*by).sortWithinPartitions(*by, "part").mapInArrow(_sift(bits, bands, limit), "bucket long, ij long, part int, rep long"))
+    rows = near.join(codes, "rep").select(*by, "part", "rep", "copies", "d", "vector", "code", "factor", "bits")
+    found = cut(rows.repartition(*by).sortWithinPartitions(*by, "part").mapInArrow(_compare(bits, bands, threshold, limit, kind), "kind int, a long, b long"))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
     copied = classes.filter("copies > 1").select("e", F.col("rep").alias("of"), "copies")

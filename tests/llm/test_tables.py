@@ -90,9 +90,21 @@ def test_bounds_hold_and_banding_recalls():
     assert abs((estimate - (x * y).sum(axis=1)).mean()) < 0.01
     for count in (1000, 50_000, 10**7):
         bits, bands = vectors.plan(count)
-        met = (vectors.band_keys(x, bits, bands) == vectors.band_keys(y, bits, bands)).any(axis=1)
+        a, b = (vectors.sign_bits(v, bits * bands) for v in (x, y))
+        met = (vectors.band_keys(a, bits, bands) == vectors.band_keys(b, bits, bands)).any(axis=1)
         near = (x * y).sum(axis=1) >= 0.95
         assert near.sum() > 50 and met[near].mean() >= 0.99
+        assert ((a != b).sum(axis=1) <= vectors.most_different(bits * bands, 0.95))[near].all()
+
+
+def test_vectors_in_double_precision_and_at_extremes(spark):
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal(8)
+    away = v + np.array([1e-9, *[0.0] * 7])
+    rows = [(1, (v * 1e300).tolist()), (2, (v * 1e-300).tolist()), (3, away.tolist()), (4, (-v).tolist()), (5, (v * 1e300).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (0, 4, True), 5: (3, 1, False)}
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 # --- archives ---
