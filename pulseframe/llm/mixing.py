@@ -1,8 +1,9 @@
 """Mixing documents to target weights by soft domain membership. DataFrame functions only.
 
-1. A naive Bayes classifier learns the domains' words from a labelled table: from at most `max_labelled` labelled rows
-   (taken by the order of their hash; a bound on the classifier's sample alone) the `max_words` most frequent words and
-   their smoothed log-probabilities in each domain. That table is bounded and is broadcast.
+1. A naive Bayes classifier learns the domains' words from a labelled table: from at most `max_labelled` of the labelled
+   documents (taken by the order of their ids' hash; a bound on the classifier's sample alone, and only ids are ordered).
+   Every word of theirs counts, in one of BUCKETS buckets by its hash, so that the table of smoothed log-probabilities has a
+   bounded size whatever the vocabulary, and is broadcast. Words in no bucket that the sample filled tell nothing.
 2. Every document gets posteriors of the domains. The evidence of its words is averaged and counts as `evidence` words,
    so that long texts keep soft memberships.
 3. Rates r >= 0 of the documents are fitted by accelerated projected gradients: with t tokens and posteriors p, the
@@ -15,7 +16,8 @@ Tokens are runs without white space and ASCII punctuation. Words are exploded an
 the document, so that one row per document is shuffled.
 
 Defined cases: a null or empty text has no tokens and the prior as posteriors; rows with one id (or a null id) count as
-one document; without labels all domains are alike; an empty table gives none; extra columns are not read.
+one document (for the classifier, one of their texts); without labels all domains are alike; an empty table gives none;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import cut, small
+from .spark import cut
 
 MAX_LABELLED = 20_000
-MAX_WORDS = 8_192
+BUCKETS = 1 << 17
 EVIDENCE = 20.0
 ROUNDS = 200
 TOLERANCE = 1e-6
@@ -47,28 +49,31 @@ def domain_of(toxic: str = "toxic", quality: str = "quality") -> Column:
     return F.when(F.col(toxic) > 0, 2).when(F.col(quality) > 0, 1).when(F.col(quality) == 0, 0)
 
 
-def learn(labelled: DataFrame, domains: int, *, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, smoothing: float = 0.5) -> tuple[DataFrame, list[float]]:
-    """(word, w0, w1, ...) with log-probabilities, and the log-priors, from labelled (id, text, domain)."""
-    known = labelled.filter("domain is not null").withColumn("draw", F.xxhash64(F.col("id").cast("string")))
-    last = known.select("draw").orderBy("draw").limit(max_labelled).agg(F.max("draw")).first()[0]  # of draws alone: no texts are gathered
-    sample = known.filter(F.col("draw") <= F.lit(last))
-    marks = [F.coalesce(F.sum((F.col("domain") == k).cast("long")), F.lit(0)).alias(f"c{k}") for k in range(domains)]
-    sample = cut(sample.select("text", "domain"))
-    rows = sample.agg(*marks).first()
-    counts = sample.select("domain", F.explode(words("text")).alias("word")).filter("word <> ''").groupBy("word").agg(*marks)
-    total = sum((F.col(f"c{k}") for k in range(1, domains)), F.col("c0"))
-    top = cut(counts.orderBy(F.desc(total), "word").limit(max_words))
-    mass = top.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(domains)), F.count("*")).first()
+def bucket(word: str = "word") -> Column:
+    """The bucket of a word; null for none."""
+    return F.when(F.col(word) != "", F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"))
+
+
+def learn(documents: DataFrame, marks: DataFrame, domains: int, *, max_labelled: int = MAX_LABELLED, smoothing: float = 0.5) -> tuple[DataFrame, list[float]]:
+    """(bucket, w0, w1, ...) with log-probabilities, and the log-priors, from documents (id, text) and marks (id, domain)."""
+    present = marks.join(documents.select("id").distinct(), "id", "left_semi")
+    chosen = present.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_labelled)  # ids alone: no texts are ordered
+    sample = cut(documents.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "domain"))
+    marks_of = [F.coalesce(F.sum((F.col("domain") == k).cast("long")), F.lit(0)).alias(f"c{k}") for k in range(domains)]
+    rows = sample.agg(*marks_of).first()
+    counts = sample.select("domain", F.explode(words("text")).alias("word")).select("domain", bucket().alias("bucket")).filter("bucket is not null").groupBy("bucket").agg(*marks_of)
+    counts = cut(counts)
+    mass = counts.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(domains)), F.count("*")).first()
     logs = [F.log((F.col(f"c{k}") + smoothing) / F.lit(float(mass[k] + smoothing * max(1, mass[domains])))).alias(f"w{k}") for k in range(domains)]
     n = sum(rows) + domains
-    return top.select("word", *logs), [math.log((c + 1) / n) for c in rows]
+    return counts.select("bucket", *logs), [math.log((c + 1) / n) for c in rows]
 
 
 def posteriors(documents: DataFrame, weights: DataFrame, priors: list[float], *, evidence: float = EVIDENCE) -> DataFrame:
-    """(id, tokens, p0, p1, ...) of documents (id, text)."""
+    """(id, tokens, p0, p1, ...) of documents (id, text). weights has at most BUCKETS rows."""
     k = len(priors)
-    spread = documents.select("id", F.explode_outer(words("text")).alias("word")).join(F.broadcast(weights), "word", "left")
-    sums = spread.groupBy("id").agg(F.count(F.when(F.col("word") != "", 1)).alias("tokens"), F.count("w0").alias("known"), *(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)).alias(f"s{j}") for j in range(k)))
+    spread = documents.select("id", F.explode_outer(words("text")).alias("word")).select("id", bucket().alias("bucket")).join(F.broadcast(weights), "bucket", "left")
+    sums = spread.groupBy("id").agg(F.count("bucket").alias("tokens"), F.count("w0").alias("known"), *(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)).alias(f"s{j}") for j in range(k)))
     z = [F.col(f"s{j}") / F.greatest("known", F.lit(1)) * evidence + F.lit(priors[j]) for j in range(k)]
     scored = sums.select("id", "tokens", *(x.alias(f"z{j}") for j, x in enumerate(z)))
     top = F.greatest(*(F.col(f"z{j}") for j in range(k))) if k > 1 else F.col("z0")
@@ -123,11 +128,11 @@ def rates(members: DataFrame, targets: list[float], *, rounds: int = ROUNDS, tol
     return state.select(*names, "rate")
 
 
-def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shares: tuple = TARGETS, budget: float = BUDGET, max_labels: int = 2_000_000) -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shares: tuple = TARGETS, budget: float = BUDGET) -> DataFrame:
     """One row per document: id, tokens, p_low, p_high, p_toxic, rate. labels: doc_id, quality, toxic."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.withColumn("domain", domain_of()).filter("domain is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("domain").alias("domain"))
-    weights, priors = learn(docs.join(small(marks, max_labels), "id"), len(shares))
+    weights, priors = learn(docs, marks, len(shares))
     members = cut(posteriors(docs, weights, priors))
     whole = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     out = rates(members, [x * budget * whole for x in shares])

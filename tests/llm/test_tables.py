@@ -2,10 +2,14 @@
 
 import gzip
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -204,6 +208,27 @@ def test_mixing_posteriors_and_edges(spark):
     assert {round(r.p_low, 6) for r in mixing.mix(docs, labels.limit(0)).collect()} == {0.333333}
 
 
+def test_posteriors_match_a_loop(spark):
+    """Naive Bayes by dictionaries over the same buckets."""
+    rng = random.Random(5)
+    kinds = [["good", "fine", "shared"], ["spam", "junk", "shared"], ["vile", "shared"]]
+    texts = {k: " ".join(rng.choice([*kinds[k % 3], f"w{rng.randrange(40)}", "Wörter,"]) for _ in range(rng.randrange(1, 30))) for k in range(90)}
+    labels = [(k, [0, 1, 1][k % 3], int(k % 3 == 2)) for k in range(0, 90, 2)]
+    domain = {k: 2 if t else q for k, q, t in labels}
+    bucket = lambda w: (xxhash.xxh64(w.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64) - (1 << 63)
+    tokens = {k: [bucket(w) % mixing.BUCKETS for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower()) if w] for k, t in texts.items()}
+    counts = [Counter(b for k, d in domain.items() if d == j for b in tokens[k]) for j in range(3)]
+    size, prior = len(set().union(*counts)), [math.log((sum(d == j for d in domain.values()) + 1) / (len(domain) + 3)) for j in range(3)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in mixing.mix(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for k, bs in tokens.items():
+        known = [b for b in bs if any(c[b] for c in counts)]
+        z = [sum(math.log((c[b] + 0.5) / (c.total() + 0.5 * size)) for b in known) / max(1, len(known)) * mixing.EVIDENCE + p for c, p in zip(counts, prior, strict=True)]
+        e = np.exp(np.array(z) - max(z))
+        r = got[k]
+        assert r.tokens == len(bs) and np.allclose([r.p_low, r.p_high, r.p_toxic], e / e.sum(), atol=1e-9), k
+
+
 # --- pipeline ---
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
