@@ -2,16 +2,19 @@
 
 Every text is scanned as it stands (the base spans). Then layers are unwrapped from a worklist until nothing new comes
 out: percent escapes and Unicode escapes (backslash and numeric character references) decode a whole layer and keep a
-map from each decoded character to the characters it came from; runs of base64 (either alphabet) decode on their own,
-through gzip or zlib if they hold that, and map to the whole run. Each new layer is scanned again and its findings are
-mapped back to the original text. A layer that was seen before is not unwrapped again, so cycles end.
-
-Decoded bytes count as a layer if they are UTF-8 text. Base64 may be wrapped into lines. Inflated layers are held whole up
-to `max_decoded` characters in all; beyond that `exhausted` is true and they are scanned in overlapping pieces (a secret
-longer than the overlap may be cut there). Escapes and base64 never expand and are not charged. Positions count code points, ends are exclusive.
-
-Defined cases: a null text is an empty one; empty texts have no spans; repeated rows are scanned one by one; extra
-columns are not read.
+map from each decoded character to the characters it came from; runs of base64 (either alphabet, wrapped into lines, in any
+alignment, behind separators) decode on their own, and so do runs of escaped bytes that hold a compressed stream; both map
+to the whole run. Each new layer is scanned again and its findings are mapped back to the original text. A layer that was
+seen before is not unwrapped again, so cycles end.
+
+Decoded bytes are unwrapped through gzip, zlib and bare deflate, and count as a layer if they are text: UTF-8, UTF-16 of
+either order, or else bytes of which most are printable ASCII (the others stand for themselves). Inflated layers are held
+whole up to `max_decoded` characters in all; beyond that `exhausted` is true and they are scanned in overlapping pieces, each
+unwrapped on its own (a secret longer than the overlap may be cut there). Escapes and base64 never expand and are not
+charged. Positions count code points, ends are exclusive.
+
+Defined cases: a null text is an empty one; empty texts have no spans; repeated rows, and rows with a null id, are scanned
+one by one; extra columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import itertools
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +48,11 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)++={0,2}")
 _SEPARATOR = re.compile(r"[/_-]+")
+#: Runs in which bytes are escaped, and the escapes in them.
+_RAW = ((re.compile(r"[^\s%\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*){4,}"), re.compile(rb"%([0-9A-Fa-f]{2})"), "%"), (re.compile(r"[^\s\\\"'<>]*(?:\\x[0-9A-Fa-f]{2}[^\s\\\"'<>]*){4,}"), re.compile(rb"\\x([0-9A-Fa-f]{2})"), "\\x"))
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_CHARACTERS = re.compile("(?:\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda])[\x00-\xff]{8,}")
+_PLAIN = bytes(sorted({9, 10, 13, *range(32, 127)}))
 MAX_DECODED = 1 << 24
 PIECE, OVERLAP = 1 << 20, 1 << 16
 
@@ -130,22 +138,44 @@ def _unescaped(text: str, pattern: re.Pattern) -> tuple[str, list[tuple[int, int
     return "".join(out), pieces
 
 
+def _printable(raw: bytes) -> bool:
+    """Whether most bytes are printable ASCII."""
+    return len(raw) > 0 and len(raw.translate(None, _PLAIN)) * 7 < len(raw)
+
+
 def _readable(raw: bytes) -> str | None:
+    """Bytes as text, or None if they are none."""
+    zeros = raw.count(0)
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or zeros * 3 > len(raw) > 1:
+        little = raw[:2] == b"\xff\xfe" or raw[:2] != b"\xfe\xff" and raw[1::2].count(0) >= raw[::2].count(0)
+        try:
+            return raw[: len(raw) // 2 * 2].decode("utf-16-le" if little else "utf-16-be") or None
+        except UnicodeDecodeError:
+            pass
     try:
         return raw.decode("utf-8") or None
     except UnicodeDecodeError:
-        return None
+        return raw.decode("latin-1") if _printable(raw) else None
 
 
 def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0
 
 
-def _blocks(raw: bytes) -> Iterator[bytes]:
-    """What gzip or zlib members hold, block by block. Raises zlib.error if the first does not inflate to its end."""
+def _bare(raw: bytes) -> bool:
+    """Whether the bytes seem to begin a deflate stream without a head: it inflates to text."""
+    try:
+        return _printable(zlib.decompressobj(-zlib.MAX_WBITS).decompress(raw[:512], 4096))
+    except zlib.error:
+        return False
+
+
+def _blocks(raw: bytes, bare: bool = False) -> Iterator[bytes]:
+    """What gzip or zlib members (or one bare stream) hold, block by block. Raises zlib.error if the first does not inflate to
+    its end."""
     any_done = False
-    while _packed(raw):
-        stream, rest = zlib.decompressobj(zlib.MAX_WBITS | 32), raw
+    while bare and not any_done or _packed(raw):
+        stream, rest = zlib.decompressobj(-zlib.MAX_WBITS if bare else zlib.MAX_WBITS | 32), raw
         try:
             while not stream.eof:
                 block = stream.decompress(rest, PIECE)
@@ -162,16 +192,16 @@ def _blocks(raw: bytes) -> Iterator[bytes]:
 
 
 def _inflated(raw: bytes, limit: int) -> bytes | None:
-    """What gzip or zlib members hold, through nested streams; None if they are neither."""
+    """What gzip, zlib or bare deflate streams hold, through nested ones; None if they are none."""
     inner = None
-    while _packed(raw):
-        parts, size = [], 0
+    while _packed(raw) or (bare := inner is None and not _printable(raw) and _bare(raw)):
+        parts, size, bare = [], 0, not _packed(raw)
         try:
-            for block in _blocks(raw):
+            for block in _blocks(raw, bare):
                 parts.append(block)
                 size += len(block)
                 if size > limit:
-                    raise OverflowError(raw)
+                    raise OverflowError(raw, bare)
         except zlib.error:
             break
         plain = b"".join(parts)
@@ -181,11 +211,19 @@ def _inflated(raw: bytes, limit: int) -> bytes | None:
     return inner
 
 
-def _pieces(raw: bytes) -> Iterator[str]:
+def _text_of(raw: bytes, limit: int) -> tuple[str, bool] | None:
+    """The text that bytes hold, and whether it was inflated."""
+    if (inner := _inflated(raw, limit)) is not None and (text := _readable(inner)) is not None:
+        return text, True
+    text = _readable(raw)
+    return None if text is None else (text, False)
+
+
+def _pieces(raw: bytes, bare: bool) -> Iterator[str]:
     """Overlapping pieces of the text that a stream of any size holds; only one piece is in memory."""
     decode, held, fresh = codecs.getincrementaldecoder("utf-8")("replace").decode, "", 0
     try:
-        for block in _blocks(raw):
+        for block in _blocks(raw, bare):
             more = decode(block)
             held, fresh = held + more, fresh + len(more)
             if fresh >= PIECE:
@@ -200,18 +238,24 @@ def _pieces(raw: bytes) -> Iterator[str]:
 def _decoded(body: str, start: int, limit: int) -> tuple[str, bool] | None:
     """The text of base64 characters, and whether it was inflated. Its beginning tells cheaply if there can be any."""
     try:
-        head = body[start : start + 64]
+        head = body[start : start + 128]
         head = base64.b64decode(head[: len(head) // 4 * 4])
-        if not _packed(head):
+        if not _packed(head) and not _printable(head) and head.count(0) * 3 <= len(head) and head[:2] not in (b"\xff\xfe", b"\xfe\xff") and not _bare(head):
             codecs.getincrementaldecoder("utf-8")().decode(head)
         body = body[start : len(body) - ((len(body) - start) % 4 == 1)]
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    if (inner := _inflated(raw, limit)) is not None and (text := _readable(inner)) is not None:
-        return text, True
-    text = _readable(raw)
-    return None if text is None else (text, False)
+    return _text_of(raw, limit)
+
+
+def _stream_runs(layer: str, limit: Callable[[], int]) -> Iterator[tuple[int, int, Callable[[], tuple[str, bool] | None]]]:
+    """(start, end, decode) of runs of escaped bytes, and of characters that are bytes, in which a compressed stream begins."""
+    runs = [(m.start(), m.end(), code.sub(lambda x: bytes((int(x[1], 16),)), m[0].encode("utf-8", "replace"))) for pattern, code, mark in _RAW if mark in layer for m in pattern.finditer(layer)]
+    runs += [(m.start(), m.end(), m[0].encode("latin-1")) for m in _CHARACTERS.finditer(layer)]
+    for start, end, raw in runs:
+        for m in _STREAM.finditer(raw):
+            yield start, end, lambda raw=raw[m.start() :]: (lambda found: found if found and found[1] else None)(_text_of(raw, limit()))
 
 
 def _from_base64(run: str, limit: int) -> tuple[str, bool] | None:
@@ -261,14 +305,16 @@ def scan(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Sp
         for mark, pattern in (("%", _PERCENT), ("\\", _ESCAPE), ("&#", _ESCAPE)):
             if mark in layer and (plain := _unescaped(layer, pattern)) and plain[0]:
                 add(plain[0], to.then(plain[1]))
-        for start, end, run in itertools.chain(((m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer)), _wrapped(layer)):
+        runs = itertools.chain(((m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer)), _wrapped(layer))
+        inner = itertools.chain(((start, end, lambda run=run: _from_base64(run, max(left, 0))) for start, end, run in runs), _stream_runs(layer, lambda: max(left, 0)))
+        for start, end, decode in inner:
             own = Map([(0, *to.span(start, end), False)])
             try:
-                if plain := _from_base64(run, max(left, 0)):
+                if plain := decode():
                     add(plain[0], own, plain[1])
             except OverflowError as large:
                 exhausted = True
-                for piece in _pieces(large.args[0]):
+                for piece in _pieces(*large.args):
                     add(piece, own)
     return base, sorted(found), layers, exhausted
 

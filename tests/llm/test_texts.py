@@ -380,6 +380,43 @@ def test_secrets_in_common_forms_of_base64():
         assert spans and {k for _, k, _ in spans} == {0}, encoded
 
 
+def _deflate(raw):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(raw) + packer.flush()
+
+
+def test_secrets_in_bytes():
+    """Escaped streams, other encodings, bare streams, odd bytes, alignments."""
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noisy = b"some words before " + SECRET.encode() + b" and more words after it"
+    cases = {
+        "percent gzip": urllib.parse.quote(gzip.compress(noisy), safe=""), "percent zlib": urllib.parse.quote(zlib.compress(noisy)), "hex escapes": "".join(f"\\x{c:02x}" for c in gzip.compress(noisy)),
+        "unicode escapes": "".join(f"\\u{c:04x}" for c in gzip.compress(noisy)), "utf-16": b64(SECRET.encode("utf-16")), "utf-16-le": b64(SECRET.encode("utf-16-le")), "utf-16-be": b64(SECRET.encode("utf-16-be")),
+        "control": b64(b"x\x01y " + noisy), "latin-1": b64("é à ".encode("latin-1") + noisy), "deflate": b64(_deflate(noisy)), "nested": b64(gzip.compress(base64.b64encode(_deflate(noisy)))), "path": "http://h/a/" + b64(noisy), "path2": "http://h/ab/c/" + b64(noisy),
+    }
+    missed = [k for k, encoded in cases.items() if not {s[1] for s in secrets.scan("é " + encoded + " z")[1]} >= {0}]
+    assert not missed
+
+
+def test_secrets_recall_on_random_nests():
+    """Up to four layers, each by any of the encoders, among other words: all are found."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    encoders = [
+        lambda t: urllib.parse.quote(t, safe=""), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(), lambda t: base64.encodebytes(t.encode()).decode(), lambda t: base64.b64encode(t.encode("utf-16")).decode(), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: base64.b64encode(_deflate(t.encode())).decode(), lambda t: urllib.parse.quote(gzip.compress(t.encode())),
+    ]
+    found = 0
+    for _ in range(300):
+        inner = f"{text(3)} secret = {rng.randrange(10**15, 10**16)} {text(2)}"
+        for _ in range(rng.randrange(1, 5)):
+            inner = rng.choice(encoders)(inner)
+            inner = f"{text(rng.randrange(3))} {inner} {text(rng.randrange(3))}" if rng.random() < 0.5 else inner
+        found += any(kind == 0 for _, kind, _ in secrets.scan(text(4) + " " + inner + " " + text(4))[1])
+    assert found >= 297, found
+
+
 def test_secret_query_edges(spark):
     rows = [(1, None), (2, ""), (None, "token=abcdefghijklmnop"), (2, "")]
     got = secrets.find(spark.createDataFrame(rows, SCHEMA)).collect()
