@@ -78,6 +78,11 @@ def _count(c: Column) -> Column:
     return F.sum(F.when(c, 1.0).otherwise(0.0))
 
 
+def total_where(predicate: str, value: Column) -> Column:
+    """Aggregate: the total over the rows that a predicate given as SQL text keeps."""
+    return _total(F.when(F.expr(predicate), value))
+
+
 def step_totals(steps: Column, time: Column) -> dict[str, Column]:
     return {"step_count": _total(steps)} | {f"step_count_{p}": _total(F.when(day_part(time, p), steps)) for p in ("q2", "q3", "q4", "q234")}
 

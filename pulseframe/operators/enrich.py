@@ -86,10 +86,40 @@ def numeric_columns(df: DataFrame, logical: bool = False) -> list[str]:
     return found
 
 
-def fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    """One row: low_<c> and high_<c>, the quartiles (interpolated) less and plus k times their distance."""
-    quartiles = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
-    return quartiles.select(*(x for c in columns for x in ((F.col(c)[0] - k * (F.col(c)[1] - F.col(c)[0])).alias(f"low_{c}"), (F.col(c)[1] + k * (F.col(c)[1] - F.col(c)[0])).alias(f"high_{c}"))))
+def quartiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.75)) -> dict[str, list[float | None]]:
+    """Exact percentiles of each column, interpolated, nulls left out (None for a column without values).
+
+    Sketches bracket each percentile; the values below the brackets are counted, and only those inside are told apart (by
+    their counts). So what one task or the driver sees is a small share of the rows, whatever the values are.
+    """
+    places = [(c, q) for c in columns for q in shares]
+    n = df.agg(*(F.count(c).alias(c) for c in columns)).first()
+    accuracy = min(1_000_000, max(10_000, *(n[c] // 10_000 for c in columns)))
+    pad = {c: 2 / accuracy + 1.5 / max(1, n[c]) for c in columns}  # the sketch's error, and the next row
+    ends = [x for c, q in places for x in (max(0.0, q - pad[c]), min(1.0, q + pad[c]))]
+    near = df.agg(*(F.percentile_approx(c, ends[2 * k : 2 * k + 2], accuracy).alias(f"r{k}") for k, (c, _) in enumerate(places))).first()
+    some = [k for k, (c, _) in enumerate(places) if n[c]]
+    if not some:
+        return {c: [None] * len(shares) for c in columns}
+    below = df.agg(*(F.count(F.when(F.col(places[k][0]) < near[f"r{k}"][0], 1)).alias(f"b{k}") for k in some)).first()
+    inside = F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.col(places[k][0]).between(*near[f"r{k}"]), F.col(places[k][0]).cast("double")).alias("v")) for k in some))
+    told = df.select(F.explode(inside).alias("x")).filter("x.v is not null").groupBy("x.k", "x.v").agg(F.count("*").alias("n")).collect()  # brackets of a few rows in `accuracy`
+    out: dict[str, list[float | None]] = {c: [] for c in columns}
+    for k, (c, q) in enumerate(places):
+        if k not in some:
+            out[c].append(None)
+            continue
+        at, place, values = (n[c] - 1) * q, below[f"b{k}"], []
+        for r in sorted((r for r in told if r.k == k), key=lambda r: r.v):
+            values += [r.v] * sum(place <= i < place + r.n for i in {int(at), min(int(at) + 1, n[c] - 1)})
+            place += r.n
+        out[c].append(values[0] + (values[-1] - values[0]) * (at - int(at)))
+    return out
+
+
+def fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> dict[str, tuple[float | None, float | None]]:
+    """The quartiles of each column less and plus k times their distance."""
+    return {c: (None, None) if low is None else (low - k * (high - low), high + k * (high - low)) for c, (low, high) in quartiles(df, columns).items()}
 
 
 def flag_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
@@ -97,8 +127,8 @@ def flag_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float
     names = [c for c in (columns or df.columns) if c in numeric_columns(df)]
     if not names:
         raise ValueError("no numeric column")
-    out = df.join(F.broadcast(fences(df, names, k)))  # one row
-    return out.select(*df.columns, *((((F.col(c) <= F.col(f"low_{c}")) | (F.col(c) >= F.col(f"high_{c}"))).alias(f"{c}_is_out")) for c in names))
+    found = fences(df, names, k)
+    return df.select("*", *(((F.col(c) <= F.lit(found[c][0])) | (F.col(c) >= F.lit(found[c][1]))).alias(f"{c}_is_out") for c in names))
 
 
 def drop_outliers(df: DataFrame, columns: Sequence[str] | None = None, ratio: float = 0.03, k: float = 1.5) -> DataFrame:

@@ -32,6 +32,12 @@ def _done(df: DataFrame, drop) -> DataFrame:
     return df.filter(~F.coalesce(drop, F.lit(False))).drop(*(c for c in df.columns if c.startswith("__")))
 
 
+def drop_indexes(df: DataFrame, indexes: DataFrame, keys: Sequence[str] = DAY, index: str = "i") -> DataFrame:
+    """Without the rows whose place in their key's order (from 1) is among indexes (keys, i)."""
+    gone = indexes.select(*keys, F.col(index).cast("int").alias("__i")).distinct()
+    return _numbered(df, keys).join(gone, [*keys, "__i"], "left_anti").select(*df.columns)
+
+
 def drop_default_edges(df: DataFrame, keys: Sequence[str] = DAY) -> DataFrame:
     """Leading and trailing runs of the sensor's default.
 

@@ -6,16 +6,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAY_PARTS, auto_units, day_part, jan_week, season, seconds_between
-from ..functions.stats import divide, near, proportional_difference, variation
+from ..functions.stats import near, proportional_difference, variation
 from ..operators import daily, enrich, heart, pressure, quality, series, treatments
-from ..sources.tables import remaining
-from . import steps
+from ..sources.tables import Store, remaining
+from . import day_sql, steps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -54,10 +55,22 @@ def r6(column) -> F.Column:
 
 
 # --- aggregates over a user's day -----------------------------------------------------------------------------------
-@query("daily_total", f"SELECT userid, date, round(sum(value), 6) AS step_count, count(*) AS n, round(coalesce(sum(CASE WHEN hour >= 6 AND hour < 12 THEN value END), 0), 6) AS step_count_q2, round(coalesce(sum(CASE WHEN hour >= 6 THEN value END), 0), 6) AS step_count_q234 FROM {S} WHERE {STEP} GROUP BY userid, date", dates=("date",))
+def _six(df: DataFrame) -> DataFrame:
+    """Doubles with six digits, times as micros."""
+    return df.select(*(r6(f.name).alias(f.name) if f.dataType.simpleString() == "double" else F.unix_micros(f.name).alias(f.name) if f.dataType.simpleString() == "timestamp" else f.name for f in df.schema))
+
+
+def _aggs(found: dict) -> list:
+    return [c.alias(name) for name, c in found.items()]
+
+
+_IN = {p: f"hour >= {a} AND hour < {b}" for p, (a, b) in DAY_PARTS.items()}
+_TOTALS = ", ".join(f"round(coalesce(sum(CASE WHEN {_IN[p]} THEN value END), 0), 6) AS step_count_{p}" for p in ("q2", "q3", "q4", "q234"))
+
+
+@query("daily_total", f"SELECT userid, date, round(sum(value), 6) AS step_count, count(*) AS n, {_TOTALS} FROM {S} WHERE {STEP} GROUP BY userid, date", dates=("date",))
 def daily_total(spark, sf):
-    part = lambda p: r6(F.coalesce(F.sum(F.when(day_part(F.col("time"), p), F.col("value"))), F.lit(0.0))).alias(f"step_count_{p}")
-    return samples(spark, sf).filter(STEP).groupBy("userid", "date").agg(r6(F.sum("value")).alias("step_count"), F.count("*").alias("n"), part("q2"), part("q234"))
+    return _six(samples(spark, sf).filter(STEP).groupBy("userid", "date").agg(*_aggs(daily.step_totals(F.col("value"), F.col("time"))), F.count("*").alias("n")))
 
 
 def hours(spark, sf):
@@ -69,13 +82,13 @@ H = f"(SELECT userid, date, hour, sum(value) AS total, avg(value) AS mean FROM {
 
 @query("hourly_mean", f"SELECT userid, date, round(avg(total), 6) AS mean_hourly_steps_day FROM {H} GROUP BY userid, date", dates=("date",))
 def hourly_mean(spark, sf):
-    return hours(spark, sf).groupBy("userid", "date").agg(r6(F.avg("total")).alias("mean_hourly_steps_day"))
+    return _six(hours(spark, sf).groupBy("userid", "date").agg(daily.hour_steps(F.col("total"))["mean_hourly_steps_day"].alias("mean_hourly_steps_day")))
 
 
 @query("active_hours", f"SELECT userid, date, count(CASE WHEN total > 50 THEN 1 END) AS active_hours, count(CASE WHEN total > 0 AND total <= 50 THEN 1 END) AS low_active_hours FROM {H} GROUP BY userid, date", dates=("date",))
 def active_hours(spark, sf):
-    count = lambda c: F.count(F.when(c, 1))
-    return hours(spark, sf).groupBy("userid", "date").agg(count(F.col("total") > 50).alias("active_hours"), count((F.col("total") > 0) & (F.col("total") <= 50)).alias("low_active_hours"))
+    found = daily.hour_steps(F.col("total"), active=50)
+    return hours(spark, sf).groupBy("userid", "date").agg(*(found[c].cast("long").alias(c) for c in ("active_hours", "low_active_hours")))
 
 
 @query("active_window", f"SELECT userid, date, coalesce(epoch_us(min(CASE WHEN value > 5 AND (hour >= 6 OR (hour <= 6 AND value > 25)) THEN time END)), -1) AS start_window, coalesce(epoch_us(max(CASE WHEN value > 5 AND (hour >= 6 OR (hour <= 6 AND value > 25)) THEN time END)), -1) AS end_window FROM {S} GROUP BY userid, date", dates=("date",))
@@ -94,35 +107,42 @@ def quadrant_cv(spark, sf):
     return samples(spark, sf).groupBy("userid").agg(*parts, r6(variation(F.col("value"))).alias("cov_hr"))
 
 
-@query("wear_percent", f"SELECT userid, date, round(n / 1440 * 100, 6) AS wear_percent, round(100 - n / 1440 * 100, 6) AS gap_percent, round(n1 / 360 * 100, 6) AS wear_percent_q1, CASE WHEN 100 - n1 / 360 * 100 > 25 THEN 0 ELSE 1 END AS wear_during_sleep FROM (SELECT userid, date, count(value)::DOUBLE AS n, count(CASE WHEN hour < 6 THEN value END)::DOUBLE AS n1 FROM {S} WHERE NOT {STEP} GROUP BY userid, date)", dates=("date",))
+_WEAR = {"": ("true", 1440), "_q1": (_IN["q1"], 360), "_q2": (_IN["q2"], 360), "_q3": (_IN["q3"], 360), "_q4": (_IN["q4"], 360), "_q234": (_IN["q234"], 1080)}
+_WORN = ", ".join(f"count(CASE WHEN {c} THEN value END)::DOUBLE / {n} * 100 AS w{k}" for k, (c, n) in _WEAR.items())
+
+
+@query("wear_percent", f"SELECT userid, date, {', '.join(f'round(w{k}, 6) AS wear_percent{k}' for k in _WEAR)}, {', '.join(f'round(100 - w{k}, 6) AS gap_percent{k}' for k in _WEAR if k != '_q234')}, CASE WHEN 100 - w_q1 > 25 THEN 0 ELSE 1 END::DOUBLE AS wear_during_sleep FROM (SELECT userid, date, {_WORN} FROM {S} WHERE NOT {STEP} GROUP BY userid, date)", dates=("date",))
 def wear_percent(spark, sf):
-    n = samples(spark, sf).filter(f"NOT {STEP}").groupBy("userid", "date").agg(F.count("value").alias("n"), F.count(F.when(day_part(F.col("time"), "q1"), F.col("value"))).alias("n1"))
-    q1 = F.col("n1") / 360 * 100
-    return n.select("userid", "date", r6(F.col("n") / 1440 * 100).alias("wear_percent"), r6(100 - F.col("n") / 1440 * 100).alias("gap_percent"), r6(q1).alias("wear_percent_q1"), F.when(100 - q1 > 25, 0).otherwise(1).alias("wear_during_sleep"))
+    n = samples(spark, sf).filter(f"NOT {STEP}").groupBy("userid", "date").agg(*_aggs(daily.wear_minutes(F.col("value"), F.col("time"))))
+    return _six(n.select("userid", "date", *_aggs(daily.wear_percents())))
+
 
+_NORMS = ", ".join(f"round(coalesce(sum(CASE WHEN {STEP} AND {_IN[q]} THEN value END) / nullif(count(CASE WHEN NOT {STEP} AND {_IN[q]} THEN value END) / 360 * 100, 0), 0), 6) AS step_count_norm_{q}" for q in ("q2", "q3", "q4"))
 
-@query("step_norm", f"SELECT userid, date, round(coalesce(CASE WHEN n <> 0 THEN s / n END, 0), 6) AS step_count_norm FROM (SELECT userid, date, sum(CASE WHEN {STEP} THEN value END) AS s, count(CASE WHEN NOT {STEP} THEN value END) AS n FROM {S} GROUP BY userid, date)", dates=("date",))
+
+@query("step_norm", f"SELECT userid, date, round(coalesce(sum(CASE WHEN {STEP} THEN value END) / nullif(count(CASE WHEN NOT {STEP} THEN value END), 0), 0), 6) AS step_count_norm, {_NORMS} FROM {S} GROUP BY userid, date", dates=("date",))
 def step_norm(spark, sf):
-    step = F.expr(STEP)
-    n = samples(spark, sf).groupBy("userid", "date").agg(F.sum(F.when(step, F.col("value"))).alias("s"), F.count(F.when(~step, F.col("value"))).alias("n"))
-    return n.select("userid", "date", r6(divide(F.col("s"), F.col("n"))).alias("step_count_norm"))
+    step, value, time = F.expr(STEP), F.col("value"), F.col("time")
+    n = samples(spark, sf).groupBy("userid", "date").agg(*_aggs(daily.step_totals(F.when(step, value), time) | daily.wear_minutes(F.when(~step, value), time)))
+    return _six(n.withColumns(daily.wear_percents()).select("userid", "date", *_aggs(daily.step_norms())))
 
 
 @query("resting_proxy", f"SELECT userid, round(coalesce(avg(CASE WHEN k <= 5 THEN value END), 0), 6) AS resting_hr_proxy, round(coalesce(avg(CASE WHEN day AND kd <= 5 THEN value END), 0), 6) AS resting_hr_1121 FROM (SELECT *, hour >= 11 AND hour < 21 AS day, row_number() OVER (PARTITION BY userid ORDER BY value, event_id) AS k, row_number() OVER (PARTITION BY userid, hour >= 11 AND hour < 21 ORDER BY value, event_id) AS kd FROM {S}) GROUP BY userid")
 def resting_proxy(spark, sf):
-    v = F.col("value")
-    return samples(spark, sf).groupBy("userid").agg(r6(daily.resting(v)).alias("resting_hr_proxy"), r6(daily.resting(F.when(day_part(F.col("time"), "1121"), v))).alias("resting_hr_1121"))
+    s = samples(spark, sf)
+    part = daily.resting(s, ["userid"], "value", day_part(F.col("time"), "1121"), name="resting_hr_1121")
+    return _six(daily.resting(s, ["userid"], "value").join(part, "userid"))
 
 
 @query("hourly_interval", f"SELECT userid, date, round(max(mean), 6) AS max_hourly, round(min(mean), 6) AS min_hourly, round(median(mean), 6) AS median_hourly FROM {H} GROUP BY userid, date", dates=("date",))
 def hourly_interval(spark, sf):
-    return hours(spark, sf).groupBy("userid", "date").agg(r6(F.max("mean")).alias("max_hourly"), r6(F.min("mean")).alias("min_hourly"), r6(F.median("mean")).alias("median_hourly"))
+    return _six(hours(spark, sf).groupBy("userid", "date").agg(*_aggs(daily.hour_hearts(F.col("mean")))))
 
 
 @query("dynamic_filter", f"SELECT userid, round(coalesce(sum(CASE WHEN hour(time) >= 6 AND hour(time) < 23 AND value > 10 THEN value END), 0), 6) AS kept FROM {S} GROUP BY userid")
 def dynamic_filter(spark, sf):
-    predicate = "hour(time) >= 6 AND hour(time) < 23 AND value > 10"  # a predicate that comes as text
-    return samples(spark, sf).groupBy("userid").agg(r6(F.coalesce(F.sum(F.when(F.expr(predicate), F.col("value"))), F.lit(0.0))).alias("kept"))
+    kept = daily.total_where("hour(time) >= 6 AND hour(time) < 23 AND value > 10", F.col("value"))
+    return samples(spark, sf).groupBy("userid").agg(r6(kept).alias("kept"))
 
 
 # --- ordered series ------------------------------------------------------------------------------------------------
@@ -242,10 +262,33 @@ def gap_islands(spark, sf):
     return heart.drop_gap_islands(_rule("value")(spark, sf), ["userid"], 36000, 2).select("event_id")
 
 
-@query("clean_heart")
+@query("drop_indexes", f"SELECT event_id FROM (SELECT event_id, userid, row_number() OVER (PARTITION BY userid ORDER BY time, value, event_id) AS i FROM {S}) WHERE NOT (i <= CAST(userid AS INT) % 9 OR i = 20)")
+def drop_indexes(spark, sf):
+    s = samples(spark, sf).select("event_id", "userid", "time", F.struct("value", "event_id").alias("value"))
+    users = s.select("userid").distinct()
+    gone = users.select("userid", F.explode(F.concat(F.sequence(F.lit(0), F.col("userid").cast("int") % 9), F.array(F.lit(20)))).alias("i"))
+    return heart.drop_indexes(s, gone, ["userid"]).select("event_id")
+
+
+@query("clean_heart", f"SELECT userid, epoch_us(time) AS time, value FROM {day_sql.clean(f'(SELECT userid, date, time, value FROM {S} WHERE NOT {STEP})')}")
 def clean_heart(spark, sf):
-    s = samples(spark, sf).filter(f"NOT {STEP}").select("userid", "time", "value")
-    return steps.clean_days(s)
+    return steps.clean_days(samples(spark, sf).filter(f"NOT {STEP}").select("userid", "time", "value")).withColumn("time", F.unix_micros("time"))
+
+
+#: All events in some days of two users, one every ten seconds.
+_DENSE = "(SELECT CAST(user_id % 2 + 1 AS VARCHAR) AS userid, TIMESTAMP '2024-01-01' + to_seconds(event_id * 10) AS time, CAST(TIMESTAMP '2024-01-01' + to_seconds(event_id * 10) AS DATE) AS date, CASE WHEN value < 4 THEN 70.0 WHEN value < 30 THEN 80.0 ELSE value END::DOUBLE AS value, event_type FROM events)"
+
+
+def dense(spark, sf):
+    time = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("event_id") * 10)
+    value = F.when(F.col("value") < 4, 70.0).when(F.col("value") < 30, 80.0).otherwise(F.col("value"))
+    return table(spark, sf, "events").select((F.col("user_id") % 2 + 1).cast("string").alias("userid"), time.alias("time"), value.alias("value"), "event_type")
+
+
+@query("clean_dense_days", f"SELECT userid, epoch_us(time) AS time, value FROM {day_sql.clean(_DENSE)}")
+def clean_dense_days(spark, sf):
+    """Days of some hundred samples, of which many have the sensor's default or repeat."""
+    return steps.clean_days(dense(spark, sf).drop("event_type")).withColumn("time", F.unix_micros("time"))
 
 
 # --- minutes and daily features ------------------------------------------------------------------------------------
@@ -267,9 +310,53 @@ def _thresholds(spark, sf):
     return samples(spark, sf).groupBy("userid", F.date_trunc("week", "time").cast("date").alias("date")).agg(F.avg("value").alias("thresh14"), F.min("value").alias("thresh14_low"), F.max("value").alias("thresh14_high"))
 
 
-@query("daily_features")
+_STEPS, _HEART = (f"(SELECT userid, time, value FROM {S} WHERE {k} {STEP})" for k in ("", "NOT"))
+_THRESHOLDS = f"(SELECT userid, CAST(date_trunc('week', time) AS DATE) AS date, avg(value) AS thresh, min(value) AS low, max(value) AS high FROM {S} GROUP BY ALL)"
+
+
+@query("daily_features", day_sql.features(day_sql.minutes(_STEPS, _HEART), _THRESHOLDS), dates=("date",))
 def daily_features(spark, sf):
-    return daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf))
+    return _six(daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf)))
+
+
+_ALL_DAY = "(SELECT CAST(CAST(userid AS INT) % 7 AS VARCHAR) AS userid, CAST(DATE '2024-01-01' AS TIMESTAMP) + to_microseconds(epoch_us(time) % 86400000000) AS time, {0} AS value FROM {1})"
+
+
+def _fixed_thresholds(spark):
+    k = F.col("id")
+    return spark.range(6).select(k.cast("string").alias("userid"), F.lit("2024-01-03").cast("date").alias("date"), (60.0 + k).alias("thresh14"), F.lit(40.0).alias("thresh14_low"), F.lit(110.0).alias("thresh14_high"))
+
+
+def _folded(df: DataFrame, value) -> DataFrame:
+    day = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.unix_micros("time") % 86_400_000_000)
+    return df.select((F.col("userid").cast("int") % 7).cast("string").alias("userid"), day.alias("time"), value.alias("value"))
+
+
+@query("daily_features_dense", day_sql.features(day_sql.minutes(_ALL_DAY.format("value * 3", _STEPS), _ALL_DAY.format("value + 30", _HEART)), "(SELECT CAST(k AS VARCHAR) AS userid, DATE '2024-01-03' AS date, 60.0 + k AS thresh, 40.0 AS low, 110.0 AS high FROM range(0, 6) t(k))"), dates=("date",))
+def daily_features_dense(spark, sf):
+    """All samples in one day of seven users, so that runs, chains and hours are long; one user has no thresholds."""
+    minutes = daily.combine_minutes(_folded(_steps(spark, sf), F.col("value") * 3), _folded(_heart(spark, sf), F.col("value") + 30))
+    return _six(daily.daily_features(minutes, _fixed_thresholds(spark)))
+
+
+_SETTLED = f"(SELECT userid, time, value, date FROM (SELECT *, max(date) OVER (PARTITION BY userid) AS latest FROM {_DENSE} WHERE NOT {STEP}) WHERE date < latest)"
+_CLEANED = "(SELECT userid, date, time, value FROM cleaned)"
+_WORTH = f"""(SELECT userid, date FROM (SELECT userid, date FROM {_DENSE} WHERE {STEP} GROUP BY ALL HAVING count(*) > 1) JOIN (SELECT userid, date FROM {_CLEANED} GROUP BY ALL HAVING count(*) > 1 AND min(value) > 0) USING (userid, date)
+JOIN (SELECT CAST(c_custkey AS VARCHAR) AS userid, DATE '2023-11-01' + CAST(c_custkey % 60 AS INT) AS rec FROM customer) USING (userid) WHERE date >= rec)"""
+_OF = "(SELECT x.userid, x.time, x.value FROM {0} x JOIN worth w ON w.userid = x.userid AND w.date = x.date)"
+_SET = "(SELECT CAST(k AS VARCHAR) AS userid, DATE '2024-01-03' AS date, 60.0 + k AS thresh, 40.0 AS low, 110.0 AS high FROM range(0, 6) t(k))"
+
+
+@query("days_by_steps", f"WITH cleaned AS MATERIALIZED (SELECT * FROM {day_sql.clean(_SETTLED)}), worth AS MATERIALIZED (SELECT * FROM {_WORTH}) SELECT * FROM ({day_sql.features(day_sql.minutes(_OF.format(f'(SELECT * FROM {_DENSE} WHERE {STEP})'), _OF.format(_CLEANED)), _SET)})", dates=("date",))
+def days_by_steps(spark, sf):
+    """Raw samples to daily features through the incremental steps, in two calls of each, in tables of their own."""
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/days-{uuid.uuid4().hex}")
+    store.write(dense(spark, sf).filter(f"NOT {STEP}").drop("event_type"), "heart")
+    store.write(dense(spark, sf).filter(STEP).drop("event_type"), "steps")
+    for start, end in (("2023-01-01", "2024-01-02"), ("2023-01-01", "2030-01-01")):
+        steps.clean_days_step(store, "heart", "clean", "clean_ledger", start, end)
+        steps.featurise_days_step(store, "steps", "clean", "daily", "daily_ledger", _fixed_thresholds(spark), link(spark, sf), start, end)
+    return _six(store.read("daily"))
 
 
 _MINUTES = f"""(SELECT userid, time, CAST(time AS DATE) AS date, s, h FROM (SELECT DISTINCT userid, date_trunc('minute', time) AS time, value AS s, time AS t FROM {S} WHERE {STEP})
@@ -331,10 +418,13 @@ _BREATHS = f"(SELECT treatment_id, breath_id, max(v) AS a, avg(v) AS m, (epoch_u
 _FOUR = lambda c, n: ", ".join(f"round({f}({c}), 6) AS {k}_{n}" for k, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("sd", "stddev_samp")))
 
 
-@query("breath_features", f"SELECT treatment_id, {_FOUR('a', 'breath_amplitude')}, {_FOUR('d', 'breath_duration').replace(', 6)', ', 3)')}, round(avg((vs[(len(vs) + 1) // 2] + vs[len(vs) // 2 + 1]) / 2), 6) AS mean_breath_amplitude_middle, round(avg((a > 10 AND a < 20 OR m > 10 AND m < 20)::INT), 6) AS pressure_treatment_adherence_score, round(avg((d >= 3)::INT), 6) AS breath_3s_treatment_adherence_score FROM {_BREATHS} GROUP BY treatment_id")
+_SHARES = {"pressure": "a > 10 AND a < 20 OR m > 10 AND m < 20", "peak_pressure": "a > 10 AND a < 20", "breath_1s": "d >= 1", "breath_2s": "d >= 2", "breath_3s": "d >= 3", "pressure_duration": "d >= 2 AND d < 6 AND a > 10 AND a < 20"}
+
+
+@query("breath_features", f"SELECT treatment_id, {_FOUR('a', 'breath_amplitude')}, {_FOUR('d', 'breath_duration').replace(', 6)', ', 3)')}, round(avg((vs[(len(vs) + 1) // 2] + vs[len(vs) // 2 + 1]) / 2), 6) AS mean_breath_amplitude_middle, {', '.join(f"round(avg(({c})::INT), 6) AS {n}_treatment_adherence_score" for n, c in _SHARES.items())} FROM {_BREATHS} GROUP BY treatment_id")
 def breath_features(spark, sf):
     out = treatments.breath_features(treatments.breath_measures(labelled(spark, sf)), extra=True)
-    names = [f"{k}_{n}" for n in ("breath_amplitude", "breath_duration") for k in ("mean", "min", "max", "sd")] + ["mean_breath_amplitude_middle", "pressure_treatment_adherence_score", "breath_3s_treatment_adherence_score"]
+    names = [f"{k}_{n}" for n in ("breath_amplitude", "breath_duration") for k in ("mean", "min", "max", "sd")] + ["mean_breath_amplitude_middle", *(f"{n}_treatment_adherence_score" for n in _SHARES)]
     return out.select("treatment_id", *(F.round(c, 3 if "duration" in c else 6).alias(c) for c in names))
 
 
@@ -351,10 +441,13 @@ def treatment_features(spark, sf):
     return out.select("treatment_id", "act_date", "treatment_length", "seconds_above10", r6("percentage_above10").alias("percentage_above10"), r6("percent_time_breathing").alias("percent_time_breathing"), "breath_count", "break_count", "pressures_daily_count", "pressures_completeness_score")
 
 
+_BLIND = {"pressure": "l_discount", "peak_pressure": "l_tax", "pressure_duration": "l_quantity"}
+
+
 def orders_as_treatments(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("breath_count"), F.avg("l_quantity").alias("mean_breath_amplitude"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("breath_count"), F.avg("l_quantity").alias("mean_breath_amplitude"), F.count_distinct("l_returnflag").cast("double").alias("set_count"), *(F.avg(c).alias(f"{k}_treatment_adherence_score") for k, c in _BLIND.items()))
     o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("patient_id"), F.col("o_orderkey").alias("treatment_id"), F.to_date("o_orderdate").alias("act_date"), F.col("o_orderdate").cast("timestamp").alias("treatment_start"), F.col("o_orderkey").alias("__k"))
-    return o.join(lines, F.col("__k") == F.col("l_orderkey")).drop("__k", "l_orderkey").withColumn("pressures_completeness_score", F.lit(1.0)).withColumn("set_count", F.col("breath_count"))
+    return o.join(lines, F.col("__k") == F.col("l_orderkey")).drop("__k", "l_orderkey").withColumn("pressures_completeness_score", F.lit(1.0))
 
 
 def devices(spark, sf):
@@ -362,18 +455,15 @@ def devices(spark, sf):
     return c.select(F.col("c_custkey").cast("string").alias("patient_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3).alias("treatments_per_day"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 5).alias("number_of_sets"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 7).alias("breaths_per_set"))
 
 
-_TREAT = "(SELECT CAST(o_custkey AS VARCHAR) AS patient_id, o_orderkey AS treatment_id, CAST(o_orderdate AS DATE) AS act_date, year(o_orderdate) AS year, (dayofyear(o_orderdate) - 1) // 7 + 1 AS week, n AS breath_count, amp FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS n, avg(l_quantity) AS amp FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"
+_TREAT = "(SELECT CAST(o_custkey AS VARCHAR) AS patient_id, o_orderkey AS treatment_id, CAST(o_orderdate AS DATE) AS act_date, year(o_orderdate) AS year, (dayofyear(o_orderdate) - 1) // 7 + 1 AS week, n AS breath_count, amp, sets, pressure, peak_pressure, pressure_duration FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS n, avg(l_quantity) AS amp, count(DISTINCT l_returnflag)::DOUBLE AS sets, avg(l_discount) AS pressure, avg(l_tax) AS peak_pressure, avg(l_quantity) AS pressure_duration FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"
 _DEV = "(SELECT CAST(c_custkey AS VARCHAR) AS patient_id, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END, 2)::DOUBLE AS d, coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 END, 10)::DOUBLE AS s, coalesce(CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 7 END, 10)::DOUBLE AS b FROM customer)"
 
 
-@query("adherence_day_week", f"""SELECT treatment_id, round(tday / d, 6) AS treatment_day_adherence_score, round(bday / d / s / b, 6) AS breaths_day_adherence_score, round(tweek / d / 7, 6) AS treatment_week_adherence_score, round(bweek / d / s / b / 7, 6) AS breaths_week_adherence_score, round(breath_count / (s * b), 6) AS breaths_treatment_adherence_score, round(bday / (s * d), 6) AS sets_day_adherence_score FROM (
-SELECT *, sum(breath_count) OVER (PARTITION BY patient_id, act_date) AS bday, count(*) OVER (PARTITION BY patient_id, act_date) AS tday, sum(breath_count) OVER (PARTITION BY patient_id, year, week) AS bweek, count(*) OVER (PARTITION BY patient_id, year, week) AS tweek FROM {_TREAT}) JOIN {_DEV} USING (patient_id)""")
+@query("adherence_day_week", f"""SELECT treatment_id, round(tday / d, 6) AS treatment_day_adherence_score, round(bday / d / s / b, 6) AS breaths_day_adherence_score, round(tweek / d / 7, 6) AS treatment_week_adherence_score, round(bweek / d / s / b / 7, 6) AS breaths_week_adherence_score, round(breath_count / (s * b), 6) AS breaths_treatment_adherence_score, round(sets / s, 6) AS sets_treatment_adherence_score, round(sday / (s * d), 6) AS sets_day_adherence_score, round(p1, 6) AS pressure_day_adherence_score, round(p2, 6) AS peak_pressure_day_adherence_score, round(p3, 6) AS pressure_duration_day_adherence_score FROM (
+SELECT *, sum(sets) OVER (PARTITION BY patient_id, act_date) AS sday, avg(pressure) OVER (PARTITION BY patient_id, act_date) AS p1, avg(peak_pressure) OVER (PARTITION BY patient_id, act_date) AS p2, avg(pressure_duration) OVER (PARTITION BY patient_id, act_date) AS p3, sum(breath_count) OVER (PARTITION BY patient_id, act_date) AS bday, count(*) OVER (PARTITION BY patient_id, act_date) AS tday, sum(breath_count) OVER (PARTITION BY patient_id, year, week) AS bweek, count(*) OVER (PARTITION BY patient_id, year, week) AS tweek FROM {_TREAT}) JOIN {_DEV} USING (patient_id)""")
 def adherence_day_week(spark, sf):
-    t = orders_as_treatments(spark, sf)
-    for k in ("pressure", "peak_pressure", "pressure_duration"):
-        t = t.withColumn(f"{k}_treatment_adherence_score", F.lit(1.0))
-    out = treatments.adherence(t, devices(spark, sf), extra=True)
-    names = [f"{a}_{b}_adherence_score" for b in ("day", "week") for a in ("treatment", "breaths")] + ["breaths_treatment_adherence_score", "sets_day_adherence_score"]
+    out = treatments.adherence(orders_as_treatments(spark, sf), devices(spark, sf), extra=True)
+    names = [f"{a}_{b}_adherence_score" for b in ("day", "week") for a in ("treatment", "breaths")] + ["breaths_treatment_adherence_score", "sets_treatment_adherence_score", "sets_day_adherence_score", *(f"{k}_day_adherence_score" for k in _BLIND)]
     return out.select("treatment_id", *(r6(c).alias(c) for c in names))
 
 
@@ -382,14 +472,48 @@ def prescriptions(spark, sf):
     return treatments.prescriptions(devices(spark, sf))
 
 
-@query("peaks")
+_FLAT = f"(SELECT userid, time, event_id, floor(value / 4)::DOUBLE AS value FROM {S})"
+_RUNS_OF = f"""(SELECT userid, value, min(i) AS a, max(i) AS b, max(n) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY userid, value ORDER BY i) AS g FROM (SELECT userid, event_id, value, row_number() OVER (PARTITION BY userid ORDER BY time, value) AS i, count(*) OVER (PARTITION BY userid) AS n FROM {_FLAT})) GROUP BY userid, value, g)"""
+
+
+@query("peaks", f"""WITH RECURSIVE rows AS MATERIALIZED (SELECT userid, event_id, row_number() OVER (PARTITION BY userid ORDER BY time, value) AS i FROM {_FLAT}),
+c AS MATERIALIZED (SELECT userid, (a + b) // 2 AS p, value, row_number() OVER (PARTITION BY userid ORDER BY value DESC, a DESC) AS k, count(*) OVER (PARTITION BY userid) AS m FROM (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM {_RUNS_OF} WINDOW w AS (PARTITION BY userid ORDER BY a)) WHERE value > 8 AND value > l AND value > r),
+g(userid, k, stays) AS (SELECT userid, 1, [p] FROM c WHERE k = 1 AND m > 1 UNION ALL SELECT g.userid, c.k, CASE WHEN len(list_filter(g.stays, lambda q: abs(q - c.p) <= 5)) = 0 THEN list_append(g.stays, c.p) ELSE g.stays END FROM g JOIN c ON c.userid = g.userid AND c.k = g.k + 1),
+kept AS (SELECT DISTINCT userid, unnest(stays) AS i FROM g)
+SELECT event_id, kept.i IS NOT NULL AS prominent_peak FROM rows LEFT JOIN kept USING (userid, i)""")
 def peaks(spark, sf):
-    return pressure.with_peaks(samples(spark, sf).select("userid", "time", "event_id", "value"), ["userid"], "value")
+    """Coarse values, so that there are plateaus and ties."""
+    rows = samples(spark, sf).select("userid", "time", "event_id", F.floor(F.col("value") / 4).cast("double").alias("value"))
+    return pressure.with_peaks(rows, ["userid"], "value").select("event_id", "prominent_peak")
 
 
-@query("set_tags")
+def _grouped(spark, sf):
+    from pyspark.sql import Window
+
+    s = samples(spark, sf).select((F.col("userid").cast("int") % 23).cast("string").alias("treatment_id"), "time", "event_id", F.col("value").alias("pressure_detrend"))
+    w = Window.partitionBy("treatment_id").orderBy("time", "event_id")
+    s = s.withColumn("time", F.timestamp_micros(F.row_number().over(w).cast("long") * 100_000))
+    v, w = F.col("pressure_detrend"), Window.partitionBy("treatment_id").orderBy("time")
+    marked = s.withColumn("prominent_peak", F.coalesce((v > 60) & (v > F.lag(v).over(w)) & (v > F.lead(v).over(w)), F.lit(False)))
+    return pressure.with_breaths(marked, ["treatment_id"], edge=20.0)
+
+
+@query("set_tags", f"""WITH src AS MATERIALIZED (SELECT CAST(CAST(userid AS INT) % 23 AS VARCHAR) AS tid, event_id, value AS v, row_number() OVER (PARTITION BY CAST(userid AS INT) % 23 ORDER BY time, event_id) AS i, count(*) OVER (PARTITION BY CAST(userid AS INT) % 23) AS n FROM {S}),
+pk AS MATERIALIZED (SELECT *, coalesce(v > 60 AND v > lag(v) OVER w AND v > lead(v) OVER w, false) AS peak FROM src WINDOW w AS (PARTITION BY tid ORDER BY i)),
+ed AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN v <= 20 THEN i END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS l, coalesce(first_value(CASE WHEN v <= 20 THEN i END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS r, sum(peak::INT) OVER (PARTITION BY tid ORDER BY i) AS k FROM pk),
+lab AS MATERIALIZED (SELECT tid, event_id, i, v, CASE WHEN b.k > 0 AND i <= b.r THEN b.k ELSE 0 END AS breath_id FROM (SELECT e.*, last_value(s.b IGNORE NULLS) OVER (PARTITION BY e.tid ORDER BY e.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM ed e LEFT JOIN (SELECT tid, l, max({{'k': k, 'r': r}}) AS b FROM ed WHERE peak GROUP BY ALL) s ON s.tid = e.tid AND s.l = e.i)),
+top AS MATERIALIZED (SELECT tid, pos, row_number() OVER (PARTITION BY tid ORDER BY breath_id) AS j, count(*) OVER (PARTITION BY tid) AS m FROM (SELECT tid, breath_id, first(i ORDER BY v DESC, i) AS pos FROM lab WHERE breath_id > 0 GROUP BY ALL)),
+gap AS (SELECT *, lead(pos) OVER (PARTITION BY tid ORDER BY j) - pos AS g FROM top),
+bound AS MATERIALIZED (SELECT tid, m, j - 2 AS x FROM (SELECT *, lag(g) OVER (PARTITION BY tid ORDER BY j) AS p FROM gap) WHERE j >= 2 AND j < m AND g - p >= 2 * p),
+nb AS (SELECT tid, max(m) AS m, count(*) AS n, (max(x) - min(x)) / (count(*) - 1)::DOUBLE AS mean FROM bound GROUP BY tid),
+thin AS (SELECT tid, m, x + 1 AS y FROM (SELECT *, lead(x) OVER (PARTITION BY tid ORDER BY x) AS nx FROM bound) WHERE nx IS NULL OR nx - x > 2),
+sizes AS (SELECT tid, y - coalesce(lag(y) OVER (PARTITION BY tid ORDER BY y), 0) AS z FROM thin UNION ALL SELECT tid, max(m) - max(y) FROM thin GROUP BY tid),
+ok AS (SELECT tid FROM nb JOIN (SELECT tid, count(*) AS c FROM thin GROUP BY tid) USING (tid) JOIN (SELECT tid, avg(z) AS av, stddev_samp(z) AS sd FROM sizes GROUP BY tid) USING (tid)
+  WHERE m > 8 AND n BETWEEN 2 AND 30 AND mean >= 4 AND c BETWEEN 2 AND 30 AND av BETWEEN 4 AND 25 AND sd <= CASE WHEN av < 8 THEN 3.5 ELSE 5.5 END),
+tag AS (SELECT t.tid, t.pos AS i, CASE WHEN t.j = 1 THEN 0 ELSE 1 + (SELECT count(*) FROM bound b WHERE b.tid = t.tid AND b.x + 2 <= t.j - 1) END AS set_id FROM top t WHERE t.tid IN (SELECT tid FROM ok))
+SELECT event_id, coalesce(set_id, 0)::DOUBLE AS set_id FROM lab LEFT JOIN tag USING (tid, i)""")
 def set_tags(spark, sf):
-    return pressure.with_sets(labelled(spark, sf).drop("set_id")).select("event_id", "set_id")
+    return pressure.with_sets(_grouped(spark, sf)).select("event_id", "set_id")
 
 
 @query("detrend")

@@ -56,7 +56,7 @@ def run_step(store: Store, target: str, ledger: str, keys: list[str], units: Dat
     todo = remaining(units, store.read(ledger) if known else None, keys)
     if not todo.limit(1).count():
         return found
-    run = uuid.uuid4().hex
+    run = f"r{uuid.uuid4().hex}"  # a letter first: no reader takes it for a number
     store.write_run(todo, begun, run)
     finish(run, store.read(begun, runs=True).filter(F.col(RUN) == run).select(*keys))
     return True

@@ -76,7 +76,9 @@ class Store:
             if self.exists(name):
                 self._delete_run(name, run)
             rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
-        elif self.root or not self.exists(name):
+        elif self.root:  # the run's own folder; one without rows holds the schema
+            df.write.mode("overwrite").parquet(f"{self.path(name)}/{RUN}={run}")
+        elif not self.exists(name):
             self.write(rows, name, "partitions", [RUN])
         else:
             rows.select(*self.spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)

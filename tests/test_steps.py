@@ -95,6 +95,14 @@ def test_outliers(spark):
         enrich.flag_outliers(spark.createDataFrame([("a",)], "s string"))
 
 
+def test_quartiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 1001), rng.integers(0, 5, 999), [3.0], [1, 2], np.append(np.zeros(900), rng.normal(0, 1, 100))):
+        df = spark.createDataFrame([(float(v), None) for v in values] + [(None, None)], "v double, e double")
+        got = enrich.quartiles(df, ["v", "e"])
+        assert np.allclose(got["v"], np.percentile(np.asarray(values, float), [25, 75])) and got["e"] == [None, None]
+
+
 def test_reports(spark):
     bad = spark.createDataFrame([("u", D0, 500.0), ("x", D0 - timedelta(days=9), None)], HEART)
     r = quality.samples_report(bad, link(spark), "2024-06-01", "heart").first()
@@ -236,6 +244,8 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(120)
     days = {r.date.day for r in store.read("out").select("date").distinct().collect()}
     assert 1 in days and 5 not in days
+    want = steps.clean_days(spark.createDataFrame([r for r in rows if r[1].day in days], HEART))
+    assert sorted(map(tuple, store.read("out").select("userid", "time", "value").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_entry_points(spark):
