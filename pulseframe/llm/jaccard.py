@@ -16,7 +16,8 @@ documents link when 100 * intersection >= percent * union.
 5. A query and the members of its group first meet as sketches (how many shingles fall into each of some cells), which
    bound from above what they can have in common. What is left meets as texts, where the union of the members' shingles
    is stored: a query opens a group only if the union holds as many of its shingles as a link needs, and is compared
-   with members that are not of its component already.
+   with members that are not of its component already. A group part that many query is met in slices of its queries, each
+   with all its members.
 
 No link between different sets is lost: prefixes and bounds are exact, and nothing is capped. Equal sets are found by a
 128-bit digest and counted once per batch. Components come from the links.
@@ -39,6 +40,7 @@ from .spark import bitmap, components, cut, small, small_batches, texts_in
 from .textscan import LOWER, NOT_SPACE, Words, chunks, ids_of, mix, windows_of, word_hashes
 
 GROUP_ROWS = 256
+SLICE = 256
 MAX_FREQUENT = 1 << 16
 LOCAL_FREQUENT = 4
 MEMBER = -1
@@ -260,21 +262,21 @@ def _asking(percent: int, one_each: bool):
 
 
 def _bounded(percent: int):
-    """Over rows (grp, part, role, id, comp, n, sketch) sorted by the first four: (grp, part, role, id, comp) of the queries
-    that the sketches leave, and of the members of their groups."""
+    """Over rows (grp, part, slice, role, id, comp, n, sketch) sorted by the first five: (grp, part, slice, role, id, comp) of
+    the queries that the sketches leave, and of the members of their groups."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, out = None, [], []
         sent, matrix, least = False, None, None
 
         def batch_of(rows: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["grp", "part", "role", "id", "comp"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["grp", "part", "slice", "role", "id", "comp"])
 
         for batch in batches:
-            for grp, part, role, k, comp, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (grp, part) != key:
-                    key, members, sent, matrix = (grp, part), [], False, None
+            for grp, part, portion, role, k, comp, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, part, portion) != key:
+                    key, members, sent, matrix = (grp, part, portion), [], False, None
                 x = np.frombuffer(cells, dtype=np.uint8)
                 if role == 0:
                     members.append((n, x, k, comp))
@@ -346,21 +348,21 @@ def compare(members: list[Member], queries: Iterator[Member], percent: int, with
 
 
 def _verify(size: int, percent: int, within: bool):
-    """Over rows (grp, part, role, id, comp, text) sorted by the first four: links (a, b)."""
+    """Over rows (grp, part, slice, role, id, comp, text) sorted by the first five: links (a, b)."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, Member]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], int, Member]]:
         for batch in batches:
-            groups, parts, roles, ids, comps = (batch.column(k).to_pylist() for k in range(5))
-            for row, _, data, offsets in chunks(batch.column(5)):
+            groups, parts, slices, roles, ids, comps = (batch.column(k).to_pylist() for k in range(6))
+            for row, _, data, offsets in chunks(batch.column(6)):
                 h, first = shingles(data, offsets, size)
                 for k in range(len(offsets) - 1):
-                    yield (groups[row + k], parts[row + k]), roles[row + k], (ids[row + k], comps[row + k], h[first[k] : first[k + 1]].copy())
+                    yield (groups[row + k], parts[row + k], slices[row + k]), roles[row + k], (ids[row + k], comps[row + k], h[first[k] : first[k + 1]].copy())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = rows(batches)
         item, found = next(stream, None), []
 
-        def queries(key: tuple[int, int]) -> Iterator[Member]:
+        def queries(key: tuple[int, int, int]) -> Iterator[Member]:
             nonlocal item
             while item is not None and item[0] == key:
                 yield item[2]
@@ -383,9 +385,9 @@ def _verify(size: int, percent: int, within: bool):
 
 
 def _meet(rows: DataFrame, docs: DataFrame, size: int, percent: int, within: bool) -> DataFrame:
-    """Links between the texts of rows (grp, part, role, id, comp)."""
+    """Links between the texts of rows (grp, part, slice, role, id, comp)."""
     texts = texts_in(docs, bitmap(rows))
-    by = ["grp", "part"]
+    by = ["grp", "part", "slice"]
     placed = rows.join(texts, "id").select(*by, "role", "id", "comp", "text").repartition(*by).sortWithinPartitions(*by, "role", "id")
     out = placed.mapInArrow(_verify(size, percent, within), "a long, b long")
     return cut(out.distinct() if within else out)  # an id may come twice
@@ -418,7 +420,7 @@ def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id",
     contested = contested.join(large, "grp", "left").select("token", "grp", "id", "n", "rest", part)
     sized = each.select("id", F.col("n").cast("int").alias("n"), "sketch").filter("n > 0 and id is not null").dropDuplicates(["id"])
 
-    inside = members.join(sizes.select("grp"), "grp", "left_semi").select("grp", "part", F.lit(0).alias("role"), "id", F.col("id").alias("comp"))
+    inside = members.join(sizes.select("grp"), "grp", "left_semi").select("grp", "part", F.lit(0).alias("slice"), F.lit(0).alias("role"), "id", F.col("id").alias("comp"))
     found = _meet(inside, docs, size, percent, True)
     done, comps = None, found.select(F.col("a").alias("id"), F.col("b").alias("component"))  # a document has one group, and so one component there
     for one_each in (True, False):
@@ -429,10 +431,14 @@ def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id",
         done = asks
         if not asks.limit(1).count():
             break
-        asked = members.join(asks.select("grp", "part").distinct(), ["grp", "part"], "left_semi")
-        both = asked.select("grp", "part", F.lit(0).alias("role"), "id").unionByName(asks.select("grp", "part", F.lit(1).alias("role"), "id"))
-        both = known(both).join(sized, "id").select("grp", "part", "role", "id", "comp", "n", "sketch").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "id")
-        left = cut(both.mapInArrow(_bounded(percent), "grp long, part int, role int, id long, comp long"))
+        load = asks.groupBy("grp", "part").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+        asked = members.join(load, ["grp", "part"]).select("grp", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), "id")
+        many = small(cut(load.filter("slices > 1")), 100_000)
+        slice_of = F.coalesce(F.pmod(F.xxhash64("id"), F.col("slices")), F.lit(0)).cast("int").alias("slice")
+        both = asked.unionByName(asks.join(many, ["grp", "part"], "left").select("grp", "part", slice_of, F.lit(1).alias("role"), "id"))
+        by = ["grp", "part", "slice"]
+        both = known(both).join(sized, "id").select(*by, "role", "id", "comp", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "role", "id")
+        left = cut(both.mapInArrow(_bounded(percent), "grp long, part int, slice int, role int, id long, comp long"))
         if left.limit(1).count():
             more = _meet(left, docs, size, percent, False)
             if more.limit(1).count():
