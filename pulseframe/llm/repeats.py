@@ -14,8 +14,9 @@ Strings are judged on the texts as they came in, never across texts.
    without loss. The others' suffixes go into an enhanced suffix
    array (prefix doubling, longest common prefixes); a stack scan walks the tree of its common-prefix intervals, and the
    intervals whose occurrences differ in the byte before them are the maximal repeats. Of each, all occurrences but the
-   earliest are covered. A gram with more than `max_group` different contexts never meets in one task: its strings are
-   grouped by hash, with the earliest found by partial aggregation (the same result, without the tree).
+   earliest are covered. A gram with more than `split` different contexts is gathered by each of its stretches instead, so
+   that contexts which share none never meet. A gathering of more than `max_group` contexts never meets in one task: its
+   strings are grouped by hash, with the earliest found by partial aggregation (the same result, without the tree).
 4. The covered stretches are merged per text and cut out.
 
 Defined cases: null is an empty text; an empty or short text loses nothing; an id must name one text (repeated rows with
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import bitmap, cut, small_batches, texts_in
+from .spark import bitmap, cut, small, small_batches, texts_in
 from .textscan import buffers, chunks, eights, hash_ranges, mix, windows_of
 
 LEAST = 100
 GRAM = 32
 SPLITS = 4
+SPLIT = 512
 MAX_GROUP = 20_000
 HELD = 200_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -361,7 +363,7 @@ def _trees(least: int, together: int = 3_000):
     return scan
 
 
-def stretches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
+def stretches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, split: int = SPLIT, max_group: int = MAX_GROUP) -> DataFrame:
     """(id, spans): the covered stretches of each text that has any, unmerged, in bytes."""
     if not 8 <= gram <= least < 1024:
         raise ValueError(f"gram {gram} and least {least}: at least 8 bytes, and less than 1024")
@@ -369,7 +371,11 @@ def stretches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.mapInArrow(_mark(least, gram), _ROWS).repartition("fp").sortWithinPartitions("kind", "fp", "ctx", "id", "pos").mapInArrow(_settle, _ROWS)
     rows = cut(rows)
     known = rows.filter("kind = 1").select("id", "pos", "ext")
-    open_ = rows.filter("kind = 0").select("fp", "id", "pos", "ext")
+    open_ = rows.filter("kind = 0").select("fp", "id", "pos", "ext", "near")
+    dense = small(cut(open_.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > split).drop("n").withColumn("dense", F.lit(True))), 200_000)
+    stretch = [F.shiftrightunsigned("near", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(SPLITS)]
+    apart = F.filter(F.array(*(F.when(x != 0, F.xxhash64("fp", F.lit(k), x)) for k, x in enumerate(stretch))), lambda x: x.isNotNull())
+    open_ = open_.join(dense, "fp", "left").select(F.explode(F.when(F.col("dense"), apart).otherwise(F.array("fp"))).alias("fp"), "id", "pos", "ext")
     crowded = open_.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("fp")
     some = crowded.limit(1).count() > 0
     if some:

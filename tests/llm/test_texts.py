@@ -134,6 +134,7 @@ def brute_components(corpus, size, percent):
 @pytest.mark.parametrize("size,percent,group_rows", [(4, 85, 256), (5, 80, 256), (2, 50, 2)])
 def test_jaccard_join(docs, corpus, size, percent, group_rows, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(jaccard, "SLICE", group_rows)
     monkeypatch.setattr(jaccard.connected, "__kwdefaults__", jaccard.connected.__kwdefaults__ | {"group_rows": group_rows})
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(docs, size=size, percent=percent).collect()}
     assert got == brute_components(corpus, size, percent)
@@ -192,9 +193,10 @@ def test_passages(spark, docs, corpus, held, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == brute_passages(corpus)
 
 
-def test_crowded_grams_give_the_same(docs, corpus):
+@pytest.mark.parametrize("split,max_group", [(1, 20_000), (1, 1), (512, 1)])
+def test_crowded_grams_give_the_same(docs, corpus, split, max_group):
     want = {k: v[1] for k, v in brute_passages(corpus).items() if v[1]}
-    spans = repeats.stretches(docs, max_group=1).collect()
+    spans = repeats.stretches(docs, split=split, max_group=max_group).collect()
     got = {}
     for r in spans:
         covered = set()
