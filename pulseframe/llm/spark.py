@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,11 +17,14 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only a session
+    in one process (as in tests) gets a temporary one where neither is set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
-    scala = spark.sparkContext._jsc.sc()
+    context, scala = spark.sparkContext, spark.sparkContext._jsc.sc()
     if scala.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not set_to and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="checkpoints-"))
     return set_to or scala.getCheckpointDir().get()
 
 
