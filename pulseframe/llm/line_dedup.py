@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import bitmap, cut, small_batches, texts_in, unused
+from .spark import bitmap, cut, rows_in, small_batches, texts_in, unused
 from .textscan import LOWER, NOT_SPACE, Powers, Words, buffers, chunks, mix, word_hashes
 
 MIN_WORDS = 5
@@ -265,9 +265,11 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that lose no line are returned as they are, whatever they hold.
     """
-    key, own, drop = unused(documents, "key", "own", "drop")
-    lines = repeated_lines(documents, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias(own), F.col("lines").alias(drop))
-    named = documents.withColumn(key, F.col(id_col).cast("long")).filter(F.col(key).isNotNull()).join(lines, F.col(key) == F.col(own), "left").select(*documents.columns, drop)
+    own, drop = unused(documents, "own", "drop")
+    lines = cut(repeated_lines(documents, id_col=id_col, text_col=text_col, **options))
+    bits = bitmap(lines)  # only texts that may lose a line are shuffled
+    lines = lines.select(F.col("id").alias(own), F.col("lines").alias(drop))
+    named = rows_in(documents, id_col, bits).join(lines, F.col(id_col).cast("long") == F.col(own), "left").select(*documents.columns, drop)
     at, names = documents.columns.index(text_col), documents.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +283,7 @@ def remove(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out = [pa.array(texts, batch.column(at).type) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return named.mapInArrow(scan, documents.schema).unionByName(documents.filter(F.col(id_col).isNull()))
+    return named.mapInArrow(scan, documents.schema).unionByName(rows_in(documents, id_col, bits, inside=False))
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

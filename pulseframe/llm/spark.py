@@ -92,14 +92,32 @@ def bitmap(wanted: DataFrame, least: int = 1 << 20, most: int = 1 << 30) -> np.n
     return out
 
 
-def texts_in(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """The rows of docs (id, text) whose id's bit is set, or not set."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def rows_in(df: DataFrame, id_col: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows of df whose id's bit is set, or not set, with all their columns."""
+    held, names = df.sparkSession.sparkContext.broadcast(bits), list(range(len(df.columns)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(2).to_numpy()
+            s = batch.column(len(names)).to_numpy()
             hit = (held.value[s >> 6] >> (s & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(hit == inside))
+            yield batch.select(names).filter(pa.array(hit == inside))
+
+    slot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(64 * len(bits)))
+    return df.select("*", slot.alias(unused(df, "slot")[0])).mapInArrow(scan, df.schema)
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(64 * len(bits))).alias("s")).mapInArrow(scan, "id long, text string")
+
+def texts_in(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows of docs (id, text) whose id's bit is set, or not set."""
+    return rows_in(docs.select("id", "text"), "id", bits, inside)
+
+
+def lacking(df: DataFrame, gone: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
+    """df without the rows whose id is in gone (id; distinct). Few ids are sent to all tasks; of many, only the rows that a
+    filter lets through are shuffled."""
+    name = unused(df, "gone")[0]
+    gone = gone.select(F.col("id").alias(name))
+    if gone.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(gone), F.col(id_col).cast("long") == F.col(name), "left_anti")
+    bits = bitmap(gone.select(F.col(name).alias("id")))
+    met = rows_in(df, id_col, bits).join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    return rows_in(df, id_col, bits, inside=False).unionByName(met)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulseframe.llm import mixing, url_filter, vectors, warc
-from pulseframe.llm.spark import bitmap, components, texts_in
+from pulseframe.llm.spark import bitmap, components, lacking, texts_in
 
 
 # --- shared ---
@@ -267,3 +267,31 @@ def test_pipeline(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     kept = {r.doc_id for r in out.collect()}
     assert "rate" in out.columns and kept <= ids and not kept & {3, 7, 9}
+
+
+def test_pipeline_stages_at_the_edges(spark, folder, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, clashing names, long texts; and empty tables."""
+    word = lambda k: " ".join(f"q{k}x{j}" for j in range(40))
+    rows = [(900, None, "a", None), (901, "", None, 1), (902, "   \n ", "b", 2), (None, word(1), "c", 3), (None, None, None, None), (903, word(2), "d", 4), (903, word(2), "d", 4), (904, word(3) * 2000, "e", 5)]
+    schema = "doc_id long, text string, score string, gone int"
+    docs = spark.createDataFrame(rows, schema)
+    key = lambda r: tuple(map(str, r))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and sorted(map(key, out.collect())) == sorted(map(key, rows)), name
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, folder).collect()
+    assert sorted(str(r.doc_id) for r in mixed) == sorted(map(str, {r[0] for r in rows}))
+    empty = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{empty}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, empty).count() == len(rows), name
+
+
+def test_rows_lacking_ids(spark):
+    df = spark.createDataFrame([(k, f"t{k}", k) for k in range(500)] + [(None, "n", 1), (7, "again", 2)], "k int, text string, gone int")
+    gone = spark.createDataFrame([(k,) for k in range(0, 500, 7)], "id long")
+    for most in (10**6, 0):
+        got = lacking(df, gone, "k", most).collect()
+        assert sorted(str(r.k) for r in got) == sorted([str(k) for k in range(500) if k % 7] + ["None"])
