@@ -4,11 +4,12 @@ A rule (host, path, verdict) fits a URL if its host is the rule's or a subdomain
 rule's; the longest rule wins. Hosts are the seeds: a host's trust is the number of its pages that a rule allows, its
 distrust the number that a rule blocks. Trust flows along links (personalised PageRank), distrust against them: who
 links to a distrusted host is distrusted. A third vector, from all pages of a host, is the scale. A page that no rule
-fits is blocked if its host's distrust is above its trust and above `threshold` of its scale.
+fits is blocked if its host's distrust is above its trust and above `threshold` of its scale. A host that is linked but has
+no page in the table counts as one page, allowed or blocked if a rule fits the whole host.
 
-Host edges are the absolute links of the pages' html between hosts of the table, counted, and (site_edges) a link each
-way between a host and the host one label shorter. A host without links keeps what it has. The vectors take `rounds`
-rounds; edges are summed before they are shuffled, and no host's links are ever collected.
+Host edges are the absolute links of the pages' html, counted, and (site_edges) a link each way between a host and the host
+one label shorter. A host without links keeps what it has. The vectors take `rounds` rounds, after which what is still to
+move is below damping^rounds of the whole; edges are summed before they are shuffled, and no host's links are ever collected.
 
 Defined cases: a null url, or one without "://", has an empty host and path, which no rule fits; null html has no links;
 repeated rows are judged one by one (and count as pages each); extra columns are not read; an empty table gives none.
@@ -49,16 +50,29 @@ def with_rule(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame, site_edges: bool = True) -> DataFrame:
-    """(src, dst, w) between different hosts of the table."""
+def link_counts(pages: DataFrame) -> DataFrame:
+    """(src, dst, w): how many absolute links the pages (host, html) of a host have to another."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("url"))
     links = links.select("src", F.translate(F.regexp_extract("url", r"//([^/?#]*)", 1), _UPPER, _LOWER).alias("dst")).filter("src <> dst")
-    links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")).join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
+    return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+
+
+def all_hosts(pages: DataFrame, links: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """(host, scale, trust, distrust) of the hosts of pages (host, ruled), and of those that are only linked."""
+    counts = (F.count("*").alias("scale"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("trust"), F.count(F.when(F.col("ruled") == "block", 1)).alias("distrust"))
+    hosts = pages.groupBy("host").agg(*counts)
+    linked = links.select(F.col("dst").alias("host")).distinct().join(hosts.select("host"), "host", "left_anti")
+    linked = with_rule(linked.select(F.concat(F.lit("x://"), "host", F.lit("/")).alias("url")), rules)
+    return hosts.unionByName(linked.select("host", F.lit(1).cast("long").alias("scale"), *((F.coalesce(F.col("ruled") == v, F.lit(False))).cast("long").alias(c) for v, c in (("allow", "trust"), ("block", "distrust")))))
+
+
+def host_edges(links: DataFrame, hosts: DataFrame, site_edges: bool = True) -> DataFrame:
+    """(src, dst, w) between different hosts."""
     if site_edges:
         up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst <> ''")
         up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
         both = up.select("src", "dst").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        links = links.select("src", "dst", "w").unionByName(both.withColumn("w", F.lit(1.0)))
+        links = links.unionByName(both.withColumn("w", F.lit(1.0)))
     return links.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
@@ -91,9 +105,9 @@ def propagate(hosts: DataFrame, moves: DataFrame, rounds: int = ROUNDS, damping:
 def judge(pages: DataFrame, rules: tuple = RULES, *, threshold: float = THRESHOLD, rounds: int = ROUNDS, site_edges: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url, html)."""
     ruled = with_rule(pages.select("page_id", "url", "html"), rules)
-    counts = (F.count("*").alias("scale"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("trust"), F.count(F.when(F.col("ruled") == "block", 1)).alias("distrust"))
-    hosts = cut(ruled.groupBy("host").agg(*counts))
-    moves = cut(transitions(cut(host_edges(ruled, hosts, site_edges)), hosts))
+    links = cut(link_counts(ruled))
+    hosts = cut(all_hosts(ruled, links, rules))
+    moves = cut(transitions(cut(host_edges(links, hosts, site_edges)), hosts))
     scores = propagate(hosts, moves, rounds)
     blocked = cut(scores.select("host", F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold * F.col("scale")), "block").otherwise("allow").alias("by_graph")))
     lean = with_rule(pages.select("page_id", "url"), rules)
@@ -110,6 +124,9 @@ def _oracle(rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = T
         fits = f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
         rule, ruled = f"CASE WHEN {fits} THEN '{host + path}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {ruled} END"
     link = _LINK.replace("'", "''")
+    over = "NULL"  # the verdict on a host that is only linked
+    for host, path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
+        over = f"CASE WHEN (dst = '{host}' OR ends_with(dst, '.{host}')) AND starts_with('/', '{path}') THEN '{verdict}' ELSE {over} END"
     steps = "".join(
         f""",
 s{k} AS MATERIALIZED (SELECT h.host, {1 - damping} * any_value(h.scale) + {damping} * coalesce(sum(m.ahead * s.scale), 0) AS scale,
@@ -120,11 +137,12 @@ s{k} AS MATERIALIZED (SELECT h.host, {1 - damping} * any_value(h.scale) + {dampi
     )
     return f"""WITH urls AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{_HOST}', 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, '{_PATH}', 1), '') AS path FROM pages),
 ruled AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM urls),
-hosts AS MATERIALIZED (SELECT host, count(*)::DOUBLE AS scale, (count(*) FILTER (ruled = 'allow'))::DOUBLE AS trust, (count(*) FILTER (ruled = 'block'))::DOUBLE AS distrust FROM ruled GROUP BY host),
-links AS (SELECT src, translate(regexp_extract(url, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM ruled)),
+links AS MATERIALIZED (SELECT src, translate(regexp_extract(url, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM ruled)),
+paged AS MATERIALIZED (SELECT host, count(*)::DOUBLE AS scale, (count(*) FILTER (ruled = 'allow'))::DOUBLE AS trust, (count(*) FILTER (ruled = 'block'))::DOUBLE AS distrust FROM ruled GROUP BY host),
+hosts AS MATERIALIZED (SELECT * FROM paged UNION ALL SELECT dst, 1.0, (v IS NOT DISTINCT FROM 'allow')::INT::DOUBLE, (v IS NOT DISTINCT FROM 'block')::INT::DOUBLE FROM (SELECT DISTINCT dst, {over} AS v FROM links WHERE src <> dst AND dst NOT IN (SELECT host FROM paged))),
 up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM hosts),
 site AS (SELECT src, dst FROM up WHERE dst IN (SELECT host FROM hosts) AND dst <> ''),
-edges AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1.0 AS w FROM links WHERE src <> dst AND dst IN (SELECT host FROM hosts)
+edges AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1.0 AS w FROM links WHERE src <> dst
   UNION ALL SELECT src, dst, 1.0 FROM site UNION ALL SELECT dst, src, 1.0 FROM site) GROUP BY src, dst),
 outs AS (SELECT src, sum(w) AS n FROM edges GROUP BY src), ins AS (SELECT dst, sum(w) AS n FROM edges GROUP BY dst),
 moves AS MATERIALIZED (SELECT src, dst, sum(ahead) AS ahead, sum(back) AS back FROM (

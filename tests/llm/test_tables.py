@@ -165,6 +165,23 @@ def test_distrust_runs_against_links(spark):
     assert {got[k] for k in (10, 11, 12)} == {"block"} and got[21] == got[22] == "allow"
 
 
+def test_linked_graphs_match_the_sql(spark):
+    """Random links, also to hosts without pages; odd urls and nulls."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(12)
+    hosts = [f"h{k}.{rng.choice(['com', 'org', 'example.net', 'net'])}" for k in range(25)]
+    far = ["spam.net", "x.spam.net", "other.io", "A.Example.NET"]
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'fr/', ''])}{k}", " ".join(f'<a href="http{rng.choice(["", "s"])}://{rng.choice(hosts + far * 3)}/p?q">x</a>' for _ in range(rng.randrange(6)))) for k in range(120)]
+    rows += [(200, "http://shop.io/a", '<a href="http://spam.net/1">x</a>' * 9), (201, None, None), (202, "no scheme", ""), (203, "HTTP://Shop.IO", None), (201, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(map(str, r)) for r in url_filter.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = con.execute(url_filter.OP8_SQL).df()[["page_id", "host", "path", "rule", "verdict"]].astype(object)
+    want = sorted(tuple("None" if x is None or x != x else str(x) for x in r) for r in want.itertuples(index=False))
+    assert got == want and {r[4] for r in got if r[0] == "200"} == {"block"}
+
+
 # --- mixing ---
 def brute_rates(t, p, targets, rounds=200_000):
     mass = (t[:, None] * p).sum(0)
