@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.calendar import DAY_PARTS, auto_units, day_part, jan_week, season, seconds_between
 from ..functions.stats import near, proportional_difference, variation
 from ..operators import daily, enrich, heart, pressure, quality, series, treatments
-from ..sources.tables import Store, remaining
+from ..sources.schemas import HEART
+from ..sources.tables import Store, day_ledger, read_csv, remaining
 from . import day_sql, steps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,10 +348,15 @@ _OF = "(SELECT x.userid, x.time, x.value FROM {0} x JOIN worth w ON w.userid = x
 _SET = "(SELECT CAST(k AS VARCHAR) AS userid, DATE '2024-01-03' AS date, 60.0 + k AS thresh, 40.0 AS low, 110.0 AS high FROM range(0, 6) t(k))"
 
 
+def _own_store(spark) -> Store:
+    """Tables of a query's own, in the warehouse."""
+    return Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/own-{uuid.uuid4().hex}")
+
+
 @query("days_by_steps", f"WITH cleaned AS MATERIALIZED (SELECT * FROM {day_sql.clean(_SETTLED)}), worth AS MATERIALIZED (SELECT * FROM {_WORTH}) SELECT * FROM ({day_sql.features(day_sql.minutes(_OF.format(f'(SELECT * FROM {_DENSE} WHERE {STEP})'), _OF.format(_CLEANED)), _SET)})", dates=("date",))
 def days_by_steps(spark, sf):
     """Raw samples to daily features through the incremental steps, in two calls of each, in tables of their own."""
-    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/days-{uuid.uuid4().hex}")
+    store = _own_store(spark)
     store.write(dense(spark, sf).filter(f"NOT {STEP}").drop("event_type"), "heart")
     store.write(dense(spark, sf).filter(STEP).drop("event_type"), "steps")
     for start, end in (("2023-01-01", "2024-01-02"), ("2023-01-01", "2030-01-01")):
@@ -659,6 +665,100 @@ def counts(spark, sf):
     return samples(spark, sf).groupBy("userid").agg(treatments.count_ids(F.col("hour")).alias("ids"), F.count_distinct("event_type").alias("kinds"))
 
 
+# --- sources, sinks, whole enrichments -------------------------------------------------------------------------------
+@query("csv_samples", f"SELECT userid, epoch_us(date_trunc('second', time)) AS time, round(value, 6) AS value FROM {S}")
+def csv_samples(spark, sf):
+    path = f"{_own_store(spark).root}/samples"
+    samples(spark, sf).select("userid", F.date_trunc("second", "time").alias("time"), "value").write.option("header", True).csv(path)
+    return _six(read_csv(spark, path, HEART))
+
+
+@query("sinks", f"SELECT 'appended' AS what, count(*) AS n FROM {S} WHERE {STEP} UNION ALL SELECT 'replaced', count(*) FROM {S} WHERE event_type = 'click' UNION ALL SELECT 'one part replaced', count(*) FILTER (event_type <> 'view' OR value > 30) FROM {S} UNION ALL SELECT 'dropped', 0 UNION ALL SELECT 'refused', 1")
+def sinks(spark, sf):
+    """Append, overwrite, replacing of one part, drop, and the table that is never written."""
+    store, s = _own_store(spark), samples(spark, sf)
+    for kind in ("view", "click"):
+        store.write(s.filter(F.col("event_type") == kind), "appended")
+        store.write(s.filter(F.col("event_type") == kind), "replaced", "overwrite")
+    store.write(s, "parts", "partitions", ["event_type"])
+    store.write(s.filter("event_type = 'view' AND value > 30"), "parts", "partitions", ["event_type"])
+    store.write(s, "gone")
+    store.drop("gone")
+    try:
+        store.write(s, "pressure_raw_vals")
+        refused = 0
+    except ValueError:
+        refused = 1
+    count = lambda name, of: store.read(name).agg(F.count("*").alias("n")).select(F.lit(of).alias("what"), "n")
+    rest = spark.createDataFrame([("dropped", int(store.exists("gone"))), ("refused", refused)], "what string, n long")
+    return count("appended", "appended").unionByName(count("replaced", "replaced")).unionByName(count("parts", "one part replaced")).unionByName(rest)
+
+
+@query("day_ledgers", f"SELECT DISTINCT date, userid FROM {S} WHERE NOT {STEP} UNION SELECT DISTINCT date, userid FROM {S} WHERE {STEP}", dates=("date",))
+def day_ledgers(spark, sf):
+    return day_ledger(_heart(spark, sf)).union(day_ledger(_steps(spark, sf))).distinct()
+
+
+@query("distinct_ids", f"SELECT DISTINCT id AS patient_record_id FROM {_LINK} JOIN {S} ON userid = id")
+def distinct_ids(spark, sf):
+    seen = link(spark, sf).join(samples(spark, sf).select(F.col("userid").alias("hub_id")), "hub_id")
+    return enrich.distinct_ids(seen, "patient_record_id")
+
+
+@query("physical_rows", f"SELECT event_id FROM {S} WHERE event_id % 7 <> 0 AND value * 2 - 20 BETWEEN -10 AND 120")
+def physical_rows(spark, sf):
+    raw = samples(spark, sf).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value") * 2 - 20).alias("pressure_detrend"))
+    return pressure.within_physical(pressure.complete_rows(raw)).select("event_id")
+
+
+_SCORED = f"(SELECT * FROM {_TREAT} WHERE treatment_id % 5 <> 0 AND breath_count > 1)"
+
+
+@query("scored_treatments", f"""SELECT treatment_id, act_date, round(tday / d, 6) AS treatment_day_adherence_score, round(bday / d / s / b, 6) AS breaths_day_adherence_score, round(tweek / d / 7, 6) AS treatment_week_adherence_score, round(bweek / d / s / b / 7, 6) AS breaths_week_adherence_score, breath_count, round(amp, 6) AS mean_breath_amplitude FROM (
+SELECT *, sum(breath_count) OVER (PARTITION BY patient_id, act_date) AS bday, count(*) OVER (PARTITION BY patient_id, act_date) AS tday, sum(breath_count) OVER (PARTITION BY patient_id, year, week) AS bweek, count(*) OVER (PARTITION BY patient_id, year, week) AS tweek FROM {_SCORED}) JOIN {_DEV} USING (patient_id)""", dates=("act_date",))
+def scored_treatments(spark, sf):
+    """Treatments worth scoring, with their scores and features."""
+    t = orders_as_treatments(spark, sf).withColumn("pressures_completeness_score", (F.col("treatment_id") % 5 != 0).cast("double"))
+    t = t.withColumn("breath_count", F.when(F.col("breath_count") > 1, F.col("breath_count")).otherwise(0.0))
+    out = treatments.with_adherence(t, devices(spark, sf))
+    return _six(out.select("treatment_id", "act_date", *(f"{a}_{b}_adherence_score" for b in ("day", "week") for a in ("treatment", "breaths")), "breath_count", "mean_breath_amplitude"))
+
+
+_PEOPLE = "round(age + date_diff('day', rec, date) / 7 / 52.25::DOUBLE, 2) AS decimal_age, date_diff('day', rec, date)::DOUBLE AS day_in_study, dayname(date) AS day_of_week, month(date)::DOUBLE AS month, (month(date) % 12 // 3 + 1)::DOUBLE AS season, c_mktsegment AS gender"
+_DAYS = f"(SELECT userid, date, sum(value) AS v, max(time) AS t FROM {S} GROUP BY userid, date)"
+
+
+def _fence_sql(value: str, rows: str) -> str:
+    return f"(SELECT quantile_cont({value}, 0.25) - 1.5 * (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) AS lo, quantile_cont({value}, 0.75) + 1.5 * (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) AS hi FROM {rows})"
+
+
+def _sex(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("study_email"), F.col("c_mktsegment").alias("gender"))
+
+
+@query("enriched_days", f"""SELECT userid, date, round(v, 6) AS mvpa_15_prev_method, {_PEOPLE}, week_n, year, round(w, 6) AS mvpa_week, round(w / 420, 6) AS mvpa_week_score, (v <= lo OR v >= hi) AS mvpa_15_prev_method_is_out FROM (SELECT *, sum(v) OVER (PARTITION BY userid, year, week_n) AS w FROM (SELECT *, ((dayofyear(date) - 1) // 7 + 1)::DOUBLE AS week_n, year(date)::DOUBLE AS year FROM {_DAYS} JOIN {_LINK} ON id = userid)) JOIN customer ON c_custkey = study_email, {_fence_sql('v', f'(SELECT v FROM {_DAYS} WHERE userid IN (SELECT id FROM {_LINK}))')}""", dates=("date",))
+def enriched_days(spark, sf):
+    out = steps.enrich_days(user_days(spark, sf), link(spark, sf), _sex(spark, sf))
+    return _six(out.drop("study_email", "age_recruited", "date_recruited"))
+
+
+@query("enriched_treatments", f"""SELECT userid AS patient_id, date AS act_date, userid || '-' || CAST(date AS VARCHAR) AS treatment_id, v AS breath_count, {_PEOPLE}, games, games_played, phase, 1::DOUBLE AS day_treatment, epoch_us(DATE '2024-06-01' + (date_trunc('second', t) - date_trunc('day', t))) AS tr_start_time, (v <= lo OR v >= hi) AS breath_count_is_out FROM (SELECT * REPLACE (round(v, 6) AS v) FROM {_DAYS}) JOIN {_LINK} ON id = userid JOIN customer ON c_custkey = study_email
+JOIN (SELECT id AS pid, f, g, gend, fend FROM {_PHASES}) ON pid = userid JOIN LATERAL (SELECT CASE WHEN date >= fend THEN 'feedback ended' WHEN date >= gend THEN 'gaming ended' WHEN date >= g THEN 'gaming' WHEN date >= f THEN 'feedback' ELSE 'blind' END AS phase) ON true
+JOIN (SELECT d.userid AS gu, d.date AS gd, (p.names IS NOT NULL)::INT::DOUBLE AS games, coalesce(p.names, '0') AS games_played FROM {_DAYS} d LEFT JOIN (SELECT userid, date, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS names FROM {S} WHERE {STEP} GROUP BY ALL) p ON p.userid = d.userid AND p.date = d.date) ON gu = userid AND gd = date, {_fence_sql('v', f'(SELECT round(v, 6) AS v FROM {_DAYS} WHERE userid IN (SELECT id FROM {_LINK}))')}""", dates=("act_date",))
+def enriched_treatments(spark, sf):
+    days = samples(spark, sf).groupBy(F.col("userid").alias("patient_id"), F.col("date").alias("act_date")).agg(r6(F.sum("value")).alias("breath_count"), F.max("time").alias("treatment_start"))
+    days = days.withColumn("treatment_id", F.concat_ws("-", "patient_id", F.col("act_date").cast("string")))
+    games = samples(spark, sf).filter(STEP).select("userid", "date", F.col("event_type").alias("display_name"))
+    out = steps.enrich_treatments(days, games, link(spark, sf), _sex(spark, sf), "2024-06-01")
+    return _six(out.drop("study_email", "age_recruited", "date_recruited", "treatment_start"))
+
+
+@query("steps_report", f"""SELECT bool_and(v IS NOT NULL) AS complete, bool_and(v IS NOT NULL) AS finite, (min(v) >= 0 AND max(v) <= 50000) AS in_range, true AS column_names, true AS column_types, true AS column_number, NOT bool_or(CAST(time + INTERVAL 1 HOUR AS DATE) > DATE '2024-01-20') AS not_in_future, NOT coalesce(bool_or(CAST(time + INTERVAL 1 HOUR AS DATE) < rec), false) AS after_recruitment, bool_and(id IS NOT NULL) AS known_ids FROM (SELECT *, CASE WHEN event_id % 11 > 0 THEN value - 5 END AS v FROM {S}) LEFT JOIN {_LINK} ON id = userid""")
+def steps_report(spark, sf):
+    rows = samples(spark, sf).select("userid", "time", F.when(F.col("event_id") % 11 > 0, F.col("value") - 5).alias("value"))
+    return quality.samples_report(rows, link(spark, sf), "2024-01-20", "steps")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

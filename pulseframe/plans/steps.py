@@ -22,10 +22,9 @@ from ..sources.tables import RUN, Store, day_ledger, remaining
 
 def clean_pressure(raw: DataFrame) -> DataFrame:
     """Raw rows (id, pressurevalues, time, patient_record_id) as detrended sessions."""
-    rows = raw.select(F.col("patient_record_id").alias("patient_id"), F.col("id").alias("session_id"), "time", F.col("pressurevalues").cast("double").alias("pressure")).na.drop("any")
+    rows = pressure.complete_rows(raw.select(F.col("patient_record_id").alias("patient_id"), F.col("id").alias("session_id"), "time", F.col("pressurevalues").cast("double").alias("pressure")))
     rows = pressure.even_times(pressure.drop_resent_blocks(rows.repartition("session_id")))
-    low, high = pressure.PHYSICAL
-    return pressure.detrended(rows).filter(F.col("pressure_detrend").between(low, high)).select("patient_id", "session_id", "time", "pressure_detrend")
+    return pressure.within_physical(pressure.detrended(rows)).select("patient_id", "session_id", "time", "pressure_detrend")
 
 
 def label_pressure(clean: DataFrame, metadata: DataFrame) -> DataFrame:
