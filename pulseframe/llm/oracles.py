@@ -33,6 +33,15 @@ h AS (SELECT doc_id, m, i, item FROM dw JOIN bw USING (m, g)), p AS (SELECT doc_
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+OP6_SQL = """WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, array_slice(b, p + 1, p + 100) AS g FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later)) GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs UNION ALL SELECT doc_id, max(z), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(hex(array_slice(b, s + 1, coalesce(e, n))), '' ORDER BY s))) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(h, sha256(b)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 OP7_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages), m AS (SELECT sha1(h) AS s, max(page_id) AS r FROM p WHERE n >= 1000 GROUP BY 1),
 j AS (SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN r IS NOT NULL AND page_id IS DISTINCT FROM r THEN r END AS refers_to FROM p LEFT JOIN m ON n >= 1000 AND s = sha1(h))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j"""
@@ -44,4 +53,4 @@ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.
 e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)), {_REACH}
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON id = w.doc_id"""
 
-SQL = {"op1_line_dedup": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_warc_normalise": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_warc_normalise": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL}
