@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import cut, shared_dir
+from .spark import bitmap, cut, rows_in, shared_dir, small_batches
 
 LEAST = 1000
 FILE_BYTES = 64 << 20
@@ -247,15 +247,20 @@ def read_back(files: DataFrame) -> DataFrame:
 
 
 def typed(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, payload, payload_digest, refers_to) of pages (page_id, url, html)."""
+    """(page_id, url, payload, payload_digest, refers_to) of pages (page_id, url, html). Ids and digests alone are shuffled to
+    find what revisits what; of the payloads, only those of pages that may be revisits are."""
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("payload_digest", F.sha1("payload"))
-    shared = full.filter(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = cut(shared)
-    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return full.join(shared, "payload_digest", "left").withColumn("refers_to", F.when(revisit, F.col("response"))).drop("response")
+    long = full.filter(F.octet_length("payload") >= least).select("page_id", "payload_digest")
+    shared = cut(long.groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null").drop("n"))
+    later = long.join(shared, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("response"))).distinct()
+    later = cut(later.select(F.col("page_id").alias("later"), F.col("payload_digest").alias("of"), F.col("response").alias("refers_to")))
+    bits = bitmap(later.select(F.col("later").alias("id")))
+    met = rows_in(full, "page_id", bits).join(later, F.col("page_id").eqNullSafe(F.col("later")) & (F.col("payload_digest") == F.col("of")), "left").drop("later", "of")
+    return met.unionByName(rows_in(full, "page_id", bits, inside=False).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def op7_warc_normalise(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     directory = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     whole = cut(write_monolithic(typed(pages), directory))

@@ -129,6 +129,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert sum(len(list(warc.members(r.path))) for r in apart.collect()) == len(rows)
 
 
+def test_archives_of_repeated_rows_and_long_payloads(spark, tmp_path):
+    long, huge = "y" * 1500, "z é " * 700_000
+    rows = [(1, "http://a/", long, 1), (9, "http://b/", long, 2), (4, "http://c/", huge, 3), (3, None, huge, 4), (None, None, long, 5), (None, "http://n/", "own " * 400, 6), (None, "http://m/", "own " * 400, 7)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to int")
+    whole = warc.write_monolithic(warc.typed(pages), str(tmp_path / "out"), file_bytes=4000).cache()
+    got = [(str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_back(warc.normalise(whole, str(tmp_path / "out"))).collect()]
+    n = len(huge.encode())
+    want = [("1", 1500, "revisit", 9), ("9", 1500, "response", None), ("4", n, "response", None), ("3", n, "revisit", 4), ("None", 1500, "revisit", 9), ("None", 1600, "response", None), ("None", 1600, "response", None)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_archives_of_several_members_cuts_and_empty(spark, tmp_path):
     raw = [warc.record(k, "u", b"p" * k * 1000, "d", None) for k in range(1, 6)]
     source = tmp_path / "m.warc.gz"
