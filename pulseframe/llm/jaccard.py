@@ -11,8 +11,8 @@ documents link when 100 * intersection >= percent * union.
 4. First the members of each group are compared, and documents that come together so form a component. Then documents
    query the other groups with which they share a row of the matrix (of two groups, the one with the smaller name asks;
    both must have enough shingles left from there on) unless all its members there are of their component: first one document of each component for each group, then, with
-   the components that this gave, every document that still has something to ask. Copies of one text thus cost a few
-   queries, not all pairs.
+   the components that this gave, every document that still has something to ask. Rows of the matrix whose documents are
+   all of one component are left out before they are gathered. Copies of one text thus cost a few queries, not all pairs.
 5. A query and the members of its group first meet as sketches (how many shingles fall into each of some cells), which
    bound from above what they can have in common. What is left meets as texts, where the union of the members' shingles
    is stored: a query opens a group only if the union holds as many of its shingles as a link needs, and is compared
@@ -215,14 +215,31 @@ def _edges_of(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
 
 
-def _contested(cols: list[np.ndarray]) -> Iterator[tuple]:
-    """Of the matrix: each document once as a member (role 0), and the rows of shingles that several documents have (1)."""
-    member = cols[4] == MEMBER
-    rows = [c[~member] for c in cols]
-    size = np.diff(_edges_of(rows[0])) if len(rows[0]) else np.zeros(0, np.int64)
-    several = np.repeat(size > 1, size)
-    for role, of in ((0, [c[member] for c in cols]), (1, [c[several] for c in rows])):
-        yield np.full(len(of[0]), role), *of
+def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the matrix, sorted by token: each document once as a member (role 0), and the rows of shingles that several
+    documents have (1). Holds one row."""
+
+    def told(role: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), role, np.int32)), *(pa.array(c) for c in cols)], names=["role", "token", "grp", "id", "n", "rest"])
+
+    last: int | None = None  # the latest token
+    held: list[np.ndarray] | None = None  # its row, if it is the only one so far
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(5)]
+        member = cols[4] == MEMBER
+        if member.any():
+            yield told(0, [c[member] for c in cols])
+        rows = [c[~member] for c in cols]
+        token = rows[0]
+        if not len(token):
+            continue
+        same = np.concatenate([[last is not None and token[0] == last], token[1:] == token[:-1]])
+        if held is not None and same[0]:
+            yield told(1, held)
+        several = same | np.append(same[1:], False)
+        if several.any():
+            yield told(1, [c[several] for c in rows])
+        last, held = token[-1], None if several[-1] else [c[-1:] for c in rows]
 
 
 def _asking(percent: int, one_each: bool):
@@ -409,7 +426,7 @@ def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id",
     docs = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_shingles(docs, "text", size)
     matrix = _matrix(docs, "id", "text", size, percent, frequent).select("token", "grp", "id", "n", "rest")
-    rows = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_buckets(_contested, ["role", "token", "grp", "id", "n", "rest"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]), "role int, token long, grp long, id long, n int, rest int")
+    rows = matrix.repartition("token").sortWithinPartitions("token", "grp", "id").mapInArrow(_contested, "role int, token long, grp long, id long, n int, rest int")
     firsts = each.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")).select("id")
     rows = cut(rows.join(firsts, "id", "left_semi"))
     members, contested = rows.filter("role = 0").select("grp", "id"), rows.filter("role = 1").select("token", "grp", "id", "n", "rest")
@@ -425,7 +442,9 @@ def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id",
     done, comps = None, found.select(F.col("a").alias("id"), F.col("b").alias("component"))  # a document has one group, and so one component there
     for one_each in (True, False):
         known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")  # noqa: B023, E731
-        rows = known(contested).select("token", "grp", "part", "comp", "id", "n", "rest").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
+        rows = known(contested).select("token", "grp", "part", "comp", "id", "n", "rest")
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+        rows = rows.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
         asks = rows.mapInArrow(_asking(percent, one_each), "id long, grp long, part int").distinct()
         asks = cut(asks if done is None else asks.join(done, ["id", "grp", "part"], "left_anti"))
         done = asks
