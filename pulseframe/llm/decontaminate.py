@@ -162,7 +162,7 @@ class Finder:
             found = one if found is None else found.unionByName(one)
         every = found.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # at most a row for each part
         digest, hits, items = unused(documents, "digest", "hits", "items")
-        every = small(cut(every), 200_000).select(F.col("digest").alias(digest), F.col("hits").alias(hits), F.col("items").alias(items))
+        every = small(cut(every), 20_000).select(F.col("digest").alias(digest), F.col("hits").alias(hits), F.col("items").alias(items))
         keyed = documents.mapInArrow(self._keyed(documents.columns.index(text_col), digest), StructType([*documents.schema.fields, StructField(digest, BinaryType())]))
         self.held, self.rows, self.extra = None, keyed.join(every, digest, "left").select(*documents.columns, hits, items), [hits, items]
 
