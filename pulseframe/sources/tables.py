@@ -26,9 +26,15 @@ class Store:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        if self.root:
+        if self.root:  # has a file, other than what an unfinished write leaves
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
+            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files = system.listFiles(path, True) if system.exists(path) else None
+            while files is not None and files.hasNext():
+                place = files.next().getPath()
+                if "/_temporary/" not in place.toString() and not place.getName().startswith(("_", ".")):
+                    return True
+            return False
         if self.jdbc:
             try:
                 return bool(self.read(name).schema) or True

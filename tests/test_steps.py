@@ -215,6 +215,16 @@ def test_steps_after_failures(spark, tmp_path):
             assert a == b and len(a) > 0, table
 
 
+def test_unfinished_writes_are_no_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    left = tmp_path / "ledger_begun" / "_run=rx" / "_temporary" / "0"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"x")
+    assert not store.exists("ledger_begun") and not store.exists("nothing")
+    store.write_run(spark.range(0).selectExpr("id AS k"), "ledger_begun", "rx")
+    assert store.exists("ledger_begun") and store.read("ledger_begun").columns == ["k"] and store.read("ledger_begun").count() == 0
+
+
 def test_steps_in_a_catalog(spark, tmp_path):
     store = Store(spark)
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
