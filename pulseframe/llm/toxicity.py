@@ -45,7 +45,7 @@ from .textscan import ALNUM, LOWER, Words, chunks, ids_of, word_hashes
 ORDER = 8
 BOUNDARY = 0x20
 SHARES = (1.0, 0.1, 0.03, 0.01, 0.003, 0.001)
-MAX_HELD = 6_000_000
+MAX_HELD = 2_500_000
 MAX_CALIBRATION = 8_000
 MOST_FREQUENT = 1 << 17
 CLASSES = ("c0", "c1")
