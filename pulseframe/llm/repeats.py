@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import bitmap, cut, small_batches, texts_in
-from .textscan import buffers, chunks, eights, hash_ranges, mix, windows_of
+from .textscan import CHUNK, buffers, chunks, eights, hash_ranges, mix, windows_of
 
 LEAST = 100
 GRAM = 32
@@ -137,7 +137,7 @@ def _mark(least: int, gram: int):
         for batch in batches:
             parts = []
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, _, data, offsets in chunks(batch.column(1)):
+            for row, _, data, offsets in chunks(batch.column(1), CHUNK // 2):  # a dozen arrays of eight bytes for each byte
                 own, *rest = anchors(data, offsets, least, gram)
                 parts.append((ids[row + own], *rest))
             if not parts:
