@@ -12,7 +12,7 @@ documents link when 100 * intersection >= percent * union.
    query the other groups with which they share a row of the matrix (of two groups, the one with the smaller name asks;
    both must have enough shingles left from there on) unless all its members there are of their component: first one document of each component for each group, then, with
    the components that this gave, every document that still has something to ask. Rows of the matrix whose documents are
-   all of one component are left out before they are gathered. Copies of one text thus cost a few queries, not all pairs.
+   all of one component are left out before they are compared. Copies of one text thus cost a few queries, not all pairs.
 5. A query and the members of its group first meet as sketches (how many shingles fall into each of some cells), which
    bound from above what they can have in common. What is left meets as texts, where the union of the members' shingles
    is stored: a query opens a group only if the union holds as many of its shingles as a link needs, and is compared
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spark import bitmap, components, cut, small, small_batches, texts_in
@@ -443,8 +443,9 @@ def connected(documents: DataFrame, each: DataFrame, *, id_col: str = "doc_id",
     for one_each in (True, False):
         known = lambda df: df.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")  # noqa: B023, E731
         rows = known(contested).select("token", "grp", "part", "comp", "id", "n", "rest")
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-        rows = rows.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "grp", "part", "comp", "id")
+        own = Window.partitionBy("token")  # in the exchange that gathers the tokens; the window's rows spill
+        rows = rows.repartition("token").withColumns({"low": F.min("comp").over(own), "high": F.max("comp").over(own)}).filter("low <> high").drop("low", "high")
+        rows = rows.sortWithinPartitions("token", "grp", "part", "comp", "id")
         asks = rows.mapInArrow(_asking(percent, one_each), "id long, grp long, part int").distinct()
         asks = cut(asks if done is None else asks.join(done, ["id", "grp", "part"], "left_anti"))
         done = asks
