@@ -99,6 +99,6 @@ c AS MATERIALIZED (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGI
 q AS MATERIALIZED (SELECT item_id, row_number() OVER () AS k, list_distinct(regexp_extract_all({_LOWER}, {_TERM13})) AS ws FROM benchmark),
 f AS (SELECT w, floor(1000 * ln((2.0 * (SELECT n FROM c) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p GROUP BY w),
 s AS (SELECT k, r, sum(weight * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * len(ws) * (SELECT n FROM c) // (SELECT l FROM c)))))::BIGINT AS score FROM (SELECT k, unnest(ws) AS w FROM q) JOIN f USING (w) JOIN p USING (w) JOIN d USING (r) GROUP BY k, r)
-SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (r) WHERE score > 0) JOIN q USING (k) WHERE rank <= 10"""
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN d USING (r) WHERE score > 0) JOIN q USING (k) WHERE rank <= 10"""
 
 SQL = {"op1_line_dedup": OP1_SQL, "op4_embedding_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_warc_normalise": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_ranked_search": OP13_SQL}
