@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAY_PARTS, MINUTES, day_part
-from ..functions.stats import divide, variation
+from ..functions.stats import divide, nan_to_null, variation
 from .series import length_total, nearest_date, spread
 
 KEYS = ("userid", "date")
@@ -22,11 +22,14 @@ RUN_LENGTHS = (0, 2, 5, 10, 20)
 CHAINS = (2, 3, 5, 10, 20)
 
 
-def combine_minutes(steps: DataFrame, heart: DataFrame) -> DataFrame:
+def combine_minutes(steps: DataFrame, heart: DataFrame, allow_empty: bool = False) -> DataFrame:
     """(userid, time, value_steps, value_hr) per minute from samples (userid, time, value): steps as they are, heart rate
-    as the minute's mean. A minute that one side lacks has a null there; if a whole side is empty it is 0 instead."""
+    as the minute's mean, NaN left out. A minute that one side lacks has a null there; if a whole side is empty it is 0 instead.
+    Both sides empty is an error unless that is allowed (which also saves the look into them)."""
+    if not allow_empty and steps.isEmpty() and heart.isEmpty():
+        raise ValueError("neither steps nor heart rate")
     # One exchange for each side, by user and minute: it serves the distinct, the mean and the join.
-    keyed = lambda df: df.select("userid", F.date_trunc("minute", "time").alias("minute"), "time", "value").repartition("userid", "minute").distinct()
+    keyed = lambda df: df.select("userid", F.date_trunc("minute", "time").alias("minute"), "time", nan_to_null(F.col("value")).alias("value")).repartition("userid", "minute").distinct()
     s = keyed(steps).select("userid", "minute", F.col("value").cast("double").alias("value_steps"))
     h = keyed(heart).groupBy("userid", "minute").agg(F.avg("value").alias("value_hr"))
     out = s.join(h, ["userid", "minute"], "full").withColumnRenamed("minute", "time")

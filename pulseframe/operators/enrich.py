@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.calendar import jan_week, season
+from ..functions.stats import nan_to_null
 
 WEEK_GOAL = 420
 
@@ -87,12 +88,13 @@ def numeric_columns(df: DataFrame, logical: bool = False) -> list[str]:
 
 
 def quartiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.75)) -> dict[str, list[float | None]]:
-    """Exact percentiles of each column, interpolated, nulls left out (None for a column without values).
+    """Exact percentiles of each column, interpolated, nulls and NaN left out (None for a column without values).
 
     Sketches bracket each percentile; the values below the brackets are counted, and only those inside are told apart (by
     their counts). So what one task or the driver sees is a small share of the rows, whatever the values are.
     """
     places = [(c, q) for c in columns for q in shares]
+    df = df.select(*(nan_to_null(F.col(c)).alias(c) for c in columns))
     n = df.agg(*(F.count(c).alias(c) for c in columns)).first()
     accuracy = min(1_000_000, max(10_000, *(n[c] // 10_000 for c in columns)))
     pad = {c: 2 / accuracy + 1.5 / max(1, n[c]) for c in columns}  # the sketch's error, and the next row
@@ -123,12 +125,13 @@ def fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> dict[str, t
 
 
 def flag_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
-    """Adds <c>_is_out: at or beyond Tukey's fences. All rows stay. With equal quartiles, values equal to them are out."""
+    """Adds <c>_is_out: at or beyond Tukey's fences. All rows stay. With equal quartiles, values equal to them are out.
+    The flag of a missing value (null or NaN) is null."""
     names = [c for c in (columns or df.columns) if c in numeric_columns(df)]
     if not names:
         raise ValueError("no numeric column")
     found = fences(df, names, k)
-    return df.select("*", *(((F.col(c) <= F.lit(found[c][0])) | (F.col(c) >= F.lit(found[c][1]))).alias(f"{c}_is_out") for c in names))
+    return df.select("*", *(((nan_to_null(F.col(c)) <= F.lit(found[c][0])) | (nan_to_null(F.col(c)) >= F.lit(found[c][1]))).alias(f"{c}_is_out") for c in names))
 
 
 def drop_outliers(df: DataFrame, columns: Sequence[str] | None = None, ratio: float = 0.03, k: float = 1.5) -> DataFrame:

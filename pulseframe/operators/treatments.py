@@ -16,12 +16,20 @@ DEFAULTS = {"prescr_n_sets": 10.0, "prescr_n_breaths": 10.0, "prescr_treatments_
 
 def session_spans(samples: DataFrame, keys: tuple = ("patient_id", "session_id")) -> DataFrame:
     """Start, end and date of each session."""
-    return samples.groupBy(*keys).agg(F.min("time").alias("session_start"), F.max("time").alias("session_end")).withColumn("date", F.to_date("session_start"))
+    return with_date(samples.groupBy(*keys).agg(F.min("time").alias("session_start"), F.max("time").alias("session_end")))
 
 
-def session_metadata(samples: DataFrame) -> DataFrame:
+def with_date(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("date", F.to_date("session_start"))
+
+
+def grouped_sessions(spans: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """session_spans with the treatment that each session belongs to."""
-    return sessionise(session_spans(samples), ["patient_id"], "session_start", "session_end", "session_id")
+    return sessionise(spans, ["patient_id"], "session_start", "session_end", "session_id", gap_seconds)
+
+
+def session_metadata(samples: DataFrame) -> DataFrame:
+    return grouped_sessions(session_spans(samples))
 
 
 def treatment_spans(labelled: DataFrame) -> DataFrame:
@@ -39,56 +47,100 @@ def with_counts(rows: DataFrame) -> DataFrame:
     return rows.join(counts, ["patient_id", "treatment_id"])
 
 
-def _four(column: str, name: str) -> list[Column]:
+def _four(column: Column | str, name: str) -> list[Column]:
     return [f(column).alias(f"{kind}_{name}") for kind, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("sd", F.stddev_samp))]
 
 
+def _unit(seconds: Column, mixed_units: bool) -> Column:
+    return auto_units(seconds) if mixed_units else seconds
+
+
+def _middle(values: Column) -> Column:
+    """The mean of the middle one or two of an array of (time, value), by time."""
+    ordered, n = F.array_sort(values), F.size(values)
+    at = lambda k: F.element_at(ordered, k.cast("int"))["pressure_detrend"]
+    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
+
+
 def breath_measures(labelled: DataFrame, mixed_units: bool = False) -> DataFrame:
     """Per breath: amplitude, mean amplitude, amplitude of the middle row (mean of two), duration in seconds."""
-    value = F.array_sort(F.collect_list(F.struct("time", "pressure_detrend")))
-    rows = labelled.filter("breath_id > 0").groupBy("patient_id", "treatment_id", "breath_id").agg(F.max("pressure_detrend").alias("amplitude"), F.avg("pressure_detrend").alias("mean_amplitude"), seconds_between(F.min("time"), F.max("time")).alias("duration"), value.alias("__v"))
-    n = F.size("__v")
-    at = lambda k: F.element_at("__v", k.cast("int"))["pressure_detrend"]
-    middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
-    return rows.withColumn("middle_amplitude", middle).drop("__v").withColumn("duration", auto_units(F.col("duration")) if mixed_units else F.col("duration"))
+    duration = _unit(seconds_between(F.min("time"), F.max("time")), mixed_units).alias("duration")
+    middle = _middle(F.collect_list(F.struct("time", "pressure_detrend"))).alias("middle_amplitude")
+    return labelled.filter("breath_id > 0").groupBy("patient_id", "treatment_id", "breath_id").agg(F.max("pressure_detrend").alias("amplitude"), F.avg("pressure_detrend").alias("mean_amplitude"), duration, middle)
 
 
 def break_durations(labelled: DataFrame, mixed_units: bool = False) -> DataFrame:
-    rows = labelled.filter("break_id > 0").groupBy("patient_id", "treatment_id", "break_id").agg(seconds_between(F.min("time"), F.max("time")).alias("duration"))
-    return rows.withColumn("duration", auto_units(F.col("duration")) if mixed_units else F.col("duration"))
+    duration = _unit(seconds_between(F.min("time"), F.max("time")), mixed_units).alias("duration")
+    return labelled.filter("break_id > 0").groupBy("patient_id", "treatment_id", "break_id").agg(duration)
 
 
-def breath_features(measures: DataFrame, extra: bool = False) -> DataFrame:
-    """Per treatment: mean, min, max and sd of amplitude and duration; with `extra` the shares of adherent breaths."""
-    aggs = _four("amplitude", "breath_amplitude") + _four("duration", "breath_duration")
+def breath_aggregates(extra: bool = False, where: Column | None = None) -> list[Column]:
+    """Aggregates over a treatment's breaths (the rows where `where` holds): mean, min, max and sd of amplitude and duration; with
+    `extra` the shares of adherent breaths."""
+    of = lambda c: F.col(c) if where is None else F.when(where, F.col(c))
+    aggs = _four(of("amplitude"), "breath_amplitude") + _four(of("duration"), "breath_duration")
     if extra:
-        a, m, d = F.col("amplitude"), F.col("mean_amplitude"), F.col("duration")
+        a, m, d = of("amplitude"), of("mean_amplitude"), of("duration")
         good = lambda x: (x > 10) & (x < 20)
         shares = {"pressure": good(a) | good(m), "peak_pressure": good(a), "breath_1s": d >= 1, "breath_2s": d >= 2, "breath_3s": d >= 3, "pressure_duration": (d >= 2) & (d < 6) & good(a)}
-        aggs += [F.avg("middle_amplitude").alias("mean_breath_amplitude_middle")]
-        aggs += [(F.sum(F.when(c, 1).otherwise(0)) / F.count(F.lit(1))).alias(f"{k}_treatment_adherence_score") for k, c in shares.items()]
-    return measures.groupBy("patient_id", "treatment_id").agg(*aggs)
+        every = F.count(F.lit(1) if where is None else F.when(where, 1))
+        aggs += [F.avg(of("middle_amplitude")).alias("mean_breath_amplitude_middle")]
+        aggs += [(F.sum(F.when(c, 1).otherwise(0)) / F.nullif(every, F.lit(0))).alias(f"{k}_treatment_adherence_score") for k, c in shares.items()]
+    return aggs
+
+
+def breath_features(measures: DataFrame, extra: bool = False) -> DataFrame:
+    return measures.groupBy("patient_id", "treatment_id").agg(*breath_aggregates(extra))
 
 
 def break_features(durations: DataFrame) -> DataFrame:
     return durations.groupBy("patient_id", "treatment_id").agg(*_four("duration", "break_duration"))
 
 
-def treatment_features(labelled: DataFrame, extra: bool = False, mixed_units: bool = False) -> DataFrame:
-    """One row per treatment. Daily counts are over all of a patient's rows of the day on which the treatment began."""
-    key = ["patient_id", "treatment_id"]
-    head = labelled.groupBy(*key).agg(
-        F.min("time").alias("treatment_start"), F.max("time").alias("treatment_end"), F.count(F.lit(1)).alias("__rows"),
-        (F.sum(F.when((F.col("breath_id") != 0) & (F.col("pressure_detrend") >= STRONG), 1).otherwise(0)) / 10).alias("seconds_above10"),
-        F.avg(F.when(F.col("breath_id") > 0, 1.0).otherwise(0.0)).alias("percent_time_breathing"),
-        *(F.first(c).alias(c) for c in ("breath_count", "break_count", "set_count")),
+def treatment_rows(labelled: DataFrame, extra: bool = False, mixed_units: bool = False) -> DataFrame:
+    """One row per treatment: all that depends on its own rows alone, and their number (`rows`).
+
+    The labelled rows are read and shuffled once, as sums over cells of one breath and one break; each cell then counts to its
+    breath and to its break, and those to the treatment.
+    """
+    key, v = ["patient_id", "treatment_id"], F.col("pressure_detrend")
+    held = [F.collect_list(F.when(F.col("breath_id") > 0, F.struct("time", "pressure_detrend"))).alias("held")] if extra else []
+    counts = ("breath_count", "break_count", "set_count")
+    cells = labelled.groupBy(*key, "breath_id", "break_id").agg(
+        F.min("time").alias("start"), F.max("time").alias("end"), F.count(F.lit(1)).alias("rows"), F.max(v).alias("amplitude"), F.sum(v).alias("total"), F.count(v).alias("values"),
+        F.sum(F.when((F.col("breath_id") != 0) & (v >= STRONG), 1).otherwise(0)).alias("strong"), *(F.max(c).alias(c) for c in counts), *held,
+    )
+    both = F.explode(F.array(*(F.struct(F.lit(c == "breath_id").alias("breath"), F.col(c).alias("id")) for c in ("breath_id", "break_id"))))
+    merged = {"start": F.min, "end": F.max, "rows": F.sum, "amplitude": F.max, "total": F.sum, "values": F.sum, "strong": F.sum} | dict.fromkeys(counts, F.max)
+    held = [_middle(F.flatten(F.collect_list(F.when(F.col("of.breath"), F.col("held"))))).alias("middle_amplitude")] if extra else []
+    parts = cells.withColumn("of", both).groupBy(*key, "of.breath", "of.id").agg(*(f(c).alias(c) for c, f in merged.items()), *held)
+    parts = parts.withColumn("duration", _unit(seconds_between(F.col("start"), F.col("end")), mixed_units)).withColumn("mean_amplitude", F.col("total") / F.col("values"))
+    breath, real = F.col("breath"), F.col("id") > 0
+    whole = lambda c: F.sum(F.when(breath, F.col(c)).otherwise(0))  # noqa: E731  # every row counts to one breath, 0 if to none
+    out = parts.groupBy(*key).agg(
+        F.min("start").alias("treatment_start"), F.max("end").alias("treatment_end"), whole("rows").alias("rows"), (whole("strong") / 10).alias("seconds_above10"),
+        (F.sum(F.when(breath & real, F.col("rows")).otherwise(0)) / whole("rows")).alias("percent_time_breathing"), *(F.max(c).alias(c) for c in counts),
+        *breath_aggregates(extra, breath & real), *_four(F.when(~breath & real, F.col("duration")), "break_duration"),
     )
-    head = head.withColumn("act_date", F.to_date("treatment_start")).withColumn("treatment_length", F.floor(seconds_between(F.col("treatment_start"), F.col("treatment_end"))).cast("double"))
-    head = head.withColumn("percentage_above10", F.col("seconds_above10") * 10 / F.col("__rows") * 100)
-    daily = F.sum("__rows").over(Window.partitionBy("patient_id", "act_date")).cast("double")
-    head = head.withColumn("pressures_daily_count", daily).withColumn("pressures_completeness_score", (F.col("pressures_daily_count") > COMPLETE).cast("double")).drop("__rows")
-    out = head.join(breath_features(breath_measures(labelled, mixed_units), extra), key, "left")
-    return out.join(break_features(break_durations(labelled, mixed_units)), key, "left")
+    out = out.withColumn("act_date", F.to_date("treatment_start")).withColumn("treatment_length", F.floor(seconds_between(F.col("treatment_start"), F.col("treatment_end"))).cast("double"))
+    return out.withColumn("percentage_above10", F.col("seconds_above10") * 10 / F.col("rows") * 100)
+
+
+def with_daily(rows: DataFrame) -> DataFrame:
+    """treatment_rows with the counts of all of a patient's rows of the day on which the treatment began, in place of `rows`. They
+    must be all of the day's treatments."""
+    daily = F.sum("rows").over(Window.partitionBy("patient_id", "act_date")).cast("double")
+    return rows.withColumn("pressures_daily_count", daily).withColumn("pressures_completeness_score", (F.col("pressures_daily_count") > COMPLETE).cast("double")).drop("rows")
+
+
+def treatment_features(labelled: DataFrame, extra: bool = False, mixed_units: bool = False) -> DataFrame:
+    """One row per treatment, with its day's counts."""
+    return with_daily(treatment_rows(labelled, extra, mixed_units))
+
+
+def week_label(date: Column) -> Column:
+    """The week of its year, as the label of a part: all that day and week totals depend on lies in one."""
+    return F.format_string("%d-w%02d", F.year(date), jan_week(date))
 
 
 def worth_scoring(features: DataFrame) -> DataFrame:
@@ -96,7 +148,8 @@ def worth_scoring(features: DataFrame) -> DataFrame:
 
 
 def day_and_week(features: DataFrame) -> DataFrame:
-    """Adds each treatment's day and week totals; a day's totals count once in its week (of its year)."""
+    """Adds each treatment's day and week totals; a day's totals count once in its week (of its year). All windows are of one
+    patient, so that rows dealt by patient are not dealt again."""
     day = Window.partitionBy("patient_id", "act_date")
     score = F.col("pressures_completeness_score")
     out = features.withColumn("year", F.year("act_date")).withColumn("act_week", jan_week(F.col("act_date")))
@@ -121,7 +174,7 @@ def adherence(features: DataFrame, devices: DataFrame, extra: bool = False) -> D
     a row for each."""
     key = ["patient_id", "treatment_id", "act_date", "pressures_completeness_score"]
     presc = prescriptions(devices).select("patient_id", *DEFAULTS)
-    out = day_and_week(features).join(presc, "patient_id")
+    out = day_and_week(features.repartition("patient_id")).join(presc, "patient_id")
     sets, breaths, day = (F.nullif(F.col(c), F.lit(0.0)) for c in ("prescr_n_sets", "prescr_n_breaths", "prescr_treatments_day"))
     scores = {
         "treatment_day_adherence_score": F.col("treatment_count_day") / day,

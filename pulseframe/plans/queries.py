@@ -218,9 +218,9 @@ def dedup_blocks(spark, sf):
     return pressure.drop_resent_blocks(blocky(spark, sf), "userid", "pressure", 3).select("event_id")
 
 
-@query("even_times", f"SELECT event_id, epoch_us(min(time) OVER (PARTITION BY userid)) + (row_number() OVER (PARTITION BY userid ORDER BY time) - 1) * 100000 AS time FROM {S}")
+@query("even_times", f"SELECT event_id, epoch_us(min(time) OVER (PARTITION BY userid)) + (row_number() OVER (PARTITION BY userid ORDER BY time, value, event_id) - 1) * 100000 AS time FROM {S}")
 def even_times(spark, sf):
-    return pressure.even_times(samples(spark, sf), "userid").select("event_id", F.unix_micros("time").alias("time"))
+    return pressure.even_times(samples(spark, sf), "userid", "value", tie=["event_id"]).select("event_id", F.unix_micros("time").alias("time"))
 
 
 # --- heart-rate cleaning -------------------------------------------------------------------------------------------

@@ -1,10 +1,17 @@
 """The two pipelines as incremental steps over whole populations.
 
-A step reads its ledger, takes the units (sessions, treatments, days) that are not in it by an anti join, and transforms all
+A step brings the index of its input up to date (plans.index: only parts that are new are read), takes the units (sessions,
+treatments, days) that its ledger does not have by an anti join, reads them from the parts that hold any, and transforms all
 of them in one plan. It first notes the units of its run in `<ledger>_begun`, then writes the data, then the ledger, all
 under the run's name; a run that is in the first but not in the ledger was broken off, and the next call does it again, with
 the same units and under the same name, so that what it had written is replaced. A step that is run again after a failure
 therefore neither loses nor doubles rows.
+
+Columns and types of what comes in and goes out are checked. Given the link table, values, ids and dates of what comes in are
+too, by aggregates that are gathered while the rows are written: if one fails, the run is taken back and has no ledger rows.
+
+Data are written in parts by day. What treatments have from their days and weeks is worked out anew, for all treatments of each
+week that a run touches, from a table with what they have by themselves; so the result does not depend on how runs are cut.
 """
 
 from __future__ import annotations
@@ -17,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import daily, enrich, heart, pressure, quality, treatments
-from ..sources.tables import RUN, Store, day_ledger, remaining
+from ..sources import schemas
+from ..sources.tables import LABEL, RUN, Store, remaining
+from .index import Index
 
 
 def clean_pressure(raw: DataFrame) -> DataFrame:
@@ -27,23 +36,31 @@ def clean_pressure(raw: DataFrame) -> DataFrame:
     return pressure.within_physical(pressure.detrended(rows)).select("patient_id", "session_id", "time", "pressure_detrend")
 
 
-def label_pressure(clean: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Detrended rows with treatments, peaks, breaths, breaks, sets and their counts. All sessions must have metadata."""
-    if quality.uncovered(clean, metadata).limit(1).count():
+def label_pressure(clean: DataFrame, metadata: DataFrame, covered: bool = False) -> DataFrame:
+    """Detrended rows with treatments, peaks, breaths, breaks, sets and their counts. All sessions must have metadata, which is
+    looked up unless they are known to be covered."""
+    if not covered and quality.uncovered(clean, metadata).limit(1).count():
         raise ValueError("sessions without metadata")
     rows = clean.join(metadata.select("session_id", "treatment_id", "session_start"), "session_id")
     rows = pressure.with_breaths(pressure.with_peaks(rows))
     return treatments.with_counts(pressure.with_sets(rows))
 
 
-def run_step(store: Store, target: str, ledger: str, keys: list[str], units: DataFrame, data: Callable[[DataFrame], DataFrame]) -> bool:
-    """Writes data(units) for the units that the ledger lacks, after those of a run that was broken off; returns whether there
-    were any."""
+def run_step(store: Store, ledger: str, keys: list[str], units: DataFrame, write: Callable[[str, DataFrame], list[str]], gate: quality.Gate | None = None) -> bool:
+    """write(run, units) for the units that the ledger lacks, after those of a run that was broken off; returns whether there
+    were any. write says which tables the run has rows in: they are taken back if the gate does not let it pass."""
     begun, known = f"{ledger}_begun", store.exists(ledger)
     found = False
 
     def finish(run: str, todo: DataFrame) -> None:
-        store.write_run(data(todo), target, run)
+        written = write(run, todo)
+        if gate:
+            try:
+                gate.demand()
+            except ValueError:
+                for table in [*written, begun]:
+                    store.drop_run(table, run)
+                raise
         store.write_run(todo, ledger, run)
 
     if store.exists(begun):
@@ -53,7 +70,7 @@ def run_step(store: Store, target: str, ledger: str, keys: list[str], units: Dat
             finish(row[0], notes.filter(F.col(RUN) == row[0]).select(*keys))
             found = known = True
     todo = remaining(units, store.read(ledger) if known else None, keys)
-    if not todo.limit(1).count():
+    if todo.isEmpty():
         return found
     run = f"r{uuid.uuid4().hex}"  # a letter first: no reader takes it for a number
     store.write_run(todo, begun, run)
@@ -99,12 +116,16 @@ def clean_days(samples: DataFrame) -> DataFrame:
     return heart.clean(samples.withColumn("date", F.to_date("time"))).select("userid", "time", "value")
 
 
-def featurise_days(steps: DataFrame, clean: DataFrame, thresholds: DataFrame, link: DataFrame) -> DataFrame:
-    """Daily features of the days after recruitment that are worth it."""
+def days_after_recruitment(days: DataFrame, link: DataFrame) -> DataFrame:
     people = link.select(F.col("hub_id").alias("userid"), "date_recruited")
-    days = daily.worth_featurising(steps, clean).join(people, "userid").filter("date >= date_recruited").select("userid", "date")
-    keep = lambda df: df.withColumn("date", F.to_date("time")).join(days, ["userid", "date"], "left_semi").drop("date")
-    return daily.daily_features(daily.combine_minutes(keep(steps), keep(clean)), thresholds)
+    return days.join(people, "userid").filter("date >= date_recruited").select("userid", "date")
+
+
+def featurise_days(steps: DataFrame, clean: DataFrame, thresholds: DataFrame, link: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Daily features of the days after recruitment that are worth it; `days` (userid, date) if these are known already."""
+    if days is None:
+        days = days_after_recruitment(daily.worth_featurising(steps, clean), link)
+    return daily.daily_features(daily.combine_minutes(of_days(steps, days), of_days(clean, days), allow_empty=True), thresholds)
 
 
 def enrich_treatments(features: DataFrame, games: DataFrame, link: DataFrame, sex: DataFrame, as_of: str) -> DataFrame:
@@ -118,34 +139,87 @@ def enrich_days(features: DataFrame, link: DataFrame, sex: DataFrame) -> DataFra
     return enrich.flag_outliers(enrich.with_week_score(out), ["mvpa_15_prev_method"])
 
 
-def clean_pressure_step(store: Store, raw: str, clean: str, ledger: str, start: str, end: str) -> bool:
-    sessions = treatments.session_spans(store.read(raw).select(F.col("patient_record_id").alias("patient_id"), F.col("id").alias("session_id"), "time"))
-    units = between(sessions, "date", start, end).select(F.col("session_id").alias("id"))
-    return run_step(store, clean, ledger, ["id"], units, lambda todo: clean_pressure(store.read(raw).join(todo, "id", "left_semi")))
+def raw_index(store: Store, raw: str) -> Index:
+    return Index(store, raw, {"patient_id": "patient_record_id", "session_id": "id"})
+
+
+def clean_index(store: Store, clean: str) -> Index:
+    return Index(store, clean, {"patient_id": "patient_id", "session_id": "session_id"})
+
+
+def labelled_index(store: Store, labelled: str) -> Index:
+    return Index(store, labelled, {"patient_id": "patient_id", "treatment_id": "treatment_id"})
+
+
+def day_index(store: Store, samples: str) -> Index:
+    return Index(store, samples, {"userid": "userid", "date": "to_date(time)"}, lows={"low": "value"})
+
+
+def _sessions(index: Index) -> DataFrame:
+    return treatments.with_date(index.spans().select("patient_id", "session_id", F.col("first").alias("session_start"), F.col("last").alias("session_end")))
+
 
+def ingest(store: Store, rows: DataFrame, table: str, run: str) -> None:
+    """Raw rows (with a time) in parts by day, under a name of the caller's; a delivery that is written twice is there once."""
+    store.write_run(rows, table, run, F.to_date("time"))
 
-def label_pressure_step(store: Store, clean: str, labelled: str, ledger: str, start: str, end: str) -> bool:
+
+def clean_pressure_step(store: Store, raw: str, clean: str, ledger: str, start: str, end: str, link: DataFrame | None = None) -> bool:
+    index, gate = raw_index(store, raw).refresh(), quality.pressure_gate() if link is not None else None
+
+    def watched(rows: DataFrame) -> DataFrame:
+        if gate is None:
+            return rows
+        people = link.select("patient_record_id", F.lit(True).alias("known")).distinct()
+        return gate.watch(rows.join(people, "patient_record_id", "left")).drop("known")
+
+    def write(run: str, todo: DataFrame) -> list[str]:
+        rows = quality.require(index.read(todo.select(F.col("id").alias("session_id"))), schemas.RAW_PRESSURE)
+        out = clean_pressure(watched(rows))
+        quality.check_schema(out, schemas.CLEAN_PRESSURE)
+        store.write_run(out, clean, run, F.to_date("time"))
+        return [clean]
+
+    units = between(_sessions(index), "date", start, end).select(F.col("session_id").alias("id"))
+    return run_step(store, ledger, ["id"], units, write, gate)
+
+
+def label_pressure_step(store: Store, clean: str, labelled: str, ledger: str, start: str, end: str, gap_seconds: int = 3600) -> bool:
     """Whole treatments at a time: a treatment's later sessions never restart its numbering."""
-    metadata = treatments.session_metadata(store.read(clean))
+    index = clean_index(store, clean).refresh()
+    metadata = treatments.grouped_sessions(_sessions(index), gap_seconds)
     first = between(metadata.groupBy("treatment_id").agg(F.min("date").alias("date")), "date", start, end)
 
-    def data(todo: DataFrame) -> DataFrame:
+    def write(run: str, todo: DataFrame) -> list[str]:
         sessions = metadata.join(todo, "treatment_id", "left_semi")
-        return label_pressure(store.read(clean).join(sessions.select("session_id"), "session_id", "left_semi"), sessions)
+        rows = quality.require(index.read(sessions.select("session_id")), schemas.CLEAN_PRESSURE)
+        out = label_pressure(rows, sessions, covered=True)  # the sessions are the index's own
+        quality.check_schema(out, schemas.LABELLED_PRESSURE)
+        store.write_run(out, labelled, run, F.to_date("session_start"))
+        return [labelled]
 
-    return run_step(store, labelled, ledger, ["treatment_id"], first, data)
+    return run_step(store, ledger, ["treatment_id"], first, write)
 
 
 def featurise_treatments_step(store: Store, labelled: str, target: str, ledger: str, devices: DataFrame, start: str, end: str, extra: bool = False) -> bool:
+    """`<target>_rows` gets what each treatment has by itself; of the weeks that the run touches, all rows of the target are
+    worked out anew from it."""
     whole_weeks(start, end)
-    spans = treatments.treatment_spans(store.read(labelled)).withColumn("date", F.to_date("treatment_start"))
-    units = between(spans, "date", start, end).select("treatment_id")
+    index, own = labelled_index(store, labelled).refresh(), f"{target}_rows"
+    units = between(index.spans().withColumn("date", F.to_date("first")), "date", start, end).select("treatment_id")
 
-    def data(todo: DataFrame) -> DataFrame:
-        rows = store.read(labelled).join(todo, "treatment_id", "left_semi")
-        return treatments.with_adherence(treatments.treatment_features(rows, extra), devices, extra)
+    def write(run: str, todo: DataFrame) -> list[str]:
+        rows = quality.require(index.read(todo), schemas.LABELLED_PRESSURE)
+        store.write_run(treatments.treatment_rows(rows, extra), own, run, treatments.week_label(F.col("act_date")))
+        every = store.read(own, runs=True)
+        weeks = [r[0] for r in every.filter(F.col(RUN) == run).select(F.col(LABEL).cast("string")).distinct().collect()]  # a label for each week
+        found = treatments.with_adherence(treatments.with_daily(every.filter(F.col(LABEL).isin(weeks)).drop(RUN, LABEL)), devices, extra)
+        if not extra:
+            quality.check_schema(found, schemas.TREATMENTS)
+        store.replace(found, target, treatments.week_label(F.col("act_date")))
+        return [own]
 
-    return run_step(store, target, ledger, ["treatment_id"], units, data)
+    return run_step(store, ledger, ["treatment_id"], units, write)
 
 
 def of_days(samples: DataFrame, days: DataFrame) -> DataFrame:
@@ -153,15 +227,44 @@ def of_days(samples: DataFrame, days: DataFrame) -> DataFrame:
     return samples.withColumn("date", F.to_date("time")).join(days, ["userid", "date"], "left_semi").drop("date")
 
 
-def clean_days_step(store: Store, samples: str, clean: str, ledger: str, start: str, end: str) -> bool:
-    days = between(settled_days(day_ledger(store.read(samples))), "date", start, end)
-    return run_step(store, clean, ledger, ["userid", "date"], days, lambda todo: clean_days(of_days(store.read(samples), todo)))
+def _with_people(samples: DataFrame, link: DataFrame) -> DataFrame:
+    return samples.join(link.groupBy(F.col("hub_id").alias("userid")).agg(F.min("date_recruited").alias("date_recruited")), "userid", "left")
+
+
+def clean_days_step(store: Store, samples: str, clean: str, ledger: str, start: str, end: str, link: DataFrame | None = None, as_of: str | None = None) -> bool:
+    index, gate = day_index(store, samples).refresh(), quality.samples_gate("heart", as_of) if link is not None else None
+
+    def write(run: str, todo: DataFrame) -> list[str]:
+        rows = quality.require(index.read(todo), schemas.HEART)
+        rows = rows if gate is None else gate.watch(_with_people(rows, link)).drop("date_recruited")
+        out = clean_days(rows)
+        quality.check_schema(out, schemas.HEART)
+        store.write_run(out, clean, run, F.to_date("time"))
+        return [clean]
+
+    days = between(settled_days(index.spans().select("userid", "date")), "date", start, end)
+    return run_step(store, ledger, ["userid", "date"], days, write, gate)
+
+
+def featurise_days_step(store: Store, steps: str, clean: str, target: str, ledger: str, thresholds: DataFrame, link: DataFrame, start: str, end: str, as_of: str | None = None, checked: bool = False) -> bool:
+    """Days that are not worth featurising enter the ledger too. Which are is told from the indexes. With `checked`, steps pass
+    the gate of samples."""
+    stepped, hearts = day_index(store, steps).refresh(), day_index(store, clean).refresh()
+    gate = quality.samples_gate("steps", as_of) if checked else None
+    keys = ["userid", "date"]
+    days = between(stepped.spans().select(*keys).union(hearts.spans().select(*keys)).distinct(), "date", start, end)
+    worth = days_after_recruitment(stepped.spans().filter("n > 1").select(*keys).join(hearts.spans().filter("n > 1 and low > 0").select(*keys), keys), link)
 
+    def write(run: str, todo: DataFrame) -> list[str]:
+        some = worth.join(todo, keys, "left_semi")
+        rows = stepped.read(some if gate is None else todo)
+        rows = rows if gate is None else gate.watch(_with_people(rows, link)).drop("date_recruited")
+        out = featurise_days(rows, hearts.read(some), thresholds, link, some)
+        quality.check_schema(out, schemas.DAILY)
+        store.write_run(out, target, run, F.col("date"))
+        return [target]
 
-def featurise_days_step(store: Store, steps: str, clean: str, target: str, ledger: str, thresholds: DataFrame, link: DataFrame, start: str, end: str) -> bool:
-    """Days that are not worth featurising enter the ledger too."""
-    days = between(day_ledger(store.read(steps)).union(day_ledger(store.read(clean))).distinct(), "date", start, end)
-    return run_step(store, target, ledger, ["userid", "date"], days, lambda todo: featurise_days(of_days(store.read(steps), todo), of_days(store.read(clean), todo), thresholds, link))
+    return run_step(store, ledger, keys, days, write, gate)
 
 
 def weeks_from(start: str, weeks: int) -> str:

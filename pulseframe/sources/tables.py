@@ -1,17 +1,29 @@
-"""Sources, sinks and ledgers. A store is a folder of Parquet tables, a catalog, or a JDBC database; readers stay lazy."""
+"""Sources, sinks and ledgers. A store is a folder of Parquet tables, a catalog, or a JDBC database; readers stay lazy.
+
+Steps write a table in runs, and within a run by a label (a day or week), so that a table in a folder has a part for each
+run and label. Runs and labels are partition columns that readers do not see. A table that others append to has a part
+for each name of a file. Whoever notes which parts it has read (plans.index) later reads the others alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.stats import without_nan
+
 #: Fixed value: a table that no sink may replace.
 PROTECTED = ("pressure_raw_vals",)
-#: The column by which a step's rows are told apart; readers do not see it.
-RUN = "_run"
+#: The columns by which a step's rows are told apart, and those of an index by the part they are of; readers do not see them.
+RUN, LABEL, PART = "_run", "_label", "_part"
+HIDDEN = (RUN, LABEL, PART)
+#: The label of a run without rows.
+NONE = "none"
 
 
 @dataclass(frozen=True)
@@ -25,16 +37,25 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _files(self, name: str):
+        """The paths of a folder table's files below its folder, other than what an unfinished write leaves."""
+        place, system = self._place(self.path(name))
+        if not system.exists(place):
+            return
+        above = len(system.makeQualified(place).toUri().getPath()) + 1
+        files = system.listFiles(place, True)
+        while files.hasNext():
+            below = files.next().getPath().toUri().getPath()[above:]
+            if not any(x.startswith((".", "_")) and "=" not in x for x in below.split("/")):
+                yield below
+
     def exists(self, name: str) -> bool:
-        if self.root:  # has a file, other than what an unfinished write leaves
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            files = system.listFiles(path, True) if system.exists(path) else None
-            while files is not None and files.hasNext():
-                place = files.next().getPath()
-                if "/_temporary/" not in place.toString() and not place.getName().startswith(("_", ".")):
-                    return True
-            return False
+        if self.root:
+            return next(self._files(name), None) is not None
         if self.jdbc:
             try:
                 return bool(self.read(name).schema) or True
@@ -45,7 +66,7 @@ class Store:
         return self.spark.catalog.tableExists(name)
 
     def read(self, name: str, schema: StructType | None = None, runs: bool = False) -> DataFrame:
-        """The table, with the run that wrote each row only if asked for."""
+        """The table, NaN as null; with the runs and labels of its rows only if asked for."""
         if self.root:
             reader = self.spark.read.schema(schema) if schema else self.spark.read
             df = reader.parquet(self.path(name))
@@ -53,12 +74,46 @@ class Store:
             df = self.spark.read.format("jdbc").options(dbtable=name, **self.jdbc).load()
         else:
             df = self.spark.table(name)
-        return df if runs else df.drop(RUN)
+        return without_nan(df if runs else df.drop(*HIDDEN))
+
+    def parts(self, name: str) -> set[str] | None:
+        """The names of a table's parts, from a listing alone; None where there is none (JDBC, catalog tables without runs)."""
+        if self.root:
+            return {self._part_of(below) for below in self._files(name)}
+        if self.jdbc or not self.exists(name) or not any(c.isPartition and c.name in HIDDEN for c in self.spark.catalog.listColumns(name)):
+            return None
+        return {self._part_of(f"{r[0]}/x") for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
+
+    @staticmethod
+    def _part_of(below: str) -> str:
+        *folders, file = below.split("/")
+        labels = [unquote(x.partition("=")[2]) for x in folders if x.partition("=")[0] in HIDDEN]
+        return "/".join(labels) or file
+
+    def read_parts(self, name: str, parts: Collection[str]) -> DataFrame:
+        """The rows of some parts, with the name of each one's part."""
+        if self.root:
+            wanted, folders = set(parts), set()
+            for below in self._files(name):
+                if self._part_of(below) in wanted:
+                    folder, _, file = below.rpartition("/")
+                    folders.add(folder if any(x.partition("=")[0] in HIDDEN for x in folder.split("/")) else f"{folder}/{file}".lstrip("/"))
+            df = self.spark.read.option("basePath", self.path(name)).parquet(*(f"{self.path(name)}/{x}" for x in sorted(folders))) if folders else self.spark.read.parquet(self.path(name)).limit(0)
+        else:
+            df = self.spark.table(name)
+        labels = [c for c in HIDDEN if c in df.columns]
+        if not self.root:  # sets of values prune partitions; their pairs are told apart below
+            for k, c in enumerate(labels):
+                df = df.filter(F.col(c).cast("string").isin({p.split("/")[k] for p in parts}))
+        told = df.withColumn(PART, F.concat_ws("/", *(F.col(c).cast("string") for c in labels))) if labels else df.select("*", F.col("_metadata.file_name").alias(PART))
+        return without_nan((told if self.root else told.filter(F.col(PART).isin(set(parts)))).drop(RUN, LABEL))
 
     def write(self, df: DataFrame, name: str, mode: str = "append", partition_by: Sequence[str] = ()) -> None:
         """mode: append, overwrite, or "partitions" (replaces only the partitions that df has). Errors are not swallowed."""
-        if name.rpartition(".")[2] in PROTECTED:
-            raise ValueError(f"{name} holds raw data and is not written")
+        self._guard(name)
+        if mode == "partitions" and not self.root and not self.jdbc and self.exists(name):
+            df.select(*self.spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+            return
         writer = df.write.mode("overwrite" if mode == "partitions" else mode)
         if mode == "partitions":
             writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -71,25 +126,69 @@ class Store:
         else:
             writer.saveAsTable(name)
 
-    def write_run(self, df: DataFrame, name: str, run: str) -> None:
-        """Writes df as the rows of the given run in place of any that the run has left there before."""
-        from pyspark.sql import functions as F
-
+    @staticmethod
+    def _guard(name: str) -> None:
         if name.rpartition(".")[2] in PROTECTED:
             raise ValueError(f"{name} holds raw data and is not written")
+
+    def write_run(self, df: DataFrame, name: str, run: str, label: Column | None = None) -> None:
+        """Writes df as the rows of the given run in place of any that the run has left there before; with a label (text), in
+        a part for each. Rows of one label go to as few files as their size allows."""
+        self._guard(name)
+        if label is not None:
+            df = df.withColumn(LABEL, F.coalesce(label.cast("string"), F.lit(NONE)))
+            df = df if self.jdbc and not self.root else df.hint("rebalance", LABEL)
+        if self.root:  # the run's own folder; one without rows holds the schema
+            place = f"{self.path(name)}/{RUN}={run}"
+            writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+            (writer if label is None else writer.partitionBy(LABEL)).parquet(place)
+            if label is not None and next(self._files(f"{name}/{RUN}={run}"), None) is None:
+                df.drop(LABEL).limit(0).write.mode("overwrite").parquet(f"{place}/{LABEL}={NONE}")
+            return
         rows = df.withColumn(RUN, F.lit(run))
         if self.jdbc:
             if self.exists(name):
-                self._delete_run(name, run)
+                self._delete(name, RUN, run)
             rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
-        elif self.root:  # the run's own folder; one without rows holds the schema
-            df.write.mode("overwrite").parquet(f"{self.path(name)}/{RUN}={run}")
-        elif not self.exists(name):
-            self.write(rows, name, "partitions", [RUN])
         else:
-            rows.select(*self.spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+            self.write(rows, name, "partitions", [RUN] if label is None else [RUN, LABEL])
 
-    def _delete_run(self, name: str, run: str) -> None:
+    def replace(self, df: DataFrame, name: str, label: Column) -> None:
+        """Writes df in place of all that the table has under the same labels. Repeated after a failure it gives the same."""
+        self._guard(name)
+        rows = df.withColumn(LABEL, F.coalesce(label.cast("string"), F.lit(NONE)))
+        if self.jdbc and not self.root:
+            if self.exists(name):
+                for row in rows.select(LABEL).distinct().collect():  # one text for each label
+                    self._delete(name, LABEL, row[0])
+            rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
+            return
+        if self.root and not self.exists(name):  # the schema, should there be no row
+            df.limit(0).write.mode("overwrite").parquet(f"{self.path(name)}/{LABEL}={NONE}")
+        self.write(rows.hint("rebalance", LABEL), name, "partitions", [LABEL])
+
+    def drop_run(self, name: str, run: str) -> None:
+        """Removes what a run has written."""
+        if self.root:
+            place, system = self._place(f"{self.path(name)}/{RUN}={run}")
+            system.delete(place, True)
+        elif self.exists(name):
+            if self.jdbc:
+                self._delete(name, RUN, run)
+            else:
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({RUN} = '{run}')")
+
+    def drop_parts(self, name: str, parts: Collection[str]) -> None:
+        """Removes parts of an index."""
+        for part in parts:
+            if self.root:
+                for below in {x.rpartition("/")[0] for x in self._files(name) if self._part_of(x) == part}:
+                    place, system = self._place(f"{self.path(name)}/{below}")
+                    system.delete(place, True)
+            else:
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({PART} = '{part}')")
+
+    def _delete(self, name: str, column: str, value: str) -> None:
         """Through the driver's own connection; JDBC writers have no replacing mode for part of a table."""
         settings = self.spark._jvm.java.util.Properties()
         for k in ("user", "password"):
@@ -97,8 +196,8 @@ class Store:
                 settings.setProperty(k, self.jdbc[k])
         connection = self.spark._jvm.java.sql.DriverManager.getConnection(self.jdbc["url"], settings)
         try:
-            statement = connection.prepareStatement(f'DELETE FROM {name} WHERE "{RUN}" = ?')
-            statement.setString(1, run)
+            statement = connection.prepareStatement(f'DELETE FROM {name} WHERE "{column}" = ?')
+            statement.setString(1, value)
             statement.executeUpdate()
         finally:
             connection.close()
@@ -112,8 +211,9 @@ class Store:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """NaN is read as null."""
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return without_nan((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
 
 
 def remaining(units: DataFrame, ledger: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -123,6 +223,4 @@ def remaining(units: DataFrame, ledger: DataFrame | None, keys: Sequence[str]) -
 
 
 def day_ledger(samples: DataFrame, user: str = "userid", time: str = "time") -> DataFrame:
-    from pyspark.sql import functions as F
-
     return samples.select(F.to_date(time).alias("date"), user).distinct()

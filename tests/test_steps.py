@@ -169,11 +169,11 @@ def test_activity_steps_withhold_the_latest_day(spark, tmp_path):
 class Breaks(Store):
     """A store whose writes to one table fail, before or after they are done."""
 
-    def write_run(self, df, name, run):
+    def write_run(self, df, name, run, label=None):
         where, after = self.jdbc.get("_fails"), self.jdbc.get("_after")
         if name == where and not after:
             raise OSError(name)
-        Store(self.spark, self.root).write_run(df, name, run)
+        Store(self.spark, self.root).write_run(df, name, run, label)
         if name == where:
             raise OSError(name)
 
@@ -185,7 +185,7 @@ STEPS = {
     "clean_days": lambda st, dims: steps.clean_days_step(st, "hr", "clean_hr", "hr_ledger", "2024-01-01", "2024-02-01"),
     "featurise_days": lambda st, dims: steps.featurise_days_step(st, "fs", "clean_hr", "daily", "daily_ledger", dims[1], dims[2], "2024-01-01", "2024-02-01"),
 }
-WRITES = {"clean_pressure": ("clean", "clean_ledger"), "label": ("labelled", "label_ledger"), "featurise": ("features", "feature_ledger"), "clean_days": ("clean_hr", "hr_ledger"), "featurise_days": ("daily", "daily_ledger")}
+WRITES = {"clean_pressure": ("clean", "clean_ledger"), "label": ("labelled", "label_ledger"), "featurise": ("features_rows", "feature_ledger"), "clean_days": ("clean_hr", "hr_ledger"), "featurise_days": ("daily", "daily_ledger")}
 
 
 def seeded(spark, root):
@@ -210,7 +210,7 @@ def test_steps_after_failures(spark, tmp_path):
             with pytest.raises(OSError):
                 step(Breaks(spark, other.root, {"_fails": fails, "_after": after}), dims)
         assert step(other, dims) and not step(other, dims)
-        for table in (target, ledger):
+        for table in (target, ledger, "features")[: 3 if name == "featurise" else 2]:
             a, b = (sorted(map(str, s.read(table).collect())) for s in (store, other))
             assert a == b and len(a) > 0, table
 
