@@ -1,5 +1,5 @@
-"""Daily activity features from minute rows of heart rate and steps: one exchange and one order of the day serve all of a
-day's windows, and the day is one wide aggregate.
+"""Daily activity features from minute rows of heart rate and steps: one exchange of the samples, by user and day, serves
+their minutes and all of a day's windows, and the day is one wide aggregate.
 
 The groups of features are functions of columns that give {name: aggregate}; the queries use them on their own.
 """
@@ -22,21 +22,26 @@ RUN_LENGTHS = (0, 2, 5, 10, 20)
 CHAINS = (2, 3, 5, 10, 20)
 
 
-def combine_minutes(steps: DataFrame, heart: DataFrame, allow_empty: bool = False) -> DataFrame:
+def combine_minutes(steps: DataFrame, heart: DataFrame, allow_empty: bool = False, keep_date: bool = False) -> DataFrame:
     """(userid, time, value_steps, value_hr) per minute from samples (userid, time, value): steps as they are, heart rate
     as the minute's mean, NaN left out. A minute that one side lacks has a null there; if a whole side is empty it is 0 instead.
-    Both sides empty is an error unless that is allowed (which also saves the look into them)."""
+    Both sides empty is an error unless that is allowed (which also saves the look into them). With keep_date, the rows have
+    their date and are dealt by user and date.
+    """
     if not allow_empty and steps.isEmpty() and heart.isEmpty():
         raise ValueError("neither steps nor heart rate")
-    # One exchange for each side, by user and minute: it serves the distinct, the mean and the join.
-    keyed = lambda df: df.select("userid", F.date_trunc("minute", "time").alias("minute"), "time", nan_to_null(F.col("value")).alias("value")).repartition("userid", "minute").distinct()
-    s = keyed(steps).select("userid", "minute", F.col("value").cast("double").alias("value_steps"))
-    h = keyed(heart).groupBy("userid", "minute").agg(F.avg("value").alias("value_hr"))
-    out = s.join(h, ["userid", "minute"], "full").withColumnRenamed("minute", "time")
-    some = lambda df, name: df.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias(name))
-    out = out.join(F.broadcast(some(steps, "__s"))).join(F.broadcast(some(heart, "__h")))  # one row each
-    fill = lambda c, n: F.when(F.col(n) == 0, F.lit(0.0)).otherwise(F.col(c)).alias(c)
-    return out.select("userid", "time", fill("value_steps", "__s"), fill("value_hr", "__h"))
+    # Both sides in one exchange, by user and day; it serves the distinct, the minutes, and whatever windows a day has next.
+    kind = lambda df, stepped: df.select("userid", F.to_date("time").alias("date"), F.date_trunc("minute", "time").alias("minute"), "time", nan_to_null(F.col("value").cast("double")).alias("value"), F.lit(stepped).alias("stepped"))
+    rows = spread(kind(steps, True).unionByName(kind(heart, False)), KEYS).distinct()
+    minute = Window.partitionBy(*KEYS, "minute")
+    rows = rows.withColumns({"value_hr": F.avg(F.when(~F.col("stepped"), F.col("value"))).over(minute), "k": F.row_number().over(minute.orderBy(F.col("stepped").desc(), "time", "value"))})
+    rows = rows.filter(F.col("stepped") | (F.col("k") == 1))  # the first one is a heart rate only where there are no steps
+    some = lambda df, name: df.limit(1).select(F.lit(name).alias("side"))
+    sides = some(steps, "s").unionByName(some(heart, "h")).agg(F.max(F.when(F.col("side") == "s", 1)).alias("__s"), F.max(F.when(F.col("side") == "h", 1)).alias("__h"))
+    out = rows.join(F.broadcast(sides))  # one row
+    fill = lambda c, n, name: F.when(F.col(n).isNull(), F.lit(0.0)).otherwise(c).alias(name)
+    own = F.when(F.col("stepped"), F.col("value"))
+    return out.select("userid", *(["date"] if keep_date else []), F.col("minute").alias("time"), fill(own, "__s", "value_steps"), fill(F.col("value_hr"), "__h", "value_hr"))
 
 
 def worth_featurising(steps: DataFrame, heart: DataFrame) -> DataFrame:
@@ -123,11 +128,15 @@ def variations(steps: Column, hr: Column, time: Column) -> dict[str, Column]:
     return out | {"cov_hr": variation(hr)} | {f"cov_hr_{'q5' if p == 'q234' else p}": variation(hr, day_part(time, p)) for p in parts}
 
 
-def daily_features(minutes: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The wide daily row of minutes (userid, time, value_steps, value_hr); thresholds: (userid, date, thresh14,
-    thresh14_low, thresh14_high), of which the row of the nearest date counts."""
-    m = spread(minutes.withColumns({"date": F.to_date("time"), "hour": F.hour("time"), "seconds": F.unix_seconds("time")}), KEYS)
-    near = nearest_date(m.select(*KEYS).distinct(), thresholds, "userid", "date", "date", ["thresh14", "thresh14_low", "thresh14_high"])
+def daily_features(minutes: DataFrame, thresholds: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """The wide daily row of minutes (userid, time, value_steps, value_hr; a date too if combine_minutes kept it, by which they
+    are dealt already); thresholds: (userid, date, thresh14, thresh14_low, thresh14_high), of which the row of the nearest
+    date counts. days: all (userid, date) that minutes have, and maybe more; without it they are taken from the minutes, which
+    are then made twice."""
+    dealt = "date" in minutes.columns
+    m = minutes.withColumns(({} if dealt else {"date": F.to_date("time")}) | {"hour": F.hour("time"), "seconds": F.unix_seconds("time")})
+    m = m if dealt else spread(m, KEYS)
+    near = nearest_date((m if days is None else days).select(*KEYS).distinct(), thresholds, "userid", "date", "date", ["thresh14", "thresh14_low", "thresh14_high"])
     near = near.select(*KEYS, F.col("thresh14").alias("thresh"), F.col("thresh14_low").alias("thresh_low"), F.col("thresh14_high").alias("thresh_high"))
     m = m.join(near, list(KEYS), "left")
     steps, hr, time = F.col("value_steps"), F.col("value_hr"), F.col("time")

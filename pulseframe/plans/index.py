@@ -44,7 +44,7 @@ class Index:
         parts = self.store.parts(self.table)
         if parts is None:
             return None
-        known = self.store.parts(self.name) or set() if self.store.exists(self.name) else set()
+        known = self.store.parts(self.name) or set()
         return parts - known, known - parts
 
     def refresh(self) -> Index:
@@ -58,7 +58,7 @@ class Index:
         return self
 
     def _rows(self) -> DataFrame | None:
-        if self.store.parts(self.table) is None or not self.store.exists(self.name):
+        if not self.store.tells_parts(self.table) or not self.store.exists(self.name):
             return None
         return self.store.read(self.name, runs=True)
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.calendar import DAY_PARTS, auto_units, day_part, jan_week, season, seconds_between
 from ..functions.stats import near, proportional_difference, variation
 from ..operators import daily, enrich, heart, pressure, quality, series, treatments
-from ..sources.schemas import HEART
+from ..sources.schemas import HEART, TREATMENTS
 from ..sources.tables import Store, day_ledger, read_csv, remaining
-from . import day_sql, steps
+from . import day_sql, pressure_sql, steps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -317,7 +317,12 @@ _THRESHOLDS = f"(SELECT userid, CAST(date_trunc('week', time) AS DATE) AS date,
 
 @query("daily_features", day_sql.features(day_sql.minutes(_STEPS, _HEART), _THRESHOLDS), dates=("date",))
 def daily_features(spark, sf):
-    return _six(daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf)))
+    return _six(_all_days(spark, sf))
+
+
+def _all_days(spark, sf):
+    minutes = daily.combine_minutes(_steps(spark, sf), _heart(spark, sf), keep_date=True)
+    return daily.daily_features(minutes, _thresholds(spark, sf), samples(spark, sf).select("userid", "date"))
 
 
 _ALL_DAY = "(SELECT CAST(CAST(userid AS INT) % 7 AS VARCHAR) AS userid, CAST(DATE '2024-01-01' AS TIMESTAMP) + to_microseconds(epoch_us(time) % 86400000000) AS time, {0} AS value FROM {1})"
@@ -340,9 +345,20 @@ def daily_features_dense(spark, sf):
     return _six(daily.daily_features(minutes, _fixed_thresholds(spark)))
 
 
-_SETTLED = f"(SELECT userid, time, value, date FROM (SELECT *, max(date) OVER (PARTITION BY userid) AS latest FROM {_DENSE} WHERE NOT {STEP}) WHERE date < latest)"
+#: All events in many days of three users: 150 a day, one every 10 seconds.
+_DAILY = "(SELECT CAST(event_id // 150 % 3 + 1 AS VARCHAR) AS userid, TIMESTAMP '2024-01-01' + to_days(CAST(event_id // 150 AS INT)) + to_seconds(event_id % 150 * 10) AS time, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(event_id // 150 AS INT)) AS DATE) AS date, CASE WHEN value < 2 THEN 70.0 WHEN value < 30 THEN 80.0 ELSE 80 + floor(value) / 8 END::DOUBLE AS value, event_type FROM events)"
+
+
+def many_days(spark, sf):
+    day, e = F.floor(F.col("event_id") / 150), F.col("event_id")
+    time = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + day * 86_400 + e % 150 * 10)
+    value = F.when(F.col("value") < 2, 70.0).when(F.col("value") < 30, 80.0).otherwise(80 + F.floor("value").cast("double") / 8)
+    return table(spark, sf, "events").select((day % 3 + 1).cast("int").cast("string").alias("userid"), time.alias("time"), value.alias("value"), "event_type")
+
+
+_SETTLED = f"(SELECT userid, time, value, date FROM (SELECT *, max(date) OVER (PARTITION BY userid) AS latest FROM {_DAILY} WHERE NOT {STEP}) WHERE date < latest)"
 _CLEANED = "(SELECT userid, date, time, value FROM cleaned)"
-_WORTH = f"""(SELECT userid, date FROM (SELECT userid, date FROM {_DENSE} WHERE {STEP} GROUP BY ALL HAVING count(*) > 1) JOIN (SELECT userid, date FROM {_CLEANED} GROUP BY ALL HAVING count(*) > 1 AND min(value) > 0) USING (userid, date)
+_WORTH = f"""(SELECT userid, date FROM (SELECT userid, date FROM {_DAILY} WHERE {STEP} GROUP BY ALL HAVING count(*) > 1) JOIN (SELECT userid, date FROM {_CLEANED} GROUP BY ALL HAVING count(*) > 1 AND min(value) > 0) USING (userid, date)
 JOIN (SELECT CAST(c_custkey AS VARCHAR) AS userid, DATE '2023-11-01' + CAST(c_custkey % 60 AS INT) AS rec FROM customer) USING (userid) WHERE date >= rec)"""
 _OF = "(SELECT x.userid, x.time, x.value FROM {0} x JOIN worth w ON w.userid = x.userid AND w.date = x.date)"
 _SET = "(SELECT CAST(k AS VARCHAR) AS userid, DATE '2024-01-03' AS date, 60.0 + k AS thresh, 40.0 AS low, 110.0 AS high FROM range(0, 6) t(k))"
@@ -353,13 +369,16 @@ def _own_store(spark) -> Store:
     return Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/own-{uuid.uuid4().hex}")
 
 
-@query("days_by_steps", f"WITH cleaned AS MATERIALIZED (SELECT * FROM {day_sql.clean(_SETTLED)}), worth AS MATERIALIZED (SELECT * FROM {_WORTH}) SELECT * FROM ({day_sql.features(day_sql.minutes(_OF.format(f'(SELECT * FROM {_DENSE} WHERE {STEP})'), _OF.format(_CLEANED)), _SET)})", dates=("date",))
+@query("days_by_steps", f"WITH cleaned AS MATERIALIZED (SELECT * FROM {day_sql.clean(_SETTLED)}), worth AS MATERIALIZED (SELECT * FROM {_WORTH}) SELECT * FROM ({day_sql.features(day_sql.minutes(_OF.format(f'(SELECT * FROM {_DAILY} WHERE {STEP})'), _OF.format(_CLEANED)), _SET)})", dates=("date",))
 def days_by_steps(spark, sf):
-    """Raw samples to daily features through the incremental steps, in two calls of each, in tables of their own."""
+    """Raw samples to daily features through the incremental steps, in two deliveries and two calls of each, in tables of their own."""
     store = _own_store(spark)
-    store.write(dense(spark, sf).filter(f"NOT {STEP}").drop("event_type"), "heart")
-    store.write(dense(spark, sf).filter(STEP).drop("event_type"), "steps")
-    for start, end in (("2023-01-01", "2024-01-02"), ("2023-01-01", "2030-01-01")):
+    rows = many_days(spark, sf)
+    for k, end in enumerate(("2024-01-17", "2031-01-01")):  # the first delivery's last day of each user is withheld
+        start, later = "2024-01-01", F.col("time") >= "2024-01-20"
+        some = rows.filter(later if k else ~later)
+        steps.ingest(store, some.filter(f"NOT {STEP}").drop("event_type"), "heart", f"delivery{k}")
+        steps.ingest(store, some.filter(STEP).drop("event_type"), "steps", f"delivery{k}")
         steps.clean_days_step(store, "heart", "clean", "clean_ledger", start, end)
         steps.featurise_days_step(store, "steps", "clean", "daily", "daily_ledger", _fixed_thresholds(spark), link(spark, sf), start, end)
     return _six(store.read("daily"))
@@ -377,7 +396,7 @@ count(h) AS mins_wear_total, round(coalesce(CASE WHEN count(h) <> 0 THEN coalesc
 SELECT *, coalesce(h > thresh, false) AND coalesce(max(s) OVER (PARTITION BY userid, date ORDER BY epoch_us(time) // 1000000 RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) > 0, false) AS mvpa,
 lag(coalesce(h, 0)) OVER w < thresh AND thresh < coalesce(h, 0) AS up, lag(coalesce(h, 0)) OVER w < low AND low < coalesce(h, 0) AS up_low FROM {_MINUTES} JOIN {_NEAREST} USING (userid, date) WINDOW w AS (PARTITION BY userid, date ORDER BY time)) GROUP BY userid, date""", dates=("date",))
 def daily_mvpa(spark, sf):
-    out = daily.daily_features(daily.combine_minutes(_steps(spark, sf), _heart(spark, sf)), _thresholds(spark, sf))
+    out = _all_days(spark, sf)
     whole = ["mvpa_15_prev_method", "mvpa_15_prev_method_ap_8_21", "switch_thresh", "switch_thresh_low", "active_mins_hr_steps_thresh", "active_mins_steps_0", "mins_wear_total"]
     return out.select("userid", "date", *(F.col(c).cast("long").alias(c) for c in whole), *(r6(c).alias(c) for c in ("thresh", "step_norm_thresh_mvpa", "step_sedentary_thresh_mvpa", "step_count_norm")))
 
@@ -522,6 +541,48 @@ def set_tags(spark, sf):
     return pressure.with_sets(_grouped(spark, sf)).select("event_id", "set_id")
 
 
+#: Sessions of 250 events, four a day: two that make one treatment, one of another patient, and one by itself.
+_SESSION = "CAST(event_id // 250 AS INT)"
+_BREATHED = f"""SELECT 'p' || CAST((s // 4) % 2 + (s % 4) // 2 % 2 AS VARCHAR) AS patient_id, CAST(s AS VARCHAR) AS session_id, TIMESTAMP '2024-01-01' + to_days(s // 4) + to_microseconds([0, 1800000000, 14400000000, 28800000000][1 + s % 4]) + to_milliseconds((event_id % 250) * 100) AS time, floor(value) / 4 - 3 AS v FROM (SELECT *, {_SESSION} AS s FROM events)"""
+_PRESCRIBED = "SELECT 'p' || CAST(k AS VARCHAR) AS patient_id, 2.0 + k AS d, 3.0 AS s, 4.0 + k AS b FROM range(3) t(k)"
+
+
+def breathed(spark, sf):
+    """(patient_id, session_id, time, pressure_detrend), and the session's place in its day."""
+    s, k = F.floor(F.col("event_id") / 250).cast("int"), F.col("s")
+    offset = F.element_at(F.array(*(F.lit(x) for x in (0, 1_800_000_000, 14_400_000_000, 28_800_000_000))), (k % 4 + 1).cast("int"))
+    micros = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.floor(k / 4) * 86_400_000_000 + offset + F.col("event_id") % 250 * 100_000
+    patient = F.concat(F.lit("p"), (F.floor(k / 4) % 2 + F.floor(k % 4 / 2) % 2).cast("int").cast("string"))
+    return table(spark, sf, "events").withColumn("s", s).select(patient.alias("patient_id"), k.cast("string").alias("session_id"), F.timestamp_micros(micros).alias("time"), (F.floor("value").cast("double") / 4 - 3).alias("pressure_detrend"), (k % 4).alias("place"))
+
+
+def prescribed(spark):
+    k = F.col("id")
+    return spark.range(3).select(F.concat(F.lit("p"), k.cast("string")).alias("patient_id"), (k + 2).cast("int").alias("treatments_per_day"), F.lit(3).alias("number_of_sets"), (k + 4).cast("int").alias("breaths_per_set"))
+
+
+@query("labelled_sessions", pressure_sql.labelled(_BREATHED))
+def labelled_sessions(spark, sf):
+    """Peaks, breaths, breaks and sets of treatments of one or two sessions."""
+    rows = breathed(spark, sf).drop("place")
+    out = steps.label_pressure(rows, treatments.session_metadata(rows))
+    return out.select("patient_id", "session_id", "treatment_id", F.unix_micros("time").alias("time"), "pressure_detrend", "prominent_peak", "breath_id", "break_id", "set_id")
+
+
+@query("treatments_by_steps", pressure_sql.rounded(pressure_sql.scored(_BREATHED, _PRESCRIBED), [f.name for f in TREATMENTS if f.dataType.simpleString() == "double"]), dates=("act_date",))
+def treatments_by_steps(spark, sf):
+    """Cleaned sessions to scored treatments through the incremental steps: the last session of each day comes later than the
+    others, and weeks are featurised out of turn, in several calls."""
+    store, rows = _own_store(spark), breathed(spark, sf)
+    ranges = (("2024-01-08", "2024-01-15"), ("2024-01-01", "2024-01-08"), ("2023-12-25", "2031-12-08"))
+    for k, late in enumerate((F.col("place") < 3, F.col("place") == 3)):
+        steps.ingest(store, rows.filter(late).drop("place"), "clean", f"delivery{k}")
+        steps.label_pressure_step(store, "clean", "labelled", "labelled_ledger", *ranges[2])
+        for start, end in ranges:
+            steps.featurise_treatments_step(store, "labelled", "treatments", "treatments_ledger", prescribed(spark), start, end)
+    return _six(store.read("treatments"))
+
+
 @query("detrend")
 def detrend(spark, sf):
     return pressure.detrended(samples(spark, sf).select("userid", "time", "event_id", "value"), "userid", "value").select("event_id", r6("pressure_detrend").alias("pressure_detrend"))

@@ -125,7 +125,7 @@ def featurise_days(steps: DataFrame, clean: DataFrame, thresholds: DataFrame, li
     """Daily features of the days after recruitment that are worth it; `days` (userid, date) if these are known already."""
     if days is None:
         days = days_after_recruitment(daily.worth_featurising(steps, clean), link)
-    return daily.daily_features(daily.combine_minutes(of_days(steps, days), of_days(clean, days), allow_empty=True), thresholds)
+    return daily.daily_features(daily.combine_minutes(of_days(steps, days), of_days(clean, days), allow_empty=True, keep_date=True), thresholds, days)
 
 
 def enrich_treatments(features: DataFrame, games: DataFrame, link: DataFrame, sex: DataFrame, as_of: str) -> DataFrame:
@@ -261,7 +261,7 @@ def featurise_days_step(store: Store, steps: str, clean: str, target: str, ledge
         rows = rows if gate is None else gate.watch(_with_people(rows, link)).drop("date_recruited")
         out = featurise_days(rows, hearts.read(some), thresholds, link, some)
         quality.check_schema(out, schemas.DAILY)
-        store.write_run(out, target, run, F.col("date"))
+        store.write_run(out, target, run, treatments.week_label(F.col("date")))
         return [target]
 
     return run_step(store, ledger, keys, days, write, gate)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +41,18 @@ class Store:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _files(self, name: str):
-        """The paths of a folder table's files below its folder, other than what an unfinished write leaves."""
+    def _files(self, name: str) -> list[str]:
+        """The paths of a folder table's files below its folder, other than what an unfinished write leaves. Spark lists them,
+        on the executors where they are many."""
         place, system = self._place(self.path(name))
         if not system.exists(place):
-            return
+            return []
         above = len(system.makeQualified(place).toUri().getPath()) + 1
-        files = system.listFiles(place, True)
-        while files.hasNext():
-            below = files.next().getPath().toUri().getPath()[above:]
-            if not any(x.startswith((".", "_")) and "=" not in x for x in below.split("/")):
-                yield below
+        return [urlparse(unquote(x)).path[above:] for x in self.spark.read.schema("x int").parquet(self.path(name)).inputFiles()]
 
     def exists(self, name: str) -> bool:
         if self.root:
-            return next(self._files(name), None) is not None
+            return bool(self._files(name))
         if self.jdbc:
             try:
                 return bool(self.read(name).schema) or True
@@ -76,11 +73,14 @@ class Store:
             df = self.spark.table(name)
         return without_nan(df if runs else df.drop(*HIDDEN))
 
+    def tells_parts(self, name: str) -> bool:
+        return bool(self.root) or not self.jdbc and self.exists(name) and any(c.isPartition and c.name in HIDDEN for c in self.spark.catalog.listColumns(name))
+
     def parts(self, name: str) -> set[str] | None:
         """The names of a table's parts, from a listing alone; None where there is none (JDBC, catalog tables without runs)."""
         if self.root:
             return {self._part_of(below) for below in self._files(name)}
-        if self.jdbc or not self.exists(name) or not any(c.isPartition and c.name in HIDDEN for c in self.spark.catalog.listColumns(name)):
+        if not self.tells_parts(name):
             return None
         return {self._part_of(f"{r[0]}/x") for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
 
@@ -142,7 +142,7 @@ class Store:
             place = f"{self.path(name)}/{RUN}={run}"
             writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
             (writer if label is None else writer.partitionBy(LABEL)).parquet(place)
-            if label is not None and next(self._files(f"{name}/{RUN}={run}"), None) is None:
+            if label is not None and not self._files(f"{name}/{RUN}={run}"):
                 df.drop(LABEL).limit(0).write.mode("overwrite").parquet(f"{place}/{LABEL}={NONE}")
             return
         rows = df.withColumn(RUN, F.lit(run))
