@@ -1,15 +1,19 @@
 """Text operators against brute force, with nulls, empties, ties, repeats, long texts and clashing columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -419,6 +423,59 @@ def test_secrets_recall_on_random_nests():
     assert found >= 297, found
 
 
+def test_secrets_glued_before_and_behind():
+    """Runs of base64 with more base64 characters around them."""
+    rng, found, n = random.Random(4), 0, 0
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    for _ in range(500):
+        inner = f"{some(rng.randrange(9))} token = {some(rng.randrange(12, 40))} {some(rng.randrange(9))}"
+        raw = rng.choice((lambda: inner.encode(), lambda: gzip.compress(inner.encode()), lambda: base64.b64encode(inner.encode()), lambda: bz2.compress(inner.encode())))()
+        encoded = base64.b64encode(raw).decode().rstrip("=")
+        text = rng.choice((lambda: f"x {encoded}/{some(rng.randrange(1, 38))} y", lambda: f"x {encoded}-{some(rng.randrange(1, 38))} y", lambda: f"x {some(rng.randrange(1, 12))}{encoded} y", lambda: f"/{some(5)}/{encoded}/{some(rng.randrange(20))}", lambda: f"{encoded}/{encoded[::-1]}"))()
+        found += any(kind == 0 for _, kind, _ in secrets.scan(text)[1])
+        n += 1
+    assert found >= 0.97 * n, found
+
+
+def test_secrets_in_further_forms():
+    noisy = b"some words before " + SECRET.encode() + b" and more words after it"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    long = b64(noisy * 3)
+    cases = {
+        "bzip2": b64(bz2.compress(noisy)), "xz": b64(lzma.compress(noisy)), "percent xz": urllib.parse.quote(lzma.compress(noisy)), "octal": "".join(f"\\{ord(c):03o}" for c in SECRET), "names": SECRET.replace("=", "&#61;").replace("o", "&#x6f;"), "amp": SECRET.replace("=", "&amp;amp;#38;#61;"),
+        "literal ends": "\\n".join(long[k : k + 40] for k in range(0, len(long), 40)), "twice": "\\\\n".join(long[k : k + 40] for k in range(0, len(long), 40)), "slashes": b64(bytes(range(240, 256)) * 9 + noisy).replace("/", "\\/"), "chain": SECRET.replace("=", "%" + "25" * 40 + "3D"), "unicode chain": SECRET.replace("=", "\\" + "u005c" * 40 + "u003d"),
+    }
+    missed = [k for k, encoded in cases.items() if not {s[1] for s in secrets.scan("é " + encoded + " z")[1]} >= {0}]
+    assert not missed
+    text = "é pass%2577ord%253Dabcdefghijklmnop"
+    assert [text[a:b] for a, _, b in secrets.scan(text)[1]] == ["pass%2577ord%253Dabcdefghijklmnop"]
+
+
+@pytest.mark.parametrize("kind", ["percent", "many percents", "hex", "chain", "unicode chain", "entities", "paths", "powers", "letters", "han"])
+def test_secrets_in_linear_time(kind):
+    n = 4_000_000
+    text = {
+        "percent": "100%41 " + "a" * n, "many percents": "%zz%41" * (n // 6), "hex": "\\x41" + "b" * n, "chain": "%" + "25" * (n // 2), "unicode chain": "\\" + "u005c" * (n // 5), "entities": "&" + "amp;" * (n // 4), "paths": "abcd/efgh-" * (n // 10), "powers": "x^2+" * (n // 4), "letters": "Qq" * (n // 2), "han": "%41" + "漢字" * (n // 2),
+    }[kind]
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 15  # some seconds; what is quadratic takes hours
+
+
+def test_secret_base_matches_sql(spark, tmp_path):
+    """The base columns, by plain regular expressions in SQL."""
+    rng = random.Random(6)
+    bits = ["token", "API_KEY", "apikey", "Passwd", "=", ":", ' "', "'", " ", "AKIA", "ABCDEFGH0123456789", "0123456789abcdef", "deadbeef", "é", "\u017fecret", "\n", "\u212a", "abcDEF+/_.=-", "%41"]
+    rows = [(k, "".join(rng.choices(bits, k=rng.randrange(30)))) for k in range(500)] + [(500, None), (501, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op2_secret_scan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    want = duckdb.sql(f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '{assign}', 1), lambda x: length(x) >= 12)), len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16))
+      FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(383), '?'), chr(8490), '?') AS t FROM '{tmp_path}/documents.parquet/*.parquet')""").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r[1] for r in want) > 50
+
+
 def test_secret_query_edges(spark):
     rows = [(1, None), (2, ""), (None, "token=abcdefghijklmnop"), (2, "")]
     got = secrets.find(spark.createDataFrame(rows, SCHEMA)).collect()
