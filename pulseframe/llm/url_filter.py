@@ -11,7 +11,8 @@ Host edges are the absolute links of the pages' html, counted, and (site_edges)
 one label shorter. A host without links keeps what it has. The vectors take `rounds` rounds, after which what is still to
 move is below damping^rounds of the whole; edges are summed before they are shuffled, and no host's links are ever collected.
 
-Defined cases: a null url, or one without "://", has an empty host and path, which no rule fits; null html has no links;
+Defined cases: a null url, or one without "://", has an empty host and path, which no rule fits; such pages are no host of the
+graph, nor are links without a host, and they are allowed; null html has no links;
 repeated rows are judged one by one (and count as pages each); extra columns are not read; an empty table gives none.
 """
 
@@ -53,14 +54,14 @@ def with_rule(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 def link_counts(pages: DataFrame) -> DataFrame:
     """(src, dst, w): how many absolute links the pages (host, html) of a host have to another."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("url"))
-    links = links.select("src", F.translate(F.regexp_extract("url", r"//([^/?#]*)", 1), _UPPER, _LOWER).alias("dst")).filter("src <> dst")
+    links = links.select("src", F.translate(F.regexp_extract("url", r"//([^/?#]*)", 1), _UPPER, _LOWER).alias("dst")).filter("src <> dst and src <> '' and dst <> ''")
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
 def all_hosts(pages: DataFrame, links: DataFrame, rules: tuple = RULES) -> DataFrame:
     """(host, scale, trust, distrust) of the hosts of pages (host, ruled), and of those that are only linked."""
     counts = (F.count("*").alias("scale"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("trust"), F.count(F.when(F.col("ruled") == "block", 1)).alias("distrust"))
-    hosts = pages.groupBy("host").agg(*counts)
+    hosts = pages.filter("host <> ''").groupBy("host").agg(*counts)
     linked = links.select(F.col("dst").alias("host")).distinct().join(hosts.select("host"), "host", "left_anti")
     linked = with_rule(linked.select(F.concat(F.lit("x://"), "host", F.lit("/")).alias("url")), rules)
     return hosts.unionByName(linked.select("host", F.lit(1).cast("long").alias("scale"), *((F.coalesce(F.col("ruled") == v, F.lit(False))).cast("long").alias(c) for v, c in (("allow", "trust"), ("block", "distrust")))))
@@ -137,8 +138,8 @@ s{k} AS MATERIALIZED (SELECT h.host, {1 - damping} * any_value(h.scale) + {dampi
     )
     return f"""WITH urls AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{_HOST}', 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, '{_PATH}', 1), '') AS path FROM pages),
 ruled AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM urls),
-links AS MATERIALIZED (SELECT src, translate(regexp_extract(url, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM ruled)),
-paged AS MATERIALIZED (SELECT host, count(*)::DOUBLE AS scale, (count(*) FILTER (ruled = 'allow'))::DOUBLE AS trust, (count(*) FILTER (ruled = 'block'))::DOUBLE AS distrust FROM ruled GROUP BY host),
+links AS MATERIALIZED (SELECT * FROM (SELECT src, translate(regexp_extract(url, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM ruled WHERE host <> '')) WHERE dst <> ''),
+paged AS MATERIALIZED (SELECT host, count(*)::DOUBLE AS scale, (count(*) FILTER (ruled = 'allow'))::DOUBLE AS trust, (count(*) FILTER (ruled = 'block'))::DOUBLE AS distrust FROM ruled WHERE host <> '' GROUP BY host),
 hosts AS MATERIALIZED (SELECT * FROM paged UNION ALL SELECT dst, 1.0, (v IS NOT DISTINCT FROM 'allow')::INT::DOUBLE, (v IS NOT DISTINCT FROM 'block')::INT::DOUBLE FROM (SELECT DISTINCT dst, {over} AS v FROM links WHERE src <> dst AND dst NOT IN (SELECT host FROM paged))),
 up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM hosts),
 site AS (SELECT src, dst FROM up WHERE dst IN (SELECT host FROM hosts) AND dst <> ''),

@@ -176,6 +176,14 @@ def test_distrust_runs_against_links(spark):
     assert {got[k] for k in (10, 11, 12)} == {"block"} and got[21] == got[22] == "allow"
 
 
+def test_pages_without_a_host_are_no_host(spark):
+    """One of them links to a blocked host: it, and the others, are allowed; so is who is linked by an empty host."""
+    pages = [(1, None, '<a href="http://bad.net/x">'), (2, None, ""), (3, "no address", '<a href="http://bad.net/y">'), (4, "http://bad.net/", None), (5, "http://good.example/", '<a href="///path">'), (6, "http://friend.example/", '<a href="http://bad.net/z">')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.verdict) for r in url_filter.judge(df).collect()}
+    assert got == {1: ("", "allow"), 2: ("", "allow"), 3: ("", "allow"), 4: ("bad.net", "block"), 5: ("good.example", "allow"), 6: ("friend.example", "block")}
+
+
 def test_linked_graphs_match_the_sql(spark):
     """Random links, also to hosts without pages; odd urls and nulls."""
     duckdb = pytest.importorskip("duckdb")
