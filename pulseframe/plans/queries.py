@@ -541,9 +541,9 @@ def set_tags(spark, sf):
     return pressure.with_sets(_grouped(spark, sf)).select("event_id", "set_id")
 
 
-#: Sessions of 250 events, four a day: two that make one treatment, one of another patient, and one by itself.
+#: Sessions of 250 events, two at each time, four sessions a day: two that make one treatment, one of another patient, and one by itself.
 _SESSION = "CAST(event_id // 250 AS INT)"
-_BREATHED = f"""SELECT 'p' || CAST((s // 4) % 2 + (s % 4) // 2 % 2 AS VARCHAR) AS patient_id, CAST(s AS VARCHAR) AS session_id, TIMESTAMP '2024-01-01' + to_days(s // 4) + to_microseconds([0, 1800000000, 14400000000, 28800000000][1 + s % 4]) + to_milliseconds((event_id % 250) * 100) AS time, floor(value) / 4 - 3 AS v FROM (SELECT *, {_SESSION} AS s FROM events)"""
+_BREATHED = f"""SELECT 'p' || CAST((s // 4) % 2 + (s % 4) // 2 % 2 AS VARCHAR) AS patient_id, CAST(s AS VARCHAR) AS session_id, TIMESTAMP '2024-01-01' + to_days(s // 4) + to_microseconds([0, 1800000000, 14400000000, 28800000000][1 + s % 4]) + to_milliseconds(event_id % 250 // 2 * 200) AS time, floor(value) / 4 - 3 AS v FROM (SELECT *, {_SESSION} AS s FROM events)"""
 _PRESCRIBED = "SELECT 'p' || CAST(k AS VARCHAR) AS patient_id, 2.0 + k AS d, 3.0 AS s, 4.0 + k AS b FROM range(3) t(k)"
 
 
@@ -551,7 +551,7 @@ def breathed(spark, sf):
     """(patient_id, session_id, time, pressure_detrend), and the session's place in its day."""
     s, k = F.floor(F.col("event_id") / 250).cast("int"), F.col("s")
     offset = F.element_at(F.array(*(F.lit(x) for x in (0, 1_800_000_000, 14_400_000_000, 28_800_000_000))), (k % 4 + 1).cast("int"))
-    micros = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.floor(k / 4) * 86_400_000_000 + offset + F.col("event_id") % 250 * 100_000
+    micros = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.floor(k / 4) * 86_400_000_000 + offset + F.floor(F.col("event_id") % 250 / 2) * 200_000
     patient = F.concat(F.lit("p"), (F.floor(k / 4) % 2 + F.floor(k % 4 / 2) % 2).cast("int").cast("string"))
     return table(spark, sf, "events").withColumn("s", s).select(patient.alias("patient_id"), k.cast("string").alias("session_id"), F.timestamp_micros(micros).alias("time"), (F.floor("value").cast("double") / 4 - 3).alias("pressure_detrend"), (k % 4).alias("place"))
 
@@ -574,10 +574,10 @@ def treatments_by_steps(spark, sf):
     """Cleaned sessions to scored treatments through the incremental steps: the last session of each day comes later than the
     others, and weeks are featurised out of turn, in several calls."""
     store, rows = _own_store(spark), breathed(spark, sf)
-    ranges = (("2024-01-08", "2024-01-15"), ("2024-01-01", "2024-01-08"), ("2023-12-25", "2031-12-08"))
-    for k, late in enumerate((F.col("place") < 3, F.col("place") == 3)):
+    every = ("2023-12-25", "2031-12-08")
+    for k, (late, ranges) in enumerate(((F.col("place") < 3, (("2024-01-08", "2024-01-15"), every)), (F.col("place") == 3, (every,)))):
         steps.ingest(store, rows.filter(late).drop("place"), "clean", f"delivery{k}")
-        steps.label_pressure_step(store, "clean", "labelled", "labelled_ledger", *ranges[2])
+        steps.label_pressure_step(store, "clean", "labelled", "labelled_ledger", *every)
         for start, end in ranges:
             steps.featurise_treatments_step(store, "labelled", "treatments", "treatments_ledger", prescribed(spark), start, end)
     return _six(store.read("treatments"))
@@ -659,6 +659,24 @@ def drop_outliers(spark, sf):
     return enrich.drop_outliers(cubed(spark, sf), ["c_acctbal"], ratio=0.2).select("c_custkey")
 
 
+_HOLES = "(SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal * c_acctbal * c_acctbal END AS v FROM customer)"
+
+
+@query("nan_flags", f"SELECT c_custkey, v <= lo OR v >= hi AS v_is_out FROM {_HOLES}, (SELECT quantile_cont(v, 0.25) - 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS lo, quantile_cont(v, 0.75) + 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS hi FROM {_HOLES})")
+def nan_flags(spark, sf):
+    """NaN is no value: it moves no fence, and its flag is null."""
+    rows = cubed(spark, sf).select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).otherwise(F.lit(float("nan"))).alias("v"))
+    return enrich.flag_outliers(rows, ["v"]).select("c_custkey", "v_is_out")
+
+
+@query("nan_minutes", f"""SELECT userid, epoch_us(time) AS time, round(value_steps, 6) AS value_steps, round(value_hr, 6) AS value_hr FROM (SELECT DISTINCT userid, date_trunc('minute', time) AS time, CASE WHEN event_id % 5 > 0 THEN value END AS value_steps, time AS t FROM {S} WHERE {STEP})
+FULL JOIN (SELECT userid, date_trunc('minute', time) AS time, avg(value) AS value_hr FROM (SELECT DISTINCT userid, time, CASE WHEN event_id % 5 > 0 THEN value END AS value FROM {S} WHERE NOT {STEP}) GROUP BY ALL) USING (userid, time)""")
+def nan_minutes(spark, sf):
+    rows = samples(spark, sf).withColumn("value", F.when(F.col("event_id") % 5 > 0, F.col("value")).otherwise(F.lit(float("nan"))))
+    sides = (rows.filter(f"{k} {STEP}").select("userid", "time", "value") for k in ("", "NOT"))
+    return _six(daily.combine_minutes(*sides))
+
+
 @query("patient_devices", f"SELECT patient_id, study_email, acapella FROM (SELECT id AS patient_id, study_email, (study_email % 4)::INT AS acapella FROM {_LINK})")
 def patient_devices(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("double").alias("study_email"), (F.col("c_custkey") % 4).cast("int").alias("acapella"))

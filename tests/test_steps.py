@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseframe.functions import variation
 from pulseframe.operators import daily, enrich, quality
 from pulseframe.plans import steps
 from pulseframe.sources.schemas import DAILY, HEART, LABELLED_PRESSURE, LINK, TREATMENTS
@@ -103,6 +104,31 @@ def test_quartiles_are_exact(spark):
         assert np.allclose(got["v"], np.percentile(np.asarray(values, float), [25, 75])) and got["e"] == [None, None]
 
 
+def test_nan_is_missing(spark, tmp_path):
+    """In quartiles and flags, minutes, variation, and at the readers."""
+    nan = float("nan")
+    df = spark.createDataFrame([(float(x),) for x in range(100)] + [(nan,)] * 5 + [(None,)], "v double")
+    assert enrich.quartiles(df, ["v"])["v"] == [24.75, 74.25]
+    assert enrich.flag_outliers(df).filter("v_is_out").count() == 0 and enrich.flag_outliers(df).filter("v_is_out is null").count() == 6
+    assert enrich.drop_outliers(df).count() == 106
+    heart = spark.createDataFrame([("u", D0, 60.0), ("u", D0 + timedelta(seconds=30), nan), ("u", D0 + timedelta(minutes=5), nan)], HEART)
+    stepped = spark.createDataFrame([("u", D0, nan), ("u", D0 + timedelta(minutes=9), 7.0)], HEART)
+    got = {r.time.minute: (r.value_steps, r.value_hr) for r in daily.combine_minutes(stepped, heart).collect()}
+    assert got == {0: (None, 60.0), 5: (None, None), 9: (7.0, None)}
+    with pytest.raises(ValueError, match="neither"):
+        daily.combine_minutes(stepped.limit(0), heart.limit(0))
+    assert daily.combine_minutes(stepped.limit(0), heart.limit(0), allow_empty=True).count() == 0
+    one = spark.createDataFrame([(3.0,), (5.0,), (nan,)], "v double").agg(variation(F.col("v")).alias("cv")).first().cv
+    assert one == pytest.approx(np.std([3, 5], ddof=1) / 4 * 100)
+    store = Store(spark, str(tmp_path))
+    store.write(df, "t")
+    assert store.read("t").filter("v is null").count() == 6 and store.read("t").agg(F.max("v")).first()[0] == 99.0
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write("userid,time,value\nu,2024-01-01 00:00:00,NaN\n")
+    assert read_csv(spark, path, HEART).first().value is None
+
+
 def test_reports(spark):
     bad = spark.createDataFrame([("u", D0, 500.0), ("x", D0 - timedelta(days=9), None)], HEART)
     r = quality.samples_report(bad, link(spark), "2024-06-01", "heart").first()
