@@ -5,7 +5,7 @@ minima. Bringing it up to date reads only parts that it does not know (told from
 gone; a unit in several parts is put together when the index is read. Rows of some units are read from the parts that
 hold any of them, and from no others. So what a run costs grows with what is new, not with what is there.
 
-Where a store cannot tell parts (JDBC, catalog tables without runs), the same is computed from the whole table.
+Where a store cannot tell parts (tables without runs in catalogs and databases), the same is computed from the whole table.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ for each name of a file. Whoever notes which parts it has read (plans.index) lat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +30,22 @@ NONE = "none"
 
 @dataclass(frozen=True)
 class Store:
-    """Tables by name: under `root` as Parquet, over JDBC with `jdbc` options, else in the session's catalog."""
+    """Tables by name: under `root` as Parquet, over JDBC with `jdbc` options, else in the session's catalog.
+
+    Over JDBC a table that was written in runs is read by one task for each of `tasks` groups of runs, and another one by ranges
+    of the numeric, date or time column that `split` names for it. Writers fill a staging table, which takes the place of
+    what it replaces in one transaction of the database.
+    """
 
     spark: SparkSession
     root: str | None = None
     jdbc: dict[str, str] = field(default_factory=dict)
+    split: dict[str, str] = field(default_factory=dict)
+    tasks: int = 8
+
+    @property
+    def _database(self) -> bool:
+        return bool(self.jdbc) and not self.root
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,9 +66,9 @@ class Store:
     def exists(self, name: str) -> bool:
         if self.root:
             return bool(self._files(name))
-        if self.jdbc:
+        if self._database:
             try:
-                return bool(self.read(name).schema) or True
+                return bool(self._loader(name).load().schema) or True
             except Exception as e:  # the driver's own error class is not known here
                 if "exist" in str(e).lower() or "not found" in str(e).lower():
                     return False
@@ -67,21 +80,63 @@ class Store:
         if self.root:
             reader = self.spark.read.schema(schema) if schema else self.spark.read
             df = reader.parquet(self.path(name))
-        elif self.jdbc:
-            df = self.spark.read.format("jdbc").options(dbtable=name, **self.jdbc).load()
+        elif self._database:
+            df = self._from_database(name)
         else:
             df = self.spark.table(name)
         return without_nan(df if runs else df.drop(*HIDDEN))
 
+    def _loader(self, table: str):
+        return self.spark.read.format("jdbc").options(dbtable=table, **self.jdbc)
+
+    def _labels(self, name: str) -> list[str]:
+        """The hidden columns of a database's table, by which its parts are told."""
+        have = self._loader(name).load().columns
+        return [c for c in HIDDEN if c in have]
+
+    def _quoted(self, name: str) -> str:
+        return self.spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.jdbc["url"]).quoteIdentifier(name)
+
+    def _known_parts(self, name: str, labels: list[str]) -> list[tuple]:
+        """The parts' labels, as the database tells them."""
+        listed = ", ".join(map(self._quoted, labels))
+        return sorted(map(tuple, self._loader(f"(SELECT DISTINCT {listed} FROM {name}) parts").load().collect()))  # a row for each part
+
+    def _of_parts(self, name: str, labels: list[str], parts: list[tuple]) -> DataFrame:
+        """Each task asks the database for some of the parts."""
+        said = lambda v: "'" + str(v).replace("'", "''") + "'"
+        asked = ["(" + " AND ".join(f"{self._quoted(c)} = {said(v)}" for c, v in zip(labels, part, strict=True)) + ")" for part in parts] or ["1 = 0"]
+        each = -(-len(asked) // self.tasks)
+        predicates = [" OR ".join(asked[k : k + each]) for k in range(0, len(asked), each)]
+        rest = {k: v for k, v in self.jdbc.items() if k != "url"}
+        return self.spark.read.jdbc(self.jdbc["url"], name, predicates=predicates, properties=rest)
+
+    def _from_database(self, name: str) -> DataFrame:
+        if labels := self._labels(name):
+            return self._of_parts(name, labels, self._known_parts(name, labels))
+        if name not in self.split:
+            return self._loader(name).load()
+        column = self._quoted(self.split[name])
+        low, high = self._loader(f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {name}) ends").load().first()
+        if low is None:
+            return self._loader(name).load()
+        if not isinstance(low, date):  # whole numbers; they only cut, and leave no row out
+            low, high = math.floor(low), math.ceil(high)
+        return self._loader(name).option("partitionColumn", self.split[name]).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", self.tasks).load()
+
     def tells_parts(self, name: str) -> bool:
-        return bool(self.root) or not self.jdbc and self.exists(name) and any(c.isPartition and c.name in HIDDEN for c in self.spark.catalog.listColumns(name))
+        if self.root or not self.exists(name):
+            return bool(self.root)
+        return bool(self._labels(name)) if self._database else any(c.isPartition and c.name in HIDDEN for c in self.spark.catalog.listColumns(name))
 
     def parts(self, name: str) -> set[str] | None:
-        """The names of a table's parts, from a listing alone; None where there is none (JDBC, catalog tables without runs)."""
+        """The names of a table's parts, from a listing alone; None where they cannot be told (tables without runs in catalogs and databases)."""
         if self.root:
             return {self._part_of(below) for below in self._files(name)}
         if not self.tells_parts(name):
             return None
+        if self._database:
+            return {"/".join(map(str, part)) for part in self._known_parts(name, self._labels(name))}
         return {self._part_of(f"{r[0]}/x") for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
 
     @staticmethod
@@ -99,10 +154,12 @@ class Store:
                     folder, _, file = below.rpartition("/")
                     folders.add(folder if any(x.partition("=")[0] in HIDDEN for x in folder.split("/")) else f"{folder}/{file}".lstrip("/"))
             df = self.spark.read.option("basePath", self.path(name)).parquet(*(f"{self.path(name)}/{x}" for x in sorted(folders))) if folders else self.spark.read.parquet(self.path(name)).limit(0)
+        elif self._database:
+            df = self._of_parts(name, (own := self._labels(name)), [x for x in self._known_parts(name, own) if "/".join(map(str, x)) in set(parts)])
         else:
             df = self.spark.table(name)
         labels = [c for c in HIDDEN if c in df.columns]
-        if not self.root:  # sets of values prune partitions; their pairs are told apart below
+        if not self.root and not self._database:  # sets of values prune partitions; their pairs are told apart below
             for k, c in enumerate(labels):
                 df = df.filter(F.col(c).cast("string").isin({p.split("/")[k] for p in parts}))
         told = df.withColumn(PART, F.concat_ws("/", *(F.col(c).cast("string") for c in labels))) if labels else df.select("*", F.col("_metadata.file_name").alias(PART))
@@ -111,18 +168,21 @@ class Store:
     def write(self, df: DataFrame, name: str, mode: str = "append", partition_by: Sequence[str] = ()) -> None:
         """mode: append, overwrite, or "partitions" (replaces only the partitions that df has). Errors are not swallowed."""
         self._guard(name)
-        if mode == "partitions" and not self.root and not self.jdbc and self.exists(name):
+        if mode == "partitions" and not self.root and not self._database and self.exists(name):
             df.select(*self.spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
             return
         writer = df.write.mode("overwrite" if mode == "partitions" else mode)
         if mode == "partitions":
             writer = writer.option("partitionOverwriteMode", "dynamic")
-        if partition_by:
+        if partition_by and not self._database:
             writer = writer.partitionBy(*partition_by)
         if self.root:
             writer.parquet(self.path(name))
-        elif self.jdbc:
-            writer.format("jdbc").options(dbtable=name, **self.jdbc).save()
+        elif self._database:
+            if mode == "partitions":
+                self._swap(df, name, partition_by)
+            else:
+                writer.format("jdbc").options(dbtable=name, **self.jdbc).save()
         else:
             writer.saveAsTable(name)
 
@@ -137,7 +197,7 @@ class Store:
         self._guard(name)
         if label is not None:
             df = df.withColumn(LABEL, F.coalesce(label.cast("string"), F.lit(NONE)))
-            df = df if self.jdbc and not self.root else df.hint("rebalance", LABEL)
+            df = df if self._database else df.hint("rebalance", LABEL)
         if self.root:  # the run's own folder; one without rows holds the schema
             place = f"{self.path(name)}/{RUN}={run}"
             writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
@@ -146,10 +206,8 @@ class Store:
                 df.drop(LABEL).limit(0).write.mode("overwrite").parquet(f"{place}/{LABEL}={NONE}")
             return
         rows = df.withColumn(RUN, F.lit(run))
-        if self.jdbc:
-            if self.exists(name):
-                self._delete(name, RUN, run)
-            rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
+        if self._database:
+            self._swap(rows, name, [RUN], [(RUN, run)])
         else:
             self.write(rows, name, "partitions", [RUN] if label is None else [RUN, LABEL])
 
@@ -157,15 +215,9 @@ class Store:
         """Writes df in place of all that the table has under the same labels. Repeated after a failure it gives the same."""
         self._guard(name)
         rows = df.withColumn(LABEL, F.coalesce(label.cast("string"), F.lit(NONE)))
-        if self.jdbc and not self.root:
-            if self.exists(name):
-                for row in rows.select(LABEL).distinct().collect():  # one text for each label
-                    self._delete(name, LABEL, row[0])
-            rows.write.mode("append").format("jdbc").options(dbtable=name, **self.jdbc).save()
-            return
         if self.root and not self.exists(name):  # the schema, should there be no row
             df.limit(0).write.mode("overwrite").parquet(f"{self.path(name)}/{LABEL}={NONE}")
-        self.write(rows.hint("rebalance", LABEL), name, "partitions", [LABEL])
+        self.write(rows if self._database else rows.hint("rebalance", LABEL), name, "partitions", [LABEL])
 
     def drop_run(self, name: str, run: str) -> None:
         """Removes what a run has written."""
@@ -173,8 +225,8 @@ class Store:
             place, system = self._place(f"{self.path(name)}/{RUN}={run}")
             system.delete(place, True)
         elif self.exists(name):
-            if self.jdbc:
-                self._delete(name, RUN, run)
+            if self._database:
+                self._transact([(f"DELETE FROM {name} WHERE {self._quoted(RUN)} = ?", [run])])
             else:
                 self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({RUN} = '{run}')")
 
@@ -185,27 +237,55 @@ class Store:
                 for below in {x.rpartition("/")[0] for x in self._files(name) if self._part_of(x) == part}:
                     place, system = self._place(f"{self.path(name)}/{below}")
                     system.delete(place, True)
+            elif self._database:
+                self._transact([(f"DELETE FROM {name} WHERE {self._quoted(PART)} = ?", [part])])
             else:
                 self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({PART} = '{part}')")
 
-    def _delete(self, name: str, column: str, value: str) -> None:
-        """Through the driver's own connection; JDBC writers have no replacing mode for part of a table."""
+    def _swap(self, rows: DataFrame, name: str, by: Sequence[str], gone: Sequence[tuple[str, str]] = ()) -> None:
+        """Puts rows in place of those that are equal to `gone`, or to any of them in the columns `by`: tasks fill a staging
+        table, and one transaction deletes and inserts. A failure before its end leaves the table as it was."""
+        stage, types = f"{name}__stage", ", ".join(f"{c} VARCHAR(128)" for c in HIDDEN if c in rows.columns)
+        sink = lambda df, table, mode: df.write.mode(mode).format("jdbc").options(dbtable=table, createTableColumnTypes=types, **self.jdbc).save()
+        sink(rows, stage, "overwrite")
+        if not self.exists(name):
+            sink(rows.limit(0), name, "append")
+        listed = ", ".join(map(self._quoted, rows.columns))
+        if gone:
+            deletes = [(f"DELETE FROM {name} WHERE {self._quoted(c)} = ?", [v]) for c, v in gone]
+        else:
+            deletes = [(f"DELETE FROM {name} WHERE {self._quoted(by[0])} IN (SELECT {self._quoted(by[0])} FROM {stage})", [])]
+        self._transact([*deletes, (f"INSERT INTO {name} ({listed}) SELECT {listed} FROM {stage}", [])])
+        self._transact([(f"DROP TABLE {stage}", [])])
+
+    def _transact(self, statements: Sequence[tuple[str, Sequence[str]]]) -> None:
+        """All statements or none, through a connection of the driver's own."""
         settings = self.spark._jvm.java.util.Properties()
         for k in ("user", "password"):
             if k in self.jdbc:
                 settings.setProperty(k, self.jdbc[k])
         connection = self.spark._jvm.java.sql.DriverManager.getConnection(self.jdbc["url"], settings)
         try:
-            statement = connection.prepareStatement(f'DELETE FROM {name} WHERE "{column}" = ?')
-            statement.setString(1, value)
-            statement.executeUpdate()
+            connection.setAutoCommit(False)
+            for sql, values in statements:
+                statement = connection.prepareStatement(sql)
+                for k, v in enumerate(values, 1):
+                    statement.setString(k, v)
+                statement.executeUpdate()
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
         finally:
             connection.close()
 
     def drop(self, name: str) -> None:
         if self.root:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            place, system = self._place(self.path(name))
+            system.delete(place, True)
+        elif self._database:
+            if self.exists(name):
+                self._transact([(f"DROP TABLE {name}", [])])
         else:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
