@@ -1,7 +1,8 @@
 """Ordered-series operators as window expressions: runs, chains, crossings, look-backs, gaps, nearest rows.
 
 Windows are partitioned by the series' keys, so one exchange on the keys serves all operators of a plan. Every order has
-the caller's tiebreak. Keys with long series (hot keys) are bounded by time (days, sessions) in the callers.
+the caller's tiebreak. Keys with long series (hot keys) are bounded by time (days, sessions) in the callers, or scanned in
+chunks (`scanned`): then no task has more rows of a series than a chunk.
 """
 
 from __future__ import annotations
@@ -16,6 +17,71 @@ from pyspark.sql.types import DataType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def scanned(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], columns: dict[str, tuple[str, Column]], deal: bool = True) -> DataFrame:
+    """df with columns that run along whole series, which are scanned in chunks. `chunk` must rise with the order, the order be
+    total, and neither it nor a key be null. columns: {name: (kind, value)}, the kinds being "sum" and "last" (not null) up to
+    a row, "next" (not null) from a row on, "lag" and "lead" (of the row before or behind; null at the end).
+
+    Each chunk is summed up; the sums, one row a chunk, are carried along the series; each row combines its place in its chunk
+    with what was carried to it. Rows are dealt by key and chunk, unless they are already (deal).
+    """
+    parts, row = [*keys, chunk], F.struct(*order)
+    here, back = Window.partitionBy(*parts).orderBy(*order), Window.partitionBy(*parts).orderBy(*(F.col(c).desc() for c in order))
+    carried_on = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carried_back = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    up_to, down_to = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (here, back))
+    held = lambda v: F.struct(v.alias("v"))  # noqa: E731  # a null value is not a missing row
+    placed = lambda v: F.struct(row.alias("at"), held(v).alias("v"))
+    told = lambda v: F.when(v.isNotNull(), placed(v))
+    kinds = {  # of a chunk, carried to a chunk, within a chunk
+        "sum": (F.sum, lambda c: F.sum(c).over(carried_on), lambda v: F.sum(v).over(up_to)),
+        "last": (lambda v: F.max(told(v))["v"], lambda c: F.last(c, ignorenulls=True).over(carried_on), lambda v: F.last(F.when(v.isNotNull(), held(v)), ignorenulls=True).over(up_to)),
+        "next": (lambda v: F.min(told(v))["v"], lambda c: F.last(c, ignorenulls=True).over(carried_back), lambda v: F.last(F.when(v.isNotNull(), held(v)), ignorenulls=True).over(down_to)),
+        "lag": (lambda v: F.max(placed(v))["v"], lambda c: F.last(c).over(carried_on), lambda v: F.lag(held(v)).over(here)),
+        "lead": (lambda v: F.min(placed(v))["v"], lambda c: F.last(c).over(carried_back), lambda v: F.lag(held(v)).over(back)),
+    }
+    rows = spread(df, parts) if deal else df
+    sums = rows.groupBy(*parts).agg(*(kinds[kind][0](v).alias(f"__{name}") for name, (kind, v) in columns.items()))
+    carried = sums.select(*parts, *(kinds[kind][1](F.col(f"__{name}")).alias(f"__{name}") for name, (kind, _) in columns.items()))
+    out = rows.withColumns({name: kinds[kind][2](v) for name, (kind, v) in columns.items()}).join(carried, parts, "left")
+    for name, (kind, _) in columns.items():
+        own, come = F.col(name), F.col(f"__{name}")
+        some = F.when(own.isNotNull() | come.isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(come, F.lit(0)))
+        out = out.withColumn(name, some if kind == "sum" else F.coalesce(own, come)["v"])
+    return out.select(*df.columns, *columns)
+
+
+def with_long_runs(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], flag: Column, run: str = "run", length: str = "run_length") -> DataFrame:
+    """with_runs in chunks (see scanned). A run's length comes from the places of its first and last row, so that it may be as
+    long as its series."""
+    flagged = F.struct(F.col("__f").alias("f"))
+    out = scanned(df.withColumn("__f", flag), keys, chunk, order, {"__before": ("lag", flagged), "__behind": ("lead", flagged), "__at": ("sum", F.lit(1))})
+    differs = lambda c: F.when(F.col(c).isNull(), True).otherwise(~F.col(f"{c}.f").eqNullSafe(F.col("__f")))
+    out = out.withColumns({"__new": differs("__before"), "__over": differs("__behind")})
+    ends = {run: ("sum", F.col("__new").cast("int")), "__first": ("last", F.when(F.col("__new"), F.col("__at"))), "__last": ("next", F.when(F.col("__over"), F.col("__at")))}
+    out = scanned(out, keys, chunk, order, ends, deal=False)
+    return out.withColumn(length, F.col("__last") - F.col("__first") + 1).select(*df.columns, run, length)
+
+
+def long_run_totals(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], flag: Column, least: dict[str, int]) -> DataFrame:
+    """run_totals in chunks."""
+    runs = with_long_runs(df.withColumn("__flag", F.coalesce(flag, F.lit(False))), keys, chunk, order, F.col("__flag"))
+    return runs.groupBy(*keys).agg(*(F.sum(F.when(F.col("__flag") & (F.col("run_length") >= n), 1).otherwise(0)).alias(name) for name, n in least.items()))
+
+
+def with_long_lookback(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], active: Column, seconds: Column, before: int, name: str = "any_active") -> DataFrame:
+    """Adds whether a row up to this one, of the last so many seconds, is active; in chunks. Rows of one time see those before them
+    in the order."""
+    out = scanned(df.withColumn("__s", seconds), keys, chunk, order, {"__when": ("last", F.when(active, F.col("__s")))})
+    return out.withColumn(name, F.coalesce(F.col("__s") - F.col("__when") <= before, F.lit(False))).drop("__s", "__when")
+
+
+def with_long_upcrossings(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: Column, threshold: Column, name: str = "up") -> DataFrame:
+    """upcrossing in chunks."""
+    out = scanned(df.withColumn("__v", F.coalesce(value, F.lit(0.0))), keys, chunk, order, {"__p": ("lag", F.col("__v"))})
+    return out.withColumn(name, (F.col("__p") < threshold) & (threshold < F.col("__v"))).drop("__v", "__p")
+
+
 def with_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, run: str = "run", length: str = "run_length") -> DataFrame:
     """Adds the number of each run of equal `flag` among the rows in order, and its length."""
     w = Window.partitionBy(*keys).orderBy(*order)

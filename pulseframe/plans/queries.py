@@ -156,6 +156,23 @@ def active_runs(spark, sf):
     return series.run_totals(samples(spark, sf), ["userid"], ["time", "event_id"], F.col("value") >= 30, {f"active_mins_{n}": n for n in daily.RUN_LENGTHS})
 
 
+@query("long_runs", f"SELECT event_id, run, len AS run_length FROM {_RUNS}")
+def long_runs(spark, sf):
+    """Runs over whole histories, which are scanned week by week."""
+    s = samples(spark, sf).withColumn("week", F.date_trunc("week", "time"))
+    return series.with_long_runs(s, ["userid"], "week", ["time", "event_id"], F.col("value") >= 30).select("event_id", "run", "run_length")
+
+
+@query("long_lookback", f"""SELECT event_id, coalesce((epoch_us(time) - last_value(CASE WHEN {STEP} AND value > 40 THEN epoch_us(time) END IGNORE NULLS) OVER w) / 1000000 <= 21600, false) AS any_active, coalesce(lag(value) OVER (PARTITION BY userid ORDER BY time, event_id) < 35 AND 35 < value, false) AS up FROM {S} WINDOW w AS (PARTITION BY userid ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def long_lookback(spark, sf):
+    """Look-backs and up-crossings over whole histories, which are scanned day by day."""
+    s = samples(spark, sf)
+    seconds = F.unix_micros("time") / 1_000_000
+    s = series.with_long_lookback(s, ["userid"], "date", ["time", "event_id"], F.expr(STEP) & (F.col("value") > 40), seconds, 21600)
+    s = series.with_long_upcrossings(s, ["userid"], "date", ["time", "event_id"], F.col("value"), F.lit(35.0))
+    return s.select("event_id", "any_active", F.coalesce("up", F.lit(False)).alias("up"))
+
+
 @query("chain_runs", f"""SELECT userid, {", ".join(f"count(CASE WHEN len >= {max(2, n)} THEN 1 END) AS chain_{n}" for n in daily.CHAINS)} FROM (SELECT userid, count(*) OVER (PARTITION BY userid, g) AS len FROM (
 SELECT userid, p - row_number() OVER (PARTITION BY userid ORDER BY p) AS g FROM (SELECT userid, epoch_us(time) // 3600000000 AS p FROM {S} WHERE value > 10 GROUP BY ALL))) GROUP BY userid""")
 def chain_runs(spark, sf):

@@ -147,3 +147,31 @@ def test_zero_values_do_not_divide(spark):
 def test_cleaning_short_and_empty_days(spark):
     for values in ([], [70], [70, 70], [50, 60, 50]):
         assert set(kept(heart.clean(frame(spark, values)))) <= set(range(len(values)))
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_chunks_give_what_windows_give(spark, size):
+    """Runs of any length, nulls among the flags, series cut anywhere."""
+    rng = np.random.default_rng(size)
+    rows = [(key, i, i // size, bool(f) if f < 2 else None, float(v) if v < 28 else None) for key, n in (("a", 300), ("b", 1), ("c", 47)) for i, (f, v) in enumerate(zip(np.repeat(rng.integers(0, 3, n), rng.integers(1, 9, n))[:n], rng.integers(0, 30, n), strict=True))]
+    df = spark.createDataFrame(rows, "key string, i int, chunk int, f boolean, v double")
+    columns = ["key", "i", "run", "run_length"]
+    got, want = series.with_long_runs(df, ["key"], "chunk", ["i"], F.col("f")), series.with_runs(df, ["key"], ["i"], F.col("f"))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    least = {"two": 2, "nine": 9}
+    assert sorted(map(tuple, series.long_run_totals(df, ["key"], "chunk", ["i"], F.col("f"), least).collect())) == sorted(map(tuple, series.run_totals(df, ["key"], ["i"], F.col("f"), least).collect()))
+    up = series.upcrossing(F.col("v"), F.lit(12.0), ["key"], ["i"])
+    told = lambda d: sorted((r.key, r.i, r.up) for r in d.collect())
+    assert told(series.with_long_upcrossings(df, ["key"], "chunk", ["i"], F.col("v"), F.lit(12.0))) == told(df.withColumn("up", up))
+    active = F.col("v") > 25
+    near = series.any_within(F.when(active, 1), ["key"], F.col("i"), 4)
+    found = sorted((r.key, r.i, r.any_active) for r in series.with_long_lookback(df, ["key"], "chunk", ["i"], active, F.col("i"), 4).collect())
+    assert found == sorted((r.key, r.i, r.near) for r in df.withColumn("near", near).collect())
+
+
+def test_chunks_deal_rows_once_and_by_chunk(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS key", "id AS i", "id div 100 AS chunk", "id % 7 < 3 AS f")
+    plan = series.with_long_runs(df, ["key"], "chunk", ["i"], F.col("f"))._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("\n") if "REPARTITION_BY_NUM" in x and "chunk" in x]) == plan.count("REPARTITION_BY_NUM")
+    assert all("chunk" in x.rsplit("], [", 2)[-2] or "__" in x for x in plan.split("\n") if " Window [" in x)
