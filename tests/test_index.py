@@ -116,8 +116,7 @@ def featurised(store, spark, ranges, extra=False):
     return told(store.read("features"))
 
 
-@pytest.mark.parametrize("extra", [False, True])
-def test_totals_do_not_depend_on_how_runs_are_cut(spark, tmp_path, extra):
+def test_totals_do_not_depend_on_how_runs_are_cut(spark, tmp_path, extra=True):
     """Runs of one week, of two, of all, and of treatments that come in any order."""
     whole = Store(spark, str(tmp_path / "whole"))
     df = labelled_days(spark, whole).persist()
