@@ -32,6 +32,9 @@ def variation(value: Column, keep: Column | None = None) -> Column:
     return F.when(F.avg(v) > 0, F.stddev_samp(v) / F.avg(v) * 100).otherwise(F.lit(0.0))
 
 
-def proportional_difference(big: Column, small: Column) -> Column:
-    """Null where `small` is 0."""
-    return F.abs(big - small) / F.nullif(small, F.lit(0)) * 100
+def proportional_difference(big: Column, small: Column, infinite: bool = False) -> Column:
+    """Null where `small` is 0; if `infinite`, what doubles give there: infinity, and NaN for 0 and 0."""
+    found = F.abs(big - small) / F.nullif(small, F.lit(0)) * 100
+    if not infinite:
+        return found
+    return F.when((small == 0) & big.isNotNull(), F.when(big == small, float("nan")).otherwise(float("inf"))).otherwise(found)

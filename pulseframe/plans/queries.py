@@ -52,7 +52,10 @@ STEP = "event_type IN ('view', 'click')"
 
 
 def r6(column) -> F.Column:
-    return F.round(column, 6)
+    """Six digits as the SQL rounds: of the value times 1e6, in doubles. F.round goes by the decimal text, and gives another
+    neighbour for values next to the middle of two."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(F.abs(c) < 1e300, F.round(c * 1e6, 0) / 1e6).otherwise(c)
 
 
 # --- aggregates over a user's day -----------------------------------------------------------------------------------
@@ -753,7 +756,7 @@ def first_differences(spark, sf):
     w = Window.partitionBy("userid").orderBy("time", "event_id")
     before = F.lag("value").over(w)
     gap = auto_units(seconds_between(F.lag("time").over(w), F.col("time")))
-    return samples(spark, sf).select("event_id", r6(series.first_differences(F.col("value"), ["userid"], ["time", "event_id"])).alias("step"), r6(proportional_difference(F.col("value"), before)).alias("prop"), F.coalesce(near(F.col("value"), before, 1.0), F.lit(False)).alias("alike"), r6(gap).alias("gap"))
+    return samples(spark, sf).select("event_id", r6(series.first_differences(F.col("value"), ["userid"], ["time", "event_id"])).alias("step"), r6(proportional_difference(F.col("value"), before, infinite=True)).alias("prop"), F.coalesce(near(F.col("value"), before, 1.0), F.lit(False)).alias("alike"), r6(gap).alias("gap"))
 
 
 @query("counts", f"SELECT userid, count(DISTINCT CASE WHEN hour <> 0 THEN hour END)::DOUBLE AS ids, count(DISTINCT event_type) AS kinds FROM {S} GROUP BY userid")
