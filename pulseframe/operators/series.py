@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
 
@@ -163,9 +163,10 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def with_kernel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, kind: DataType, together: int = 20_000) -> DataFrame:
+def with_kernel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, kind: DataType, together: int = 20_000, place: str | None = None) -> DataFrame:
     """df with a column that kernel(values, starts) computes from whole series, in order; starts are the places at which the
-    series of a call begin. Many series go into one call. A task holds its batch and one series."""
+    series of a call begin. Many series go into one call. A task holds its batch and one series. `place` names a column for the
+    row's place in its series (1, 2, ...), by which rows that are equal in the order are told apart from then on."""
     placed = spread(df, keys).sortWithinPartitions(*keys, *order)
     names, arrow = df.columns, to_arrow_type(kind)
     at, own = names.index(value), [names.index(k) for k in keys]
@@ -175,6 +176,9 @@ def with_kernel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             if table.num_rows:
                 values = table.column(at).to_numpy().astype(float)
                 out = table.append_column(name, pa.array(kernel(values, np.flatnonzero(fresh)), arrow))
+                if place:
+                    rows_at = np.arange(len(fresh))
+                    out = out.append_column(place, pa.array(rows_at - np.maximum.accumulate(np.where(fresh, rows_at, 0)) + 1, pa.int64()))
                 yield from out.combine_chunks().to_batches()
 
         held, rows = [], 0
@@ -192,7 +196,8 @@ def with_kernel(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             table = pa.Table.from_batches(held)
             yield from done(table, _fresh(table, own))
 
-    return placed.mapInArrow(scan, StructType([*df.schema.fields, StructField(name, kind)]))
+    places = [StructField(place, LongType())] if place else []
+    return placed.mapInArrow(scan, StructType([*df.schema.fields, StructField(name, kind), *places]))
 
 
 def _fresh(table: pa.Table, keys: Sequence[int]) -> np.ndarray:

@@ -42,8 +42,8 @@ def label_pressure(clean: DataFrame, metadata: DataFrame, covered: bool = False)
     if not covered and quality.uncovered(clean, metadata).limit(1).count():
         raise ValueError("sessions without metadata")
     rows = clean.join(metadata.select("session_id", "treatment_id", "session_start"), "session_id")
-    rows = pressure.with_breaths(pressure.with_peaks(rows))
-    return treatments.with_counts(pressure.with_sets(rows))
+    rows = pressure.with_breaths(pressure.with_peaks(rows, place="place"), place="place")
+    return treatments.with_counts(pressure.with_sets(rows, place="place").drop("place"))
 
 
 def run_step(store: Store, ledger: str, keys: list[str], units: DataFrame, write: Callable[[str, DataFrame], list[str]], gate: quality.Gate | None = None) -> bool:

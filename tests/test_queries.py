@@ -35,3 +35,20 @@ def test_first_differences_after_0_and_next_to_the_middle(spark, tmp_path):
     sf = put(spark, tmp_path, [(1, T0 + k * gap, "view", v) for k, v in enumerate(values)])
     got, wanted = both(spark, sf, "first_differences")
     assert got == wanted and sum("inf" in r for r in got) == 2 and sum("nan" in r for r in got) == 1
+
+
+def test_labelled_sessions_tell_equal_rows_apart(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    values = np.repeat(rng.choice([0, 4, 12, 30, 60, 60, 90], 1000), rng.choice([1, 2, 3], 1000))  # rows of one time and value, low and at peaks
+    sf = put(spark, tmp_path, [(1, T0 + timedelta(seconds=k), "view", v) for k, v in enumerate(values)])
+    # Joins that deal the rows anew into several tasks, as those of large tables do, leave no order of equal ones.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got, wanted = both(spark, sf, "labelled_sessions")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == wanted and len(got) == len(values)
