@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAY_PARTS, auto_units, day_part, jan_week, season, seconds_between
@@ -328,7 +328,13 @@ def combine_streams(spark, sf):
 
 
 def _thresholds(spark, sf):
-    return samples(spark, sf).groupBy("userid", F.date_trunc("week", "time").cast("date").alias("date")).agg(F.avg("value").alias("thresh14"), F.min("value").alias("thresh14_low"), F.max("value").alias("thresh14_high"))
+    """By user and week. Means are summed in the order of the rows, so that their last digit, by which a value may be above
+    them or not, does not depend on how the table is cut into tasks."""
+    keys = ["userid", "date"]
+    s = samples(spark, sf).select("userid", F.date_trunc("week", "time").cast("date").alias("date"), "time", "event_id", "value")
+    so_far = Window.partitionBy(*keys).orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    means = s.withColumn("mean", F.avg("value").over(so_far)).groupBy(*keys)
+    return means.agg(F.max_by("mean", F.struct("time", "event_id")).alias("thresh14"), F.min("value").alias("thresh14_low"), F.max("value").alias("thresh14_high"))
 
 
 _STEPS, _HEART = (f"(SELECT userid, time, value FROM {S} WHERE {k} {STEP})" for k in ("", "NOT"))
@@ -751,8 +757,6 @@ def calendar(spark, sf):
 
 @query("first_differences", f"SELECT event_id, round(value - lag(value) OVER w, 6) AS step, round(abs(value - lag(value) OVER w) / lag(value) OVER w * 100, 6) AS prop, coalesce(abs(value - lag(value) OVER w) < 1, false) AS alike, round(CASE WHEN s < 60 THEN s WHEN s < 3600 THEN s / 60 WHEN s < 86400 THEN s / 3600 ELSE s / 86400 END, 6) AS gap FROM (SELECT *, (epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY userid ORDER BY time, event_id))) / 1000000 AS s FROM {S}) WINDOW w AS (PARTITION BY userid ORDER BY time, event_id)")
 def first_differences(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("userid").orderBy("time", "event_id")
     before = F.lag("value").over(w)
     gap = auto_units(seconds_between(F.lag("time").over(w), F.col("time")))
