@@ -54,7 +54,7 @@ def test_labelled_sessions_tell_equal_rows_apart(spark, tmp_path):
     assert got == wanted and len(got) == len(values)
 
 
-def test_daily_features_have_thresholds_summed_in_order(spark, tmp_path):
+def test_days_have_thresholds_summed_in_order(spark, tmp_path):
     rng = np.random.default_rng(11)
     events = [(int(u), T0 + timedelta(minutes=20 * k), str(rng.choice(["view", "error"])), round(float(rng.exponential(50)), 2)) for k, u in enumerate(rng.integers(1, 21, 320))]
     sf = put(spark, tmp_path, events)
@@ -62,8 +62,9 @@ def test_daily_features_have_thresholds_summed_in_order(spark, tmp_path):
     for user, _, _, v in events:
         values.setdefault(str(user), []).append(v)
     assert {r.userid: r.thresh14 for r in queries._thresholds(spark, sf).collect()} == {u: sum_in_order(v) / len(v) for u, v in values.items()}
-    got, wanted = both(spark, sf, "daily_features")
-    assert got == wanted
+    for name in ("daily_features", "daily_mvpa"):
+        got, wanted = both(spark, sf, name)
+        assert got == wanted
 
 
 def sum_in_order(values):
