@@ -371,6 +371,9 @@ def daily_features_dense(spark, sf):
     return _six(daily.daily_features(minutes, _fixed_thresholds(spark)))
 
 
+#: After every day that a table's event ids can come to here; whole weeks from the first Monday that is asked for.
+_EVER = steps.weeks_from("2023-12-25", 416_000)
+
 #: All events in many days of three users: 150 a day, one every 10 seconds.
 _DAILY = "(SELECT CAST(event_id // 150 % 3 + 1 AS VARCHAR) AS userid, TIMESTAMP '2024-01-01' + to_days(CAST(event_id // 150 AS INT)) + to_seconds(event_id % 150 * 10) AS time, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(event_id // 150 AS INT)) AS DATE) AS date, CASE WHEN value < 2 THEN 70.0 WHEN value < 30 THEN 80.0 ELSE 80 + floor(value) / 8 END::DOUBLE AS value, event_type FROM events)"
 
@@ -600,7 +603,7 @@ def treatments_by_steps(spark, sf):
     """Cleaned sessions to scored treatments through the incremental steps: the last session of each day comes later than the
     others, and weeks are featurised out of turn, in several calls."""
     store, rows = _own_store(spark), breathed(spark, sf)
-    every = ("2023-12-25", "2031-12-08")
+    every = ("2023-12-25", _EVER)
     for k, (late, ranges) in enumerate(((F.col("place") < 3, (("2024-01-08", "2024-01-15"), every)), (F.col("place") == 3, (every,)))):
         steps.ingest(store, rows.filter(late).drop("place"), "clean", f"delivery{k}")
         steps.label_pressure_step(store, "clean", "labelled", "labelled_ledger", *every)

@@ -10,9 +10,9 @@ from pulseframe.plans import queries
 T0 = datetime(2024, 1, 1)
 
 
-def put(spark, tmp_path, events, files=4):
+def put(spark, tmp_path, events, files=4, first=0):
     """events: (user_id, time, type, value) in order; their parquet files are cut and dealt."""
-    rows = [(k, time, user, kind, float(value)) for k, (user, time, kind, value) in enumerate(events)]
+    rows = [(k, time, user, kind, float(value)) for k, (user, time, kind, value) in enumerate(events, first)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(files).write.parquet(str(tmp_path / "events.parquet"))
     return str(tmp_path)
 
@@ -72,3 +72,11 @@ def sum_in_order(values):
     for v in values:  # not sum(), which compensates
         total += v
     return total
+
+
+def test_treatments_by_steps_take_all_days(spark, tmp_path):
+    """Ids of large tables give days decades on."""
+    rng = np.random.default_rng(5)
+    events = [(1, T0, "view", v) for v in rng.choice([0, 10, 60, 90, 120], 1000)]
+    got, wanted = both(spark, put(spark, tmp_path, events, first=12_000_000), "treatments_by_steps")
+    assert got == wanted and got
