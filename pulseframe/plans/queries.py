@@ -403,7 +403,7 @@ def days_by_steps(spark, sf):
     """Raw samples to daily features through the incremental steps, in two deliveries and two calls of each, in tables of their own."""
     store = _own_store(spark)
     rows = many_days(spark, sf)
-    for k, end in enumerate(("2024-01-17", "2031-01-01")):  # the first delivery's last day of each user is withheld
+    for k, end in enumerate(("2024-01-17", _EVER)):  # the first delivery's last day of each user is withheld
         start, later = "2024-01-01", F.col("time") >= "2024-01-20"
         some = rows.filter(later if k else ~later)
         steps.ingest(store, some.filter(f"NOT {STEP}").drop("event_type"), "heart", f"delivery{k}")
