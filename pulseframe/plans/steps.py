@@ -10,17 +10,18 @@ therefore neither loses nor doubles rows.
 Columns and types of what comes in and goes out are checked. Given the link table, values, ids and dates of what comes in are
 too, by aggregates that are gathered while the rows are written: if one fails, the run is taken back and has no ledger rows.
 
-Data are written in parts by day. What treatments have from their days and weeks is worked out anew, for all treatments of each
+Data are written in parts by day; a run of many days in parts by week, month or year, so that it has a bounded number of files
+and the listing of them does not outweigh the work. What treatments have from their days and weeks is worked out anew, for all treatments of each
 week that a run touches, from a table with what they have by themselves; so the result does not depend on how runs are cut.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import daily, enrich, heart, pressure, quality, treatments
@@ -159,9 +160,27 @@ def _sessions(index: Index) -> DataFrame:
     return treatments.with_date(index.spans().select("patient_id", "session_id", F.col("first").alias("session_start"), F.col("last").alias("session_end")))
 
 
+#: A run has its parts by the first of these that cuts it into at most MOST_PARTS, or else by the last.
+LABELS: dict[str, Callable[[Column], Column]] = {
+    "day": lambda d: d.cast("string"),
+    "week": treatments.week_label,
+    "month": lambda d: F.format_string("%d-m%02d", F.year(d), F.month(d)),  # a letter: no reader takes it for a date
+    "year": lambda d: F.format_string("y%d", F.year(d)),
+}
+MOST_PARTS = 100
+
+
+def part_label(days: DataFrame, day: Column, names: Sequence[str] = tuple(LABELS)) -> Column:
+    """The label of the part that a row of the given day goes to, in a run that has the days of `days` (date)."""
+    counts = days.select("date").distinct().agg(*(F.count_distinct(LABELS[n](F.col("date"))).alias(n) for n in names)).first()
+    return LABELS[next((n for n in names if counts[n] <= MOST_PARTS), names[-1])](day)
+
+
 def ingest(store: Store, rows: DataFrame, table: str, run: str) -> None:
-    """Raw rows (with a time) in parts by day, under a name of the caller's; a delivery that is written twice is there once."""
-    store.write_run(rows, table, run, F.to_date("time"))
+    """Raw rows (with a time) in parts by time, under a name of the caller's; a delivery that is written twice is there once. The
+    rows' times are read before, to tell how many days there are."""
+    day = F.to_date("time")
+    store.write_run(rows, table, run, part_label(rows.select(day.alias("date")), day))
 
 
 def clean_pressure_step(store: Store, raw: str, clean: str, ledger: str, start: str, end: str, link: DataFrame | None = None) -> bool:
@@ -177,10 +196,12 @@ def clean_pressure_step(store: Store, raw: str, clean: str, ledger: str, start:
         rows = quality.require(index.read(todo.select(F.col("id").alias("session_id"))), schemas.RAW_PRESSURE)
         out = clean_pressure(watched(rows))
         quality.check_schema(out, schemas.CLEAN_PRESSURE)
-        store.write_run(out, clean, run, F.to_date("time"))
+        days = sessions.join(todo, F.col("session_id") == F.col("id"), "left_semi")
+        store.write_run(out, clean, run, part_label(days, F.to_date("time")))
         return [clean]
 
-    units = between(_sessions(index), "date", start, end).select(F.col("session_id").alias("id"))
+    sessions = _sessions(index)
+    units = between(sessions, "date", start, end).select(F.col("session_id").alias("id"))
     return run_step(store, ledger, ["id"], units, write, gate)
 
 
@@ -195,7 +216,7 @@ def label_pressure_step(store: Store, clean: str, labelled: str, ledger: str, st
         rows = quality.require(index.read(sessions.select("session_id")), schemas.CLEAN_PRESSURE)
         out = label_pressure(rows, sessions, covered=True)  # the sessions are the index's own
         quality.check_schema(out, schemas.LABELLED_PRESSURE)
-        store.write_run(out, labelled, run, F.to_date("session_start"))
+        store.write_run(out, labelled, run, part_label(sessions, F.to_date("session_start")))
         return [labelled]
 
     return run_step(store, ledger, ["treatment_id"], first, write)
@@ -206,14 +227,16 @@ def featurise_treatments_step(store: Store, labelled: str, target: str, ledger:
     worked out anew from it."""
     whole_weeks(start, end)
     index, own = labelled_index(store, labelled).refresh(), f"{target}_rows"
-    units = between(index.spans().withColumn("date", F.to_date("first")), "date", start, end).select("treatment_id")
+    starts = index.spans().select("treatment_id", F.to_date("first").alias("date"))
+    units = between(starts, "date", start, end).select("treatment_id")
 
     def write(run: str, todo: DataFrame) -> list[str]:
-        rows = quality.require(index.read(todo), schemas.LABELLED_PRESSURE)
-        store.write_run(treatments.treatment_rows(rows, extra), own, run, treatments.week_label(F.col("act_date")))
+        rows, week = quality.require(index.read(todo), schemas.LABELLED_PRESSURE), LABELS["week"](F.col("act_date"))
+        store.write_run(treatments.treatment_rows(rows, extra), own, run, part_label(starts.join(todo, "treatment_id", "left_semi"), F.col("act_date"), ("week", "year")))
         every = store.read(own, runs=True)
-        weeks = [r[0] for r in every.filter(F.col(RUN) == run).select(F.col(LABEL).cast("string")).distinct().collect()]  # a label for each week
-        found = treatments.with_adherence(treatments.with_daily(every.filter(F.col(LABEL).isin(weeks)).drop(RUN, LABEL)), devices, extra)
+        weeks = [r[0] for r in every.filter(F.col(RUN) == run).select(week).distinct().collect()]  # a label for each week
+        parts = {*weeks, *(f"y{w.partition('-')[0]}" for w in weeks)}  # a year's part holds whole weeks
+        found = treatments.with_adherence(treatments.with_daily(every.filter(F.col(LABEL).cast("string").isin(parts) & week.isin(weeks)).drop(RUN, LABEL)), devices, extra)
         if not extra:
             quality.check_schema(found, schemas.TREATMENTS)
         store.replace(found, target, treatments.week_label(F.col("act_date")))

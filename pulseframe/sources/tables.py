@@ -209,15 +209,18 @@ class Store:
         if self._database:
             self._swap(rows, name, [RUN], [(RUN, run)])
         else:
+            if label is not None:  # the run's labels may have been others
+                self.drop_run(name, run)
             self.write(rows, name, "partitions", [RUN] if label is None else [RUN, LABEL])
 
     def replace(self, df: DataFrame, name: str, label: Column) -> None:
-        """Writes df in place of all that the table has under the same labels. Repeated after a failure it gives the same."""
+        """Writes df in place of all that the table has under the same labels. Repeated after a failure it gives the same. Labels are
+        dealt to all tasks, one file for each: they may be many, of few rows."""
         self._guard(name)
         rows = df.withColumn(LABEL, F.coalesce(label.cast("string"), F.lit(NONE)))
         if self.root and not self.exists(name):  # the schema, should there be no row
             df.limit(0).write.mode("overwrite").parquet(f"{self.path(name)}/{LABEL}={NONE}")
-        self.write(rows if self._database else rows.hint("rebalance", LABEL), name, "partitions", [LABEL])
+        self.write(rows if self._database else rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), LABEL), name, "partitions", [LABEL])
 
     def drop_run(self, name: str, run: str) -> None:
         """Removes what a run has written."""
@@ -227,8 +230,11 @@ class Store:
         elif self.exists(name):
             if self._database:
                 self._transact([(f"DELETE FROM {name} WHERE {self._quoted(RUN)} = ?", [run])])
-            else:
-                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({RUN} = '{run}')")
+            else:  # each by all of its columns: not every catalog takes some of them for all that match
+                found = [r[0] for r in self.spark.sql(f"SHOW PARTITIONS {name} PARTITION ({RUN} = '{run}')").collect()]
+                specs = (", ".join(f"{k} = '{unquote(v)}'" for k, _, v in (x.partition("=") for x in part.split("/"))) for part in found)
+                if found:
+                    self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION ({spec})" for spec in specs))
 
     def drop_parts(self, name: str, parts: Collection[str]) -> None:
         """Removes parts of an index."""

@@ -254,3 +254,35 @@ def test_parts_and_runs(spark, tmp_path):
     store.replace(rows.filter("k = 1").withColumn("k", F.lit(9)), "w", F.col("d"))
     assert sorted(r.k for r in store.read("w").collect()) == [2, 3, 9]
     assert not store.exists("nothing") and store.parts("nothing") == set()
+
+
+def test_long_runs_of_sessions_have_few_parts(spark, tmp_path):
+    """Runs over many days have their parts by week; what comes of them is what comes of all rows at once."""
+    store = Store(spark, str(tmp_path))
+    rows = raw_rows({f"s{d}": D0 + timedelta(days=d) for d in range(120)}, n=60)
+    clean = spark.createDataFrame([(p, s, t, v) for s, v, t, p in rows], "patient_id string, session_id string, time timestamp, pressure_detrend double").persist()
+    steps.ingest(store, clean, "clean", "all")
+    assert store.parts("clean") == {f"all/2024-w{w:02d}" for w in range(1, 19)}
+    steps.label_pressure_step(store, "clean", "labelled", "l2", "2024-01-01", "2024-07-01")
+    assert {x.split("/")[1] for x in store.parts("labelled")} == {f"2024-w{w:02d}" for w in range(1, 19)}
+    assert told(store.read("labelled")) == told(steps.label_pressure(clean, treatments.session_metadata(clean)))
+
+
+def test_totals_from_parts_by_week_and_year(spark, tmp_path, monkeypatch):
+    whole, late = Store(spark, str(tmp_path / "whole")), Store(spark, str(tmp_path / "late"))
+    df = labelled_days(spark, whole).persist()
+    want = featurised(whole, spark, [("2024-01-01", "2024-01-29")])
+    for most, some in ((2, F.dayofyear("time") > 2), (100, F.dayofyear("time") <= 2)):
+        monkeypatch.setattr(steps, "MOST_PARTS", most)
+        late.write(df.filter(some), "labelled")
+        got = featurised(late, spark, [("2024-01-01", "2024-01-29")])
+    assert got == want and len(want) > 20
+    assert {x.split("/")[1] for x in late.parts("features_rows")} == {"y2024", "2024-w01"}
+
+
+def test_run_of_other_labels_in_a_catalog(spark):
+    store = Store(spark)
+    for n in (3, 120):  # the same delivery, with more days the second time
+        steps.ingest(store, spark.createDataFrame([("u", D0 + timedelta(days=d), 1.0) for d in range(n)], HEART), "samples_again", "monday")
+    assert store.read("samples_again").count() == 120 and len(store.parts("samples_again")) == 18
+    store.drop("samples_again")
