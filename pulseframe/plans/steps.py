@@ -262,7 +262,7 @@ def clean_days_step(store: Store, samples: str, clean: str, ledger: str, start:
         rows = rows if gate is None else gate.watch(_with_people(rows, link)).drop("date_recruited")
         out = clean_days(rows)
         quality.check_schema(out, schemas.HEART)
-        store.write_run(out, clean, run, F.to_date("time"))
+        store.write_run(out, clean, run, part_label(todo, F.to_date("time")))
         return [clean]
 
     days = between(settled_days(index.spans().select("userid", "date")), "date", start, end)
@@ -284,7 +284,7 @@ def featurise_days_step(store: Store, steps: str, clean: str, target: str, ledge
         rows = rows if gate is None else gate.watch(_with_people(rows, link)).drop("date_recruited")
         out = featurise_days(rows, hearts.read(some), thresholds, link, some)
         quality.check_schema(out, schemas.DAILY)
-        store.write_run(out, target, run, treatments.week_label(F.col("date")))
+        store.write_run(out, target, run, part_label(todo, F.col("date"), ("week", "month", "year")))
         return [target]
 
     return run_step(store, ledger, keys, days, write, gate)

@@ -286,3 +286,22 @@ def test_run_of_other_labels_in_a_catalog(spark):
         steps.ingest(store, spark.createDataFrame([("u", D0 + timedelta(days=d), 1.0) for d in range(n)], HEART), "samples_again", "monday")
     assert store.read("samples_again").count() == 120 and len(store.parts("samples_again")) == 18
     store.drop("samples_again")
+
+
+def test_long_runs_of_days_have_few_parts(spark, tmp_path):
+    """Runs over many days have their parts by week, those over few by day; what comes of them is what comes of all rows at once."""
+    store = Store(spark, str(tmp_path))
+    thresholds = spark.createDataFrame([("u", date(2024, 1, 1), 80.0, 79.0, 81.0)], "userid string, date date, thresh14 double, thresh14_low double, thresh14_high double")
+    rows = spark.createDataFrame([("u", D0 + timedelta(days=k // 12, minutes=k % 12), 78.0 + k % 5) for k in range(120 * 12)], HEART)
+    stepped = rows.filter("minute(time) > 3")
+    steps.ingest(store, rows, "hr", "all")
+    steps.ingest(store, stepped, "fs", "all")
+    assert len(store.parts("hr")) == 18
+    for start, end in (("2024-01-01", "2024-01-04"), ("2024-01-01", "2025-01-01")):
+        steps.clean_days_step(store, "hr", "clean", "l1", start, end)
+    steps.featurise_days_step(store, "fs", "clean", "daily", "l2", thresholds, link(spark, "u"), "2024-01-01", "2025-01-01")
+    assert {x.split("/")[1] for x in store.parts("clean")} == {"2024-01-01", "2024-01-02", "2024-01-03"} | {f"2024-w{w:02d}" for w in range(1, 18)}
+    clean = steps.clean_days(rows.filter("time < '2024-04-29'")).persist()  # the latest day is withheld
+    assert told(store.read("clean")) == told(clean)
+    want = steps.featurise_days(stepped, clean, thresholds, link(spark, "u"))
+    assert told(store.read("daily")) == told(want) and want.count() == 119
