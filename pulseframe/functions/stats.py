@@ -33,8 +33,7 @@ def variation(value: Column, keep: Column | None = None) -> Column:
 
 
 def proportional_difference(big: Column, small: Column, infinite: bool = False) -> Column:
-    """Null where `small` is 0; if `infinite`, what doubles give there: infinity, and NaN for 0 and 0."""
-    found = F.abs(big - small) / F.nullif(small, F.lit(0)) * 100
-    if not infinite:
-        return found
-    return F.when((small == 0) & big.isNotNull(), F.when(big == small, float("nan")).otherwise(float("inf"))).otherwise(found)
+    """Null where `small` is 0; if `infinite`, what doubles give there: infinity of the sign of that 0, and NaN for 0 and 0."""
+    apart = F.abs(big - small)
+    found = apart / F.nullif(small, F.lit(0)) * 100
+    return F.when(small == 0, apart * F.pow(small, F.lit(-1.0))).otherwise(found) if infinite else found

@@ -53,9 +53,9 @@ STEP = "event_type IN ('view', 'click')"
 
 def r6(column) -> F.Column:
     """Six digits as the SQL rounds: of the value times 1e6, in doubles. F.round goes by the decimal text, and gives another
-    neighbour for values next to the middle of two."""
+    neighbour for values next to the middle of two. What becomes 0 keeps its sign."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.when(F.abs(c) < 1e300, F.round(c * 1e6, 0) / 1e6).otherwise(c)
+    return F.when(F.abs(c * 1e6) < 0.5, c * 0.0).when(F.abs(c) < 1e300, F.round(c * 1e6, 0) / 1e6).otherwise(c)
 
 
 # --- aggregates over a user's day -----------------------------------------------------------------------------------
@@ -760,10 +760,11 @@ def calendar(spark, sf):
 
 @query("first_differences", f"SELECT event_id, round(value - lag(value) OVER w, 6) AS step, round(abs(value - lag(value) OVER w) / lag(value) OVER w * 100, 6) AS prop, coalesce(abs(value - lag(value) OVER w) < 1, false) AS alike, round(CASE WHEN s < 60 THEN s WHEN s < 3600 THEN s / 60 WHEN s < 86400 THEN s / 3600 ELSE s / 86400 END, 6) AS gap FROM (SELECT *, (epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY userid ORDER BY time, event_id))) / 1000000 AS s FROM {S}) WINDOW w AS (PARTITION BY userid ORDER BY time, event_id)")
 def first_differences(spark, sf):
-    w = Window.partitionBy("userid").orderBy("time", "event_id")
+    order = [F.col(c).asc_nulls_last() for c in ("time", "event_id")]
+    w = Window.partitionBy("userid").orderBy(*order)
     before = F.lag("value").over(w)
     gap = auto_units(seconds_between(F.lag("time").over(w), F.col("time")))
-    return samples(spark, sf).select("event_id", r6(series.first_differences(F.col("value"), ["userid"], ["time", "event_id"])).alias("step"), r6(proportional_difference(F.col("value"), before, infinite=True)).alias("prop"), F.coalesce(near(F.col("value"), before, 1.0), F.lit(False)).alias("alike"), r6(gap).alias("gap"))
+    return samples(spark, sf).select("event_id", r6(series.first_differences(F.col("value"), ["userid"], order)).alias("step"), r6(proportional_difference(F.col("value"), before, infinite=True)).alias("prop"), F.coalesce(near(F.col("value"), before, 1.0), F.lit(False)).alias("alike"), r6(gap).alias("gap"))
 
 
 @query("counts", f"SELECT userid, count(DISTINCT CASE WHEN hour <> 0 THEN hour END)::DOUBLE AS ids, count(DISTINCT event_type) AS kinds FROM {S} GROUP BY userid")

@@ -80,3 +80,13 @@ def test_treatments_by_steps_take_all_days(spark, tmp_path):
     events = [(1, T0, "view", v) for v in rng.choice([0, 10, 60, 90, 120], 1000)]
     got, wanted = both(spark, put(spark, tmp_path, events, first=12_000_000), "treatments_by_steps")
     assert got == wanted and got
+
+
+def test_first_differences_of_odd_values(spark, tmp_path):
+    """NaN, infinities, zeros of either sign, negative values and missing times come after each other, as doubles have it in SQL."""
+    odd = [0.0, -0.0, 5.0, -5.0, float("nan"), float("inf"), float("-inf"), None, 1e-9, 1e305]
+    pairs = [v for a in odd for b in odd for v in (a, b)]
+    rows = [(k, None if k % 17 == 3 else T0 + timedelta(seconds=7 * (k // 2)), 1, "view", v) for k, v in enumerate(pairs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got, wanted = both(spark, str(tmp_path), "first_differences")
+    assert got == wanted and sum("-0.0" in r for r in got) > 3 and sum("-inf" in r for r in got) > 3
