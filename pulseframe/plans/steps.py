@@ -167,7 +167,7 @@ LABELS: dict[str, Callable[[Column], Column]] = {
     "month": lambda d: F.format_string("%d-m%02d", F.year(d), F.month(d)),  # a letter: no reader takes it for a date
     "year": lambda d: F.format_string("y%d", F.year(d)),
 }
-MOST_PARTS = 100
+MOST_PARTS = 31
 
 
 def part_label(days: DataFrame, day: Column, names: Sequence[str] = tuple(LABELS)) -> Column:
